@@ -1,0 +1,56 @@
+"""A3, A5, A6 on rows with repeated, hot and malformed keys."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import audit
+from tidemark.functions.envelope import text_to_bytes
+
+T = dt.datetime(2024, 1, 1)
+
+
+def _sent(spark, rows):
+    return spark.createDataFrame(rows, "partition int, ts timestamp_ntz, k string").select(
+        "partition", F.col("ts").cast("timestamp").alias("timestamp"), text_to_bytes("k").alias("key")
+    )
+
+
+def _sink(spark, rows):
+    return spark.createDataFrame(rows, "partition int, ts timestamp_ntz, k string, cnt long").select(
+        "partition", F.col("ts").cast("timestamp").alias("timestamp"),
+        text_to_bytes("k").alias("key"), "cnt",
+    )
+
+
+def test_reconcile_counts_hot_and_repeated_keys(spark):
+    hot = [(0, T, "key")] * 300  # one key on most records, as in the constant form
+    late = [(1, T - dt.timedelta(hours=1), "1")]
+    withheld = [(0, T + dt.timedelta(hours=1), "2")]
+    sent = _sent(spark, hot + late + withheld)
+    sink = _sink(spark, [(0, T, "key", 200), (0, T, "junk", 1)])
+    rec = audit.reconcile(sent, sink)
+    wm = F.lit(T).cast("timestamp")
+    miss = {(r.id, r.n_missing, r.reason) for r in audit.missing(rec, wm).collect()}
+    assert miss == {(None, 100, "late"), (1, 1, "late"), (2, 1, "withheld")}
+    s = audit.summary(rec, wm).first().asDict()
+    assert s["sent"] == 302 and s["persisted"] == 201 and s["persisted_rows"] == 2
+    assert s["missing_late"] == 101 and s["missing_withheld"] == 1
+    assert s["malformed_keys"] == 2  # "key" and "junk" do not decode
+    assert s["complete"] is False
+    assert s["latest_persisted"] == T
+
+
+def test_expected_watermark_is_a_subquery(spark):
+    sent = _sent(spark, [(0, T + dt.timedelta(microseconds=1999), "1")])
+    wm = sent.select(audit.expected_watermark(sent, "20 seconds").alias("wm")).first().wm
+    assert wm == T + dt.timedelta(milliseconds=1) - dt.timedelta(seconds=20)
+
+
+def test_delivery_check_tells_loss_from_duplication(spark):
+    sent = _sent(spark, [(0, T, str(i)) for i in range(10)])
+    dup = sent.unionByName(sent.limit(3)).where(F.col("key") != F.lit(b"9"))
+    r = audit.delivery_check(sent, dup).first()
+    assert (r.sent, r.received, r.expected, r.distinct_keys, r.ok) == (10, 12, 10, 9, True)
+    r = audit.delivery_check(sent, sent.limit(4), expected=5).first()
+    assert (r.received, r.expected, r.ok) == (4, 5, False)
