@@ -211,7 +211,19 @@ def mean_id(spark, sf_dir):
     return mean_of(_roundtrip_ids(spark, sf_dir), "id", "mean_id")
 
 
-QUERIES: dict[str, Query] = {
+def _in_utc(fn: Query) -> Query:
+    """Every query renders and compares event time in UTC."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pin_utc(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
+_PLAIN: dict[str, Query] = {
     "stream_append_single": stream_append_single,
     "stream_append_day": stream_append_day,
     "stream_append_multibatch": stream_append_multibatch,
@@ -237,3 +249,5 @@ QUERIES: dict[str, Query] = {
     "top20": top20,
     "mean_id": mean_id,
 }
+
+QUERIES: dict[str, Query] = {name: _in_utc(fn) for name, fn in _PLAIN.items()}
