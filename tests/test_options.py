@@ -14,8 +14,9 @@ def test_kafka_source_options():
     }
     o = kafka_source_options(
         "b:1", topic="t", isolation_level="read_committed", max_offsets_per_trigger=1000,
-        fail_on_data_loss=False,
+        fail_on_data_loss=False, min_partitions=64,
     )
+    assert o["minPartitions"] == "64"
     assert o["kafka.isolation.level"] == "read_committed"
     assert o["maxOffsetsPerTrigger"] == "1000"
     assert o["failOnDataLoss"] == "false"

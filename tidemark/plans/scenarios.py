@@ -59,11 +59,16 @@ def events_arrivals(spark: SparkSession, sf_dir: str, n_batches: int = ARRIVAL_B
     )
 
 
+STATE_PARTITIONS_CONF = "tidemark.statePartitions"
+
+
 def default_settings(spark: SparkSession, **kw) -> StreamSettings:
-    """One state partition per core of the cluster: every micro-batch's
-    stateful stage runs in a single wave."""
-    parts = max(int(spark.sparkContext.defaultParallelism), 1)
-    return StreamSettings(state_partitions=parts, **kw)
+    """State partitions: ``tidemark.statePartitions`` when the session sets
+    it, else one per core of the cluster, so every micro-batch's stateful
+    stage runs in a single wave."""
+    configured = spark.conf.get(STATE_PARTITIONS_CONF, None)
+    parts = int(configured) if configured else int(spark.sparkContext.defaultParallelism)
+    return StreamSettings(state_partitions=max(parts, 1), **kw)
 
 
 def _memo(spark: SparkSession, key: tuple, make) -> StreamRun:

@@ -29,6 +29,7 @@ def kafka_source_options(
     isolation_level: str | None = None,
     max_offsets_per_trigger: int | None = None,
     fail_on_data_loss: bool | None = None,
+    min_partitions: int | None = None,
 ) -> dict[str, str]:
     """Options for ``readStream.format("kafka")``.
 
@@ -36,7 +37,8 @@ def kafka_source_options(
     checkpoint; later runs resume from the checkpointed offsets. Set
     ``isolation_level="read_committed"`` to hide records of aborted
     producer transactions. ``max_offsets_per_trigger`` bounds a
-    micro-batch so that a backlog is split over several batches.
+    micro-batch so that a backlog is split over several batches;
+    ``min_partitions`` splits large topic partitions over more read tasks.
     """
     opts = {
         "kafka.bootstrap.servers": bootstrap_list(servers),
@@ -47,6 +49,8 @@ def kafka_source_options(
         opts["kafka.isolation.level"] = isolation_level
     if max_offsets_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(int(max_offsets_per_trigger))
+    if min_partitions:
+        opts["minPartitions"] = str(int(min_partitions))
     if fail_on_data_loss is not None:
         opts["failOnDataLoss"] = str(bool(fail_on_data_loss)).lower()
     return opts
