@@ -79,3 +79,33 @@ def write_kafka(records: DataFrame, servers: str | Iterable[str], topic: str = T
     records.select(*cols).write.format("kafka").options(
         **kafka_sink_options(servers, topic)
     ).save()
+
+
+class KafkaTopic:
+    """A live topic with the same interface as ``FileTopic``: publish,
+    read (batch) and read_stream, so every flow runs on either."""
+
+    def __init__(self, spark: SparkSession, servers: str | Iterable[str], topic: str = TOPIC,
+                 **source_options):
+        self.spark = spark
+        self.servers = servers
+        self.topic = topic
+        self.source_options = source_options
+
+    @property
+    def path(self) -> str:
+        return f"kafka://{bootstrap_list(self.servers)}/{self.topic}"
+
+    def publish(self, records: DataFrame, files: int | None = None) -> None:
+        write_kafka(records, self.servers, self.topic)
+
+    def read(self) -> DataFrame:
+        return read_kafka_batch(
+            self.spark, servers=self.servers, topic=self.topic, **self.source_options
+        )
+
+    def read_stream(self, max_offsets_per_trigger: int | None = None) -> DataFrame:
+        opts = dict(self.source_options)
+        if max_offsets_per_trigger:
+            opts["max_offsets_per_trigger"] = max_offsets_per_trigger
+        return read_kafka_stream(self.spark, servers=self.servers, topic=self.topic, **opts)
