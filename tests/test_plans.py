@@ -53,3 +53,24 @@ def test_audit_is_one_shuffle_without_join(spark):
     p = plan(catalog.audit_missing(spark, SF_SMALL))
     assert "Join" not in p and "BroadcastExchange" not in p
     assert p.count("Exchange hashpartitioning") == 1
+
+
+def test_sort_with_a_hot_value_is_split_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.order import sorted_by
+    from tidemark.streaming.flow import session_conf
+
+    # A third of the rows share one id: the tiebreak spreads them. (AQE
+    # would merge these small ranges, so it is off for the measurement.)
+    df = spark.range(0, 30000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("v"),
+        F.col("id").alias("row"),
+    )
+    with session_conf(spark, {"spark.sql.adaptive.enabled": "false"}):
+        for tie, hot in ((["row"], False), ([], True)):
+            out = sorted_by(df, "v", tie)
+            sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert (max(r["count"] for r in sizes) >= 10000) == hot
+        vals = [r.v for r in sorted_by(df, "v", ["row"]).collect()]
+    assert vals[:10000] == [None] * 10000 and vals[10000:] == sorted(vals[10000:])

@@ -131,7 +131,10 @@ def decode_key(spark, sf_dir):
 
 
 def sorted_ids(spark, sf_dir):
-    return sorted_by(decode_key(spark, sf_dir), "id")
+    # Sink rows are unique per (partition, timestamp, key): a skew-proof tiebreak.
+    sink = scan_parquet(spark, sc.single_run(spark, sf_dir).sink)
+    ids = sink.select(key_to_id("key").alias("id"), "timestamp", "partition", "key")
+    return sorted_by(ids, "id", ["timestamp", "partition", "key"]).select("id")
 
 
 def max_timestamp(spark, sf_dir):

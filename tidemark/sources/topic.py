@@ -8,6 +8,9 @@ that a stream sees a chosen sequence of micro-batches.
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,19 +35,29 @@ class FileTopic:
         out.write.mode("append").parquet(self.path)
 
     def publish_in_arrival_order(
-        self, records: DataFrame, batch_col: str, n_batches: int, staging: str
+        self,
+        records: DataFrame,
+        batch_col: str,
+        n_batches: int,
+        staging: str,
+        files_per_batch: int = 1,
+        batch_gap_s: float = 0.0,
     ) -> None:
-        """Replay: one file per arrival batch, appended in batch order.
+        """Replay: append arrival batches in order, each as exactly
+        ``files_per_batch`` files, so a stream reading that many files per
+        trigger sees exactly these micro-batches.
 
         Records are first written once, in parallel, partitioned by batch
         (``staging``); each batch is then read back with partition pruning
-        and appended as its own file, so a stream reading one file per
-        trigger sees exactly these micro-batches. The file source orders
-        files by modification time, which follows the write order.
+        and appended by ``files_per_batch`` parallel tasks. The file source
+        orders files by modification time, which follows the write order;
+        ``batch_gap_s`` spaces batches on stores whose times are coarse.
         """
         staged = self.stage_arrivals(records, batch_col, staging)
         for b in range(n_batches):
-            self.publish_batch(staged, batch_col, b)
+            if b and batch_gap_s:
+                time.sleep(batch_gap_s)
+            self.publish_batch(staged, batch_col, b, files_per_batch)
 
     def stage_arrivals(self, records: DataFrame, batch_col: str, staging: str) -> DataFrame:
         """Write records once, in parallel, partitioned by arrival batch."""
@@ -56,15 +69,53 @@ class FileTopic:
         )
         return self.spark.read.schema(staged_schema).parquet(staging)
 
-    def publish_batch(self, staged: DataFrame, batch_col: str, b: int) -> None:
-        """Append arrival batch ``b`` of a staged table as one file."""
+    def publish_batch(self, staged: DataFrame, batch_col: str, b: int, files: int = 1) -> None:
+        """Append arrival batch ``b`` of a staged table as exactly ``files``
+        files written by ``files`` parallel tasks.
+
+        Spark skips files for empty partitions, so a short batch is padded
+        with empty (schema-only) files. The new files must all be newer than
+        every earlier file, or the stream would mix batches: checked here.
+        """
+        before = self.listing()
         (
             staged.where(F.col(batch_col) == b)
             .select(*ENVELOPE_COLUMNS)
-            .repartition(1)
+            .repartition(files)
             .write.mode("append")
+            .option("maxRecordsPerFile", 0)
             .parquet(self.path)
         )
+        after = self.listing()
+        for _ in range(files - (len(after) - len(before))):
+            self.spark.createDataFrame([], ENVELOPE_SCHEMA).write.mode("append").parquet(
+                self.path
+            )
+        if len(after) - len(before) < files:
+            after = self.listing()
+        new = {p: t for p, t in after.items() if p not in before}
+        if len(new) != files:
+            raise RuntimeError(f"batch {b}: expected {files} new files, found {len(new)}")
+        if before and min(new.values()) <= max(before.values()):
+            raise RuntimeError(
+                f"batch {b}: new files are not newer than earlier ones; "
+                "raise batch_gap_s for this store"
+            )
+
+    def listing(self) -> dict[str, object]:
+        """Data files of the topic and their modification times. Only the
+        file listing is read (``binaryFile`` without its content column)."""
+        try:
+            rows = (
+                self.spark.read.format("binaryFile")
+                .option("pathGlobFilter", "*.parquet")
+                .load(self.path)
+                .select("path", "modificationTime")
+                .collect()
+            )
+        except AnalysisException:  # nothing published yet
+            return {}
+        return {r.path: r.modificationTime for r in rows}
 
     # -- consume ---------------------------------------------------------
     def read(self) -> DataFrame:
@@ -72,8 +123,8 @@ class FileTopic:
         return self.spark.read.schema(ENVELOPE_SCHEMA).parquet(self.path)
 
     def read_stream(self, files_per_trigger: int | None = None) -> DataFrame:
-        """S1 stand-in: the topic as a stream; ``files_per_trigger=1`` gives
-        one micro-batch per published file."""
+        """S1 stand-in: the topic as a stream; with ``files_per_trigger`` equal
+        to the files per published batch, one micro-batch per batch."""
         reader = self.spark.readStream.schema(ENVELOPE_SCHEMA)
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", int(files_per_trigger))

@@ -67,14 +67,23 @@ def run_arrivals(
     settings: StreamSettings,
     label: str = "arrivals",
     output_mode: str = "append",
+    files_per_batch: int | None = None,
 ) -> StreamRun:
-    """One run over B arrival batches: one micro-batch per batch, back to back."""
+    """One run over B arrival batches: one micro-batch per batch, back to back.
+
+    Each batch is published as ``files_per_batch`` files (default: one per
+    core) and read as one trigger, so both the replay write and the
+    micro-batch read are parallel.
+    """
+    k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
     root = run_dir(spark, label)
     topic = FileTopic(spark, f"{root}/topic")
-    topic.publish_in_arrival_order(records, batch_col, n_batches, f"{root}/staging")
+    topic.publish_in_arrival_order(
+        records, batch_col, n_batches, f"{root}/staging", files_per_batch=k
+    )
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress = run_count(
-        spark, topic.read_stream(files_per_trigger=1), sink, ckpt, settings, output_mode
+        spark, topic.read_stream(files_per_trigger=k), sink, ckpt, settings, output_mode
     )
     return StreamRun(sink, ckpt, topic.path, progress)
 
@@ -86,12 +95,14 @@ def run_per_arrival(
     n_batches: int,
     settings: StreamSettings,
     label: str = "resume",
+    files_per_batch: int | None = None,
 ) -> StreamRun:
     """A separate run after each arrival, all on one checkpoint.
 
     Each run ends with a no-data batch, so the next run starts with the late
     watermark one step further on than a single long run would have.
     """
+    k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
     root = run_dir(spark, label)
     topic = FileTopic(spark, f"{root}/topic")
     staging = f"{root}/staging"
@@ -99,6 +110,6 @@ def run_per_arrival(
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress: list[dict] = []
     for b in range(n_batches):
-        topic.publish_batch(staged, batch_col, b)
+        topic.publish_batch(staged, batch_col, b, k)
         progress += run_count(spark, topic.read_stream(), sink, ckpt, settings)
     return StreamRun(sink, ckpt, topic.path, progress)
