@@ -62,6 +62,17 @@ def stream_append_day(spark, sf_dir):
     return sink_rows(spark, sc.single_run(spark, sf_dir, delay=sc.DAY_DELAY).sink)
 
 
+def stream_append_constant(spark, sf_dir):
+    """The same key on every record: groups differ only by partition and
+    time, so counts run into the hundreds."""
+    return scan_parquet(spark, sc.constant_run(spark, sf_dir).sink).select(
+        "partition",
+        as_wall_clock("timestamp").alias("timestamp"),
+        F.decode("key", "UTF-8").alias("key"),
+        "cnt",
+    )
+
+
 def stream_append_multibatch(spark, sf_dir):
     return sink_rows(spark, sc.arrivals_run(spark, sf_dir).sink)
 
@@ -232,6 +243,7 @@ def _in_utc(fn: Query) -> Query:
 _PLAIN: dict[str, Query] = {
     "stream_append_single": stream_append_single,
     "stream_append_day": stream_append_day,
+    "stream_append_constant": stream_append_constant,
     "stream_append_multibatch": stream_append_multibatch,
     "stream_late_rows": stream_late_rows,
     "stream_nodata_off": stream_nodata_off,

@@ -60,6 +60,13 @@ _ISO = "strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ')"
 ORACLE_SQL: dict[str, str] = {
     "stream_append_single": _single("20 SECOND"),
     "stream_append_day": _single("1 DAY"),
+    "stream_append_constant": """
+SELECT CAST(l_linenumber % 2 AS INTEGER) AS "partition", l_shipdate AS "timestamp",
+       'key' AS "key", count(*) AS cnt
+FROM lineitem
+WHERE l_shipdate <= (SELECT date_trunc('millisecond', max(l_shipdate)) FROM lineitem)
+                    - INTERVAL 20 SECOND
+GROUP BY ALL""",
     "stream_append_multibatch": _persisted(2),
     "stream_nodata_off": _persisted(2, f"WHERE batch < {LAST}"),
     "stream_resume": _persisted(1),

@@ -11,7 +11,9 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.records import counter_records, pair_records
+from pyspark.sql import functions as F
+
+from tidemark.operators.records import constant_records, counter_records, pair_records
 from tidemark.session import pin_utc
 from tidemark.sources.tables import table
 from tidemark.streaming.flow import StreamSettings
@@ -45,6 +47,17 @@ def orders_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_constant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constant-form envelopes, one per lineitem row: every record carries
+    the same ``("key", "value")``; record time = ship date; the record id
+    ``l_orderkey * 8 + l_linenumber`` places it in the topic."""
+    pin_utc(spark)
+    li = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rid"), "l_shipdate"
+    )
+    return constant_records(li, "l_shipdate", "rid")
+
+
 def events_arrivals(spark: SparkSession, sf_dir: str, n_batches: int = ARRIVAL_BATCHES):
     """Envelopes plus the arrival batch of each record. One count action
     (the number of events, answered from Parquet footers) sizes the rule."""
@@ -91,6 +104,18 @@ def single_run(spark: SparkSession, sf_dir: str, delay: str | None = None) -> St
     )
 
 
+def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    """The flagship over constant-form records: one key on every record."""
+    settings = default_settings(spark)
+    return _memo(
+        spark,
+        ("constant", sf_dir),
+        lambda: run_single_batch(
+            spark, lineitem_constant_records(spark, sf_dir), settings, label="constant"
+        ),
+    )
+
+
 def arrivals_run(
     spark: SparkSession,
     sf_dir: str,
