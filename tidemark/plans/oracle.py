@@ -81,6 +81,22 @@ SELECT a.batch AS batch_id, CAST(a.event_id % 2 AS INTEGER) AS "partition",
 FROM a JOIN l USING (batch)
 WHERE l.late IS NULL OR a.ts > l.late
 GROUP BY ALL""",
+    "stream_progress": f"""
+WITH {_arrivals(2)},
+e AS (SELECT r.range AS batch,
+             (SELECT date_trunc('millisecond', max(mx)) - INTERVAL 20 SECOND
+              FROM m WHERE m.batch <= r.range - 1) AS wm
+      FROM range(0, {B + 1}) r),
+k AS (SELECT a.batch, a.ts, coalesce(a.ts <= l.late, false) AS dropped
+      FROM a JOIN l USING (batch))
+SELECT e.batch AS batch_id,
+       (SELECT count(*) FROM k WHERE k.batch = e.batch) AS input_rows,
+       coalesce(e.wm, TIMESTAMP '1970-01-01 00:00:00') AS watermark,
+       (SELECT count(*) FROM k WHERE k.batch <= e.batch AND NOT k.dropped
+                                 AND (e.wm IS NULL OR k.ts > e.wm)) AS state_rows,
+       (SELECT count(*) FROM k WHERE k.batch = e.batch AND NOT k.dropped) AS state_rows_updated,
+       (SELECT count(*) FROM k WHERE k.batch = e.batch AND k.dropped) AS dropped_by_watermark
+FROM e""",
     "audit_missing": f"""
 WITH {_arrivals(2)}
 SELECT a.event_id AS id, a.ts AS "timestamp", CAST(a.event_id % 2 AS INTEGER) AS "partition",

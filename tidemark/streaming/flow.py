@@ -8,10 +8,10 @@ Spark's semantics on this plan, which the tests pin down:
 * eviction watermark in batch b: E_b = max event time of batches < b
   (milliseconds) minus d; a group is emitted once, when its timestamp <= E_b,
   and leaves the state store;
-* late watermark in batch b: E_{b-1} while
+* (W5) late watermark in batch b: E_{b-1} while
   ``spark.sql.streaming.statefulOperator.allowMultiple`` is true (default),
   E_b when false; rows with timestamp <= it are dropped;
-* after the last data batch a no-data batch moves E to max - d (unless
+* (W6) after the last data batch a no-data batch moves E to max - d (unless
   ``spark.sql.streaming.noDataMicroBatches.enabled`` is false); rows within d
   of the maximum stay in state until newer data arrives.
 """
@@ -38,7 +38,8 @@ class StreamSettings:
     ``state_partitions`` is frozen into the checkpoint by the first run, so it
     is always set explicitly; size it to the cluster (state is spread over
     that many tasks). ``None`` for the two semantic switches keeps Spark's
-    defaults.
+    defaults: ``allow_multiple`` picks the late watermark (W5),
+    ``no_data_batches`` the final emission (W6).
     """
 
     delay: str = WATERMARK_DELAY
