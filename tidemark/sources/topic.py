@@ -21,9 +21,12 @@ from tidemark.functions.envelope import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA
 class FileTopic:
     """Envelope records under one directory (any Hadoop path)."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, fresh: bool = False):
+        """``fresh=True`` promises that nothing exists at ``path`` yet (a new
+        run directory), which spares listing a missing folder."""
         self.spark = spark
         self.path = path.rstrip("/")
+        self._may_exist = not fresh
 
     # -- publish ---------------------------------------------------------
     def publish(self, records: DataFrame, files: int | None = None) -> None:
@@ -33,6 +36,7 @@ class FileTopic:
         if files:
             out = out.repartition(files)
         out.write.mode("append").parquet(self.path)
+        self._may_exist = True
 
     def publish_in_arrival_order(
         self,
@@ -54,10 +58,11 @@ class FileTopic:
         ``batch_gap_s`` spaces batches on stores whose times are coarse.
         """
         staged = self.stage_arrivals(records, batch_col, staging)
+        known = None
         for b in range(n_batches):
             if b and batch_gap_s:
                 time.sleep(batch_gap_s)
-            self.publish_batch(staged, batch_col, b, files_per_batch)
+            known = self.publish_batch(staged, batch_col, b, files_per_batch, known)
 
     def stage_arrivals(self, records: DataFrame, batch_col: str, staging: str) -> DataFrame:
         """Write records once, in parallel, partitioned by arrival batch."""
@@ -69,15 +74,25 @@ class FileTopic:
         )
         return self.spark.read.schema(staged_schema).parquet(staging)
 
-    def publish_batch(self, staged: DataFrame, batch_col: str, b: int, files: int = 1) -> None:
+    def publish_batch(
+        self,
+        staged: DataFrame,
+        batch_col: str,
+        b: int,
+        files: int = 1,
+        before: dict[str, object] | None = None,
+    ) -> dict[str, object]:
         """Append arrival batch ``b`` of a staged table as exactly ``files``
-        files written by ``files`` parallel tasks.
+        files written by ``files`` parallel tasks; returns the new listing.
 
         Spark skips files for empty partitions, so a short batch is padded
         with empty (schema-only) files. The new files must all be newer than
         every earlier file, or the stream would mix batches: checked here.
+        ``before`` is the listing returned by the previous call (saves a
+        listing per batch); by default the topic is listed first.
         """
-        before = self.listing()
+        if before is None:
+            before = self.listing()
         (
             staged.where(F.col(batch_col) == b)
             .select(*ENVELOPE_COLUMNS)
@@ -86,6 +101,7 @@ class FileTopic:
             .option("maxRecordsPerFile", 0)
             .parquet(self.path)
         )
+        self._may_exist = True
         after = self.listing()
         for _ in range(files - (len(after) - len(before))):
             self.spark.createDataFrame([], ENVELOPE_SCHEMA).write.mode("append").parquet(
@@ -101,10 +117,13 @@ class FileTopic:
                 f"batch {b}: new files are not newer than earlier ones; "
                 "raise batch_gap_s for this store"
             )
+        return after
 
     def listing(self) -> dict[str, object]:
         """Data files of the topic and their modification times. Only the
         file listing is read (``binaryFile`` without its content column)."""
+        if not self._may_exist:
+            return {}
         try:
             rows = (
                 self.spark.read.format("binaryFile")

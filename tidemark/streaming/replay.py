@@ -52,7 +52,7 @@ def run_single_batch(
 ) -> StreamRun:
     """Publish everything, then one run: one data batch plus the no-data batch."""
     root = run_dir(spark, label)
-    topic = FileTopic(spark, f"{root}/topic")
+    topic = FileTopic(spark, f"{root}/topic", fresh=True)
     topic.publish(records)
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress = run_count(spark, topic.read_stream(), sink, ckpt, settings)
@@ -77,7 +77,7 @@ def run_arrivals(
     """
     k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
     root = run_dir(spark, label)
-    topic = FileTopic(spark, f"{root}/topic")
+    topic = FileTopic(spark, f"{root}/topic", fresh=True)
     topic.publish_in_arrival_order(
         records, batch_col, n_batches, f"{root}/staging", files_per_batch=k
     )
@@ -104,12 +104,13 @@ def run_per_arrival(
     """
     k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
     root = run_dir(spark, label)
-    topic = FileTopic(spark, f"{root}/topic")
+    topic = FileTopic(spark, f"{root}/topic", fresh=True)
     staging = f"{root}/staging"
     staged = topic.stage_arrivals(records, batch_col, staging)
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress: list[dict] = []
+    known = None
     for b in range(n_batches):
-        topic.publish_batch(staged, batch_col, b, k)
+        known = topic.publish_batch(staged, batch_col, b, k, known)
         progress += run_count(spark, topic.read_stream(), sink, ckpt, settings)
     return StreamRun(sink, ckpt, topic.path, progress)
