@@ -20,17 +20,18 @@ from tidemark.streaming.flow import StreamSettings
 from tidemark.streaming.replay import (
     StreamRun,
     arrival_batch,
-    run_arrivals,
+    publish_arrivals,
     run_per_arrival,
     run_single_batch,
+    run_topic,
 )
 
 # Replay parameters of the registered queries (ours).
 ARRIVAL_BATCHES = 6
 DAY_DELAY = "1 day"
 
-_RUNS: dict[tuple, StreamRun] = {}
-_LOCK = threading.Lock()
+_RUNS: dict[tuple, object] = {}
+_LOCK = threading.RLock()
 
 
 def events_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def default_settings(spark: SparkSession, **kw) -> StreamSettings:
     return StreamSettings(state_partitions=max(parts, 1), **kw)
 
 
-def _memo(spark: SparkSession, key: tuple, make) -> StreamRun:
+def _memo(spark: SparkSession, key: tuple, make):
     full = (spark.sparkContext.applicationId, *key)
     with _LOCK:
         run = _RUNS.get(full)
@@ -116,6 +117,18 @@ def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     )
 
 
+def arrivals_topic(spark: SparkSession, sf_dir: str):
+    """The six arrival batches published once; every arrivals run reads it,
+    as several consumers read one topic."""
+    return _memo(
+        spark,
+        ("arrivals-topic", sf_dir),
+        lambda: publish_arrivals(
+            spark, events_arrivals(spark, sf_dir), "batch", ARRIVAL_BATCHES
+        ),
+    )
+
+
 def arrivals_run(
     spark: SparkSession,
     sf_dir: str,
@@ -124,19 +137,12 @@ def arrivals_run(
 ) -> StreamRun:
     """Six arrival batches with held-back records, one run."""
     settings = default_settings(spark, no_data_batches=no_data_batches)
-    return _memo(
-        spark,
-        ("arrivals", sf_dir, no_data_batches, output_mode),
-        lambda: run_arrivals(
-            spark,
-            events_arrivals(spark, sf_dir),
-            "batch",
-            ARRIVAL_BATCHES,
-            settings,
-            label="arrivals-" + output_mode,
-            output_mode=output_mode,
-        ),
-    )
+
+    def make() -> StreamRun:
+        topic, k = arrivals_topic(spark, sf_dir)
+        return run_topic(spark, topic, k, settings, "arrivals-" + output_mode, output_mode)
+
+    return _memo(spark, ("arrivals", sf_dir, no_data_batches, output_mode), make)
 
 
 def resume_run(spark: SparkSession, sf_dir: str) -> StreamRun:

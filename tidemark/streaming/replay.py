@@ -59,35 +59,64 @@ def run_single_batch(
     return StreamRun(sink, ckpt, topic.path, progress)
 
 
-def run_arrivals(
+def publish_arrivals(
     spark: SparkSession,
     records: DataFrame,
     batch_col: str,
     n_batches: int,
-    settings: StreamSettings,
     label: str = "arrivals",
-    output_mode: str = "append",
     files_per_batch: int | None = None,
-) -> StreamRun:
-    """One run over B arrival batches: one micro-batch per batch, back to back.
-
-    Each batch is published as ``files_per_batch`` files (default: one per
-    core) and read as one trigger, so both the replay write and the
-    micro-batch read are parallel.
-    """
+) -> tuple[FileTopic, int]:
+    """Publish B arrival batches to a fresh topic, each as ``k`` files
+    (default: one per core, written by ``k`` parallel tasks)."""
     k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
-    root = run_dir(spark, label)
+    root = run_dir(spark, label + "-topic")
     topic = FileTopic(spark, f"{root}/topic", fresh=True)
     topic.publish_in_arrival_order(
         records, batch_col, n_batches, f"{root}/staging", files_per_batch=k
     )
+    return topic, k
+
+
+def run_topic(
+    spark: SparkSession,
+    topic: FileTopic,
+    files_per_trigger: int,
+    settings: StreamSettings,
+    label: str = "arrivals",
+    output_mode: str = "append",
+) -> StreamRun:
+    """One run over a published topic, ``files_per_trigger`` files per
+    micro-batch, into a fresh sink and checkpoint. Several runs (consumers)
+    can read the same topic."""
+    root = run_dir(spark, label)
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress = run_count(
-        spark, topic.read_stream(files_per_trigger=k), sink, ckpt, settings, output_mode
+        spark, topic.read_stream(files_per_trigger=files_per_trigger), sink, ckpt, settings,
+        output_mode,
     )
     return StreamRun(sink, ckpt, topic.path, progress)
 
 
+def run_arrivals(
+    spark: SparkSession,
+    records: DataFrame,
+    batch_col: str,
+    n_batches: int,
+    settings: StreamSettings,
+    label: str = "arrivals",
+    output_mode: str = "append",
+    files_per_batch: int | None = None,
+) -> StreamRun:
+    """One run over B arrival batches: one micro-batch per batch, back to back.
+
+    Each batch is published as ``files_per_batch`` files and read as one
+    trigger, so both the replay write and the micro-batch read are parallel.
+    """
+    topic, k = publish_arrivals(spark, records, batch_col, n_batches, label, files_per_batch)
+    return run_topic(spark, topic, k, settings, label, output_mode)
+
+
 def run_per_arrival(
     spark: SparkSession,
     records: DataFrame,
