@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.envelope import as_wall_clock, key_to_id
+from tidemark.functions.envelope import as_wall_clock, bytes_to_text, key_to_id
 from tidemark.operators import audit
 from tidemark.operators.aggregate import group_count, latest, mean_of
 from tidemark.operators.order import first_rows, sorted_by
@@ -64,11 +64,11 @@ def stream_append_day(spark, sf_dir):
 
 def stream_append_constant(spark, sf_dir):
     """The same key on every record: groups differ only by partition and
-    time, so counts run into the hundreds."""
+    time, so counts are well above one."""
     return scan_parquet(spark, sc.constant_run(spark, sf_dir).sink).select(
         "partition",
         as_wall_clock("timestamp").alias("timestamp"),
-        F.decode("key", "UTF-8").alias("key"),
+        bytes_to_text("key").alias("key"),
         "cnt",
     )
 
@@ -172,8 +172,8 @@ def envelope_encode(spark, sf_dir):
 def envelope_encode_pair(spark, sf_dir):
     topic = _published(spark, "pairs", sc.orders_records(spark, sf_dir))
     return topic.read().select(
-        F.decode("key", "UTF-8").alias("key"),
-        F.decode("value", "UTF-8").alias("value"),
+        bytes_to_text("key").alias("key"),
+        bytes_to_text("value").alias("value"),
         "partition",
         "offset",
         as_wall_clock("timestamp").alias("timestamp"),
@@ -187,7 +187,7 @@ def envelope_decode(spark, sf_dir):
 
 def project_envelope(spark, sf_dir):
     return project_records(sc.events_records(spark, sf_dir)).select(
-        F.decode("key", "UTF-8").alias("key"),
+        bytes_to_text("key").alias("key"),
         as_wall_clock("timestamp").alias("timestamp"),
         "partition",
     )
