@@ -13,6 +13,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -62,9 +63,8 @@ def audit_now(spark: SparkSession, topic, sink: str, query: StreamingQuery | Non
     sink has its first commit). The reason cut-off is the query's current
     watermark when a query is given, else the one the data implies."""
     try:
-        persisted = scan_parquet(spark, sink)
-        persisted.schema  # noqa: B018 - resolves the path; fails before the first commit
-    except Exception:  # the sink directory does not exist yet
+        persisted = scan_parquet(spark, sink)  # resolved now: fails before the first commit
+    except AnalysisException:
         return None
     sent = topic.read()
     mark = watermark_ms(_progress_dict(query.lastProgress)) if query is not None else None
