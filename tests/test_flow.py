@@ -40,3 +40,22 @@ def test_engine_and_data_agree_on_the_final_watermark(spark):
         (F.col("wm") == audit.watermark_at(run.final_watermark_ms)).alias("same")
     ).first()
     assert reported.same is True
+
+
+def test_parquet_sink_rejects_update_mode(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from tidemark.streaming.flow import count_per_key
+
+    root = run_dir(spark, "update-reject")
+    topic = FileTopic(spark, f"{root}/topic")
+    topic.publish(sc.events_records(spark, SF_SMALL))
+    counted = count_per_key(topic.read_stream())
+    with pytest.raises(AnalysisException, match="(?i)output mode|update"):
+        q = (
+            counted.writeStream.format("parquet").outputMode("update")
+            .option("path", f"{root}/sink").option("checkpointLocation", f"{root}/ck")
+            .start()
+        )
+        q.stop()
