@@ -18,10 +18,12 @@ from tidemark.session import pin_utc
 from tidemark.sources.tables import table
 from tidemark.streaming.flow import StreamSettings
 from tidemark.streaming.replay import (
+    Arrivals,
     StreamRun,
     arrival_batch,
+    publish_all,
     publish_arrivals,
-    run_per_arrival,
+    run_per_staged_arrival,
     run_single_batch,
     run_topic,
 )
@@ -95,13 +97,20 @@ def _memo(spark: SparkSession, key: tuple, make):
         return run
 
 
+def events_topic(spark: SparkSession, sf_dir: str):
+    """All events published once; the single-batch runs consume it."""
+    return _memo(
+        spark, ("events-topic", sf_dir), lambda: publish_all(spark, events_records(spark, sf_dir))
+    )
+
+
 def single_run(spark: SparkSession, sf_dir: str, delay: str | None = None) -> StreamRun:
     """The flagship: everything published, one run (data batch + no-data batch)."""
     settings = default_settings(spark, **({"delay": delay} if delay else {}))
     return _memo(
         spark,
         ("single", sf_dir, settings.delay),
-        lambda: run_single_batch(spark, events_records(spark, sf_dir), settings),
+        lambda: run_topic(spark, events_topic(spark, sf_dir), None, settings, "single"),
     )
 
 
@@ -117,7 +126,7 @@ def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     )
 
 
-def arrivals_topic(spark: SparkSession, sf_dir: str):
+def arrivals_topic(spark: SparkSession, sf_dir: str) -> Arrivals:
     """The six arrival batches published once; every arrivals run reads it,
     as several consumers read one topic."""
     return _memo(
@@ -139,19 +148,24 @@ def arrivals_run(
     settings = default_settings(spark, no_data_batches=no_data_batches)
 
     def make() -> StreamRun:
-        topic, k = arrivals_topic(spark, sf_dir)
-        return run_topic(spark, topic, k, settings, "arrivals-" + output_mode, output_mode)
+        arr = arrivals_topic(spark, sf_dir)
+        return run_topic(
+            spark, arr.topic, arr.files_per_batch, settings, "arrivals-" + output_mode, output_mode
+        )
 
     return _memo(spark, ("arrivals", sf_dir, no_data_batches, output_mode), make)
 
 
 def resume_run(spark: SparkSession, sf_dir: str) -> StreamRun:
-    """The same arrivals, one run per batch on one checkpoint."""
+    """The same arrivals (the staged batches of the arrivals topic), one run
+    per batch on one checkpoint."""
     settings = default_settings(spark)
-    return _memo(
-        spark,
-        ("resume", sf_dir),
-        lambda: run_per_arrival(
-            spark, events_arrivals(spark, sf_dir), "batch", ARRIVAL_BATCHES, settings
-        ),
-    )
+
+    def make() -> StreamRun:
+        arr = arrivals_topic(spark, sf_dir)
+        return run_per_staged_arrival(
+            spark, arr.staged, arr.batch_col, arr.n_batches, settings,
+            files_per_batch=arr.files_per_batch,
+        )
+
+    return _memo(spark, ("resume", sf_dir), make)

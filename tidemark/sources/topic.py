@@ -46,7 +46,7 @@ class FileTopic:
         staging: str,
         files_per_batch: int = 1,
         batch_gap_s: float = 0.0,
-    ) -> None:
+    ) -> DataFrame:
         """Replay: append arrival batches in order, each as exactly
         ``files_per_batch`` files, so a stream reading that many files per
         trigger sees exactly these micro-batches.
@@ -56,6 +56,7 @@ class FileTopic:
         and appended by ``files_per_batch`` parallel tasks. The file source
         orders files by modification time, which follows the write order;
         ``batch_gap_s`` spaces batches on stores whose times are coarse.
+        Returns the staged batches (readable again, e.g. for restart runs).
         """
         staged = self.stage_arrivals(records, batch_col, staging)
         known = None
@@ -63,6 +64,7 @@ class FileTopic:
             if b and batch_gap_s:
                 time.sleep(batch_gap_s)
             known = self.publish_batch(staged, batch_col, b, files_per_batch, known)
+        return staged
 
     def stage_arrivals(self, records: DataFrame, batch_col: str, staging: str) -> DataFrame:
         """Write records once, in parallel, partitioned by arrival batch."""

@@ -47,16 +47,29 @@ class StreamRun:
         return final_watermark_ms(self.progress)
 
 
+def publish_all(spark: SparkSession, records: DataFrame, label: str = "single") -> FileTopic:
+    """Publish every record to a fresh topic at once (parallel write)."""
+    topic = FileTopic(spark, f"{run_dir(spark, label + '-topic')}/topic", fresh=True)
+    topic.publish(records)
+    return topic
+
+
 def run_single_batch(
     spark: SparkSession, records: DataFrame, settings: StreamSettings, label: str = "single"
 ) -> StreamRun:
     """Publish everything, then one run: one data batch plus the no-data batch."""
-    root = run_dir(spark, label)
-    topic = FileTopic(spark, f"{root}/topic", fresh=True)
-    topic.publish(records)
-    sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
-    progress = run_count(spark, topic.read_stream(), sink, ckpt, settings)
-    return StreamRun(sink, ckpt, topic.path, progress)
+    return run_topic(spark, publish_all(spark, records, label), None, settings, label)
+
+
+@dataclass
+class Arrivals:
+    """A topic published in arrival batches, and the staged batches behind it."""
+
+    topic: FileTopic
+    files_per_batch: int
+    staged: DataFrame
+    batch_col: str
+    n_batches: int
 
 
 def publish_arrivals(
@@ -66,22 +79,22 @@ def publish_arrivals(
     n_batches: int,
     label: str = "arrivals",
     files_per_batch: int | None = None,
-) -> tuple[FileTopic, int]:
+) -> Arrivals:
     """Publish B arrival batches to a fresh topic, each as ``k`` files
     (default: one per core, written by ``k`` parallel tasks)."""
     k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
     root = run_dir(spark, label + "-topic")
     topic = FileTopic(spark, f"{root}/topic", fresh=True)
-    topic.publish_in_arrival_order(
+    staged = topic.publish_in_arrival_order(
         records, batch_col, n_batches, f"{root}/staging", files_per_batch=k
     )
-    return topic, k
+    return Arrivals(topic, k, staged, batch_col, n_batches)
 
 
 def run_topic(
     spark: SparkSession,
     topic: FileTopic,
-    files_per_trigger: int,
+    files_per_trigger: int | None,
     settings: StreamSettings,
     label: str = "arrivals",
     output_mode: str = "append",
@@ -113,8 +126,8 @@ def run_arrivals(
     Each batch is published as ``files_per_batch`` files and read as one
     trigger, so both the replay write and the micro-batch read are parallel.
     """
-    topic, k = publish_arrivals(spark, records, batch_col, n_batches, label, files_per_batch)
-    return run_topic(spark, topic, k, settings, label, output_mode)
+    arr = publish_arrivals(spark, records, batch_col, n_batches, label, files_per_batch)
+    return run_topic(spark, arr.topic, arr.files_per_batch, settings, label, output_mode)
 
 
 def run_per_arrival(
@@ -131,11 +144,30 @@ def run_per_arrival(
     Each run ends with a no-data batch, so the next run starts with the late
     watermark one step further on than a single long run would have.
     """
+    root = run_dir(spark, label + "-staging")
+    staged = FileTopic(spark, f"{root}/unused", fresh=True).stage_arrivals(
+        records, batch_col, f"{root}/staging"
+    )
+    return run_per_staged_arrival(
+        spark, staged, batch_col, n_batches, settings, label, files_per_batch
+    )
+
+
+def run_per_staged_arrival(
+    spark: SparkSession,
+    staged: DataFrame,
+    batch_col: str,
+    n_batches: int,
+    settings: StreamSettings,
+    label: str = "resume",
+    files_per_batch: int | None = None,
+) -> StreamRun:
+    """``run_per_arrival`` over batches that are already staged (for example
+    the staging of a published ``Arrivals``): publish batch b to a fresh
+    topic, run to completion, repeat."""
     k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
     root = run_dir(spark, label)
     topic = FileTopic(spark, f"{root}/topic", fresh=True)
-    staging = f"{root}/staging"
-    staged = topic.stage_arrivals(records, batch_col, staging)
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress: list[dict] = []
     known = None
