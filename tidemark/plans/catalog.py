@@ -77,6 +77,13 @@ def stream_append_multibatch(spark, sf_dir):
     return sink_rows(spark, sc.arrivals_run(spark, sf_dir).sink)
 
 
+def stream_append_strict_late(spark, sf_dir):
+    """Late rows judged against the current batch's watermark
+    (``allowMultiple=false``), as Spark releases before multiple stateful
+    operators did: records one batch late are dropped too."""
+    return sink_rows(spark, sc.arrivals_run(spark, sf_dir, allow_multiple=False).sink)
+
+
 def stream_nodata_off(spark, sf_dir):
     return sink_rows(spark, sc.arrivals_run(spark, sf_dir, no_data_batches=False).sink)
 
@@ -247,6 +254,7 @@ _PLAIN: dict[str, Query] = {
     "stream_append_day": stream_append_day,
     "stream_append_constant": stream_append_constant,
     "stream_append_multibatch": stream_append_multibatch,
+    "stream_append_strict_late": stream_append_strict_late,
     "stream_late_rows": stream_late_rows,
     "stream_nodata_off": stream_nodata_off,
     "stream_resume": stream_resume,

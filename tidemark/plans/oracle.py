@@ -68,6 +68,7 @@ WHERE l_shipdate <= (SELECT date_trunc('millisecond', max(l_shipdate)) FROM line
                     - INTERVAL 20 SECOND
 GROUP BY ALL""",
     "stream_append_multibatch": _persisted(2),
+    "stream_append_strict_late": _persisted(1),
     "stream_nodata_off": _persisted(2, f"WHERE batch < {LAST}"),
     "stream_resume": _persisted(1),
     "stream_late_rows": f"""

@@ -143,17 +143,21 @@ def arrivals_run(
     sf_dir: str,
     no_data_batches: bool | None = None,
     output_mode: str = "append",
+    allow_multiple: bool | None = None,
 ) -> StreamRun:
     """Six arrival batches with held-back records, one run."""
-    settings = default_settings(spark, no_data_batches=no_data_batches)
+    settings = default_settings(
+        spark, no_data_batches=no_data_batches, allow_multiple=allow_multiple
+    )
 
     def make() -> StreamRun:
         arr = arrivals_topic(spark, sf_dir)
-        return run_topic(
-            spark, arr.topic, arr.files_per_batch, settings, "arrivals-" + output_mode, output_mode
-        )
+        label = "arrivals-" + output_mode + ("-strict" if allow_multiple is False else "")
+        return run_topic(spark, arr.topic, arr.files_per_batch, settings, label, output_mode)
 
-    return _memo(spark, ("arrivals", sf_dir, no_data_batches, output_mode), make)
+    return _memo(
+        spark, ("arrivals", sf_dir, no_data_batches, output_mode, allow_multiple), make
+    )
 
 
 def resume_run(spark: SparkSession, sf_dir: str) -> StreamRun:
