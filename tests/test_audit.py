@@ -54,3 +54,13 @@ def test_delivery_check_tells_loss_from_duplication(spark):
     assert (r.sent, r.received, r.expected, r.distinct_keys, r.ok) == (10, 12, 10, 9, True)
     r = audit.delivery_check(sent, sent.limit(4), expected=5).first()
     assert (r.received, r.expected, r.ok) == (4, 5, False)
+
+
+def test_empty_inputs_give_zero_counts(spark):
+    empty_sent = _sent(spark, [])
+    empty_sink = _sink(spark, [])
+    s = audit.summary(audit.reconcile(empty_sent, empty_sink), F.lit(T).cast("timestamp")).first()
+    assert (s.sent, s.persisted, s.persisted_rows, s.missing_late, s.missing_withheld) == (0,) * 5
+    assert s.complete is True and s.latest_persisted is None
+    d = audit.delivery_check(empty_sent, empty_sent).first()
+    assert (d.sent, d.received, d.expected, d.distinct_keys, d.ok) == (0, 0, 0, 0, True)

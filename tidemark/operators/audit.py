@@ -77,25 +77,29 @@ def missing(reconciled: DataFrame, watermark: Column) -> DataFrame:
 
 
 def summary(reconciled: DataFrame, watermark: Column) -> DataFrame:
-    """A3 + A5: one row for the whole audit, computed in one job."""
+    """A3 + A5: one row for the whole audit, computed in one job. Counts are
+    0 (never null) on empty input; ``latest_persisted`` is null then."""
     gap = F.greatest(F.col("sent") - F.col("persisted"), F.lit(0).cast("bigint"))
     is_late = F.col("timestamp") <= watermark
     zero = F.lit(0).cast("bigint")
-    total_missing = F.sum(gap)
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), zero)
+
     return reconciled.agg(
-        F.sum("sent").alias("sent"),
-        F.sum("sink_rows").alias("persisted_rows"),
-        F.sum("persisted").alias("persisted"),
+        total(F.col("sent")).alias("sent"),
+        total(F.col("sink_rows")).alias("persisted_rows"),
+        total(F.col("persisted")).alias("persisted"),
         as_wall_clock(F.max(F.when(F.col("sink_rows") > 0, F.col("timestamp")))).alias(
             "latest_persisted"
         ),
-        F.sum(F.when(is_late, gap).otherwise(zero)).alias("missing_late"),
-        F.sum(F.when(is_late, zero).otherwise(gap)).alias("missing_withheld"),
-        F.sum(
+        total(F.when(is_late, gap).otherwise(zero)).alias("missing_late"),
+        total(F.when(is_late, zero).otherwise(gap)).alias("missing_withheld"),
+        total(
             F.when((F.col("sink_rows") > 0) & key_to_id("key").isNull(), F.col("sink_rows"))
             .otherwise(zero)
         ).alias("malformed_keys"),
-        (F.coalesce(total_missing, zero) == 0).alias("complete"),
+        (total(gap) == 0).alias("complete"),
     )
 
 
@@ -110,8 +114,8 @@ def delivery_check(sent: DataFrame, received: DataFrame, expected: int | Column
     tagged = sent.select(one.alias("s"), zero.alias("r"), F.lit(None).cast("binary").alias("k"))
     tagged = tagged.unionByName(received.select(zero.alias("s"), one.alias("r"), F.col("key").alias("k")))
     out = tagged.agg(
-        F.sum("s").alias("sent"),
-        F.sum("r").alias("received"),
+        F.coalesce(F.sum("s"), zero).alias("sent"),
+        F.coalesce(F.sum("r"), zero).alias("received"),
         F.countDistinct("k").alias("distinct_keys"),
     )
     want = F.col("sent") if expected is None else (
