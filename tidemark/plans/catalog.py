@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.envelope import as_wall_clock, bytes_to_text, key_to_id
@@ -54,15 +54,15 @@ def _roundtrip_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- streaming (S1, K1, W1-W9, P4) -----------------------------------------
-def stream_append_single(spark, sf_dir):
+def stream_append_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink_rows(spark, sc.single_run(spark, sf_dir).sink)
 
 
-def stream_append_day(spark, sf_dir):
+def stream_append_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink_rows(spark, sc.single_run(spark, sf_dir, delay=sc.DAY_DELAY).sink)
 
 
-def stream_append_constant(spark, sf_dir):
+def stream_append_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same key on every record: groups differ only by partition and
     time, so counts are well above one."""
     return scan_parquet(spark, sc.constant_run(spark, sf_dir).sink).select(
@@ -73,26 +73,26 @@ def stream_append_constant(spark, sf_dir):
     )
 
 
-def stream_append_multibatch(spark, sf_dir):
+def stream_append_multibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink_rows(spark, sc.arrivals_run(spark, sf_dir).sink)
 
 
-def stream_append_strict_late(spark, sf_dir):
+def stream_append_strict_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late rows judged against the current batch's watermark
     (``allowMultiple=false``), as Spark releases before multiple stateful
     operators did: records one batch late are dropped too."""
     return sink_rows(spark, sc.arrivals_run(spark, sf_dir, allow_multiple=False).sink)
 
 
-def stream_nodata_off(spark, sf_dir):
+def stream_nodata_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink_rows(spark, sc.arrivals_run(spark, sf_dir, no_data_batches=False).sink)
 
 
-def stream_resume(spark, sf_dir):
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink_rows(spark, sc.resume_run(spark, sf_dir).sink)
 
 
-def stream_update_foreachbatch(spark, sf_dir):
+def stream_update_foreachbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = sc.arrivals_run(spark, sf_dir, output_mode="update")
     return scan_parquet(spark, run.sink).select(
         "batch_id",
@@ -103,7 +103,7 @@ def stream_update_foreachbatch(spark, sf_dir):
     )
 
 
-def _arrivals_audit(spark, sf_dir):
+def _arrivals_audit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     """Reconcile what was published to the topic with what the sink holds."""
     run = sc.arrivals_run(spark, sf_dir)
     sent = FileTopic(spark, run.topic).read()
@@ -113,7 +113,7 @@ def _arrivals_audit(spark, sf_dir):
     return reconciled, audit.watermark_at(run.final_watermark_ms)
 
 
-def stream_late_rows(spark, sf_dir):
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     reconciled, wm = _arrivals_audit(spark, sf_dir)
     return (
         audit.missing(reconciled, wm)
@@ -122,48 +122,48 @@ def stream_late_rows(spark, sf_dir):
     )
 
 
-def stream_progress(spark, sf_dir):
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the engine reported for each micro-batch of the arrivals run
     (the deterministic counters; durations are left out)."""
     return progress_table(spark, sc.arrivals_run(spark, sf_dir).progress).drop("duration_ms")
 
 
 # -- audit (A3, A5, A6) -----------------------------------------------------
-def audit_summary(spark, sf_dir):
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     reconciled, wm = _arrivals_audit(spark, sf_dir)
     return audit.summary(reconciled, wm)
 
 
-def audit_missing(spark, sf_dir):
+def audit_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     reconciled, wm = _arrivals_audit(spark, sf_dir)
     return audit.missing(reconciled, wm)
 
 
-def delivery_check(spark, sf_dir):
+def delivery_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = sc.orders_records(spark, sf_dir)
     topic = _published(spark, "delivery", sent)
     return audit.delivery_check(sent, topic.read())
 
 
 # -- reads of the flagship sink (S5, P2, P3, A2, O1) -------------------------
-def decode_key(spark, sf_dir):
+def decode_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(scan_parquet(spark, sc.single_run(spark, sf_dir).sink))
 
 
-def sorted_ids(spark, sf_dir):
+def sorted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Sink rows are unique per (partition, timestamp, key): a skew-proof tiebreak.
     sink = scan_parquet(spark, sc.single_run(spark, sf_dir).sink)
     ids = sink.select(key_to_id("key").alias("id"), "timestamp", "partition", "key")
     return sorted_by(ids, "id", ["timestamp", "partition", "key"]).select("id")
 
 
-def max_timestamp(spark, sf_dir):
+def max_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = scan_parquet(spark, sc.single_run(spark, sf_dir).sink)
     return latest(sink, "timestamp").select(as_wall_clock("latest").alias("latest"))
 
 
 # -- records (K3, S6, P1, F1-F5) ---------------------------------------------
-def envelope_encode(spark, sf_dir):
+def envelope_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = _published(spark, "encode", sc.events_records(spark, sf_dir))
     return topic.read().select(
         F.hex("key").alias("key_hex"),
@@ -176,7 +176,7 @@ def envelope_encode(spark, sf_dir):
     )
 
 
-def envelope_encode_pair(spark, sf_dir):
+def envelope_encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = _published(spark, "pairs", sc.orders_records(spark, sf_dir))
     return topic.read().select(
         bytes_to_text("key").alias("key"),
@@ -187,12 +187,12 @@ def envelope_encode_pair(spark, sf_dir):
     )
 
 
-def envelope_decode(spark, sf_dir):
+def envelope_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = _published(spark, "consume", sc.events_records(spark, sf_dir))
     return decode_records(topic.read())
 
 
-def project_envelope(spark, sf_dir):
+def project_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_records(sc.events_records(spark, sf_dir)).select(
         bytes_to_text("key").alias("key"),
         as_wall_clock("timestamp").alias("timestamp"),
@@ -201,7 +201,7 @@ def project_envelope(spark, sf_dir):
 
 
 # -- batch operators (A1, A4, S4, S5, K2, O2) --------------------------------
-def group_count_events(spark, sf_dir):
+def group_count_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = group_count(sc.events_records(spark, sf_dir))
     return counted.select(
         "partition",
@@ -211,7 +211,7 @@ def group_count_events(spark, sf_dir):
     )
 
 
-def group_count_wide(spark, sf_dir):
+def group_count_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     pin_utc(spark)
     li = table(spark, sf_dir, "lineitem").select(
         F.pmod("l_suppkey", F.lit(4)).cast("int").alias("partition"),
@@ -221,19 +221,19 @@ def group_count_wide(spark, sf_dir):
     return group_count(li)
 
 
-def parquet_scan(spark, sf_dir):
+def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_parquet(spark, f"{sf_dir.rstrip('/')}/events.parquet")
 
 
-def range_roundtrip(spark, sf_dir):
+def range_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip_ids(spark, sf_dir)
 
 
-def top20(spark, sf_dir):
+def top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(_roundtrip_ids(spark, sf_dir), "id", 20)
 
 
-def mean_id(spark, sf_dir):
+def mean_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean_of(_roundtrip_ids(spark, sf_dir), "id", "mean_id")
 
 
