@@ -41,6 +41,16 @@ ENVELOPE_COLUMNS = [f.name for f in ENVELOPE_SCHEMA.fields]
 # The group key of the per-record count (A1) and of the sink rows.
 GROUP_KEY = ["partition", "timestamp", "key"]
 
+# What the flow writes: one row per finished group.
+SINK_SCHEMA = T.StructType(
+    [
+        T.StructField("partition", T.IntegerType(), True),
+        T.StructField("timestamp", T.TimestampType(), True),
+        T.StructField("key", T.BinaryType(), True),
+        T.StructField("cnt", T.LongType(), False),
+    ]
+)
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -22,7 +22,7 @@ from tidemark.operators.records import decode_ids, decode_records, project_recor
 from tidemark.plans import scenarios as sc
 from tidemark.session import pin_utc, run_dir
 from tidemark.sinks.files import overwrite_parquet
-from tidemark.sources.tables import id_range, scan_parquet, table
+from tidemark.sources.tables import id_range, read_sink, scan_parquet, table
 from tidemark.sources.topic import FileTopic
 from tidemark.streaming.progress import progress_table
 
@@ -32,7 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # -- shared shapes ----------------------------------------------------------
 def sink_rows(spark: SparkSession, path: str) -> DataFrame:
     """A sink read back (S5) with the key decoded and time as wall clock."""
-    return scan_parquet(spark, path).select(
+    return read_sink(spark, path).select(
         "partition",
         as_wall_clock("timestamp").alias("timestamp"),
         key_to_id("key").alias("key"),
@@ -65,7 +65,7 @@ def stream_append_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_append_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same key on every record: groups differ only by partition and
     time, so counts are well above one."""
-    return scan_parquet(spark, sc.constant_run(spark, sf_dir).sink).select(
+    return read_sink(spark, sc.constant_run(spark, sf_dir).sink).select(
         "partition",
         as_wall_clock("timestamp").alias("timestamp"),
         bytes_to_text("key").alias("key"),
@@ -94,7 +94,7 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_update_foreachbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = sc.arrivals_run(spark, sf_dir, output_mode="update")
-    return scan_parquet(spark, run.sink).select(
+    return read_sink(spark, run.sink, batch_partitioned=True).select(
         "batch_id",
         "partition",
         as_wall_clock("timestamp").alias("timestamp"),
@@ -107,7 +107,7 @@ def _arrivals_audit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column
     """Reconcile what was published to the topic with what the sink holds."""
     run = sc.arrivals_run(spark, sf_dir)
     sent = FileTopic(spark, run.topic).read()
-    reconciled = audit.reconcile(sent, scan_parquet(spark, run.sink))
+    reconciled = audit.reconcile(sent, read_sink(spark, run.sink))
     if run.final_watermark_ms is None:  # no batch reported one: derive it
         return reconciled, audit.expected_watermark(sent, sc.default_settings(spark).delay)
     return reconciled, audit.watermark_at(run.final_watermark_ms)
@@ -147,18 +147,18 @@ def delivery_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- reads of the flagship sink (S5, P2, P3, A2, O1) -------------------------
 def decode_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_ids(scan_parquet(spark, sc.single_run(spark, sf_dir).sink))
+    return decode_ids(read_sink(spark, sc.single_run(spark, sf_dir).sink))
 
 
 def sorted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Sink rows are unique per (partition, timestamp, key): a skew-proof tiebreak.
-    sink = scan_parquet(spark, sc.single_run(spark, sf_dir).sink)
+    sink = read_sink(spark, sc.single_run(spark, sf_dir).sink)
     ids = sink.select(key_to_id("key").alias("id"), "timestamp", "partition", "key")
     return sorted_by(ids, "id", ["timestamp", "partition", "key"]).select("id")
 
 
 def max_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sink = scan_parquet(spark, sc.single_run(spark, sf_dir).sink)
+    sink = read_sink(spark, sc.single_run(spark, sf_dir).sink)
     return latest(sink, "timestamp").select(as_wall_clock("latest").alias("latest"))
 
 

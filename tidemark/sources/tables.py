@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from tidemark.functions.envelope import SINK_SCHEMA
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +28,13 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     Column pruning and filter pushdown reach the scan through Catalyst.
     """
     return spark.read.parquet(path)
+
+
+def read_sink(spark: SparkSession, path: str, batch_partitioned: bool = False) -> DataFrame:
+    """S5 on a sink of the flow: its schema is known, so no job is spent
+    inferring it from file footers. ``batch_partitioned`` for the update-mode
+    sink, whose rows sit under ``batch_id=<n>`` directories."""
+    schema = SINK_SCHEMA
+    if batch_partitioned:
+        schema = T.StructType([*SINK_SCHEMA.fields, T.StructField("batch_id", T.IntegerType(), True)])
+    return spark.read.schema(schema).parquet(path)

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.envelope import TRIGGER_INTERVAL
 from tidemark.operators import audit
-from tidemark.sources.tables import scan_parquet
+from tidemark.sources.tables import read_sink
 from tidemark.streaming.flow import (
     StreamSettings,
     count_per_key,
@@ -63,7 +63,7 @@ def audit_now(spark: SparkSession, topic, sink: str, query: StreamingQuery | Non
     sink has its first commit). The reason cut-off is the query's current
     watermark when a query is given, else the one the data implies."""
     try:
-        persisted = scan_parquet(spark, sink)  # resolved now: fails before the first commit
+        persisted = read_sink(spark, sink)  # resolved now: fails before the first commit
     except AnalysisException:
         return None
     sent = topic.read()
