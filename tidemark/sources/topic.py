@@ -87,7 +87,10 @@ class FileTopic:
         """Append arrival batch ``b`` of a staged table as exactly ``files``
         files written by ``files`` parallel tasks; returns the new listing.
 
-        Spark skips files for empty partitions, so a short batch is padded
+        A round-robin repartition balances the files whatever the staged
+        splits look like (a coalesce would follow them, and a batch staged in
+        few splits would need padding). Spark skips files for empty
+        partitions, so a short batch is padded
         with empty (schema-only) files. The new files must all be newer than
         every earlier file, or the stream would mix batches: checked here.
         ``before`` is the listing returned by the previous call (saves a
