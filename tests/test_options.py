@@ -2,7 +2,9 @@
 
 from tidemark.sources.kafka import kafka_sink_options, kafka_source_options
 from tidemark.sources.objectstore import s3a_conf
-from tidemark.streaming.flow import ROCKSDB_PROVIDER, StreamSettings, trigger_args
+import pytest
+
+from tidemark.streaming.flow import ROCKSDB_CHANGELOG, ROCKSDB_PROVIDER, StreamSettings, trigger_args
 
 
 def test_kafka_source_options():
@@ -47,4 +49,11 @@ def test_triggers_and_settings():
     assert c["spark.sql.streaming.statefulOperator.allowMultiple"] == "false"
     assert c["spark.sql.streaming.noDataMicroBatches.enabled"] == "false"
     assert c["spark.sql.streaming.stateStore.providerClass"] == ROCKSDB_PROVIDER
+    assert c[ROCKSDB_CHANGELOG] == "true"
     assert StreamSettings().delay == "20 seconds"
+    assert StreamSettings().state_store == "rocksdb"
+    assert "spark.sql.streaming.stateStore.providerClass" not in StreamSettings(
+        state_store="hdfs"
+    ).conf()
+    with pytest.raises(ValueError):
+        StreamSettings(state_store="memory").conf()

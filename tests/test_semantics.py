@@ -73,8 +73,8 @@ def test_record_at_the_epoch_is_always_dropped(spark):
     assert run.progress[0]["stateOperators"][0]["numRowsDroppedByWatermark"] == 1
 
 
-def test_rocksdb_state_store_gives_the_same_rows(spark):
+def test_in_memory_state_store_gives_the_same_rows(spark):
     run = run_arrivals(
-        spark, fixture_records(spark, BOUNDARY), "batch", 4, small_settings(state_store="rocksdb")
+        spark, fixture_records(spark, BOUNDARY), "batch", 4, small_settings(state_store="hdfs")
     )
     assert keys_out(spark, run.sink) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 10]

@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--checkpoint")
     p.add_argument("--delay", default=WATERMARK_DELAY)
     p.add_argument("--state-partitions", type=int, default=8)
-    p.add_argument("--state-store", choices=["rocksdb"], default=None)
+    p.add_argument("--state-store", choices=["rocksdb", "hdfs"], default="rocksdb")
     p.add_argument("--for", dest="run_for", type=float, default=None,
                    help="ingest: stop after this many seconds (default: run until stopped)")
     p.add_argument("--every", type=float, default=10.0)
