@@ -6,7 +6,6 @@ from conftest import SF_SMALL
 
 from tidemark.plans import catalog
 from tidemark.plans import scenarios as sc
-from tidemark.operators.aggregate import group_count
 from tidemark.streaming.flow import count_per_key
 
 
