@@ -145,6 +145,19 @@ def delivery_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.delivery_check(sent, topic.read())
 
 
+def delivery_check_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivery drill with identical records: lineitem as ``("key",
+    "value")`` records, sent in two rounds (partition 0, then partition 1, as
+    before and after a broker failure); consumed from the start, at least
+    the first round must arrive."""
+    records = sc.lineitem_constant_records(spark, sf_dir)
+    first = records.where(F.col("partition") == 0)
+    topic = FileTopic(spark, f"{run_dir(spark, 'drill')}/topic")
+    topic.publish(first)
+    topic.publish(records.where(F.col("partition") != 0))
+    return audit.delivery_check(records, topic.read(), expected=first.count())
+
+
 # -- reads of the flagship sink (S5, P2, P3, A2, O1) -------------------------
 def decode_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(read_sink(spark, sc.single_run(spark, sf_dir).sink))
@@ -263,6 +276,7 @@ _PLAIN: dict[str, Query] = {
     "audit_summary": audit_summary,
     "audit_missing": audit_missing,
     "delivery_check": delivery_check,
+    "delivery_check_constant": delivery_check_constant,
     "decode_key": decode_key,
     "sorted_ids": sorted_ids,
     "max_timestamp": max_timestamp,

@@ -121,6 +121,11 @@ SELECT (SELECT count(*) FROM a) AS sent,
 SELECT count(*) AS sent, count(*) AS received, count(*) AS expected,
        count(DISTINCT o_orderkey) AS distinct_keys, true AS ok
 FROM orders""",
+    "delivery_check_constant": """
+SELECT count(*) AS sent, count(*) AS received,
+       count(*) FILTER (WHERE l_linenumber % 2 = 0) AS expected,
+       CAST(1 AS BIGINT) AS distinct_keys, true AS ok
+FROM lineitem""",
     "decode_key": _FLAGSHIP_IDS,
     "sorted_ids": _FLAGSHIP_IDS,
     "max_timestamp": """
