@@ -22,3 +22,18 @@ def test_drain_then_audit(spark, capsys, monkeypatch):
     assert drained == {"batches": 2, "input_rows": 1000}
     assert audited["sent"] == 1000 and audited["persisted"] == 999
     assert audited["missing_withheld"] == 1 and audited["missing_late"] == 0
+
+
+def test_publish_consume_and_roundtrip(spark, capsys, monkeypatch):
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    root = run_dir(spark, "cli-pub")
+    topic = ["--topic", f"{root}/topic"]
+    assert main(["publish", *topic, "--table", f"{SF_SMALL}/orders.parquet", "--form", "pair",
+                 "--id-col", "o_orderkey", "--time-col", "o_orderdate",
+                 "--key-col", "o_orderkey", "--value-col", "o_custkey"]) == 0
+    assert main(["consume", *topic, "--expect", "1000"]) == 0
+    got = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    n = spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+    assert got["received"] == n and got["distinct_keys"] == n and got["ok"] is True
+    assert main(["roundtrip", "--path", f"{root}/range", "--n", "50"]) == 0
+    assert spark.read.parquet(f"{root}/range").count() == 50

@@ -3,6 +3,10 @@
     python -m tidemark ingest --topic DIR|--kafka HOSTS --sink PATH [--for SECONDS]
     python -m tidemark drain  --topic DIR --sink PATH          # bounded run (availableNow)
     python -m tidemark audit  --topic DIR|--kafka HOSTS --sink PATH [--every S --rounds N]
+    python -m tidemark publish --topic DIR|--kafka HOSTS --table PARQUET --form counter|pair|constant
+                               --id-col C --time-col C [--key-col C --value-col C]
+    python -m tidemark consume --topic DIR|--kafka HOSTS [--expect N]   # delivery check
+    python -m tidemark roundtrip --path PATH [--n 1000]                  # range -> Parquet -> first 20
 
 ``ingest`` starts the watermarked per-key count with a processing-time
 trigger at half the delay; ``audit`` prints the completeness summary of the
@@ -17,7 +21,12 @@ import json
 import time
 
 from tidemark.functions.envelope import TOPIC, WATERMARK_DELAY
+from tidemark.operators import audit
+from tidemark.operators.order import first_rows
+from tidemark.operators.records import constant_records, counter_records, pair_records
 from tidemark.session import build_session
+from tidemark.sinks.files import overwrite_parquet
+from tidemark.sources.tables import id_range, scan_parquet
 from tidemark.sources.kafka import KafkaTopic
 from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import StreamSettings, run_count
@@ -40,12 +49,23 @@ def _settings(args) -> StreamSettings:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidemark")
-    p.add_argument("command", choices=["ingest", "drain", "audit"])
-    src = p.add_mutually_exclusive_group(required=True)
+    p.add_argument(
+        "command", choices=["ingest", "drain", "audit", "publish", "consume", "roundtrip"]
+    )
+    src = p.add_mutually_exclusive_group()
     src.add_argument("--topic", help="directory of a file topic")
     src.add_argument("--kafka", help="bootstrap servers, comma separated")
     p.add_argument("--topic-name", default=TOPIC)
-    p.add_argument("--sink", required=True)
+    p.add_argument("--sink")
+    p.add_argument("--table", help="publish: Parquet table to encode")
+    p.add_argument("--form", choices=["counter", "pair", "constant"], default="counter")
+    p.add_argument("--id-col")
+    p.add_argument("--time-col")
+    p.add_argument("--key-col")
+    p.add_argument("--value-col")
+    p.add_argument("--expect", type=int, default=None)
+    p.add_argument("--path", help="roundtrip: where the range table goes")
+    p.add_argument("--n", type=int, default=1000)
     p.add_argument("--checkpoint")
     p.add_argument("--delay", default=WATERMARK_DELAY)
     p.add_argument("--state-partitions", type=int, default=8)
@@ -57,10 +77,35 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--master", default=None)
     args = p.parse_args(argv)
 
+    needs_topic = args.command != "roundtrip"
+    if needs_topic and not (args.topic or args.kafka):
+        p.error("--topic or --kafka is required")
+    if args.command in ("ingest", "drain", "audit") and not args.sink:
+        p.error("--sink is required")
     spark = build_session(args.master, app_name=f"tidemark-{args.command}")
+    if args.command == "roundtrip":
+        path = overwrite_parquet(id_range(spark, args.n), args.path)
+        first_rows(scan_parquet(spark, path), "id", 20).show()
+        spark.stop()
+        return 0
     topic = _topic(spark, args)
-    checkpoint = args.checkpoint or args.sink.rstrip("/") + "_checkpoint"
-    if args.command == "ingest":
+    checkpoint = args.checkpoint or (args.sink or "").rstrip("/") + "_checkpoint"
+    if args.command == "publish":
+        table = scan_parquet(spark, args.table)
+        if args.form == "counter":
+            records = counter_records(table, args.id_col, args.time_col)
+        elif args.form == "pair":
+            records = pair_records(
+                table, args.key_col, args.value_col, args.time_col, args.id_col
+            )
+        else:
+            records = constant_records(table, args.time_col, args.id_col)
+        topic.publish(records)
+    elif args.command == "consume":
+        received = topic.read()
+        row = audit.delivery_check(received, received, args.expect).first()
+        print(json.dumps(row.asDict()))
+    elif args.command == "ingest":
         q = start_ingest(spark, topic, args.sink, checkpoint, _settings(args))
         try:
             q.awaitTermination(args.run_for) if args.run_for else q.awaitTermination()
