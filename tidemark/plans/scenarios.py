@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.records import constant_records, counter_records, pair_records
-from tidemark.session import pin_utc
+from tidemark.session import app_id, parallelism, pin_utc
 from tidemark.sources.tables import table
 from tidemark.streaming.flow import StreamSettings
 from tidemark.streaming.replay import (
@@ -83,12 +83,12 @@ def default_settings(spark: SparkSession, **kw) -> StreamSettings:
     it, else one per core of the cluster, so every micro-batch's stateful
     stage runs in a single wave."""
     configured = spark.conf.get(STATE_PARTITIONS_CONF, None)
-    parts = int(configured) if configured else int(spark.sparkContext.defaultParallelism)
+    parts = int(configured) if configured else parallelism(spark)
     return StreamSettings(state_partitions=max(parts, 1), **kw)
 
 
 def _memo(spark: SparkSession, key: tuple, make):
-    full = (spark.sparkContext.applicationId, *key)
+    full = (app_id(spark), *key)
     with _LOCK:
         run = _RUNS.get(full)
         if run is None:

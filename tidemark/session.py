@@ -8,6 +8,7 @@ a laptop) do we create a local one.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -43,7 +44,9 @@ def build_session(
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("WARN")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("WARN")
     return spark
 
 
@@ -53,12 +56,39 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None where the session has none (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Connect sessions raise instead of returning one
+        return None
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Cores the cluster offers (``defaultParallelism``), at least 1."""
+    sc = _context(spark)
+    if sc is not None:
+        return max(int(sc.defaultParallelism), 1)
+    conf = spark.conf.get("spark.default.parallelism", None)
+    return max(int(conf) if conf else os.cpu_count() or 1, 1)
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "app")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session; set a local one only where it is unset.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        return configured.rstrip("/")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import run_dir
+from tidemark.session import parallelism, run_dir
 from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import StreamSettings, run_count
 from tidemark.streaming.progress import final_watermark_ms
@@ -82,7 +82,7 @@ def publish_arrivals(
 ) -> Arrivals:
     """Publish B arrival batches to a fresh topic, each as ``k`` files
     (default: one per core, written by ``k`` parallel tasks)."""
-    k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
+    k = files_per_batch or parallelism(spark)
     root = run_dir(spark, label + "-topic")
     topic = FileTopic(spark, f"{root}/topic", fresh=True)
     staged = topic.publish_in_arrival_order(
@@ -165,7 +165,7 @@ def run_per_staged_arrival(
     """``run_per_arrival`` over batches that are already staged (for example
     the staging of a published ``Arrivals``): publish batch b to a fresh
     topic, run to completion, repeat."""
-    k = files_per_batch or max(int(spark.sparkContext.defaultParallelism), 1)
+    k = files_per_batch or parallelism(spark)
     root = run_dir(spark, label)
     topic = FileTopic(spark, f"{root}/topic", fresh=True)
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
