@@ -19,6 +19,7 @@ def test_kafka_source_options():
         fail_on_data_loss=False, min_partitions=64,
     )
     assert o["minPartitions"] == "64"
+    assert kafka_source_options("b:1", group_id="group_1")["kafka.group.id"] == "group_1"
     assert o["kafka.isolation.level"] == "read_committed"
     assert o["maxOffsetsPerTrigger"] == "1000"
     assert o["failOnDataLoss"] == "false"

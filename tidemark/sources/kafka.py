@@ -30,6 +30,7 @@ def kafka_source_options(
     max_offsets_per_trigger: int | None = None,
     fail_on_data_loss: bool | None = None,
     min_partitions: int | None = None,
+    group_id: str | None = None,
 ) -> dict[str, str]:
     """Options for ``readStream.format("kafka")``.
 
@@ -39,6 +40,8 @@ def kafka_source_options(
     producer transactions. ``max_offsets_per_trigger`` bounds a
     micro-batch so that a backlog is split over several batches;
     ``min_partitions`` splits large topic partitions over more read tasks.
+    ``group_id`` pins the consumer group (Spark generates a fresh one per
+    query by default, which is what concurrent queries need).
     """
     opts = {
         "kafka.bootstrap.servers": bootstrap_list(servers),
@@ -51,6 +54,8 @@ def kafka_source_options(
         opts["maxOffsetsPerTrigger"] = str(int(max_offsets_per_trigger))
     if min_partitions:
         opts["minPartitions"] = str(int(min_partitions))
+    if group_id:
+        opts["kafka.group.id"] = group_id
     if fail_on_data_loss is not None:
         opts["failOnDataLoss"] = str(bool(fail_on_data_loss)).lower()
     return opts
