@@ -13,8 +13,11 @@ from tidemark.streaming.replay import run_arrivals
 DELAY_S = 20
 
 
-def model(batches, delay_s=DELAY_S, allow_multiple=True, no_data=True):
-    """Keys emitted by append mode for arrival ``batches`` of (key, second)."""
+def model(batches, delay_s=DELAY_S, allow_multiple=True, no_data=True, to_ms=None):
+    """Keys emitted by append mode for arrival ``batches`` of (key, second);
+    ``to_ms`` maps an event time to epoch milliseconds (default: seconds
+    after the fixture base)."""
+    to_ms = to_ms or (lambda t: (BASE + t) * 1000)
     d = delay_s * 1000
     newest = None  # max event time (ms) seen in earlier batches
     evict_prev = evict = 0
@@ -25,7 +28,7 @@ def model(batches, delay_s=DELAY_S, allow_multiple=True, no_data=True):
             evict = max(evict, newest - d)
         late = evict_prev if allow_multiple else evict
         for k, t in rows:
-            ms = (BASE + t) * 1000
+            ms = to_ms(t)
             if ms <= late:
                 continue
             state[k] = ms
@@ -33,7 +36,7 @@ def model(batches, delay_s=DELAY_S, allow_multiple=True, no_data=True):
             if ms <= evict:
                 out.add(k)
                 del state[k]
-        top = max((BASE + t) * 1000 for _, t in rows) if rows else None
+        top = max(to_ms(t) for _, t in rows) if rows else None
         if top is not None:
             newest = top if newest is None else max(newest, top)
     if no_data and newest is not None and newest - d > evict:
@@ -79,3 +82,38 @@ def test_model_reproduces_the_boundary_fixture():
 
     assert model(BOUNDARY) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 10]
     assert model(BOUNDARY, allow_multiple=False) == [0, 1, 2, 5, 6, 9, 10]
+
+
+def test_registered_arrivals_match_model_on_events(spark):
+    """The multi-batch queries against the model, on sf0.001's events with
+    the same arrival rule (independent of the SQL statements)."""
+    import pyarrow.parquet as pq
+    from conftest import SF_SMALL
+
+    from tidemark.plans import catalog
+    from tidemark.plans.scenarios import ARRIVAL_BATCHES as B
+    from tidemark.streaming.replay import LATE_BY, LATE_EVERY
+
+    ev = pq.read_table(f"{SF_SMALL}/events.parquet", columns=["event_id", "ts"]).to_pylist()
+    n = len(ev)
+    batches = [[] for _ in range(B)]
+    for r in ev:
+        i = r["event_id"]
+        b = min(B - 1, i * B // n + (LATE_BY if i % LATE_EVERY == 0 else 0))
+        batches[b].append((i, r["ts"]))
+
+    import calendar
+
+    def to_ms(ts):  # naive UTC wall clock -> epoch ms, truncated like Spark
+        return calendar.timegm(ts.timetuple()) * 1000 + ts.microsecond // 1000
+
+    def keys(df):
+        return sorted(r.key for r in df.select("key").collect())
+
+    assert keys(catalog.stream_append_multibatch(spark, SF_SMALL)) == model(batches, to_ms=to_ms)
+    assert keys(catalog.stream_append_strict_late(spark, SF_SMALL)) == model(
+        batches, allow_multiple=False, to_ms=to_ms
+    )
+    assert keys(catalog.stream_nodata_off(spark, SF_SMALL)) == model(
+        batches, no_data=False, to_ms=to_ms
+    )
