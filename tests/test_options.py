@@ -4,7 +4,13 @@ from tidemark.sources.kafka import kafka_sink_options, kafka_source_options
 from tidemark.sources.objectstore import s3a_conf
 import pytest
 
-from tidemark.streaming.flow import ROCKSDB_CHANGELOG, ROCKSDB_PROVIDER, StreamSettings, trigger_args
+from tidemark.streaming.flow import (
+    HDFS_PROVIDER,
+    ROCKSDB_CHANGELOG,
+    ROCKSDB_PROVIDER,
+    StreamSettings,
+    trigger_args,
+)
 
 
 def test_kafka_source_options():
@@ -53,8 +59,8 @@ def test_triggers_and_settings():
     assert c[ROCKSDB_CHANGELOG] == "true"
     assert StreamSettings().delay == "20 seconds"
     assert StreamSettings().state_store == "rocksdb"
-    assert "spark.sql.streaming.stateStore.providerClass" not in StreamSettings(
-        state_store="hdfs"
-    ).conf()
+    assert StreamSettings(state_store="hdfs").conf()[
+        "spark.sql.streaming.stateStore.providerClass"
+    ] == HDFS_PROVIDER
     with pytest.raises(ValueError):
         StreamSettings(state_store="memory").conf()

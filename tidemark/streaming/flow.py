@@ -29,6 +29,7 @@ from tidemark.operators.aggregate import group_count
 from tidemark.operators.records import project_records
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HDFS_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ROCKSDB_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
@@ -42,9 +43,11 @@ class StreamSettings:
     (not in JVM memory) with changelog checkpointing, which costs nothing
     locally and keeps a large state from exhausting executor memory;
     ``state_store="hdfs"`` selects Spark's in-memory default instead. The
-    provider is frozen into the checkpoint as well. ``None`` for the two semantic switches keeps Spark's
-    defaults: ``allow_multiple`` picks the late watermark (W5),
-    ``no_data_batches`` the final emission (W6).
+    provider is frozen into the checkpoint as well.
+
+    ``None`` for the two semantic switches keeps Spark's defaults:
+    ``allow_multiple`` picks the late watermark (W5), ``no_data_batches``
+    the final emission (W6).
     """
 
     delay: str = WATERMARK_DELAY
@@ -69,7 +72,9 @@ class StreamSettings:
         if self.state_store == "rocksdb":
             c["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB_PROVIDER
             c[ROCKSDB_CHANGELOG] = "true"
-        elif self.state_store != "hdfs":
+        elif self.state_store == "hdfs":
+            c["spark.sql.streaming.stateStore.providerClass"] = HDFS_PROVIDER
+        else:
             raise ValueError(f"unknown state store {self.state_store!r}")
         c.update(self.extra_conf)
         return c
