@@ -76,14 +76,19 @@ def events_arrivals(spark: SparkSession, sf_dir: str, n_batches: int = ARRIVAL_B
 
 
 STATE_PARTITIONS_CONF = "tidemark.statePartitions"
+STATE_STORE_CONF = "tidemark.stateStore"
 
 
 def default_settings(spark: SparkSession, **kw) -> StreamSettings:
     """State partitions: ``tidemark.statePartitions`` when the session sets
     it, else one per core of the cluster, so every micro-batch's stateful
-    stage runs in a single wave."""
+    stage runs in a single wave. State store: ``tidemark.stateStore``
+    (``rocksdb`` or ``hdfs``) when set, else the ``StreamSettings`` default."""
     configured = spark.conf.get(STATE_PARTITIONS_CONF, None)
     parts = int(configured) if configured else parallelism(spark)
+    store = spark.conf.get(STATE_STORE_CONF, None)
+    if store:
+        kw.setdefault("state_store", store)
     return StreamSettings(state_partitions=max(parts, 1), **kw)
 
 
