@@ -10,7 +10,6 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from tidemark.operators.records import constant_records, counter_records, pair_records
@@ -92,6 +91,11 @@ def default_settings(spark: SparkSession, **kw) -> StreamSettings:
     return StreamSettings(state_partitions=max(parts, 1), **kw)
 
 
+def _layout(settings: StreamSettings) -> tuple:
+    """The parts of the settings that shape a run's output and checkpoint."""
+    return (settings.delay, settings.state_store, settings.state_partitions)
+
+
 def _memo(spark: SparkSession, key: tuple, make):
     full = (app_id(spark), *key)
     with _LOCK:
@@ -114,7 +118,7 @@ def single_run(spark: SparkSession, sf_dir: str, delay: str | None = None) -> St
     settings = default_settings(spark, **({"delay": delay} if delay else {}))
     return _memo(
         spark,
-        ("single", sf_dir, settings.delay),
+        ("single", sf_dir, _layout(settings)),
         lambda: run_topic(spark, events_topic(spark, sf_dir), None, settings, "single"),
     )
 
@@ -124,7 +128,7 @@ def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     settings = default_settings(spark)
     return _memo(
         spark,
-        ("constant", sf_dir),
+        ("constant", sf_dir, _layout(settings)),
         lambda: run_single_batch(
             spark, lineitem_constant_records(spark, sf_dir), settings, label="constant"
         ),
@@ -161,7 +165,9 @@ def arrivals_run(
         return run_topic(spark, arr.topic, arr.files_per_batch, settings, label, output_mode)
 
     return _memo(
-        spark, ("arrivals", sf_dir, no_data_batches, output_mode, allow_multiple), make
+        spark,
+        ("arrivals", sf_dir, no_data_batches, output_mode, allow_multiple, _layout(settings)),
+        make,
     )
 
 
@@ -177,4 +183,4 @@ def resume_run(spark: SparkSession, sf_dir: str) -> StreamRun:
             files_per_batch=arr.files_per_batch,
         )
 
-    return _memo(spark, ("resume", sf_dir), make)
+    return _memo(spark, ("resume", sf_dir, _layout(settings)), make)
