@@ -7,6 +7,7 @@ run do not re-run the stream.
 
 from __future__ import annotations
 
+import math
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,17 @@ from tidemark.streaming.replay import (
     arrival_batch,
     publish_all,
     publish_arrivals,
+    publish_in_time_order,
     run_per_staged_arrival,
-    run_single_batch,
     run_topic,
 )
 
 # Replay parameters of the registered queries (ours).
 ARRIVAL_BATCHES = 6
 DAY_DELAY = "1 day"
+# Records per micro-batch when a backlog is replayed (bounds the state).
+BACKLOG_ROWS_PER_BATCH = 1_000_000_000
+BACKLOG_CONF = "tidemark.backlogRowsPerBatch"
 
 _RUNS: dict[tuple, object] = {}
 _LOCK = threading.RLock()
@@ -106,32 +110,61 @@ def _memo(spark: SparkSession, key: tuple, make):
         return run
 
 
+def backlog_batches(spark: SparkSession, n_rows: int) -> int:
+    """Micro-batches for a backlog of ``n_rows`` records: one per
+    ``tidemark.backlogRowsPerBatch`` (default 1e9) records, at least one."""
+    per = int(spark.conf.get(BACKLOG_CONF, None) or BACKLOG_ROWS_PER_BATCH)
+    return max(1, math.ceil(n_rows / max(per, 1)))
+
+
+def _backlog(spark: SparkSession, records: DataFrame, n_rows: int, label: str):
+    """A published backlog and the files per trigger to read it with:
+    everything in one batch when it fits, else time-ordered batches (same
+    output, bounded state)."""
+    b = backlog_batches(spark, n_rows)
+    if b == 1:
+        return publish_all(spark, records, label), None, b
+    arr = publish_in_time_order(spark, records, b, label)
+    return arr.topic, arr.files_per_batch, b
+
+
 def events_topic(spark: SparkSession, sf_dir: str):
-    """All events published once; the single-batch runs consume it."""
+    """All events published once; the single-run queries consume it."""
+    n = table(spark, sf_dir, "events").count()
+    b = backlog_batches(spark, n)
     return _memo(
-        spark, ("events-topic", sf_dir), lambda: publish_all(spark, events_records(spark, sf_dir))
+        spark,
+        ("events-topic", sf_dir, b),
+        lambda: _backlog(spark, events_records(spark, sf_dir), n, "single"),
     )
 
 
 def single_run(spark: SparkSession, sf_dir: str, delay: str | None = None) -> StreamRun:
-    """The flagship: everything published, one run (data batch + no-data batch)."""
+    """The flagship: the whole backlog read by one run, ending with the
+    no-data batch. Beyond ``tidemark.backlogRowsPerBatch`` records the
+    backlog arrives in time-ordered batches, with the same output."""
     settings = default_settings(spark, **({"delay": delay} if delay else {}))
+    topic, per_trigger, n_batches = events_topic(spark, sf_dir)
     return _memo(
         spark,
-        ("single", sf_dir, _layout(settings)),
-        lambda: run_topic(spark, events_topic(spark, sf_dir), None, settings, "single"),
+        ("single", sf_dir, n_batches, _layout(settings)),
+        lambda: run_topic(spark, topic, per_trigger, settings, "single"),
     )
 
 
 def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     """The flagship over constant-form records: one key on every record."""
     settings = default_settings(spark)
+    n = table(spark, sf_dir, "lineitem").count()
+
+    def make() -> StreamRun:
+        topic, per_trigger, _ = _backlog(
+            spark, lineitem_constant_records(spark, sf_dir), n, "constant"
+        )
+        return run_topic(spark, topic, per_trigger, settings, "constant")
+
     return _memo(
-        spark,
-        ("constant", sf_dir, _layout(settings)),
-        lambda: run_single_batch(
-            spark, lineitem_constant_records(spark, sf_dir), settings, label="constant"
-        ),
+        spark, ("constant", sf_dir, backlog_batches(spark, n), _layout(settings)), make
     )
 
 
