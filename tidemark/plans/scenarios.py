@@ -211,9 +211,6 @@ def resume_run(spark: SparkSession, sf_dir: str) -> StreamRun:
 
     def make() -> StreamRun:
         arr = arrivals_topic(spark, sf_dir)
-        return run_per_staged_arrival(
-            spark, arr.staged, arr.batch_col, arr.n_batches, settings,
-            files_per_batch=arr.files_per_batch,
-        )
+        return run_per_staged_arrival(spark, arr.staged, arr.batch_col, arr.n_batches, settings)
 
     return _memo(spark, ("resume", sf_dir, _layout(settings)), make)

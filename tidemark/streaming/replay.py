@@ -158,7 +158,6 @@ def run_per_arrival(
     n_batches: int,
     settings: StreamSettings,
     label: str = "resume",
-    files_per_batch: int | None = None,
 ) -> StreamRun:
     """A separate run after each arrival, all on one checkpoint.
 
@@ -169,9 +168,7 @@ def run_per_arrival(
     staged = FileTopic(spark, f"{root}/unused", fresh=True).stage_arrivals(
         records, batch_col, f"{root}/staging"
     )
-    return run_per_staged_arrival(
-        spark, staged, batch_col, n_batches, settings, label, files_per_batch
-    )
+    return run_per_staged_arrival(spark, staged, batch_col, n_batches, settings, label)
 
 
 def run_per_staged_arrival(
@@ -181,18 +178,16 @@ def run_per_staged_arrival(
     n_batches: int,
     settings: StreamSettings,
     label: str = "resume",
-    files_per_batch: int | None = None,
 ) -> StreamRun:
     """``run_per_arrival`` over batches that are already staged (for example
     the staging of a published ``Arrivals``): publish batch b to a fresh
-    topic, run to completion, repeat."""
-    k = files_per_batch or parallelism(spark)
+    topic, run to completion, repeat. Each run consumes everything new, so
+    a batch is a plain parallel append (no exact file count needed)."""
     root = run_dir(spark, label)
     topic = FileTopic(spark, f"{root}/topic", fresh=True)
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress: list[dict] = []
-    known = None
     for b in range(n_batches):
-        known = topic.publish_batch(staged, batch_col, b, k, known)
+        topic.publish(staged.where(F.col(batch_col) == b))
         progress += run_count(spark, topic.read_stream(), sink, ckpt, settings)
     return StreamRun(sink, ckpt, topic.path, progress)
