@@ -32,3 +32,28 @@ def test_ingest_and_poll(spark):
 def test_kafka_topic_shape(spark):
     t = KafkaTopic(spark, ["b1:9092", "b2:9092"], max_offsets_per_trigger=None)
     assert t.path == "kafka://b1:9092,b2:9092/test_topic"
+
+
+def test_poll_reports_a_failing_round_and_goes_on(spark, monkeypatch):
+    import tidemark.streaming.live as live
+
+    root = run_dir(spark, "live-fail")
+    topic = FileTopic(spark, f"{root}/topic")
+    topic.publish(fixture_records(spark, [[(0, 0)]]).drop("batch"))
+    q = start_ingest(
+        spark, topic, f"{root}/sink", f"{root}/checkpoint",
+        StreamSettings(state_partitions=2, query_name="live_fail"), interval="1 second",
+    )
+    calls = []
+
+    def boom(*a, **k):
+        calls.append(1)
+        raise RuntimeError("store unreachable")
+
+    monkeypatch.setattr(live, "audit_now", boom)
+    try:
+        rounds = list(poll(spark, q, topic, f"{root}/sink", interval_s=0, rounds=2))
+    finally:
+        q.stop()
+    assert len(rounds) == 2 and len(calls) == 2
+    assert all(p == {"error": "store unreachable"} and row is None for p, row in rounds)
