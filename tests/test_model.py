@@ -84,36 +84,65 @@ def test_model_reproduces_the_boundary_fixture():
     assert model(BOUNDARY, allow_multiple=False) == [0, 1, 2, 5, 6, 9, 10]
 
 
-def test_registered_arrivals_match_model_on_events(spark):
-    """The multi-batch queries against the model, on sf0.001's events with
-    the same arrival rule (independent of the SQL statements)."""
+def _event_batches(spark, n_batches):
+    """sf0.001's events in arrival batches by the registered rule (Python)."""
     import pyarrow.parquet as pq
     from conftest import SF_SMALL
 
-    from tidemark.plans import catalog
-    from tidemark.plans.scenarios import ARRIVAL_BATCHES as B
     from tidemark.streaming.replay import LATE_BY, LATE_EVERY
 
     ev = pq.read_table(f"{SF_SMALL}/events.parquet", columns=["event_id", "ts"]).to_pylist()
     n = len(ev)
-    batches = [[] for _ in range(B)]
+    batches = [[] for _ in range(n_batches)]
     for r in ev:
         i = r["event_id"]
-        b = min(B - 1, i * B // n + (LATE_BY if i % LATE_EVERY == 0 else 0))
+        b = min(n_batches - 1, i * n_batches // n + (LATE_BY if i % LATE_EVERY == 0 else 0))
         batches[b].append((i, r["ts"]))
+    return batches
+
 
+def _to_ms(ts):  # naive UTC wall clock -> epoch ms, truncated like Spark
     import calendar
 
-    def to_ms(ts):  # naive UTC wall clock -> epoch ms, truncated like Spark
-        return calendar.timegm(ts.timetuple()) * 1000 + ts.microsecond // 1000
+    return calendar.timegm(ts.timetuple()) * 1000 + ts.microsecond // 1000
+
+
+def _keys(df):
+    return sorted(r.key for r in df.select("key").collect())
+
+
+def test_registered_arrivals_match_model_on_events(spark):
+    """The multi-batch queries against the model, on sf0.001's events with
+    the same arrival rule (independent of the SQL statements)."""
+    from conftest import SF_SMALL
 
-    def keys(df):
-        return sorted(r.key for r in df.select("key").collect())
+    from tidemark.plans import catalog
+    from tidemark.plans import scenarios as sc
 
-    assert keys(catalog.stream_append_multibatch(spark, SF_SMALL)) == model(batches, to_ms=to_ms)
-    assert keys(catalog.stream_append_strict_late(spark, SF_SMALL)) == model(
-        batches, allow_multiple=False, to_ms=to_ms
+    batches = _event_batches(spark, sc.arrival_batches(spark, 1000))
+    assert len(batches) == 6
+    assert _keys(catalog.stream_append_multibatch(spark, SF_SMALL)) == model(
+        batches, to_ms=_to_ms
+    )
+    assert _keys(catalog.stream_append_strict_late(spark, SF_SMALL)) == model(
+        batches, allow_multiple=False, to_ms=_to_ms
     )
-    assert keys(catalog.stream_nodata_off(spark, SF_SMALL)) == model(
-        batches, no_data=False, to_ms=to_ms
+    assert _keys(catalog.stream_nodata_off(spark, SF_SMALL)) == model(
+        batches, no_data=False, to_ms=_to_ms
     )
+
+
+def test_more_arrival_batches_when_rows_exceed_the_bound(spark):
+    """With 100 records per micro-batch, 1000 events arrive in 10 batches."""
+    from conftest import SF_SMALL
+
+    from tidemark.plans import catalog
+    from tidemark.plans import scenarios as sc
+    from tidemark.streaming.flow import session_conf
+
+    with session_conf(spark, {sc.BACKLOG_CONF: "100"}):
+        assert sc.arrival_batches(spark, 1000) == 10
+        run = sc.arrivals_run(spark, SF_SMALL)
+        assert sum(1 for p in run.progress if p["numInputRows"] > 0) == 10
+        got = _keys(catalog.stream_append_multibatch(spark, SF_SMALL))
+    assert got == model(_event_batches(spark, 10), to_ms=_to_ms)

@@ -9,19 +9,26 @@ watermark = max event time (ms) minus the delay.
 
 from __future__ import annotations
 
-from tidemark.plans.scenarios import ARRIVAL_BATCHES
+from tidemark.plans.scenarios import ARRIVAL_BATCHES, BACKLOG_ROWS_PER_BATCH
 
-B = ARRIVAL_BATCHES
-LAST = B - 1
+# Arrival batches: at least six, more when the events exceed the rows per
+# micro-batch (the same rule as ``scenarios.arrival_batches``).
+_NB = (
+    f"nb AS (SELECT greatest({ARRIVAL_BATCHES}, "
+    f"CAST(ceil(count(*) / {BACKLOG_ROWS_PER_BATCH}) AS BIGINT)) AS b, "
+    f"count(*) AS n FROM events)"
+)
+NO_DATA_OFF_FILTER = "WHERE batch < (SELECT b FROM nb) - 1"
 
 
 def _arrivals(late_lag: int, final_filter: str = "") -> str:
-    """CTEs ``a`` (records with batch), ``l`` (late watermark per batch),
-    ``f`` (final eviction watermark)."""
+    """CTEs ``nb`` (batch count, rows), ``a`` (records with batch), ``l``
+    (late watermark per batch), ``f`` (final eviction watermark)."""
     return f"""
+{_NB},
 a AS (
   SELECT event_id, ts,
-         CAST(least({LAST}, event_id * {B} // (SELECT count(*) FROM events)
+         CAST(least((SELECT b FROM nb) - 1, event_id * (SELECT b FROM nb) // (SELECT n FROM nb)
                     + CASE WHEN event_id % 10 = 0 THEN 3 ELSE 0 END) AS INTEGER) AS batch
   FROM events),
 m AS (SELECT batch, max(ts) AS mx FROM a GROUP BY batch),
@@ -69,7 +76,7 @@ WHERE l_shipdate <= (SELECT date_trunc('millisecond', max(l_shipdate)) FROM line
 GROUP BY ALL""",
     "stream_append_multibatch": _persisted(2),
     "stream_append_strict_late": _persisted(1),
-    "stream_nodata_off": _persisted(2, f"WHERE batch < {LAST}"),
+    "stream_nodata_off": _persisted(2, NO_DATA_OFF_FILTER),
     "stream_resume": _persisted(1),
     "stream_late_rows": f"""
 WITH {_arrivals(2)}
@@ -87,7 +94,7 @@ WITH {_arrivals(2)},
 e AS (SELECT r.range AS batch,
              (SELECT date_trunc('millisecond', max(mx)) - INTERVAL 20 SECOND
               FROM m WHERE m.batch <= r.range - 1) AS wm
-      FROM range(0, {B + 1}) r),
+      FROM (SELECT unnest(generate_series(0, (SELECT b FROM nb))) AS range) r),
 k AS (SELECT a.batch, a.ts, coalesce(a.ts <= l.late, false) AS dropped
       FROM a JOIN l USING (batch))
 SELECT e.batch AS batch_id,

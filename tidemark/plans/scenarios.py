@@ -64,18 +64,28 @@ def lineitem_constant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constant_records(li, "l_shipdate", "rid")
 
 
-def events_arrivals(spark: SparkSession, sf_dir: str, n_batches: int = ARRIVAL_BATCHES):
-    """Envelopes plus the arrival batch of each record. One count action
-    (the number of events, answered from Parquet footers) sizes the rule."""
+def arrival_batches(spark: SparkSession, n_rows: int) -> int:
+    """Arrival batches of the replay scenarios: at least six, and one per
+    ``tidemark.backlogRowsPerBatch`` records beyond that, so a micro-batch
+    (and the state it leaves) stays bounded however large the table."""
+    return max(ARRIVAL_BATCHES, backlog_batches(spark, n_rows))
+
+
+def events_arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Envelopes plus the arrival batch of each record, and the number of
+    batches. One count action (answered from Parquet footers) sizes the
+    rule."""
     events = table(spark, sf_dir, "events")
     n = events.count()
+    b = arrival_batches(spark, n)
     pin_utc(spark)
-    return counter_records(
-        events.withColumn("batch", arrival_batch("event_id", n, n_batches)),
+    records = counter_records(
+        events.withColumn("batch", arrival_batch("event_id", n, b)),
         "event_id",
         "ts",
         carry=["batch"],
     )
+    return records, b
 
 
 STATE_PARTITIONS_CONF = "tidemark.statePartitions"
@@ -169,15 +179,18 @@ def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
 
 
 def arrivals_topic(spark: SparkSession, sf_dir: str) -> Arrivals:
-    """The six arrival batches published once; every arrivals run reads it,
-    as several consumers read one topic."""
-    return _memo(
-        spark,
-        ("arrivals-topic", sf_dir),
-        lambda: publish_arrivals(
-            spark, events_arrivals(spark, sf_dir), "batch", ARRIVAL_BATCHES
-        ),
-    )
+    """The arrival batches published once; every arrivals run reads it, as
+    several consumers read one topic."""
+
+    def make() -> Arrivals:
+        records, b = events_arrivals(spark, sf_dir)
+        return publish_arrivals(spark, records, "batch", b)
+
+    return _memo(spark, ("arrivals-topic", sf_dir, _events_arrival_batches(spark, sf_dir)), make)
+
+
+def _events_arrival_batches(spark: SparkSession, sf_dir: str) -> int:
+    return arrival_batches(spark, table(spark, sf_dir, "events").count())
 
 
 def arrivals_run(
@@ -187,7 +200,8 @@ def arrivals_run(
     output_mode: str = "append",
     allow_multiple: bool | None = None,
 ) -> StreamRun:
-    """Six arrival batches with held-back records, one run."""
+    """The arrival batches (six at the given scales), every tenth record
+    held back three batches, one run."""
     settings = default_settings(
         spark, no_data_batches=no_data_batches, allow_multiple=allow_multiple
     )
@@ -199,7 +213,10 @@ def arrivals_run(
 
     return _memo(
         spark,
-        ("arrivals", sf_dir, no_data_batches, output_mode, allow_multiple, _layout(settings)),
+        (
+            "arrivals", sf_dir, _events_arrival_batches(spark, sf_dir),
+            no_data_batches, output_mode, allow_multiple, _layout(settings),
+        ),
         make,
     )
 
@@ -213,4 +230,6 @@ def resume_run(spark: SparkSession, sf_dir: str) -> StreamRun:
         arr = arrivals_topic(spark, sf_dir)
         return run_per_staged_arrival(spark, arr.staged, arr.batch_col, arr.n_batches, settings)
 
-    return _memo(spark, ("resume", sf_dir, _layout(settings)), make)
+    return _memo(
+        spark, ("resume", sf_dir, _events_arrival_batches(spark, sf_dir), _layout(settings)), make
+    )
