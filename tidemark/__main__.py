@@ -48,7 +48,9 @@ def _settings(args) -> StreamSettings:
 
 
 def main(argv: list[str] | None = None) -> int:
-    p = argparse.ArgumentParser(prog="tidemark")
+    p = argparse.ArgumentParser(
+        prog="tidemark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter
+    )
     p.add_argument(
         "command", choices=["ingest", "drain", "audit", "publish", "consume", "roundtrip"]
     )
