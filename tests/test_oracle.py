@@ -42,3 +42,20 @@ def test_entry_runs(spark):
 def test_sorted_ids_are_in_numeric_order(spark):
     ids = [r.id for r in QUERIES["sorted_ids"](spark, SF_SMALL).collect()]
     assert ids == sorted(ids) and len(ids) == 999
+
+
+def test_entry_loads_by_path_from_another_folder(tmp_path):
+    import subprocess
+    import sys as _sys
+
+    entry_file = Path(__file__).resolve().parents[1] / "__spark_entry__.py"
+    code = (
+        "import importlib.util;"
+        f"spec=importlib.util.spec_from_file_location('e', {str(entry_file)!r});"
+        "m=importlib.util.module_from_spec(spec);spec.loader.exec_module(m);"
+        "print(len(m.queries()), len(m.oracle_sql()))"
+    )
+    out = subprocess.run(
+        [_sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120
+    )
+    assert out.stdout.split() == [str(len(QUERIES))] * 2, out.stderr[-2000:]

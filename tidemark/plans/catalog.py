@@ -55,10 +55,12 @@ def _roundtrip_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- streaming (S1, K1, W1-W9, P4) -----------------------------------------
 def stream_append_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship (S1, W1, W2, K1): events published, one run, the sink read back."""
     return sink_rows(spark, sc.single_run(spark, sf_dir).sink)
 
 
 def stream_append_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship with a one-day delay: rows within a day of the newest wait."""
     return sink_rows(spark, sc.single_run(spark, sf_dir, delay=sc.DAY_DELAY).sink)
 
 
@@ -74,6 +76,7 @@ def stream_append_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_append_multibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrival batches with held-back records, one run."""
     return sink_rows(spark, sc.arrivals_run(spark, sf_dir).sink)
 
 
@@ -85,14 +88,17 @@ def stream_append_strict_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_nodata_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arrivals run without the closing no-data batch."""
     return sink_rows(spark, sc.arrivals_run(spark, sf_dir, no_data_batches=False).sink)
 
 
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per arrival batch on one checkpoint."""
     return sink_rows(spark, sc.resume_run(spark, sf_dir).sink)
 
 
 def stream_update_foreachbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update mode through foreachBatch, one directory per batch id."""
     run = sc.arrivals_run(spark, sf_dir, output_mode="update")
     return read_sink(spark, run.sink, batch_partitioned=True).select(
         "batch_id",
@@ -114,6 +120,7 @@ def _arrivals_audit(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column
 
 
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records the arrivals run dropped as late (P4, W5), found by the audit."""
     reconciled, wm = _arrivals_audit(spark, sf_dir)
     return (
         audit.missing(reconciled, wm)
@@ -130,16 +137,19 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- audit (A3, A5, A6) -----------------------------------------------------
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-row completeness audit of the arrivals run (A3, A5)."""
     reconciled, wm = _arrivals_audit(spark, sf_dir)
     return audit.summary(reconciled, wm)
 
 
 def audit_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the arrivals run that is not persisted, with the reason (A5)."""
     reconciled, wm = _arrivals_audit(spark, sf_dir)
     return audit.missing(reconciled, wm)
 
 
 def delivery_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders published as pair records and consumed: at least all of them."""
     sent = sc.orders_records(spark, sf_dir)
     topic = _published(spark, "delivery", sent)
     return audit.delivery_check(sent, topic.read())
@@ -160,10 +170,12 @@ def delivery_check_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- reads of the flagship sink (S5, P2, P3, A2, O1) -------------------------
 def decode_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persisted keys of the flagship decoded to integers."""
     return decode_ids(read_sink(spark, sc.single_run(spark, sf_dir).sink))
 
 
 def sorted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoded ids in numeric order (O1)."""
     # Sink rows are unique per (partition, timestamp, key): a skew-proof tiebreak.
     sink = read_sink(spark, sc.single_run(spark, sf_dir).sink)
     ids = sink.select(key_to_id("key").alias("id"), "timestamp", "partition", "key")
@@ -171,12 +183,14 @@ def sorted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def max_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest persisted record time of the flagship (A2)."""
     sink = read_sink(spark, sc.single_run(spark, sf_dir).sink)
     return latest(sink, "timestamp").select(as_wall_clock("latest").alias("latest"))
 
 
 # -- records (K3, S6, P1, F1-F5) ---------------------------------------------
 def envelope_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter-form records as written to the topic, bytes in hex."""
     topic = _published(spark, "encode", sc.events_records(spark, sf_dir))
     return topic.read().select(
         F.hex("key").alias("key_hex"),
@@ -190,6 +204,7 @@ def envelope_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair-form records from orders as written, decoded."""
     topic = _published(spark, "pairs", sc.orders_records(spark, sf_dir))
     return topic.read().select(
         bytes_to_text("key").alias("key"),
@@ -201,11 +216,13 @@ def envelope_encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a consumer reads back from the topic."""
     topic = _published(spark, "consume", sc.events_records(spark, sf_dir))
     return decode_records(topic.read())
 
 
 def project_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three columns the count needs."""
     return project_records(sc.events_records(spark, sf_dir)).select(
         bytes_to_text("key").alias("key"),
         as_wall_clock("timestamp").alias("timestamp"),
@@ -215,6 +232,7 @@ def project_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- batch operators (A1, A4, S4, S5, K2, O2) --------------------------------
 def group_count_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch twin of the streaming count on the event records (A1)."""
     counted = group_count(sc.events_records(spark, sf_dir))
     return counted.select(
         "partition",
@@ -225,6 +243,7 @@ def group_count_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_count_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 on lineitem, where groups hold several rows."""
     pin_utc(spark)
     li = table(spark, sf_dir, "lineitem").select(
         F.pmod("l_suppkey", F.lit(4)).cast("int").alias("partition"),
@@ -235,18 +254,22 @@ def group_count_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain Parquet scan of the events table."""
     return scan_parquet(spark, f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def range_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """range(#events) written and read back."""
     return _roundtrip_ids(spark, sf_dir)
 
 
 def top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 20 ids of the round trip (O2)."""
     return first_rows(_roundtrip_ids(spark, sf_dir), "id", 20)
 
 
 def mean_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean id of the round trip (A4)."""
     return mean_of(_roundtrip_ids(spark, sf_dir), "id", "mean_id")
 
 
