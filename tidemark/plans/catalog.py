@@ -48,7 +48,7 @@ def _published(spark: SparkSession, label: str, records: DataFrame) -> FileTopic
 
 def _roundtrip_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 -> K2 -> S5: as many ids as there are events, written and read back."""
-    n = table(spark, sf_dir, "events").count()
+    n = sc.table_rows(spark, sf_dir, "events")
     path = overwrite_parquet(id_range(spark, n), f"{run_dir(spark, 'range')}/ids")
     return scan_parquet(spark, path)
 

@@ -71,12 +71,16 @@ def arrival_batches(spark: SparkSession, n_rows: int) -> int:
     return max(ARRIVAL_BATCHES, backlog_batches(spark, n_rows))
 
 
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a given (read-only) table, counted once per application."""
+    return _memo(spark, ("rows", sf_dir, name), lambda: table(spark, sf_dir, name).count())
+
+
 def events_arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Envelopes plus the arrival batch of each record, and the number of
-    batches. One count action (answered from Parquet footers) sizes the
-    rule."""
+    batches. One count (answered from Parquet footers) sizes the rule."""
     events = table(spark, sf_dir, "events")
-    n = events.count()
+    n = table_rows(spark, sf_dir, "events")
     b = arrival_batches(spark, n)
     pin_utc(spark)
     records = counter_records(
@@ -140,7 +144,7 @@ def _backlog(spark: SparkSession, records: DataFrame, n_rows: int, label: str):
 
 def events_topic(spark: SparkSession, sf_dir: str):
     """All events published once; the single-run queries consume it."""
-    n = table(spark, sf_dir, "events").count()
+    n = table_rows(spark, sf_dir, "events")
     b = backlog_batches(spark, n)
     return _memo(
         spark,
@@ -165,7 +169,7 @@ def single_run(spark: SparkSession, sf_dir: str, delay: str | None = None) -> St
 def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     """The flagship over constant-form records: one key on every record."""
     settings = default_settings(spark)
-    n = table(spark, sf_dir, "lineitem").count()
+    n = table_rows(spark, sf_dir, "lineitem")
 
     def make() -> StreamRun:
         topic, per_trigger, _ = _backlog(
@@ -190,7 +194,7 @@ def arrivals_topic(spark: SparkSession, sf_dir: str) -> Arrivals:
 
 
 def _events_arrival_batches(spark: SparkSession, sf_dir: str) -> int:
-    return arrival_batches(spark, table(spark, sf_dir, "events").count())
+    return arrival_batches(spark, table_rows(spark, sf_dir, "events"))
 
 
 def arrivals_run(
