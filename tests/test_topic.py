@@ -39,3 +39,23 @@ def test_listing_detects_files_that_are_not_newer(spark):
     future = {p: t.replace(year=t.year + 1) for p, t in first.items()}
     with pytest.raises(RuntimeError, match="not newer"):
         topic.publish_batch(staged, "batch", 1, 2, future)
+
+
+def test_ordered_staging_keeps_each_task_to_about_one_batch(spark):
+    from pyspark.sql import functions as F
+
+    root = run_dir(spark, "topic-staging")
+    topic = FileTopic(spark, f"{root}/topic", fresh=True)
+    # Records in no particular order: 400 rows over 4 batches, 8 input tasks.
+    many = spark.range(400).select(
+        F.col("id").alias("k"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"),
+        (F.col("id") % 4).cast("int").alias("batch"),
+    ).repartition(8)
+    from tidemark.operators.records import counter_records
+
+    recs = counter_records(many, "k", "ts", carry=["batch"])
+    staged = topic.stage_arrivals(recs, "batch", f"{root}/staging", ordered_tasks=4)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(f"{root}/staging").count()
+    assert files <= 8  # without ordering: up to 8 tasks x 4 batches = 32
+    assert staged.count() == 400

@@ -66,11 +66,25 @@ class FileTopic:
             known = self.publish_batch(staged, batch_col, b, files_per_batch, known)
         return staged
 
-    def stage_arrivals(self, records: DataFrame, batch_col: str, staging: str) -> DataFrame:
-        """Write records once, in parallel, partitioned by arrival batch."""
-        records.select(*ENVELOPE_COLUMNS, batch_col).write.mode("overwrite").partitionBy(
-            batch_col
-        ).parquet(staging)
+    def stage_arrivals(
+        self,
+        records: DataFrame,
+        batch_col: str,
+        staging: str,
+        ordered_tasks: int | None = None,
+    ) -> DataFrame:
+        """Write records once, in parallel, partitioned by arrival batch.
+
+        Each task writes one file per batch it holds: few when the input
+        follows arrival order (as the given tables do). For input in no
+        particular order, ``ordered_tasks`` first range-partitions into that
+        many tasks on ``(batch, partition, offset)`` (one shuffle), so each
+        task holds about one batch.
+        """
+        out = records.select(*ENVELOPE_COLUMNS, batch_col)
+        if ordered_tasks:
+            out = out.repartitionByRange(ordered_tasks, batch_col, "partition", "offset")
+        out.write.mode("overwrite").partitionBy(batch_col).parquet(staging)
         staged_schema = T.StructType(
             [*ENVELOPE_SCHEMA.fields, T.StructField(batch_col, T.IntegerType(), True)]
         )

@@ -100,16 +100,20 @@ def publish_in_time_order(
 ) -> Arrivals:
     """Publish a backlog as ``n_batches`` arrival batches in event-time order.
 
-    Records are range-partitioned on ``timestamp`` into ``n_batches * k``
-    ranges (sampled bounds, no global sort; ``k`` files per batch), and
-    ranges ``b*k .. b*k+k-1`` form batch ``b``, so no task holds more than a
-    ``k``-th of a batch. Every batch's times are at least the previous
-    batch's maximum, so no record is ever late: a stream over these batches
-    emits exactly what one batch over the whole backlog would, while its
-    state holds about one batch instead of all.
+    Records are range-partitioned on ``(timestamp, partition, offset)`` into
+    ``n_batches * k`` ranges (sampled bounds, no global sort; ``k`` files per
+    batch), and ranges ``b*k .. b*k+k-1`` form batch ``b``, so no task holds
+    more than a ``k``-th of a batch. The tiebreak lets one event time held by
+    many records spread over several ranges. Every batch's times are at
+    least the previous batch's maximum, so no record is ever late (a time
+    split over two batches is not below the earlier maximum): a stream over
+    these batches emits exactly what one batch over the whole backlog would,
+    while its state holds about one batch instead of all.
     """
     k = files_per_batch or parallelism(spark)
-    ordered = records.repartitionByRange(n_batches * k, "timestamp").withColumn(
+    ordered = records.repartitionByRange(
+        n_batches * k, "timestamp", "partition", "offset"
+    ).withColumn(
         "arrival", (F.spark_partition_id() / F.lit(k)).cast("int")
     )
     return publish_arrivals(spark, ordered, "arrival", n_batches, label, k)
