@@ -13,12 +13,12 @@ def test_each_batch_is_exactly_k_newer_files(spark):
     assert topic.listing() == {}
     recs = fixture_records(spark, [[(i, i) for i in range(50)], [(50, 60)], []])
     staged = topic.stage_arrivals(recs, "batch", f"{root}/staging")
-    known, seen = None, []
+    newest, seen = None, []
     for b in range(3):  # 50 rows, 1 row and no row: short batches are padded
-        known = topic.publish_batch(staged, "batch", b, 4, known)
-        seen.append(known)
-    assert [len(x) for x in seen] == [4, 8, 12]
-    assert seen[-1] == topic.listing()
+        newest = topic.publish_batch(staged, "batch", b, 4, newest)
+        seen.append(len(topic.listing()))
+    assert seen == [4, 8, 12]
+    assert newest == max(topic.listing().values())
     assert topic.read().count() == 51
     # One trigger per batch: the stream sees 50, 1 and 0 rows.
     from tidemark.streaming.flow import StreamSettings, run_count
@@ -34,11 +34,10 @@ def test_listing_detects_files_that_are_not_newer(spark):
     staged = topic.stage_arrivals(
         fixture_records(spark, [[(0, 0)], [(1, 1)]]), "batch", f"{root}/staging"
     )
-    first = topic.publish_batch(staged, "batch", 0, 2)
+    newest = topic.publish_batch(staged, "batch", 0, 2)
     # Pretend an earlier file carried a time in the future.
-    future = {p: t.replace(year=t.year + 1) for p, t in first.items()}
     with pytest.raises(RuntimeError, match="not newer"):
-        topic.publish_batch(staged, "batch", 1, 2, future)
+        topic.publish_batch(staged, "batch", 1, 2, newest.replace(year=newest.year + 1))
 
 
 def test_ordered_staging_keeps_each_task_to_about_one_batch(spark):

@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 
 from tidemark.functions.envelope import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA
 
+# Each replayed arrival batch gets its own directory (no "=", so no
+# partition column is inferred); readers glob over the topic's entries.
+BATCH_DIR = "batch-{:06d}"
+
 
 class FileTopic:
     """Envelope records under one directory (any Hadoop path)."""
@@ -59,11 +63,11 @@ class FileTopic:
         Returns the staged batches (readable again, e.g. for restart runs).
         """
         staged = self.stage_arrivals(records, batch_col, staging)
-        known = None
+        newest = None
         for b in range(n_batches):
             if b and batch_gap_s:
                 time.sleep(batch_gap_s)
-            known = self.publish_batch(staged, batch_col, b, files_per_batch, known)
+            newest = self.publish_batch(staged, batch_col, b, files_per_batch, newest)
         return staged
 
     def stage_arrivals(
@@ -96,69 +100,56 @@ class FileTopic:
         batch_col: str,
         b: int,
         files: int = 1,
-        before: dict[str, object] | None = None,
-    ) -> dict[str, object]:
+        newest_before: object | None = None,
+    ) -> object:
         """Append arrival batch ``b`` of a staged table as exactly ``files``
-        files written by ``files`` parallel tasks; returns the new listing.
+        files, written by ``files`` parallel tasks into the batch's own
+        directory; returns the newest modification time among them.
 
         A round-robin repartition balances the files whatever the staged
         splits look like (a coalesce would follow them, and a batch staged in
         few splits would need padding). Spark skips files for empty
-        partitions, so a short batch is padded
-        with empty (schema-only) files. The new files must all be newer than
-        every earlier file, or the stream would mix batches: checked here.
-        ``before`` is the listing returned by the previous call (saves a
-        listing per batch); by default the topic is listed first.
+        partitions, so a short batch is padded with empty (schema-only)
+        files. The new files must all be newer than ``newest_before`` (the
+        value the previous call returned), or the stream would mix batches:
+        checked here by listing this batch's directory only.
         """
-        if before is None:
-            before = self.listing()
+        path = f"{self.path}/{BATCH_DIR.format(b)}"
         (
             staged.where(F.col(batch_col) == b)
             .select(*ENVELOPE_COLUMNS)
             .repartition(files)
             .write.mode("append")
             .option("maxRecordsPerFile", 0)
-            .parquet(self.path)
+            .parquet(path)
         )
         self._may_exist = True
-        after = self.listing()
-        for _ in range(files - (len(after) - len(before))):
-            self.spark.createDataFrame([], ENVELOPE_SCHEMA).write.mode("append").parquet(
-                self.path
-            )
-        if len(after) - len(before) < files:
-            after = self.listing()
-        new = {p: t for p, t in after.items() if p not in before}
+        new = _listing(self.spark, path)
+        for _ in range(files - len(new)):
+            self.spark.createDataFrame([], ENVELOPE_SCHEMA).write.mode("append").parquet(path)
+        if len(new) < files:
+            new = _listing(self.spark, path)
         if len(new) != files:
             raise RuntimeError(f"batch {b}: expected {files} new files, found {len(new)}")
-        if before and min(new.values()) <= max(before.values()):
+        if newest_before is not None and min(new.values()) <= newest_before:
             raise RuntimeError(
                 f"batch {b}: new files are not newer than earlier ones; "
                 "raise batch_gap_s for this store"
             )
-        return after
+        return max(new.values())
 
     def listing(self) -> dict[str, object]:
-        """Data files of the topic and their modification times. Only the
-        file listing is read (``binaryFile`` without its content column)."""
+        """Data files of the topic (batch directories included) and their
+        modification times."""
         if not self._may_exist:
             return {}
-        try:
-            rows = (
-                self.spark.read.format("binaryFile")
-                .option("pathGlobFilter", "*.parquet")
-                .load(self.path)
-                .select("path", "modificationTime")
-                .collect()
-            )
-        except AnalysisException:  # nothing published yet
-            return {}
-        return {r.path: r.modificationTime for r in rows}
+        return _listing(self.spark, self.path)
 
     # -- consume ---------------------------------------------------------
     def read(self) -> DataFrame:
-        """Every record published so far."""
-        return self.spark.read.schema(ENVELOPE_SCHEMA).parquet(self.path)
+        """Every record published so far (top-level files and batch
+        directories alike)."""
+        return self.spark.read.schema(ENVELOPE_SCHEMA).parquet(f"{self.path}/*")
 
     def read_stream(self, files_per_trigger: int | None = None) -> DataFrame:
         """S1 stand-in: the topic as a stream; with ``files_per_trigger`` equal
@@ -166,4 +157,21 @@ class FileTopic:
         reader = self.spark.readStream.schema(ENVELOPE_SCHEMA)
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", int(files_per_trigger))
-        return reader.parquet(self.path)
+        return reader.parquet(f"{self.path}/*")
+
+
+def _listing(spark: SparkSession, path: str) -> dict[str, object]:
+    """Parquet files under ``path`` and their modification times. Only the
+    listing is read (``binaryFile`` without its content column)."""
+    try:
+        rows = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.parquet")
+            .option("recursiveFileLookup", "true")
+            .load(path)
+            .select("path", "modificationTime")
+            .collect()
+        )
+    except AnalysisException:  # nothing there yet
+        return {}
+    return {r.path: r.modificationTime for r in rows}
