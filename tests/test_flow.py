@@ -59,3 +59,17 @@ def test_parquet_sink_rejects_update_mode(spark):
             .start()
         )
         q.stop()
+
+
+def test_progress_of_every_batch_is_kept(spark):
+    from helpers import fixture_records
+
+    from tidemark.streaming.flow import StreamSettings
+    from tidemark.streaming.replay import run_arrivals
+
+    batches = [[(i, i)] for i in range(3)]
+    short = run_arrivals(spark, fixture_records(spark, batches), "batch", 3,
+                         StreamSettings(state_partitions=1, progress_retention=2), files_per_batch=1)
+    full = run_arrivals(spark, fixture_records(spark, batches), "batch", 3,
+                        StreamSettings(state_partitions=1), files_per_batch=1)
+    assert len(short.progress) < 4 and len(full.progress) == 4

@@ -57,10 +57,16 @@ class StreamSettings:
     state_store: str = "rocksdb"  # or "hdfs": Spark's in-memory provider
     query_name: str = "per_key_count"
     timeout_s: float = 900.0
+    # Progress events kept per query (one small record per micro-batch);
+    # Spark keeps 100, too few for a long bounded replay.
+    progress_retention: int = 100_000
     extra_conf: dict[str, str] = field(default_factory=dict)
 
     def conf(self) -> dict[str, str]:
-        c = {"spark.sql.shuffle.partitions": str(self.state_partitions)}
+        c = {
+            "spark.sql.shuffle.partitions": str(self.state_partitions),
+            "spark.sql.streaming.numRecentProgressUpdates": str(self.progress_retention),
+        }
         if self.allow_multiple is not None:
             c["spark.sql.streaming.statefulOperator.allowMultiple"] = str(
                 self.allow_multiple
