@@ -153,10 +153,17 @@ class FileTopic:
 
     def read_stream(self, files_per_trigger: int | None = None) -> DataFrame:
         """S1 stand-in: the topic as a stream; with ``files_per_trigger`` equal
-        to the files per published batch, one micro-batch per batch."""
+        to the files per published batch, one micro-batch per batch.
+
+        The source keeps the unread part of a listing (up to
+        ``maxCachedFiles``) for the next triggers, so a replay of many
+        batches lists the topic once per 16 batches rather than per batch."""
         reader = self.spark.readStream.schema(ENVELOPE_SCHEMA)
         if files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", int(files_per_trigger))
+            k = int(files_per_trigger)
+            reader = reader.option("maxFilesPerTrigger", k).option(
+                "maxCachedFiles", max(10_000, 16 * k)
+            )
         return reader.parquet(f"{self.path}/*")
 
 
