@@ -34,7 +34,7 @@ def test_update_batches_are_idempotent(spark):
 
 def test_engine_and_data_agree_on_the_final_watermark(spark):
     run = sc.single_run(spark, SF_SMALL)
-    sent = FileTopic(spark, run.topic).read()
+    sent = sc.events_records(spark, SF_SMALL)
     derived = sent.select(audit.expected_watermark(sent, "20 seconds").alias("wm"))
     reported = derived.select(
         (F.col("wm") == audit.watermark_at(run.final_watermark_ms)).alias("same")

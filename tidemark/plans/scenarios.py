@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.records import constant_records, counter_records, pair_records
 from tidemark.session import app_id, parallelism, pin_utc
-from tidemark.sources.tables import table
+from tidemark.sources.tables import stream_table, table
 from tidemark.streaming.flow import StreamSettings
 from tidemark.streaming.replay import (
     Arrivals,
@@ -25,6 +25,7 @@ from tidemark.streaming.replay import (
     publish_arrivals,
     publish_in_time_order,
     run_per_staged_arrival,
+    run_stream,
     run_topic,
 )
 
@@ -39,10 +40,15 @@ _RUNS: dict[tuple, object] = {}
 _LOCK = threading.RLock()
 
 
-def events_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counter-form envelopes from ``events``: key = event_id, value = ts."""
+def _source(spark: SparkSession, sf_dir: str, name: str, stream: bool) -> DataFrame:
+    return stream_table(spark, sf_dir, name) if stream else table(spark, sf_dir, name)
+
+
+def events_records(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Counter-form envelopes from ``events``: key = event_id, value = ts.
+    ``stream=True`` reads the table as a stream (records encoded on the fly)."""
     pin_utc(spark)
-    return counter_records(table(spark, sf_dir, "events"), "event_id", "ts")
+    return counter_records(_source(spark, sf_dir, "events", stream), "event_id", "ts")
 
 
 def orders_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +59,14 @@ def orders_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_constant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_constant_records(
+    spark: SparkSession, sf_dir: str, stream: bool = False
+) -> DataFrame:
     """Constant-form envelopes, one per lineitem row: every record carries
     the same ``("key", "value")``; record time = ship date; the record id
     ``l_orderkey * 8 + l_linenumber`` places it in the topic."""
     pin_utc(spark)
-    li = table(spark, sf_dir, "lineitem").select(
+    li = _source(spark, sf_dir, "lineitem", stream).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rid"), "l_shipdate"
     )
     return constant_records(li, "l_shipdate", "rid")
@@ -155,31 +163,39 @@ def events_topic(spark: SparkSession, sf_dir: str):
 
 def single_run(spark: SparkSession, sf_dir: str, delay: str | None = None) -> StreamRun:
     """The flagship: the whole backlog read by one run, ending with the
-    no-data batch. Beyond ``tidemark.backlogRowsPerBatch`` records the
-    backlog arrives in time-ordered batches, with the same output."""
+    no-data batch. When it fits one micro-batch, the events table itself is
+    the stream (records encoded on the fly, no copy); beyond
+    ``tidemark.backlogRowsPerBatch`` records it is published in time-ordered
+    batches, with the same output."""
     settings = default_settings(spark, **({"delay": delay} if delay else {}))
-    topic, per_trigger, n_batches = events_topic(spark, sf_dir)
-    return _memo(
-        spark,
-        ("single", sf_dir, n_batches, _layout(settings)),
-        lambda: run_topic(spark, topic, per_trigger, settings, "single"),
-    )
+    n_batches = backlog_batches(spark, table_rows(spark, sf_dir, "events"))
+
+    def make() -> StreamRun:
+        if n_batches == 1:
+            records = events_records(spark, sf_dir, stream=True)
+            return run_stream(spark, records, settings, "single", f"{sf_dir}/events.parquet")
+        topic, per_trigger, _ = events_topic(spark, sf_dir)
+        return run_topic(spark, topic, per_trigger, settings, "single")
+
+    return _memo(spark, ("single", sf_dir, n_batches, _layout(settings)), make)
 
 
 def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     """The flagship over constant-form records: one key on every record."""
     settings = default_settings(spark)
     n = table_rows(spark, sf_dir, "lineitem")
+    n_batches = backlog_batches(spark, n)
 
     def make() -> StreamRun:
+        if n_batches == 1:
+            records = lineitem_constant_records(spark, sf_dir, stream=True)
+            return run_stream(spark, records, settings, "constant", f"{sf_dir}/lineitem.parquet")
         topic, per_trigger, _ = _backlog(
             spark, lineitem_constant_records(spark, sf_dir), n, "constant"
         )
         return run_topic(spark, topic, per_trigger, settings, "constant")
 
-    return _memo(
-        spark, ("constant", sf_dir, backlog_batches(spark, n), _layout(settings)), make
-    )
+    return _memo(spark, ("constant", sf_dir, n_batches, _layout(settings)), make)
 
 
 def arrivals_topic(spark: SparkSession, sf_dir: str) -> Arrivals:

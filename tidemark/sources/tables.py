@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table read as a stream: its files form the first micro-batch
+    (the table's own schema, the folder filtered to ``<name>.parquet``)."""
+    schema = table(spark, sf_dir, name).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .parquet(sf_dir.rstrip("/"))
+    )
+
+
 def id_range(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
     """``id`` 0..n-1 as bigint, generated in parallel on the executors."""
     if partitions:

@@ -39,7 +39,7 @@ class StreamRun:
 
     sink: str
     checkpoint: str
-    topic: str
+    topic: str  # where the records came from: a topic folder, or a table streamed as is
     progress: list[dict]
 
     @property
@@ -47,6 +47,17 @@ class StreamRun:
         return final_watermark_ms(self.progress)
 
 
+def run_stream(
+    spark: SparkSession, records: DataFrame, settings: StreamSettings, label: str, source: str
+) -> StreamRun:
+    """One run over a streaming DataFrame of records (a table read as a
+    stream and encoded on the fly, say) into a fresh sink and checkpoint."""
+    root = run_dir(spark, label)
+    sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
+    progress = run_count(spark, records, sink, ckpt, settings)
+    return StreamRun(sink, ckpt, source, progress)
+
+
 def publish_all(spark: SparkSession, records: DataFrame, label: str = "single") -> FileTopic:
     """Publish every record to a fresh topic at once (parallel write)."""
     topic = FileTopic(spark, f"{run_dir(spark, label + '-topic')}/topic", fresh=True)
