@@ -58,6 +58,7 @@ def test_triggers_and_settings():
     assert c["spark.sql.streaming.noDataMicroBatches.enabled"] == "false"
     assert c["spark.sql.streaming.stateStore.providerClass"] == ROCKSDB_PROVIDER
     assert c[ROCKSDB_CHANGELOG] == "true"
+    assert c["spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"] == "true"
     assert StreamSettings().delay == "20 seconds"
     assert StreamSettings().state_store == "rocksdb"
     assert StreamSettings(state_store="hdfs").conf()[

@@ -31,6 +31,7 @@ from tidemark.operators.records import project_records
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HDFS_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ROCKSDB_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+ROCKSDB_BOUNDED_MEMORY = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,9 @@ class StreamSettings:
     ``state_partitions`` is frozen into the checkpoint by the first run, so it
     is always set explicitly; size it to the cluster (state is spread over
     that many tasks). State lives in RocksDB on the executors' local disks
-    (not in JVM memory) with changelog checkpointing, which costs nothing
-    locally and keeps a large state from exhausting executor memory;
+    (not in JVM memory) with changelog checkpointing and one bounded native
+    memory budget per executor, which costs nothing locally and keeps a
+    large state from exhausting executor memory;
     ``state_store="hdfs"`` selects Spark's in-memory default instead. The
     provider is frozen into the checkpoint as well.
 
@@ -78,6 +80,9 @@ class StreamSettings:
         if self.state_store == "rocksdb":
             c["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB_PROVIDER
             c[ROCKSDB_CHANGELOG] = "true"
+            # All state partitions of an executor share one native memory
+            # budget, however many of them it hosts.
+            c[ROCKSDB_BOUNDED_MEMORY] = "true"
         elif self.state_store == "hdfs":
             c["spark.sql.streaming.stateStore.providerClass"] = HDFS_PROVIDER
         else:
