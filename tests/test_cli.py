@@ -55,3 +55,19 @@ def test_ingest_runs_for_a_while_then_stops(spark, monkeypatch):
     except AnalysisException:
         n = 0
     assert n in (0, 999)
+
+
+def test_kafka_flags_reach_the_source_options(spark):
+    import argparse
+
+    from tidemark.__main__ import _topic
+
+    args = argparse.Namespace(
+        kafka="b1:9092,b2:9092", topic=None, topic_name="t", starting_offsets="latest",
+        isolation_level="read_committed", max_offsets_per_trigger=5000,
+    )
+    t = _topic(spark, args)
+    assert t.source_options == {
+        "starting_offsets": "latest", "isolation_level": "read_committed",
+        "max_offsets_per_trigger": 5000,
+    }

@@ -35,7 +35,12 @@ from tidemark.streaming.live import audit_now, start_ingest
 
 def _topic(spark, args):
     if args.kafka:
-        return KafkaTopic(spark, args.kafka, args.topic_name)
+        opts = {"starting_offsets": args.starting_offsets}
+        if args.isolation_level:
+            opts["isolation_level"] = args.isolation_level
+        if args.max_offsets_per_trigger:
+            opts["max_offsets_per_trigger"] = args.max_offsets_per_trigger
+        return KafkaTopic(spark, args.kafka, args.topic_name, **opts)
     return FileTopic(spark, args.topic)
 
 
@@ -58,6 +63,10 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--topic", help="directory of a file topic")
     src.add_argument("--kafka", help="bootstrap servers, comma separated")
     p.add_argument("--topic-name", default=TOPIC)
+    p.add_argument("--starting-offsets", default="earliest", help="Kafka: where a new query starts")
+    p.add_argument("--isolation-level", choices=["read_committed", "read_uncommitted"])
+    p.add_argument("--max-offsets-per-trigger", type=int,
+                   help="Kafka: bound on records per micro-batch (and so on state)")
     p.add_argument("--sink")
     p.add_argument("--table", help="publish: Parquet table to encode")
     p.add_argument("--form", choices=["counter", "pair", "constant"], default="counter")
