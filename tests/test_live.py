@@ -57,3 +57,28 @@ def test_poll_reports_a_failing_round_and_goes_on(spark, monkeypatch):
         q.stop()
     assert len(rounds) == 2 and len(calls) == 2
     assert all(p == {"error": "store unreachable"} and row is None for p, row in rounds)
+
+
+def test_supervise_restarts_a_failed_query():
+    import pytest
+
+    from tidemark.streaming.live import supervise
+
+    class Fake:
+        def __init__(self, fail):
+            self.fail, self.isActive = fail, True
+
+        def awaitTermination(self, timeout=None):
+            if self.fail:
+                self.isActive = False
+                raise RuntimeError("query failed")
+            return True
+
+        def stop(self):
+            self.isActive = False
+
+    plan = iter([True, True, False])
+    q = supervise(lambda: Fake(next(plan)), restarts=3, backoff_s=0, timeout_s=1)
+    assert q.isActive is False and q.fail is False
+    with pytest.raises(RuntimeError):
+        supervise(lambda: Fake(True), restarts=1, backoff_s=0, timeout_s=1)

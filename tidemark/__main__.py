@@ -30,7 +30,7 @@ from tidemark.sources.tables import id_range, scan_parquet
 from tidemark.sources.kafka import KafkaTopic
 from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import StreamSettings, run_count
-from tidemark.streaming.live import audit_now, start_ingest
+from tidemark.streaming.live import audit_now, start_ingest, supervise
 
 
 def _topic(spark, args):
@@ -83,6 +83,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--state-store", choices=["rocksdb", "hdfs"], default="rocksdb")
     p.add_argument("--for", dest="run_for", type=float, default=None,
                    help="ingest: stop after this many seconds (default: run until stopped)")
+    p.add_argument("--restarts", type=int, default=3,
+                   help="ingest: restarts on the same checkpoint after a query failure")
     p.add_argument("--every", type=float, default=10.0)
     p.add_argument("--rounds", type=int, default=1)
     p.add_argument("--master", default=None)
@@ -117,11 +119,11 @@ def main(argv: list[str] | None = None) -> int:
         row = audit.delivery_check(received, received, args.expect).first()
         print(json.dumps(row.asDict()))
     elif args.command == "ingest":
-        q = start_ingest(spark, topic, args.sink, checkpoint, _settings(args))
-        try:
-            q.awaitTermination(args.run_for) if args.run_for else q.awaitTermination()
-        finally:
-            q.stop()
+        supervise(
+            lambda: start_ingest(spark, topic, args.sink, checkpoint, _settings(args)),
+            restarts=args.restarts,
+            timeout_s=args.run_for,
+        )
     elif args.command == "drain":
         progress = run_count(spark, topic.read_stream(), args.sink, checkpoint, _settings(args))
         print(json.dumps({"batches": len(progress),

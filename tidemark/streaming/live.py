@@ -51,6 +51,30 @@ def start_ingest(
         )
 
 
+def supervise(start, restarts: int = 3, backoff_s: float = 10.0, timeout_s: float | None = None):
+    """Keep a query running: ``start()`` returns a started query; when it
+    fails (repeated task failures, a broker out of reach), start it again on
+    the same checkpoint, at most ``restarts`` times, waiting ``backoff_s``
+    between attempts. Executor loss alone never gets here: Spark retries the
+    lost tasks inside the micro-batch. Returns the last query (stopped when
+    ``timeout_s`` ran out)."""
+    attempt = 0
+    while True:
+        q = start()
+        try:
+            q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
+            if q.isActive:
+                q.stop()
+            return q
+        except Exception:
+            if attempt >= restarts:
+                raise
+            attempt += 1
+            if q.isActive:
+                q.stop()
+            time.sleep(backoff_s)
+
+
 def _progress_dict(p) -> dict:
     if p is None:
         return {}
