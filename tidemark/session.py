@@ -30,16 +30,24 @@ def build_session(
     app_name: str = "tidemark",
     shuffle_partitions: int = 8,
     extra: dict[str, str] | None = None,
+    partition_bytes: str = "128m",
 ) -> SparkSession:
     """Create (or fetch) a session with the tidemark defaults.
 
     ``master=None`` leaves the master to spark-submit, as on a cluster.
+    Sizing: scans split files into ``partition_bytes`` pieces, and AQE
+    coalesces shuffle output towards the same size, so ``shuffle_partitions``
+    is an upper bound: set it to about total shuffle bytes / 128 MB for the
+    largest job (thousands on a large cluster). Each task then holds on the
+    order of 128 MB, which fits executor memory, and spills past it.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf["spark.sql.files.maxPartitionBytes"] = partition_bytes
+    conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = partition_bytes
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
