@@ -63,18 +63,20 @@ def _keyed(batches_of_times):
     return out
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(times, st.booleans())
-def test_random_arrivals_match_model(spark, batch_times, allow_multiple):
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(times, st.booleans(), st.booleans())
+def test_random_arrivals_match_model(spark, batch_times, allow_multiple, no_data):
     batches = _keyed(batch_times)
     run = run_arrivals(
         spark,
         fixture_records(spark, batches),
         "batch",
         len(batches),
-        small_settings(allow_multiple=allow_multiple),
+        small_settings(allow_multiple=allow_multiple, no_data_batches=no_data),
+    )
+    assert keys_out(spark, run.sink) == model(
+        batches, allow_multiple=allow_multiple, no_data=no_data
     )
-    assert keys_out(spark, run.sink) == model(batches, allow_multiple=allow_multiple)
 
 
 def test_model_reproduces_the_boundary_fixture():
