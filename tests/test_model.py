@@ -148,3 +148,40 @@ def test_more_arrival_batches_when_rows_exceed_the_bound(spark):
         assert sum(1 for p in run.progress if p["numInputRows"] > 0) == 10
         got = _keys(catalog.stream_append_multibatch(spark, SF_SMALL))
     assert got == model(_event_batches(spark, 10), to_ms=_to_ms)
+
+
+def model_update(batches, delay_s=DELAY_S, allow_multiple=True):
+    """(batch, key) pairs update mode emits: every kept record's group, in
+    the batch it arrives in (the late rule is the same as in append mode)."""
+    d = delay_s * 1000
+    newest, evict_prev, evict, out = None, 0, 0, []
+    for b, rows in enumerate(batches):
+        evict_prev = evict
+        if newest is not None:
+            evict = max(evict, newest - d)
+        late = evict_prev if allow_multiple else evict
+        out += [(b, k) for k, t in rows if (BASE + t) * 1000 > late]
+        top = max((BASE + t) * 1000 for _, t in rows) if rows else None
+        if top is not None:
+            newest = top if newest is None else max(newest, top)
+    return sorted(out)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(times, st.booleans())
+def test_update_mode_matches_model(spark, batch_times, allow_multiple):
+    batches = _keyed(batch_times)
+    run = run_arrivals(
+        spark,
+        fixture_records(spark, batches),
+        "batch",
+        len(batches),
+        small_settings(allow_multiple=allow_multiple),
+        output_mode="update",
+    )
+    rows = spark.read.parquet(run.sink).selectExpr(
+        "batch_id", "cast(decode(key, 'UTF-8') as int) AS k"
+    ).collect()
+    assert sorted((r.batch_id, r.k) for r in rows) == model_update(
+        batches, allow_multiple=allow_multiple
+    )
