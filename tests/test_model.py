@@ -185,3 +185,17 @@ def test_update_mode_matches_model(spark, batch_times, allow_multiple):
     assert sorted((r.batch_id, r.k) for r in rows) == model_update(
         batches, allow_multiple=allow_multiple
     )
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(times)
+def test_one_run_per_batch_matches_the_current_watermark_model(spark, batch_times):
+    """Restarting after each batch (W7) drops by the current batch's
+    watermark, like ``allowMultiple=false`` in one run."""
+    from tidemark.streaming.replay import run_per_arrival
+
+    batches = _keyed(batch_times)
+    run = run_per_arrival(
+        spark, fixture_records(spark, batches), "batch", len(batches), small_settings()
+    )
+    assert keys_out(spark, run.sink) == model(batches, allow_multiple=False)
