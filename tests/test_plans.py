@@ -73,3 +73,29 @@ def test_sort_with_a_hot_value_is_split_over_ranges(spark):
             assert (max(r["count"] for r in sizes) >= 10000) == hot
         vals = [r.v for r in sorted_by(df, "v", ["row"]).collect()]
     assert vals[:10000] == [None] * 10000 and vals[10000:] == sorted(vals[10000:])
+
+
+def test_streamed_table_scan_is_pruned(spark):
+    import contextlib
+    import io
+
+    from tidemark.session import run_dir
+    from tidemark.streaming.flow import session_conf, start_parquet_sink
+
+    root = run_dir(spark, "plan-stream")
+    # Without the closing no-data batch the last plan is the data batch's.
+    with session_conf(spark, {"spark.sql.streaming.noDataMicroBatches.enabled": "false",
+                              "spark.sql.shuffle.partitions": "2"}):
+        q = start_parquet_sink(
+            count_per_key(sc.events_records(spark, SF_SMALL, stream=True)),
+            f"{root}/sink", f"{root}/ck", "plan_stream",
+        )
+        try:
+            q.processAllAvailable()
+            buf = io.StringIO()
+            with contextlib.redirect_stdout(buf):
+                q.explain()
+        finally:
+            q.stop()
+    scan = [line for line in buf.getvalue().splitlines() if "FileScan parquet" in line]
+    assert scan and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in scan[0]
