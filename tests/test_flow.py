@@ -73,3 +73,17 @@ def test_progress_of_every_batch_is_kept(spark):
     full = run_arrivals(spark, fixture_records(spark, batches), "batch", 3,
                         StreamSettings(state_partitions=1), files_per_batch=1)
     assert len(short.progress) < 4 and len(full.progress) == 4
+
+
+def test_registered_runs_do_not_inherit_the_semantic_switches(spark):
+    off = {
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.streaming.statefulOperator.allowMultiple": "false",
+    }
+    with session_conf(spark, off):
+        s = sc.default_settings(spark)
+    assert s.allow_multiple is True and s.no_data_batches is True
+    c = s.conf()
+    assert c["spark.sql.streaming.noDataMicroBatches.enabled"] == "true"
+    assert c["spark.sql.streaming.statefulOperator.allowMultiple"] == "true"
+    assert sc.default_settings(spark, no_data_batches=False).no_data_batches is False

@@ -114,6 +114,11 @@ def default_settings(spark: SparkSession, **kw) -> StreamSettings:
     store = spark.conf.get(STATE_STORE_CONF, None)
     if store:
         kw.setdefault("state_store", store)
+    # The registered runs state Spark's defaults for the two semantic
+    # switches instead of inheriting whatever the session has.
+    for switch in ("allow_multiple", "no_data_batches"):
+        if kw.get(switch) is None:
+            kw[switch] = True
     return StreamSettings(state_partitions=max(parts, 1), **kw)
 
 
