@@ -59,3 +59,15 @@ def test_entry_loads_by_path_from_another_folder(tmp_path):
         [_sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120
     )
     assert out.stdout.split() == [str(len(QUERIES))] * 2, out.stderr[-2000:]
+
+
+def test_every_query_named_in_the_survey_is_registered():
+    named = {
+        "stream_append_single", "range_roundtrip", "parquet_scan", "envelope_decode",
+        "envelope_encode", "envelope_encode_pair", "project_envelope", "decode_key",
+        "stream_late_rows", "group_count", "group_count_wide", "max_timestamp",
+        "audit_summary", "mean_id", "audit_missing", "delivery_check", "sorted_ids", "top20",
+        "stream_append_multibatch", "stream_update_foreachbatch", "stream_nodata_off",
+        "stream_resume", "stream_progress",
+    }
+    assert named <= set(QUERIES), named - set(QUERIES)
