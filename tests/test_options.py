@@ -14,9 +14,9 @@ from tidemark.streaming.flow import (
 
 
 def test_kafka_source_options():
-    o = kafka_source_options(["kafka1:9091", "localhost:9111"])
+    o = kafka_source_options(["broker1:9092", "broker2:9092"])
     assert o == {
-        "kafka.bootstrap.servers": "kafka1:9091,localhost:9111",
+        "kafka.bootstrap.servers": "broker1:9092,broker2:9092",
         "subscribe": "test_topic",
         "startingOffsets": "earliest",
     }
