@@ -87,3 +87,27 @@ def test_registered_runs_do_not_inherit_the_semantic_switches(spark):
     assert c["spark.sql.streaming.noDataMicroBatches.enabled"] == "true"
     assert c["spark.sql.streaming.statefulOperator.allowMultiple"] == "true"
     assert sc.default_settings(spark, no_data_batches=False).no_data_batches is False
+
+
+def test_await_query_bounds_the_wait_only_when_asked():
+    import pytest
+
+    from tidemark.streaming.flow import await_query
+
+    class Slow:
+        name, isActive, recentProgress = "slow", True, []
+
+        def awaitTermination(self, timeout=None):
+            return None if timeout is None else False
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            self.isActive = False
+
+    q = Slow()
+    with pytest.raises(TimeoutError):
+        await_query(q, 0.1)
+    assert q.isActive is False  # stopped on the way out
+    assert await_query(Slow(), None) == []

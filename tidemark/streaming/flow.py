@@ -58,7 +58,9 @@ class StreamSettings:
     no_data_batches: bool | None = None
     state_store: str = "rocksdb"  # or "hdfs": Spark's in-memory provider
     query_name: str = "per_key_count"
-    timeout_s: float = 900.0
+    # A bounded (availableNow) run ends by itself; at scale it may take
+    # hours, so by default it is waited for. Set a bound where one is wanted.
+    timeout_s: float | None = None
     # Progress events kept per query (one small record per micro-batch);
     # Spark keeps 100, too few for a long bounded replay.
     progress_retention: int = 100_000
@@ -178,11 +180,13 @@ def start_update_sink(
     )
 
 
-def await_query(query: StreamingQuery, timeout_s: float) -> list[dict]:
-    """Wait with a bound, stop, surface failures; return the progress."""
+def await_query(query: StreamingQuery, timeout_s: float | None) -> list[dict]:
+    """Wait (with a bound when given), stop, surface failures; return
+    the progress."""
     try:
-        finished = query.awaitTermination(timeout_s)
-        if not finished:
+        if timeout_s is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout_s):
             raise TimeoutError(f"streaming query {query.name} still running after {timeout_s}s")
         err = query.exception()
         if err is not None:
