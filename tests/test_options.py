@@ -53,7 +53,10 @@ def test_triggers_and_settings():
                        state_store="rocksdb")
     c = s.conf()
     assert c["spark.sql.shuffle.partitions"] == "16"
-    assert c["spark.sql.streaming.numRecentProgressUpdates"] == "100000"
+    assert "spark.sql.streaming.numRecentProgressUpdates" not in c
+    assert StreamSettings(progress_retention=500).conf()[
+        "spark.sql.streaming.numRecentProgressUpdates"
+    ] == "500"
     assert c["spark.sql.streaming.statefulOperator.allowMultiple"] == "false"
     assert c["spark.sql.streaming.noDataMicroBatches.enabled"] == "false"
     assert c["spark.sql.streaming.stateStore.providerClass"] == ROCKSDB_PROVIDER

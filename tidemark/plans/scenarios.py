@@ -101,6 +101,7 @@ def events_arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 STATE_PARTITIONS_CONF = "tidemark.statePartitions"
+BOUNDED_PROGRESS_RETENTION = 10_000
 STATE_STORE_CONF = "tidemark.stateStore"
 
 
@@ -119,6 +120,8 @@ def default_settings(spark: SparkSession, **kw) -> StreamSettings:
     for switch in ("allow_multiple", "no_data_batches"):
         if kw.get(switch) is None:
             kw[switch] = True
+    # Bounded replays report every micro-batch (stream_progress).
+    kw.setdefault("progress_retention", BOUNDED_PROGRESS_RETENTION)
     return StreamSettings(state_partitions=max(parts, 1), **kw)
 
 

@@ -61,16 +61,16 @@ class StreamSettings:
     # A bounded (availableNow) run ends by itself; at scale it may take
     # hours, so by default it is waited for. Set a bound where one is wanted.
     timeout_s: float | None = None
-    # Progress events kept per query (one small record per micro-batch);
-    # Spark keeps 100, too few for a long bounded replay.
-    progress_retention: int = 100_000
+    # Progress events kept per query (one small record per micro-batch).
+    # None keeps Spark's 100, right for a live query that runs for weeks; a
+    # bounded replay that reports every batch asks for more.
+    progress_retention: int | None = None
     extra_conf: dict[str, str] = field(default_factory=dict)
 
     def conf(self) -> dict[str, str]:
-        c = {
-            "spark.sql.shuffle.partitions": str(self.state_partitions),
-            "spark.sql.streaming.numRecentProgressUpdates": str(self.progress_retention),
-        }
+        c = {"spark.sql.shuffle.partitions": str(self.state_partitions)}
+        if self.progress_retention is not None:
+            c["spark.sql.streaming.numRecentProgressUpdates"] = str(self.progress_retention)
         if self.allow_multiple is not None:
             c["spark.sql.streaming.statefulOperator.allowMultiple"] = str(
                 self.allow_multiple
