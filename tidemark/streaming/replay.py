@@ -19,6 +19,9 @@ from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import StreamSettings, run_count
 from tidemark.streaming.progress import final_watermark_ms
 
+# Upper bound on the reduce partitions of the time-ordering exchange.
+MAX_RANGES = 100_000
+
 # Arrival rule for replays with late records (ours, not the reference's):
 # records arrive in B batches in id order, and every tenth record is held
 # back by three batches.
@@ -119,9 +122,12 @@ def publish_in_time_order(
     least the previous batch's maximum, so no record is ever late (a time
     split over two batches is not below the earlier maximum): a stream over
     these batches emits exactly what one batch over the whole backlog would,
-    while its state holds about one batch instead of all.
+    while its state holds about one batch instead of all. The exchange has
+    at most ``MAX_RANGES`` reduce partitions: with many batches, fewer and
+    larger files per batch.
     """
     k = files_per_batch or parallelism(spark)
+    k = max(1, min(k, MAX_RANGES // max(n_batches, 1)))
     ordered = records.repartitionByRange(
         n_batches * k, "timestamp", "partition", "offset"
     ).withColumn(
