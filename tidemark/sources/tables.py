@@ -14,14 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table read as a stream: its files form the first micro-batch
-    (the table's own schema, the folder filtered to ``<name>.parquet``)."""
-    schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir.rstrip("/"))
-    )
+    """A given table read as a stream: its files form the first micro-batch,
+    with the table's own schema. A table stored as a folder of part files is
+    streamed as that folder; a single ``<name>.parquet`` file (the stream
+    source wants a folder) through its parent, filtered to that file name."""
+    batch = table(spark, sf_dir, name)
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(batch.schema)
+    files = batch.inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir.rstrip("/"))
+    return reader.parquet(path)
 
 
 def id_range(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
