@@ -1,0 +1,2 @@
+"""Registered queries (catalog), their SQL statements (oracle) and the
+streaming runs they share (scenarios)."""

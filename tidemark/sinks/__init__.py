@@ -1,0 +1 @@
+"""Batch sinks (K2)."""
