@@ -148,6 +148,16 @@ def audit_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing(reconciled, wm)
 
 
+def audit_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The poll's question asked of the flagship (A2, A3, A5): how many of
+    the events sent are persisted, the latest persisted time, and why the
+    rest are missing."""
+    run = sc.single_run(spark, sf_dir)
+    sent = sc.events_records(spark, sf_dir)
+    reconciled = audit.reconcile(sent, read_sink(spark, run.sink))
+    return audit.summary(reconciled, audit.watermark_at(run.final_watermark_ms))
+
+
 def delivery_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders published as pair records and consumed: at least all of them."""
     sent = sc.orders_records(spark, sf_dir)
@@ -298,6 +308,7 @@ _PLAIN: dict[str, Query] = {
     "stream_progress": stream_progress,
     "audit_summary": audit_summary,
     "audit_missing": audit_missing,
+    "audit_flagship": audit_flagship,
     "delivery_check": delivery_check,
     "delivery_check_constant": delivery_check_constant,
     "decode_key": decode_key,

@@ -124,6 +124,17 @@ SELECT (SELECT count(*) FROM a) AS sent,
        (SELECT count(*) FROM a WHERE a.ts > (SELECT wm FROM f)) AS missing_withheld,
        CAST(0 AS BIGINT) AS malformed_keys,
        (SELECT count(*) FROM a) = (SELECT count(*) FROM p) AS complete""",
+    "audit_flagship": """
+WITH w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 20 SECOND AS wm FROM events),
+p AS (SELECT ts FROM events WHERE ts <= (SELECT wm FROM w))
+SELECT (SELECT count(*) FROM events) AS sent,
+       (SELECT count(*) FROM p) AS persisted_rows,
+       (SELECT count(*) FROM p) AS persisted,
+       (SELECT max(ts) FROM p) AS latest_persisted,
+       CAST(0 AS BIGINT) AS missing_late,
+       (SELECT count(*) FROM events WHERE ts > (SELECT wm FROM w)) AS missing_withheld,
+       CAST(0 AS BIGINT) AS malformed_keys,
+       (SELECT count(*) FROM events) = (SELECT count(*) FROM p) AS complete""",
     "delivery_check": """
 SELECT count(*) AS sent, count(*) AS received, count(*) AS expected,
        count(DISTINCT o_orderkey) AS distinct_keys, true AS ok
