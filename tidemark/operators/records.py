@@ -17,7 +17,6 @@ from tidemark.functions.envelope import (
     TOPIC,
     TOPIC_PARTITIONS,
     as_event_time,
-    as_wall_clock,
     bytes_to_text,
     iso_millis,
     key_to_id,
@@ -105,8 +104,3 @@ def decode_ids(table: DataFrame, key_col: str = "key") -> DataFrame:
     rather than failing the job; ``malformed_keys`` counts them.
     """
     return table.select(key_to_id(key_col).alias("id"))
-
-
-def wall_clock_rows(table: DataFrame, time_col: str = "timestamp") -> DataFrame:
-    """Replace the event-time column by its NTZ wall clock for results."""
-    return table.withColumn(time_col, as_wall_clock(time_col))
