@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from tidemark.functions.envelope import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA
 
 # Each replayed arrival batch gets its own directory (no "=", so no
-# partition column is inferred); readers glob over the topic's entries.
+# partition column is inferred); readers glob over the topic's data files
+# and batch directories only (never its marker files).
 BATCH_DIR = "batch-{:06d}"
+DATA_GLOB = "{*.parquet,batch-*}"
 
 
 class FileTopic:
@@ -149,7 +151,7 @@ class FileTopic:
     def read(self) -> DataFrame:
         """Every record published so far (top-level files and batch
         directories alike)."""
-        return self.spark.read.schema(ENVELOPE_SCHEMA).parquet(f"{self.path}/*")
+        return self.spark.read.schema(ENVELOPE_SCHEMA).parquet(f"{self.path}/{DATA_GLOB}")
 
     def read_stream(self, files_per_trigger: int | None = None) -> DataFrame:
         """S1 stand-in: the topic as a stream; with ``files_per_trigger`` equal
@@ -164,7 +166,7 @@ class FileTopic:
             reader = reader.option("maxFilesPerTrigger", k).option(
                 "maxCachedFiles", max(10_000, 16 * k)
             )
-        return reader.parquet(f"{self.path}/*")
+        return reader.parquet(f"{self.path}/{DATA_GLOB}")
 
 
 def _listing(spark: SparkSession, path: str) -> dict[str, object]:
