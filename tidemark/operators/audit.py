@@ -103,7 +103,9 @@ def summary(reconciled: DataFrame, watermark: Column) -> DataFrame:
     )
 
 
-def delivery_check(sent: DataFrame, received: DataFrame, expected: int | Column | None = None) -> DataFrame:
+def delivery_check(
+    sent: DataFrame, received: DataFrame, expected: int | Column | None = None
+) -> DataFrame:
     """Were at least ``expected`` records received (default: all sent)?
 
     Reports received, expected and sent side by side, plus the number of
@@ -111,8 +113,10 @@ def delivery_check(sent: DataFrame, received: DataFrame, expected: int | Column
     One job over the union of both sides; no collect.
     """
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    tagged = sent.select(one.alias("s"), zero.alias("r"), F.lit(None).cast("binary").alias("k"))
-    tagged = tagged.unionByName(received.select(zero.alias("s"), one.alias("r"), F.col("key").alias("k")))
+    no_key = F.lit(None).cast("binary")
+    tagged = sent.select(one.alias("s"), zero.alias("r"), no_key.alias("k")).unionByName(
+        received.select(zero.alias("s"), one.alias("r"), F.col("key").alias("k"))
+    )
     out = tagged.agg(
         F.coalesce(F.sum("s"), zero).alias("sent"),
         F.coalesce(F.sum("r"), zero).alias("received"),
