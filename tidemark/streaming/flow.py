@@ -58,9 +58,10 @@ class StreamSettings:
     no_data_batches: bool | None = None
     state_store: str = "rocksdb"  # or "hdfs": Spark's in-memory provider
     query_name: str = "per_key_count"
-    # A bounded (availableNow) run ends by itself; at scale it may take
-    # hours, so by default it is waited for. Set a bound where one is wanted.
-    timeout_s: float | None = None
+    # A bounded (availableNow) run ends by itself, but a wait is never
+    # unbounded: the default allows a day, enough for a 100 TB replay.
+    # None waits without a bound.
+    timeout_s: float | None = 86_400.0
     # Progress events kept per query (one small record per micro-batch).
     # None keeps Spark's 100, right for a live query that runs for weeks; a
     # bounded replay that reports every batch asks for more.
