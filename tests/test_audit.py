@@ -31,8 +31,8 @@ def test_reconcile_counts_hot_and_repeated_keys(spark):
     sink = _sink(spark, [(0, T, "key", 200), (0, T, "junk", 1)])
     rec = audit.reconcile(sent, sink)
     wm = F.lit(T).cast("timestamp")
-    miss = {(r.id, r.n_missing, r.reason) for r in audit.missing(rec, wm).collect()}
-    assert miss == {(None, 100, "late"), (1, 1, "late"), (2, 1, "withheld")}
+    miss = {(r.id, r.key_text, r.n_missing, r.reason) for r in audit.missing(rec, wm).collect()}
+    assert miss == {(None, "key", 100, "late"), (1, "1", 1, "late"), (2, "2", 1, "withheld")}
     s = audit.summary(rec, wm).first().asDict()
     assert s["sent"] == 302 and s["persisted"] == 201 and s["persisted_rows"] == 2
     assert s["missing_late"] == 101 and s["missing_withheld"] == 1

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.envelope import GROUP_KEY, as_wall_clock, key_to_id
+from tidemark.functions.envelope import GROUP_KEY, as_wall_clock, bytes_to_text, key_to_id
 
 
 def reconcile(sent: DataFrame, persisted: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -57,7 +57,9 @@ def expected_watermark(sent: DataFrame, delay: str) -> Column:
 
 
 def missing(reconciled: DataFrame, watermark: Column) -> DataFrame:
-    """A5: groups with fewer records persisted than sent.
+    """A5: groups with fewer records persisted than sent, identified by the
+    key as text (``key_text``) and decoded (``id``, null when the key is not
+    decimal text).
 
     ``reason`` is ``late`` when the record time is at or below the run's
     final watermark (it must have been dropped on arrival: had it been kept
@@ -67,6 +69,7 @@ def missing(reconciled: DataFrame, watermark: Column) -> DataFrame:
     gap = F.col("sent") - F.col("persisted")
     return reconciled.where(gap > 0).select(
         key_to_id("key").alias("id"),
+        bytes_to_text("key").alias("key_text"),
         as_wall_clock("timestamp").alias("timestamp"),
         "partition",
         gap.alias("n_missing"),

@@ -107,8 +107,8 @@ SELECT e.batch AS batch_id,
 FROM e""",
     "audit_missing": f"""
 WITH {_arrivals(2)}
-SELECT a.event_id AS id, a.ts AS "timestamp", CAST(a.event_id % 2 AS INTEGER) AS "partition",
-       CAST(1 AS BIGINT) AS n_missing,
+SELECT a.event_id AS id, CAST(a.event_id AS VARCHAR) AS key_text, a.ts AS "timestamp",
+       CAST(a.event_id % 2 AS INTEGER) AS "partition", CAST(1 AS BIGINT) AS n_missing,
        CASE WHEN a.ts <= (SELECT wm FROM f) THEN 'late' ELSE 'withheld' END AS reason
 FROM a JOIN l USING (batch)
 WHERE a.ts <= l.late OR a.ts > (SELECT wm FROM f)""",
