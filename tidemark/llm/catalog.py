@@ -6,13 +6,123 @@ parameters and derives the columns it returns from the operator's output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact import exact_dedup
 from tidemark.llm.mixing import mix
+from tidemark.llm.near import Params, near_dedup
+from tidemark.llm.packing import Capacity, best_fit
+from tidemark.llm.quality import fit, score_quality
+from tidemark.llm.quotes import link_quotes
+from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.util import read
+from tidemark.llm.vectors import near_vectors
+
+#: Token capacity decides; the other two only tell equal residuals apart.
+PACKING = Capacity(tokens=4096, documents=4096, attention=4096.0**2, weights=(1.0, 1e-4, 1e-4))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of ``documents``."""
+    found = scan_secrets(read(spark, sf_dir, "documents"))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(told(base).cast("binary"), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+        number("entropy").alias("n_entropy"),
+    )
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 or more between all rows of ``embeddings``."""
+    out = near_vectors(read(spark, sf_dir, "embeddings"), least=0.9)
+    return out.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        "component_id",
+        (F.col("id") == F.col("component_id")).alias("kept"),
+    )
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of ``documents`` linked by 4-word shingles at 80 per cent."""
+    out = near_dedup(read(spark, sf_dir, "documents"), Params(words=4, percent=80))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        "component_id",
+        (F.col("id") == F.col("component_id")).alias("kept"),
+    )
+
+
+def training_row(doc_id: Column) -> Column:
+    """Whether labels may be learned from the row."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
+
+
+def quality_model(documents: DataFrame, labels: DataFrame) -> dict | None:
+    """A model from the rows of ``documents`` that labels may be learned from."""
+    allowed = training_row(F.col("doc_id"))
+    trusted = labels.where(allowed & (F.col("quality") == 1)).select(F.col("doc_id").alias("id"))
+    return fit(documents.where(allowed), trusted)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text of ``documents``."""
+    documents = read(spark, sf_dir, "documents")
+    model = quality_model(documents, read(spark, sf_dir, "labels"))
+    return score_quality(documents, model).select(
+        F.col("id").alias("doc_id"),
+        (~training_row(F.col("id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply-ordered ``conversations`` without quotes; ``path`` gives the order."""
+    out = link_quotes(read(spark, sf_dir, "conversations"))
+    spot = F.element_at("__path", -2)
+    return out.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.when(F.size("__path") > 1, spot["conv"]).alias("parent_conv_id"),
+        F.when(F.size("__path") > 1, spot["turn"]).alias("parent_turn"),
+        F.element_at("__path", 1)["conv"].alias("root_conv_id"),
+        F.element_at("__path", 1)["turn"].alias("root_turn"),
+        F.col("__depth").alias("depth"),
+        F.array_join(
+            F.transform("__path", lambda p: F.concat_ws(":", p["conv"], p["turn"])), "/"
+        ).alias("path"),
+        F.col("__linked").alias("n_linked"),
+        F.col("__clean").alias("clean_text"),
+    )
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of at most 4096 tokens."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    out = best_fit(read(spark, sf_dir, "documents"), vocabulary, PACKING)
+    return out.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
 
 
 def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +163,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_balanced_shards": op5_balanced_shards,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quotation_linking": op9_quotation_linking,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
