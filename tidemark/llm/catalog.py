@@ -16,6 +16,7 @@ from tidemark.llm.near import Params, near_dedup
 from tidemark.llm.packing import Capacity, best_fit
 from tidemark.llm.quality import fit, score_quality
 from tidemark.llm.quotes import link_quotes
+from tidemark.llm.repeats import without_repeats
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.util import read
@@ -60,6 +61,19 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the bytes that 200-byte repeats cover."""
+    out = without_repeats(read(spark, sf_dir, "documents"), length=200)
+    gone = F.transform("removed", lambda s: s["hi"] - s["lo"])
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of ``documents`` linked by 4-word shingles at 80 per cent."""
     out = near_dedup(read(spark, sf_dir, "documents"), Params(words=4, percent=80))
@@ -165,6 +179,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_balanced_shards": op5_balanced_shards,
     "op6_quality_classifier": op6_quality_classifier,
