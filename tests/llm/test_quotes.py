@@ -1,0 +1,94 @@
+from pyspark.sql import types as T
+
+from tidemark.llm.catalog import op9_quotation_linking
+from tidemark.llm.quotes import link_quotes
+from tidemark.llm.util import saved
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = T.StructType(
+    [
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("turn", T.LongType()),
+        T.StructField("role", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("row", T.StringType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("conv", T.StringType()),
+    ]
+)
+
+
+def linked(spark, rows):
+    table = saved(spark.createDataFrame([(*r, "x", "x", "x") for r in rows], SCHEMA), "test-turns")
+    out = link_quotes(table).orderBy("__path").collect()
+    at = {r["__row"]: (r["conv_id"], r["turn"]) for r in out}
+    return {
+        (r["conv_id"], r["turn"]): (at.get(r["__parent"]), at[r["__root"]], r["__depth"], r["__clean"]) for r in out
+    }, [(r["conv_id"], r["turn"]) for r in out]
+
+
+def test_nested_quotes_and_reply_order(spark):
+    first = "Shall we meet on Friday afternoon?\nI can bring the printed plans.\n\nRegards, the builder"
+    second = "On Monday the builder wrote:\n> Shall we meet on Friday\n> afternoon?\n> I can bring the printed plans.\n\nFriday does not suit me."
+    third = "> > shall we meet on friday afternoon?\n> Friday does not suit me.\nWhat about Saturday then?"
+    fourth = ">I can bring the  PRINTED plans.\nPlease bring two copies."
+    got, order = linked(
+        spark,
+        [(1, 0, "user", first), (1, 1, "user", second), (1, 2, "user", third), (1, 3, "user", fourth), (1, 4, "user", "No quote here.")],
+    )
+    assert got[1, 1] == ((1, 0), (1, 0), 1, "Friday does not suit me.")
+    assert got[1, 2] == ((1, 1), (1, 0), 2, "What about Saturday then?")
+    assert got[1, 3] == ((1, 0), (1, 0), 1, "Please bring two copies.")
+    assert got[1, 4] == (None, (1, 4), 0, "No quote here.")
+    assert order == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4)]
+
+
+def test_replies_follow_their_parent_across_conversations(spark):
+    got, order = linked(
+        spark,
+        [
+            (1, 0, "u", "The original announcement text."),
+            (1, 1, "u", "Something quite unrelated to it."),
+            (5, 0, "u", "> The original announcement text.\nAn answer from elsewhere."),
+            (5, 1, "u", "> An answer from elsewhere.\nAgreed."),
+            (0, 9, "u", "> The original announcement text.\nQuoted before it was said."),
+        ],
+    )
+    assert got[5, 0][0] == (1, 0) and got[5, 1][:3] == ((5, 0), (1, 0), 2)
+    assert got[0, 9] == (None, (0, 9), 0, "Quoted before it was said.")
+    assert order == [(0, 9), (1, 0), (5, 0), (5, 1), (1, 1)]
+
+
+def test_edge_rows(spark):
+    got, _ = linked(
+        spark,
+        [
+            (None, None, None, None), (2, 0, "u", ""), (2, 1, "u", ">"), (2, 2, "u", "> nobody ever said this line"),
+            (2, 3, "u", "x " * 100_000), (2, 4, "u", "> " + "x " * 100_000 + "\nyes"), (3, 0, "u", "a > b and b > c"),
+            (None, 1, "u", "words without any conversation"), (None, 2, "u", "> words without any conversation\nok"),
+        ],
+    )
+    assert got[None, None][3] == "" and got[2, 1] == (None, (2, 1), 0, "")
+    assert got[2, 2] == (None, (2, 2), 0, "")
+    assert got[2, 4] == ((2, 3), (2, 3), 1, "yes")
+    assert got[3, 0][3] == "a > b and b > c"
+    assert got[None, 2][0] == (None, 1)
+
+
+def test_common_line_and_repeated_rows(spark):
+    rows = [(c, t, "u", "Thanks a lot, everybody!") for c in range(30) for t in range(3)]
+    rows += [(c, 5, "u", "> Thanks a lot, everybody!\nYou are welcome.") for c in range(30)] * 2
+    got, _ = linked(spark, rows)
+    assert all(got[c, 5][0] == (c, 0) for c in range(30))
+
+
+def test_query(spark):
+    out = op9_quotation_linking(spark, SF)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    assert out.count() == turns.count()
+    assert op9_quotation_linking(spark, SF).where("n_linked > 0 AND depth = 0").count() == 0
+
+
+def test_empty(spark):
+    table = saved(spark.createDataFrame([], SCHEMA), "test-turns")
+    assert link_quotes(table).count() == 0

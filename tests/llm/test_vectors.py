@@ -1,0 +1,97 @@
+import numpy as np
+import pytest
+from llm import brute
+from pyspark.sql import types as T
+
+from tidemark.llm.util import saved
+from tidemark.llm.vectors import Codes, banded, near_vectors, quantise
+
+SCHEMA = T.StructType(
+    [
+        T.StructField("vec_id", T.LongType()),
+        T.StructField("embedding", T.ArrayType(T.DoubleType())),
+        T.StructField("label", T.IntegerType()),
+        T.StructField("node", T.StringType()),
+        T.StructField("copies", T.StringType()),
+    ]
+)
+
+
+def table(spark, vectors, ids=None):
+    rows = [(ids[i] if ids else i, v, 0, "x", "x") for i, v in enumerate(vectors)]
+    return saved(spark.createDataFrame(rows, SCHEMA), "test-vectors")
+
+
+def expected(vectors, least):
+    def whole(v):
+        return v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    links = []
+    for i, a in enumerate(vectors):
+        for j, b in enumerate(vectors[:i]):
+            if whole(a) and whole(b) and len(a) == len(b):
+                x, y = np.array(a), np.array(b)
+                if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= least:
+                    links.append((i, j))
+    comp = brute.components(len(vectors), links)
+    return [(sum(i in e for e in links), comp[i]) for i in range(len(vectors))]
+
+
+def clustered(seed, n, dim, spread):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(5, dim))
+    return [(centre[k % 5] + spread * rng.normal(size=dim)).tolist() for k in range(n)]
+
+
+@pytest.mark.parametrize("dim, spread", [(8, 0.35), (64, 0.3), (3, 0.2)])
+def test_links_near_the_threshold(spark, dim, spread):
+    vectors = clustered(dim, 90, dim, spread) + clustered(1, 3, dim, 0.01)
+    out = near_vectors(table(spark, vectors), 0.9, tile=16).collect()
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in out}
+    assert [got[i] for i in range(len(vectors))] == expected(vectors, 0.9)
+    assert all(r["kept"] == (r["id"] == r["component_id"]) for r in out)
+
+
+def test_edge_rows(spark):
+    v = [1.0, 2.0, 3.0]
+    vectors = [
+        None, [], [0.0, 0.0, 0.0], [1.0, None, 3.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0],
+        v, v, [2.0, 4.0, 6.0], [-1.0, -2.0, -3.0], [1e300, 2e300, 3e300], [1.0, 2.0], [1.0, 2.0], [1e-200, 0.0],
+    ]
+    got = sorted(tuple(r) for r in near_vectors(table(spark, vectors)).select("id", "n_links", "component_id").collect())
+    links = [0] * 6 + [3, 3, 3, 0, 3, 1, 1, 0]
+    comp = [0, 1, 2, 3, 4, 5, 6, 6, 6, 9, 6, 11, 11, 13]
+    assert got == [(i, links[i], comp[i]) for i in range(len(vectors))]
+
+
+def test_ids(spark):
+    v = [1.0, 0.5]
+    out = near_vectors(table(spark, [v, v, v, [0.0, 1.0]], ids=[None, 7, 7, None])).collect()
+    assert sorted((r["id"] is None, r["n_links"], r["component_id"] or 0) for r in out) == [
+        (False, 2, 7), (False, 2, 7), (True, 0, 0), (True, 2, 7),
+    ]
+    assert sum(r["kept"] for r in out) == 2
+    assert near_vectors(table(spark, [v]).where("false")).count() == 0
+
+
+def test_many_copies_cost_no_pairs(spark):
+    base = clustered(3, 4, 16, 0.05)
+    out = near_vectors(table(spark, [base[i % 4] for i in range(400)]), tile=64)
+    assert {r["n_links"] for r in out.select("n_links").collect()} <= {99, 199, 299, 399}
+
+
+def test_bounds_are_rigorous():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 48)) * rng.exponential(size=(300, 1)) ** 3
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    codes, scale, error, norm = quantise(x)
+    side = Codes(codes.astype(np.float32), scale, error, norm)
+    cosine = unit @ unit.T
+    for least in (0.1, 0.3, 0.9):
+        certain, possible = set(), set()
+        for i, j, sure in banded(side, side, least, True):
+            certain |= set(zip(i[sure].tolist(), j[sure].tolist()))
+            possible |= set(zip(i.tolist(), j.tolist()))
+        above = {(i, j) for i, j in zip(*np.nonzero(cosine >= least)) if i < j}
+        assert certain <= above <= possible
+        assert len(possible) - len(certain) < 0.2 * 300 * 299 / 2
