@@ -16,6 +16,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
@@ -23,12 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import buckets_for, running, saved
+from tidemark.llm.util import buckets_for, per_process, running, saved
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+END_MARK = "</w>"
+# The splitting rule of the vocabulary for lower-case Latin-1 text
+# (contractions, runs of letters, single numbers, runs of other characters).
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+PART = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+"
+)
 
 
 @dataclass(frozen=True)
@@ -46,33 +55,103 @@ class WordEncoder:
     """Ids of whole texts from ids of words.
 
     The vocabulary's splitter drops white space and never joins what it
-    divides, so a text's ids are those of its words in order. ``words`` keeps the
-    ids of words already met, up to a bound.
+    divides, so a text's ids are those of its words in order. Texts of Latin-1
+    characters are lower-cased, split and reduced to their distinct words in bulk; the
+    words are divided here by the vocabulary's own rule, and parts not met before go
+    to the merges together, where each part ends at a token with the end mark. Words of
+    other texts go through the whole tokenizer. Ids already met are kept up to a bound.
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = struct.pack("<I", end_id)
+        # The same merges for parts that are split and lower-cased already.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
+        vocabulary = self.merges.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(END_MARK)]] = True
+        self.known: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not end each word by a marked token")
+            data, lo = ids.tobytes(), 0
+            for part, hi in zip(some, ends):
+                self.known[part] = data[lo:hi]
+                lo = hi
+
+    def _plain_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct lower-case Latin-1 words."""
+        known = self.known
+        out = list(map(known.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if len(known) + 2 * len(new) > CACHED_WORDS:
+            known.clear()
+        # A word of letters alone is one part.
+        letters = [words[i] for i in new if words[i].isalpha()]
+        other = {words[i]: PART.findall(words[i]) for i in new if not words[i].isalpha()}
+        met = {p for parts in other.values() for p in parts}
+        met.update(letters)
+        self._learn(list(met.difference(known)))
+        for word, parts in other.items():
+            known[word] = b"".join([known[p] for p in parts])
+        for i in new:
+            out[i] = known[words[i]]
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        words = lists.flatten().dictionary_encode()
+        ids = self._plain_words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        code = words.indices.to_numpy().tolist()
+        bounds = lists.offsets.to_numpy().tolist()
+        return [b"".join([ids[c] for c in code[a:b]]) + self.end for a, b in zip(bounds, bounds[1:])]
+
+    def _encode_any(self, text: str) -> bytes:
+        out = []
+        for word in text.encode("utf-8").split():
+            if word not in self.words:
+                if len(self.words) > CACHED_WORDS:
+                    self.words.clear()
+                ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+                self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+            out.append(self.words[word])
+        return b"".join(out) + self.end
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, the end id last."""
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        known = self.words
-        new = list({w for words in split for w in words}.difference(known))
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8") for w in some], add_special_tokens=False
-            )
-            for word, got in zip(some, found):
-                known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        given = [text or "" for text in texts]
+        plain = [_is_plain(text) for text in given]
+        bulk = iter(self._encode_plain([t for t, p in zip(given, plain) if p]))
+        return [next(bulk) if p else self._encode_any(t) for t, p in zip(given, plain)]
+
+
+def _is_plain(text: str) -> bool:
+    """Whether lower-casing and splitting need no more than Latin-1, and no special token is named."""
+    if "<|" in text or END_MARK in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def pieces(
@@ -98,10 +177,12 @@ def pieces(
         schema, names = schema + ", ids binary", [*names, "ids"]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary, end_id)
+        encoder = per_process(
+            ("encoder", vocabulary, end_id), lambda: WordEncoder(vocabulary, end_id)
+        )
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, got in enumerate(encoder.encode(batch.column(2).to_pylist())):
                     for k, lo in enumerate(range(0, len(got), step)):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+import types
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,3 +101,16 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], **types: str) -> Dat
         F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, types.items())]) for r in rows
     ]
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` returned for ``key`` in this Python worker before, or returns now.
+
+    Spark's workers run many tasks, each with functions of its own; what is costly to
+    build and only saves work (vocabularies, caches of hashes) outlives them here.
+    """
+    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
+    name = repr(key)
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)
