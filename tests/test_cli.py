@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from conftest import SF_SMALL
 
 from tidemark.__main__ import main
@@ -35,26 +36,37 @@ def test_publish_consume_and_roundtrip(spark, capsys, monkeypatch):
     got = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     n = spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
     assert got["received"] == n and got["distinct_keys"] == n and got["ok"] is True
+    for sent, ok in (("orders", True), ("lineitem", False)):
+        assert main(["consume", *topic, "--sent", f"{SF_SMALL}/{sent}.parquet"]) == 0
+        assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["ok"] is ok
     assert main(["roundtrip", "--path", f"{root}/range", "--n", "50"]) == 0
     assert spark.read.parquet(f"{root}/range").count() == 50
 
 
-def test_ingest_runs_for_a_while_then_stops(spark, monkeypatch):
+def test_ingest_runs_for_a_while_then_stops(spark, monkeypatch, capsys):
     monkeypatch.setattr(type(spark), "stop", lambda self: None)
     root = run_dir(spark, "cli-ingest")
     FileTopic(spark, f"{root}/topic").publish(sc.events_records(spark, SF_SMALL))
     args = ["--topic", f"{root}/topic", "--sink", f"{root}/sink", "--state-partitions", "2"]
-    assert main(["ingest", *args, "--for", "8"]) == 0
+    # The trigger fires every 10 s; the second batch writes what the first has read.
+    assert main(["ingest", *args, "--for", "25", "--poll", "--every", "2"]) == 0
     assert not spark.streams.active
-    # Rows come out once a second trigger moves the watermark past them; on a
-    # slow machine 8 s may not allow it, and the sink may not exist yet.
-    from pyspark.errors import AnalysisException
+    assert spark.read.parquet(f"{root}/sink").count() == 999
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert rows and rows[-1]["sent"] == 1000 and rows[-1]["missing_unread"] == 0
+    assert main(["audit", *args, "--checkpoint", f"{root}/sink_checkpoint"]) == 0
+    row = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (row["persisted"], row["missing_withheld"], row["missing_unread"]) == (999, 1, 0)
 
-    try:
-        n = spark.read.parquet(f"{root}/sink").count()
-    except AnalysisException:
-        n = 0
-    assert n in (0, 999)
+
+@pytest.mark.parametrize("flags", [
+    ["consume", "--topic", "t"],
+    ["publish", "--kafka", "b:1", "--table", "t", "--id-col", "i", "--time-col", "ts"],
+])
+def test_flags_that_would_promise_too_much(flags, capsys):
+    with pytest.raises(SystemExit):
+        main(flags)
+    capsys.readouterr()
 
 
 def test_kafka_flags_reach_the_source_options(spark):

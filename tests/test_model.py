@@ -121,7 +121,7 @@ def test_registered_arrivals_match_model_on_events(spark):
     from tidemark.plans import catalog
     from tidemark.plans import scenarios as sc
 
-    batches = _event_batches(spark, sc.arrival_batches(spark, 1000))
+    batches = _event_batches(spark, sc.ARRIVAL_BATCHES)
     assert len(batches) == 6
     assert _keys(catalog.stream_append_multibatch(spark, SF_SMALL)) == model(
         batches, to_ms=_to_ms
@@ -134,22 +134,6 @@ def test_registered_arrivals_match_model_on_events(spark):
     )
 
 
-def test_more_arrival_batches_when_rows_exceed_the_bound(spark):
-    """With 100 records per micro-batch, 1000 events arrive in 10 batches."""
-    from conftest import SF_SMALL
-
-    from tidemark.plans import catalog
-    from tidemark.plans import scenarios as sc
-    from tidemark.streaming.flow import session_conf
-
-    with session_conf(spark, {sc.BACKLOG_CONF: "100"}):
-        assert sc.arrival_batches(spark, 1000) == 10
-        run = sc.arrivals_run(spark, SF_SMALL)
-        assert sum(1 for p in run.progress if p["numInputRows"] > 0) == 10
-        got = _keys(catalog.stream_append_multibatch(spark, SF_SMALL))
-    assert got == model(_event_batches(spark, 10), to_ms=_to_ms)
-
-
 def model_update(batches, delay_s=DELAY_S, allow_multiple=True):
     """(batch, key) pairs update mode emits: every kept record's group, in
     the batch it arrives in (the late rule is the same as in append mode)."""

@@ -1,9 +1,11 @@
 """S2, K4, W4 and the stream settings: pure option builders."""
 
-from tidemark.sources.kafka import kafka_sink_options, kafka_source_options
-from tidemark.sources.objectstore import s3a_conf
+import os
+
 import pytest
 
+from tidemark.sources.kafka import kafka_sink_options, kafka_source_options
+from tidemark.sources.objectstore import s3a_conf
 from tidemark.streaming.flow import (
     HDFS_PROVIDER,
     ROCKSDB_CHANGELOG,
@@ -54,9 +56,6 @@ def test_triggers_and_settings():
     c = s.conf()
     assert c["spark.sql.shuffle.partitions"] == "16"
     assert "spark.sql.streaming.numRecentProgressUpdates" not in c
-    assert StreamSettings(progress_retention=500).conf()[
-        "spark.sql.streaming.numRecentProgressUpdates"
-    ] == "500"
     assert c["spark.sql.streaming.statefulOperator.allowMultiple"] == "false"
     assert c["spark.sql.streaming.noDataMicroBatches.enabled"] == "false"
     assert c["spark.sql.streaming.stateStore.providerClass"] == ROCKSDB_PROVIDER
@@ -69,3 +68,40 @@ def test_triggers_and_settings():
     ] == HDFS_PROVIDER
     with pytest.raises(ValueError):
         StreamSettings(state_store="memory").conf()
+
+
+def test_submitted_settings_survive():
+    """What spark-submit says about partitions holds; only a local master gets 8."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "from tidemark.session import build_session;"
+        "s = build_session({});"
+        "print('got', s.conf.get('spark.sql.shuffle.partitions'),"
+        " s.conf.get('spark.sql.files.maxPartitionBytes')); s.stop()"
+    )
+    env = dict(os.environ, PYSPARK_SUBMIT_ARGS="--master local[1] --conf spark.sql.shuffle.partitions=5000 pyspark-shell")
+    root = Path(__file__).resolve().parents[1]
+    for args, want in (("None", "5000"), ("None, shuffle_partitions=3", "3"), ("'local[1]'", "8")):
+        out = subprocess.run([sys.executable, "-c", code.format(args)], cwd=root, env=env,
+                             capture_output=True, text=True, timeout=120)
+        line = [x for x in out.stdout.splitlines() if x.startswith("got")]
+        assert line and line[0].split()[1] == want, out.stderr[-1000:]
+
+
+def test_a_cluster_must_name_its_shared_folder_and_state_partitions(spark, monkeypatch):
+    import tidemark.session as session
+    from tidemark.streaming import flow
+
+    monkeypatch.setattr(session, "is_local", lambda s: False)
+    monkeypatch.setattr(flow, "is_local", lambda s: False)
+    sc = spark.sparkContext
+    monkeypatch.setattr(type(sc), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(sc), "getConf", lambda self: {})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_root(spark)
+    with pytest.raises(ValueError, match="state_partitions"):
+        StreamSettings().conf(spark)
+    assert StreamSettings(state_partitions=64).conf(spark)["spark.sql.shuffle.partitions"] == "64"

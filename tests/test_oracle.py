@@ -13,12 +13,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from oracle_check import compare  # noqa: E402
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+from tidemark.plans.catalog import QUERIES  # noqa: E402
+from tidemark.plans.oracle import ORACLE_SQL as SQL  # noqa: E402
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 ORACLE_SF = os.environ.get("TIDEMARK_ORACLE_SF", SF_SMALL)
@@ -30,6 +31,47 @@ def test_query_matches_sql(spark, name):
     assert r["ok"], r
 
 
+@pytest.mark.parametrize(
+    "conf",
+    [
+        {"tidemark.statePartitions": "1"},
+        {"tidemark.statePartitions": "7", "tidemark.stateStore": "hdfs"},
+        {"tidemark.backlogRowsPerBatch": "100", "spark.sql.files.maxPartitionBytes": "4096"},
+    ],
+)
+@pytest.mark.parametrize("name", ["stream_append_multibatch", "stream_late_rows", "audit_missing"])
+def test_settings_do_not_change_the_rows(spark, name, conf):
+    plans = Path(__file__).resolve().parents[1] / "tidemark" / "plans"
+    assert not any("backlog" in f.read_text() for f in plans.glob("*.py"))
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        r = compare(spark, name, QUERIES[name], SQL[name], SF_SMALL)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert r["ok"], r
+
+
+def test_a_stream_query_runs_its_stream_at_every_call(spark, monkeypatch):
+    from tidemark.plans import scenarios as sc
+
+    runs = []
+    run = sc.run_stream
+    monkeypatch.setattr(sc, "run_stream", lambda *a, **k: runs.append(1) or run(*a, **k))
+    for _ in range(2):
+        QUERIES["stream_append_single"](spark, SF_SMALL)
+    assert len(runs) == 2
+
+
+def test_a_finished_run_is_not_taken_for_a_changed_table(spark, tmp_path):
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.where("event_id < 500").write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["decode_key"](spark, str(tmp_path)).count() == 499
+    events.where("event_id < 300").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["decode_key"](spark, str(tmp_path)).count() == 299
+
+
 def test_progress_reports_each_batch(spark):
     df = QUERIES["stream_progress"](spark, SF_SMALL)
     rows = df.orderBy("batch_id").collect()
@@ -63,7 +105,8 @@ def test_entry_loads_by_path_from_another_folder(tmp_path):
     out = subprocess.run(
         [_sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120
     )
-    assert out.stdout.split() == [str(len(QUERIES))] * 2, out.stderr[-2000:]
+    sizes = [str(len(entry.queries())), str(len(entry.oracle_sql()))]
+    assert out.stdout.split() == sizes, out.stderr[-2000:]
 
 
 def test_every_query_named_in_the_survey_is_registered():

@@ -1,60 +1,69 @@
 """FileTopic: publish, consume, exact files per replayed batch."""
 
+import os
+import time
+
 import pytest
-from helpers import fixture_records
+from helpers import fixture_records, small_settings
 
 from tidemark.session import run_dir
 from tidemark.sources.topic import FileTopic
+from tidemark.streaming.flow import run_count
+from tidemark.streaming.replay import publish_arrivals, run_per_batch
+
+
+def _files(spark, topic):
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+    return df.option("recursiveFileLookup", "true").load(topic.path).count()
 
 
 def test_each_batch_is_exactly_k_newer_files(spark):
     root = run_dir(spark, "topic")
     topic = FileTopic(spark, f"{root}/topic", fresh=True)
-    assert topic.listing() == {}
     recs = fixture_records(spark, [[(i, i) for i in range(50)], [(50, 60)], []])
-    staged = topic.stage_arrivals(recs, "batch", f"{root}/staging")
     newest, seen = None, []
     for b in range(3):  # 50 rows, 1 row and no row: short batches are padded
-        newest = topic.publish_batch(staged, "batch", b, 4, newest)
-        seen.append(len(topic.listing()))
+        newest = topic.publish_batch(recs.where(f"batch = {b}"), b, 4, newest)
+        seen.append(_files(spark, topic))
     assert seen == [4, 8, 12]
-    assert newest == max(topic.listing().values())
     assert topic.read().count() == 51
     # One trigger per batch: the stream sees 50, 1 and 0 rows.
-    from tidemark.streaming.flow import StreamSettings, run_count
-
-    prog = run_count(spark, topic.read_stream(files_per_trigger=4), f"{root}/sink",
-                     f"{root}/ck", StreamSettings(state_partitions=2))
+    prog = run_count(spark, topic.read_stream(per_trigger=4), f"{root}/sink", f"{root}/ck",
+                     small_settings())
     assert [p["numInputRows"] for p in prog][:3] == [50, 1, 0]
 
 
-def test_listing_detects_files_that_are_not_newer(spark):
-    root = run_dir(spark, "topic-order")
-    topic = FileTopic(spark, f"{root}/topic", fresh=True)
-    staged = topic.stage_arrivals(
-        fixture_records(spark, [[(0, 0)], [(1, 1)]]), "batch", f"{root}/staging"
-    )
-    newest = topic.publish_batch(staged, "batch", 0, 2)
+def test_files_that_are_not_newer_are_detected(spark):
+    topic = FileTopic(spark, f"{run_dir(spark, 'topic-order')}/topic", fresh=True)
+    recs = fixture_records(spark, [[(0, 0)], [(1, 1)]])
+    newest = topic.publish_batch(recs.where("batch = 0"), 0, 2)
     # Pretend an earlier file carried a time in the future.
     with pytest.raises(RuntimeError, match="not newer"):
-        topic.publish_batch(staged, "batch", 1, 2, newest.replace(year=newest.year + 1))
-
+        topic.publish_batch(recs.where("batch = 1"), 1, 2, newest.replace(year=newest.year + 1))
 
-def test_ordered_staging_keeps_each_task_to_about_one_batch(spark):
-    from pyspark.sql import functions as F
 
-    root = run_dir(spark, "topic-staging")
+def test_old_files_are_read(spark):
+    """A file that comes with the modification time of long ago loses nothing."""
+    root = run_dir(spark, "topic-age")
     topic = FileTopic(spark, f"{root}/topic", fresh=True)
-    # Records in no particular order: 400 rows over 4 batches, 8 input tasks.
-    many = spark.range(400).select(
-        F.col("id").alias("k"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"),
-        (F.col("id") % 4).cast("int").alias("batch"),
-    ).repartition(8)
-    from tidemark.operators.records import counter_records
-
-    recs = counter_records(many, "k", "ts", carry=["batch"])
-    staged = topic.stage_arrivals(recs, "batch", f"{root}/staging", ordered_tasks=4)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.parquet").load(f"{root}/staging").count()
-    assert files <= 8  # without ordering: up to 8 tasks x 4 batches = 32
-    assert staged.count() == 400
+    topic.publish(fixture_records(spark, [[(i, i) for i in range(20)]]))
+    settings = small_settings()
+    run_count(spark, topic.read_stream(), f"{root}/sink", f"{root}/ck", settings)
+    before = set(os.listdir(topic.path.removeprefix("file:")))
+    topic.publish(fixture_records(spark, [[(i, 100 + i) for i in range(20, 820)]]))
+    old = time.time() - 8 * 86_400
+    for name in set(os.listdir(topic.path.removeprefix("file:"))) - before:
+        os.utime(os.path.join(topic.path.removeprefix("file:"), name), (old, old))
+    prog = run_count(spark, topic.read_stream(), f"{root}/sink", f"{root}/ck", settings)
+    assert sum(p["numInputRows"] for p in prog) == 800
+
+
+def test_an_interrupted_series_goes_on_with_its_checkpoint(spark):
+    recs = fixture_records(spark, [[(0, 0), (1, 5)], [(2, 100)], [(3, 200)]])
+    arr = publish_arrivals(spark, recs, "batch", 3, files_per_batch=2, batch_gap_s=0.01)
+    root = run_dir(spark, "resume")
+    part = run_per_batch(spark, arr, small_settings(), last=2, root=root)
+    assert sum(p["numInputRows"] for p in part.progress) == 3
+    rest = run_per_batch(spark, arr, small_settings(), first=3, root=root)
+    assert sum(p["numInputRows"] for p in rest.progress) == 1
+    assert spark.read.parquet(rest.sink).count() == 3

@@ -2,10 +2,13 @@
 
     python -m tidemark ingest --topic DIR|--kafka HOSTS --sink PATH [--for SECONDS]
     python -m tidemark drain  --topic DIR --sink PATH          # bounded run (availableNow)
+                              [--poll]                         # audit beside the running query
     python -m tidemark audit  --topic DIR|--kafka HOSTS --sink PATH [--every S --rounds N]
+                              [--checkpoint PATH]              # tells unread records from late ones
     python -m tidemark publish --topic DIR|--kafka HOSTS --table PARQUET --form counter|pair|constant
                                --id-col C --time-col C [--key-col C --value-col C]
-    python -m tidemark consume --topic DIR|--kafka HOSTS [--expect N]   # delivery check
+                               (no --time-col with --kafka: the broker stamps its own time)
+    python -m tidemark consume --topic DIR|--kafka HOSTS --expect N | --sent PARQUET   # delivery check
     python -m tidemark roundtrip --path PATH [--n 1000]                  # range -> Parquet -> first 20
 
 ``ingest`` starts the watermarked per-key count with a processing-time
@@ -18,8 +21,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import threading
 import time
 
+from pyspark.sql import functions as F
+
 from tidemark.functions.envelope import TOPIC, WATERMARK_DELAY
 from tidemark.operators import audit
 from tidemark.operators.order import first_rows
@@ -30,7 +36,7 @@ from tidemark.sources.tables import id_range, scan_parquet
 from tidemark.sources.kafka import KafkaTopic
 from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import StreamSettings, run_count
-from tidemark.streaming.live import audit_now, start_ingest, supervise
+from tidemark.streaming.live import audit_now, poll, start_ingest, supervise
 
 
 def _topic(spark, args):
@@ -52,6 +58,11 @@ def _settings(args) -> StreamSettings:
     )
 
 
+def _poll(spark, query, topic, args, checkpoint: str) -> None:
+    for _, row in poll(spark, query, topic, args.sink, args.every, args.rounds, checkpoint):
+        print(json.dumps(row.asDict() if row else None, default=str), flush=True)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(
         prog="tidemark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter
@@ -74,19 +85,23 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--time-col")
     p.add_argument("--key-col")
     p.add_argument("--value-col")
-    p.add_argument("--expect", type=int, default=None)
+    p.add_argument("--expect", type=int, default=None, help="consume: records that must be there")
+    p.add_argument("--sent", help="consume: Parquet table with a row per record sent")
     p.add_argument("--path", help="roundtrip: where the range table goes")
     p.add_argument("--n", type=int, default=1000)
     p.add_argument("--checkpoint")
     p.add_argument("--delay", default=WATERMARK_DELAY)
-    p.add_argument("--state-partitions", type=int, default=8)
+    p.add_argument("--state-partitions", type=int, default=None,
+                   help="required outside local mode; frozen into the checkpoint")
     p.add_argument("--state-store", choices=["rocksdb", "hdfs"], default="rocksdb")
     p.add_argument("--for", dest="run_for", type=float, default=None,
                    help="ingest: stop after this many seconds (default: run until stopped)")
     p.add_argument("--restarts", type=int, default=3,
                    help="ingest: restarts on the same checkpoint after a query failure")
+    p.add_argument("--poll", action="store_true",
+                   help="ingest: print an audit row every --every seconds, --rounds times at most")
     p.add_argument("--every", type=float, default=10.0)
-    p.add_argument("--rounds", type=int, default=1)
+    p.add_argument("--rounds", type=int, default=None)
     p.add_argument("--master", default=None)
     args = p.parse_args(argv)
 
@@ -95,6 +110,10 @@ def main(argv: list[str] | None = None) -> int:
         p.error("--topic or --kafka is required")
     if args.command in ("ingest", "drain", "audit") and not args.sink:
         p.error("--sink is required")
+    if args.command == "consume" and args.expect is None and not args.sent:
+        p.error("consume needs --expect N or --sent PARQUET")
+    if args.command == "publish" and args.kafka and args.time_col:
+        p.error("--time-col: a broker stamps records with the time of their arrival")
     spark = build_session(args.master, app_name=f"tidemark-{args.command}")
     if args.command == "roundtrip":
         path = overwrite_parquet(id_range(spark, args.n), args.path)
@@ -105,6 +124,8 @@ def main(argv: list[str] | None = None) -> int:
     checkpoint = args.checkpoint or (args.sink or "").rstrip("/") + "_checkpoint"
     if args.command == "publish":
         table = scan_parquet(spark, args.table)
+        if args.kafka:  # the record time is not sent, but the counter form's text holds one
+            table, args.time_col = table.withColumn("__now", F.current_timestamp()), "__now"
         if args.form == "counter":
             records = counter_records(table, args.id_col, args.time_col)
         elif args.form == "pair":
@@ -116,11 +137,22 @@ def main(argv: list[str] | None = None) -> int:
         topic.publish(records)
     elif args.command == "consume":
         received = topic.read()
-        row = audit.delivery_check(received, received, args.expect).first()
+        if args.sent:
+            row = audit.delivery_check(scan_parquet(spark, args.sent), received, args.expect).first()
+        else:
+            row = audit.delivery_check(received.limit(0), received, args.expect).first()
         print(json.dumps(row.asDict()))
     elif args.command == "ingest":
+        def start():
+            query = start_ingest(spark, topic, args.sink, checkpoint, _settings(args))
+            if args.poll:
+                threading.Thread(
+                    target=_poll, args=(spark, query, topic, args, checkpoint), daemon=True
+                ).start()
+            return query
+
         supervise(
-            lambda: start_ingest(spark, topic, args.sink, checkpoint, _settings(args)),
+            start,
             restarts=args.restarts,
             timeout_s=args.run_for,
         )
@@ -129,10 +161,13 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"batches": len(progress),
                           "input_rows": sum(p.get("numInputRows", 0) for p in progress)}))
     else:
-        for n in range(args.rounds):
-            row = audit_now(spark, topic, args.sink, delay=args.delay)
+        rounds = args.rounds or 1
+        for n in range(rounds):
+            row = audit_now(
+                spark, topic, args.sink, delay=args.delay, checkpoint=args.checkpoint
+            )
             print(json.dumps(row.asDict() if row else None, default=str))
-            if n + 1 < args.rounds:
+            if n + 1 < rounds:
                 time.sleep(args.every)
     spark.stop()
     return 0

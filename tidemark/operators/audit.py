@@ -43,6 +43,64 @@ def reconcile(sent: DataFrame, persisted: DataFrame, keys: list[str] | None = No
     )
 
 
+def reconcile_progress(marked: DataFrame, persisted: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """:func:`reconcile` for a stream on its way: ``marked`` are the records sent, with
+    ``is_read``; adds ``unread``, the records of the group not read yet."""
+    keys = keys or GROUP_KEY
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    unread = F.when(F.col("is_read"), zero).otherwise(one)
+    sent_side = marked.select(
+        *keys, one.alias("sent"), unread.alias("unread"), zero.alias("persisted"),
+        zero.alias("sink_rows"),
+    )
+    sink_side = persisted.select(
+        *keys, zero.alias("sent"), zero.alias("unread"),
+        F.col("cnt").cast("bigint").alias("persisted"), one.alias("sink_rows"),
+    )
+    names = ("sent", "unread", "persisted", "sink_rows")
+    both = sent_side.unionByName(sink_side).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    # A batch that committed while the audit read: its records are there, so not unread.
+    gap = F.greatest(F.col("sent") - F.col("persisted"), zero)
+    return both.withColumn("unread", F.least("unread", gap))
+
+
+def missing_progress(reconciled: DataFrame, watermark: Column) -> DataFrame:
+    """:func:`missing` for a stream on its way, with a third reason: ``unread``."""
+    gap = F.col("sent") - F.col("persisted") - F.col("unread")
+    read_reason = F.when(F.col("timestamp") <= watermark, F.lit("late")).otherwise(F.lit("withheld"))
+    each = F.array(
+        F.struct(F.lit("unread").alias("reason"), F.col("unread").alias("n_missing")),
+        F.struct(read_reason.alias("reason"), gap.alias("n_missing")),
+    )
+    return (
+        reconciled.where(F.col("sent") > F.col("persisted"))
+        .withColumn("m", F.explode(each))
+        .where("m.n_missing > 0")
+        .select(
+            key_to_id("key").alias("id"),
+            bytes_to_text("key").alias("key_text"),
+            as_wall_clock("timestamp").alias("timestamp"),
+            "partition",
+            "m.n_missing",
+            "m.reason",
+        )
+    )
+
+
+def summary_progress(reconciled: DataFrame, watermark: Column) -> DataFrame:
+    """:func:`summary` of the records read, and ``missing_unread``."""
+    read = reconciled.withColumn("sent", F.col("sent") - F.col("unread"))
+    rows = summary(read, watermark)
+    zero = F.lit(0).cast("bigint")
+    unread = reconciled.agg(F.coalesce(F.sum("unread"), zero).alias("missing_unread"))
+    # Two one-row results side by side.
+    return (
+        rows.select("*", unread.scalar().alias("missing_unread"))
+        .withColumn("sent", F.col("sent") + F.col("missing_unread"))
+        .withColumn("complete", F.col("complete") & (F.col("missing_unread") == 0))
+    )
+
+
 def watermark_at(ms: int) -> Column:
     """An event-time watermark (epoch milliseconds) as a timestamp literal."""
     return F.timestamp_millis(F.lit(int(ms)))

@@ -37,9 +37,10 @@ def encode_records(
 ) -> DataFrame:
     """K3: one envelope per input row.
 
-    ``record_id`` is a dense integer column that places the record in the
-    topic: partition ``id mod P`` and offset ``id div P``, so offsets are
-    dense within each partition, as a broker would assign them.
+    ``record_id`` is an integer column that places the record in the topic:
+    partition ``id mod P`` and offset ``id div P``. Ids 0, 1, 2, ... give offsets
+    that are dense within each partition, as a broker would assign them; ids
+    that repeat give offsets that repeat, and (partition, offset) is then no key.
     """
     rid = F.col(record_id)
     return df.select(

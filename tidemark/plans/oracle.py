@@ -9,16 +9,9 @@ watermark = max event time (ms) minus the delay.
 
 from __future__ import annotations
 
-from tidemark.plans.scenarios import ARRIVAL_BATCHES, BACKLOG_ROWS_PER_BATCH
-
-# Arrival batches: at least six, more when the events exceed the rows per
-# micro-batch (the same rule as ``scenarios.arrival_batches``).
-_NB = (
-    f"nb AS (SELECT greatest({ARRIVAL_BATCHES}, "
-    f"CAST(ceil(count(*) / {BACKLOG_ROWS_PER_BATCH}) AS BIGINT)) AS b, "
-    f"count(*) AS n FROM events)"
-)
-NO_DATA_OFF_FILTER = "WHERE batch < (SELECT b FROM nb) - 1"
+# Six arrival batches, whatever the number of events.
+_NB = "nb AS (SELECT CAST(6 AS BIGINT) AS b, count(*) AS n FROM events)"
+NO_DATA_OFF_FILTER = "WHERE batch < 5"
 
 
 def _arrivals(late_lag: int, final_filter: str = "") -> str:
@@ -139,11 +132,20 @@ SELECT (SELECT count(*) FROM events) AS sent,
 SELECT count(*) AS sent, count(*) AS received, count(*) AS expected,
        count(DISTINCT o_orderkey) AS distinct_keys, true AS ok
 FROM orders""",
+    "audit_in_progress": f"""
+WITH {_arrivals(1, "WHERE batch < 3")}
+SELECT a.event_id AS id, CAST(a.event_id AS VARCHAR) AS key_text, a.ts AS "timestamp",
+       CAST(a.event_id % 2 AS INTEGER) AS "partition", CAST(1 AS BIGINT) AS n_missing,
+       CASE WHEN a.batch >= 3 THEN 'unread'
+            WHEN a.ts <= (SELECT wm FROM f) THEN 'late' ELSE 'withheld' END AS reason
+FROM a JOIN l USING (batch)
+WHERE a.batch >= 3 OR a.ts <= l.late OR a.ts > (SELECT wm FROM f)""",
     "delivery_check_constant": """
-SELECT count(*) AS sent, count(*) AS received,
-       count(*) FILTER (WHERE l_linenumber % 2 = 0) AS expected,
-       CAST(1 AS BIGINT) AS distinct_keys, true AS ok
-FROM lineitem""",
+WITH c AS (SELECT count(*) AS sent, count(*) FILTER (WHERE l_linenumber % 2 = 0) AS received
+           FROM lineitem)
+SELECT sent, received, expected, CAST(1 AS BIGINT) AS distinct_keys, received >= expected AS ok
+FROM (SELECT sent, received, unnest([received - 1, received, received + 1, sent]) AS expected
+      FROM c)""",
     "decode_key": _FLAGSHIP_IDS,
     "sorted_ids": _FLAGSHIP_IDS,
     "max_timestamp": """
@@ -174,9 +176,7 @@ SELECT CAST(l_suppkey % 4 AS INTEGER) AS "partition", l_shipdate AS "timestamp",
        l_returnflag AS "key", count(*) AS cnt
 FROM lineitem GROUP BY ALL""",
     "parquet_scan": "SELECT * FROM events",
-    "range_roundtrip": "SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS id FROM events",
-    "top20": """
-SELECT id FROM (SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS id FROM events)
-ORDER BY id LIMIT 20""",
-    "mean_id": "SELECT avg(CAST(row_number - 1 AS BIGINT)) AS mean_id FROM (SELECT row_number() OVER () AS row_number FROM events)",
+    "range_roundtrip": "SELECT event_id AS id FROM events",
+    "top20": "SELECT event_id AS id FROM events ORDER BY id LIMIT 20",
+    "mean_id": "SELECT avg(event_id) AS mean_id FROM events",
 }

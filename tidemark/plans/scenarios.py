@@ -1,43 +1,40 @@
 """Record sets and streaming runs over the given tables.
 
-Each run writes under its own directory in the shared checkpoint folder and
-is remembered per Spark application, so several audit queries over the same
-run do not re-run the stream.
+Each run writes under its own directory in the shared checkpoint folder. The
+registered stream queries run their stream at every call; queries that read or
+audit a finished run may share one, as long as the table's files are the same.
 """
 
 from __future__ import annotations
 
-import math
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.records import constant_records, counter_records, pair_records
-from tidemark.session import app_id, parallelism, pin_utc
-from tidemark.sources.tables import stream_table, table
-from tidemark.streaming.flow import StreamSettings
+from tidemark.session import app_id, pin_utc
+from tidemark.sources.tables import stream_table, table, table_version
+from tidemark.streaming.flow import EVERY_BATCH, StreamSettings
 from tidemark.streaming.replay import (
     Arrivals,
     StreamRun,
     arrival_batch,
-    publish_all,
     publish_arrivals,
-    publish_in_time_order,
-    run_per_staged_arrival,
+    run_per_batch,
     run_stream,
     run_topic,
 )
 
-# Replay parameters of the registered queries (ours).
+# Replay parameters of the registered queries (ours). They do not depend on
+# the table's size: the rows that come late follow from the number of batches.
 ARRIVAL_BATCHES = 6
+DRAINED_BATCHES = 3
 DAY_DELAY = "1 day"
-# Records per micro-batch when a backlog is replayed (bounds the state).
-BACKLOG_ROWS_PER_BATCH = 1_000_000_000
-BACKLOG_CONF = "tidemark.backlogRowsPerBatch"
 
-_RUNS: dict[tuple, object] = {}
-_LOCK = threading.RLock()
+# Finished runs by application, kind, settings and the versions of the table's files.
+_RUNS: dict[tuple, StreamRun] = {}
+_LOCK = threading.Lock()
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str, stream: bool) -> DataFrame:
@@ -63,8 +60,8 @@ def lineitem_constant_records(
     spark: SparkSession, sf_dir: str, stream: bool = False
 ) -> DataFrame:
     """Constant-form envelopes, one per lineitem row: every record carries
-    the same ``("key", "value")``; record time = ship date; the record id
-    ``l_orderkey * 8 + l_linenumber`` places it in the topic."""
+    the same ``("key", "value")``; record time = ship date; ``l_orderkey * 8 +
+    l_linenumber`` places it in a partition (it is no offset: it repeats)."""
     pin_utc(spark)
     li = _source(spark, sf_dir, "lineitem", stream).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rid"), "l_shipdate"
@@ -72,46 +69,31 @@ def lineitem_constant_records(
     return constant_records(li, "l_shipdate", "rid")
 
 
-def arrival_batches(spark: SparkSession, n_rows: int) -> int:
-    """Arrival batches of the replay scenarios: at least six, and one per
-    ``tidemark.backlogRowsPerBatch`` records beyond that, so a micro-batch
-    (and the state it leaves) stays bounded however large the table."""
-    return max(ARRIVAL_BATCHES, backlog_batches(spark, n_rows))
-
-
-def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Rows of a given (read-only) table, counted once per application."""
-    return _memo(spark, ("rows", sf_dir, name), lambda: table(spark, sf_dir, name).count())
-
-
-def events_arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Envelopes plus the arrival batch of each record, and the number of
-    batches. One count (answered from Parquet footers) sizes the rule."""
+def events_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes plus the arrival batch of each record. One count (answered from
+    Parquet footers) places the ids in the batches."""
     events = table(spark, sf_dir, "events")
-    n = table_rows(spark, sf_dir, "events")
-    b = arrival_batches(spark, n)
     pin_utc(spark)
-    records = counter_records(
-        events.withColumn("batch", arrival_batch("event_id", n, b)),
+    return counter_records(
+        events.withColumn("batch", arrival_batch("event_id", events.count(), ARRIVAL_BATCHES)),
         "event_id",
         "ts",
         carry=["batch"],
     )
-    return records, b
 
 
 STATE_PARTITIONS_CONF = "tidemark.statePartitions"
-BOUNDED_PROGRESS_RETENTION = 10_000
 STATE_STORE_CONF = "tidemark.stateStore"
 
 
 def default_settings(spark: SparkSession, **kw) -> StreamSettings:
     """State partitions: ``tidemark.statePartitions`` when the session sets
-    it, else one per core of the cluster, so every micro-batch's stateful
-    stage runs in a single wave. State store: ``tidemark.stateStore``
+    it, else ``spark.sql.shuffle.partitions`` as submitted (the number of cores known
+    when the first query runs may be small under dynamic allocation, and the
+    checkpoint freezes it). State store: ``tidemark.stateStore``
     (``rocksdb`` or ``hdfs``) when set, else the ``StreamSettings`` default."""
     configured = spark.conf.get(STATE_PARTITIONS_CONF, None)
-    parts = int(configured) if configured else parallelism(spark)
+    parts = int(configured or spark.conf.get("spark.sql.shuffle.partitions"))
     store = spark.conf.get(STATE_STORE_CONF, None)
     if store:
         kw.setdefault("state_store", store)
@@ -121,104 +103,54 @@ def default_settings(spark: SparkSession, **kw) -> StreamSettings:
         if kw.get(switch) is None:
             kw[switch] = True
     # Bounded replays report every micro-batch (stream_progress).
-    kw.setdefault("progress_retention", BOUNDED_PROGRESS_RETENTION)
+    kw.setdefault("progress_retention", EVERY_BATCH)
     return StreamSettings(state_partitions=max(parts, 1), **kw)
 
 
 def _layout(settings: StreamSettings) -> tuple:
     """The parts of the settings that shape a run's output and checkpoint."""
-    return (settings.delay, settings.state_store, settings.state_partitions)
+    return (
+        settings.delay, settings.state_store, settings.state_partitions,
+        settings.allow_multiple, settings.no_data_batches,
+    )
 
 
-def _memo(spark: SparkSession, key: tuple, make):
-    full = (app_id(spark), *key)
+def finished(spark: SparkSession, sf_dir: str, name: str, kind: str, settings, make) -> StreamRun:
+    """A finished run for a query that only reads one: that of an earlier call if
+    the table's files have not changed, else a new one."""
+    key = (app_id(spark), kind, _layout(settings), table_version(spark, sf_dir, name))
     with _LOCK:
-        run = _RUNS.get(full)
-        if run is None:
-            run = make()
-            _RUNS[full] = run
-        return run
-
-
-def backlog_batches(spark: SparkSession, n_rows: int) -> int:
-    """Micro-batches for a backlog of ``n_rows`` records: one per
-    ``tidemark.backlogRowsPerBatch`` (default 1e9) records, at least one."""
-    per = int(spark.conf.get(BACKLOG_CONF, None) or BACKLOG_ROWS_PER_BATCH)
-    return max(1, math.ceil(n_rows / max(per, 1)))
-
-
-def _backlog(spark: SparkSession, records: DataFrame, n_rows: int, label: str):
-    """A published backlog and the files per trigger to read it with:
-    everything in one batch when it fits, else time-ordered batches (same
-    output, bounded state)."""
-    b = backlog_batches(spark, n_rows)
-    if b == 1:
-        return publish_all(spark, records, label), None, b
-    arr = publish_in_time_order(spark, records, b, label)
-    return arr.topic, arr.files_per_batch, b
-
-
-def events_topic(spark: SparkSession, sf_dir: str):
-    """All events published once; the single-run queries consume it."""
-    n = table_rows(spark, sf_dir, "events")
-    b = backlog_batches(spark, n)
-    return _memo(
-        spark,
-        ("events-topic", sf_dir, b),
-        lambda: _backlog(spark, events_records(spark, sf_dir), n, "single"),
-    )
+        run = _RUNS.get(key)
+    if run is None:
+        run = make(spark, sf_dir)
+        with _LOCK:
+            _RUNS[key] = run
+    return run
 
 
 def single_run(spark: SparkSession, sf_dir: str, delay: str | None = None) -> StreamRun:
-    """The flagship: the whole backlog read by one run, ending with the
-    no-data batch. When it fits one micro-batch, the events table itself is
-    the stream (records encoded on the fly, no copy); beyond
-    ``tidemark.backlogRowsPerBatch`` records it is published in time-ordered
-    batches, with the same output."""
+    """The flagship: the events table itself is the stream (records encoded
+    on the fly, no copy), read by one run that ends with the no-data batch."""
     settings = default_settings(spark, **({"delay": delay} if delay else {}))
-    n_batches = backlog_batches(spark, table_rows(spark, sf_dir, "events"))
+    records = events_records(spark, sf_dir, stream=True)
+    return run_stream(spark, records, settings, "single", f"{sf_dir}/events.parquet")
 
-    def make() -> StreamRun:
-        if n_batches == 1:
-            records = events_records(spark, sf_dir, stream=True)
-            return run_stream(spark, records, settings, "single", f"{sf_dir}/events.parquet")
-        topic, per_trigger, _ = events_topic(spark, sf_dir)
-        return run_topic(spark, topic, per_trigger, settings, "single")
 
-    return _memo(spark, ("single", sf_dir, n_batches, _layout(settings)), make)
+def finished_single_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    return finished(spark, sf_dir, "events", "single", default_settings(spark), single_run)
 
 
 def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     """The flagship over constant-form records: one key on every record."""
-    settings = default_settings(spark)
-    n = table_rows(spark, sf_dir, "lineitem")
-    n_batches = backlog_batches(spark, n)
-
-    def make() -> StreamRun:
-        if n_batches == 1:
-            records = lineitem_constant_records(spark, sf_dir, stream=True)
-            return run_stream(spark, records, settings, "constant", f"{sf_dir}/lineitem.parquet")
-        topic, per_trigger, _ = _backlog(
-            spark, lineitem_constant_records(spark, sf_dir), n, "constant"
-        )
-        return run_topic(spark, topic, per_trigger, settings, "constant")
-
-    return _memo(spark, ("constant", sf_dir, n_batches, _layout(settings)), make)
+    records = lineitem_constant_records(spark, sf_dir, stream=True)
+    return run_stream(
+        spark, records, default_settings(spark), "constant", f"{sf_dir}/lineitem.parquet"
+    )
 
 
 def arrivals_topic(spark: SparkSession, sf_dir: str) -> Arrivals:
-    """The arrival batches published once; every arrivals run reads it, as
-    several consumers read one topic."""
-
-    def make() -> Arrivals:
-        records, b = events_arrivals(spark, sf_dir)
-        return publish_arrivals(spark, records, "batch", b)
-
-    return _memo(spark, ("arrivals-topic", sf_dir, _events_arrival_batches(spark, sf_dir)), make)
-
-
-def _events_arrival_batches(spark: SparkSession, sf_dir: str) -> int:
-    return arrival_batches(spark, table_rows(spark, sf_dir, "events"))
+    """The arrival batches, published."""
+    return publish_arrivals(spark, events_arrivals(spark, sf_dir), "batch", ARRIVAL_BATCHES)
 
 
 def arrivals_run(
@@ -228,36 +160,26 @@ def arrivals_run(
     output_mode: str = "append",
     allow_multiple: bool | None = None,
 ) -> StreamRun:
-    """The arrival batches (six at the given scales), every tenth record
-    held back three batches, one run."""
+    """The arrival batches, every tenth record held back three batches, one run."""
     settings = default_settings(
         spark, no_data_batches=no_data_batches, allow_multiple=allow_multiple
     )
+    arr = arrivals_topic(spark, sf_dir)
+    label = "arrivals-" + output_mode + ("-strict" if allow_multiple is False else "")
+    return run_topic(spark, arr.topic, arr.files_per_batch, settings, label, output_mode)
 
-    def make() -> StreamRun:
-        arr = arrivals_topic(spark, sf_dir)
-        label = "arrivals-" + output_mode + ("-strict" if allow_multiple is False else "")
-        return run_topic(spark, arr.topic, arr.files_per_batch, settings, label, output_mode)
-
-    return _memo(
-        spark,
-        (
-            "arrivals", sf_dir, _events_arrival_batches(spark, sf_dir),
-            no_data_batches, output_mode, allow_multiple, _layout(settings),
-        ),
-        make,
-    )
+
+def finished_arrivals_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    return finished(spark, sf_dir, "events", "arrivals", default_settings(spark), arrivals_run)
 
 
 def resume_run(spark: SparkSession, sf_dir: str) -> StreamRun:
-    """The same arrivals (the staged batches of the arrivals topic), one run
-    per batch on one checkpoint."""
-    settings = default_settings(spark)
+    """The same arrivals, one run after each batch on one checkpoint."""
+    return run_per_batch(spark, arrivals_topic(spark, sf_dir), default_settings(spark))
 
-    def make() -> StreamRun:
-        arr = arrivals_topic(spark, sf_dir)
-        return run_per_staged_arrival(spark, arr.staged, arr.batch_col, arr.n_batches, settings)
 
-    return _memo(
-        spark, ("resume", sf_dir, _events_arrival_batches(spark, sf_dir), _layout(settings)), make
-    )
+def drained_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    """All arrivals published, the first ``DRAINED_BATCHES`` of them read: a stream
+    that lags behind its topic."""
+    arr = arrivals_topic(spark, sf_dir)
+    return run_per_batch(spark, arr, default_settings(spark), "drained", last=DRAINED_BATCHES)

@@ -28,26 +28,30 @@ BASE_CONF = {
 def build_session(
     master: str | None = "local[*]",
     app_name: str = "tidemark",
-    shuffle_partitions: int = 8,
+    shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
-    partition_bytes: str = "128m",
+    partition_bytes: str | None = None,
 ) -> SparkSession:
     """Create (or fetch) a session with the tidemark defaults.
 
     ``master=None`` leaves the master to spark-submit, as on a cluster.
-    Sizing: scans split files into ``partition_bytes`` pieces, and AQE
-    coalesces shuffle output towards the same size, so ``shuffle_partitions``
-    is an upper bound: set it to about total shuffle bytes / 128 MB for the
-    largest job (thousands on a large cluster). Each task then holds on the
-    order of 128 MB, which fits executor memory, and spills past it.
+    Sizing is the caller's: ``shuffle_partitions`` and ``partition_bytes``
+    (of scans and of AQE's merged partitions) are set only when given, so what
+    spark-submit says holds. On a laptop (a ``local`` master named here)
+    there are 8 shuffle partitions unless told otherwise. AQE merges small
+    partitions, so for a large job set the count to its shuffle bytes / 128 MB.
     """
+    if shuffle_partitions is None and master and master.startswith("local"):
+        shuffle_partitions = 8
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.sql.files.maxPartitionBytes"] = partition_bytes
-    conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = partition_bytes
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if partition_bytes is not None:
+        conf["spark.sql.files.maxPartitionBytes"] = partition_bytes
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = partition_bytes
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -81,6 +85,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(conf) if conf else os.cpu_count() or 1, 1)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the driver is also the only executor."""
+    sc = _context(spark)
+    return sc is not None and sc.master.startswith("local") and "cluster" not in sc.master
+
+
 def app_id(spark: SparkSession) -> str:
     sc = _context(spark)
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "app")
@@ -89,7 +99,8 @@ def app_id(spark: SparkSession) -> str:
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; set a local one only where it is unset.
+    Read from the session. Only a local session may do without: it gets a
+    folder of its own, which on a cluster the executors would not share.
     """
     sc = _context(spark)
     if sc is None:
@@ -103,6 +114,8 @@ def shared_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     local = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.envelope import TOPIC
+from tidemark.streaming.checkpoint import Position, offsets_read
 
 
 def bootstrap_list(servers: str | Iterable[str]) -> str:
@@ -79,7 +80,9 @@ def read_kafka_batch(spark: SparkSession, **options) -> DataFrame:
 
 
 def write_kafka(records: DataFrame, servers: str | Iterable[str], topic: str = TOPIC) -> None:
-    """K3 publish: key/value (and partition, when present) go to the broker."""
+    """K3 publish: key/value (and partition, when present) go to the broker,
+    which gives each record its offset and the time of its arrival: the record
+    time of ``records`` is not sent (the connector has no column for it)."""
     cols = [c for c in ("key", "value", "partition") if c in records.columns]
     records.select(*cols).write.format("kafka").options(
         **kafka_sink_options(servers, topic)
@@ -109,8 +112,13 @@ class KafkaTopic:
             self.spark, servers=self.servers, topic=self.topic, **self.source_options
         )
 
-    def read_stream(self, max_offsets_per_trigger: int | None = None) -> DataFrame:
+    def read_marked(self, checkpoint: str, at: Position) -> DataFrame:
+        """Every record with ``is_read``: whether the query of that checkpoint had read it."""
+        return self.read().withColumn("is_read", offsets_read(at, self.topic))
+
+    def read_stream(self, per_trigger: int | None = None) -> DataFrame:
+        """``per_trigger``: records of one micro-batch."""
         opts = dict(self.source_options)
-        if max_offsets_per_trigger:
-            opts["max_offsets_per_trigger"] = max_offsets_per_trigger
+        if per_trigger:
+            opts["max_offsets_per_trigger"] = per_trigger
         return read_kafka_stream(self.spark, servers=self.servers, topic=self.topic, **opts)

@@ -8,14 +8,13 @@ that a stream sees a chosen sequence of micro-batches.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.envelope import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA
+from tidemark.sources.tables import ANY_AGE
+from tidemark.streaming.checkpoint import Position, files_read
 
 # Each replayed arrival batch gets its own directory (no "=", so no
 # partition column is inferred); readers glob over the topic's data files
@@ -44,83 +43,28 @@ class FileTopic:
         out.write.mode("append").parquet(self.path)
         self._may_exist = True
 
-    def publish_in_arrival_order(
-        self,
-        records: DataFrame,
-        batch_col: str,
-        n_batches: int,
-        staging: str,
-        files_per_batch: int = 1,
-        batch_gap_s: float = 0.0,
-    ) -> DataFrame:
-        """Replay: append arrival batches in order, each as exactly
-        ``files_per_batch`` files, so a stream reading that many files per
-        trigger sees exactly these micro-batches.
-
-        Records are first written once, in parallel, partitioned by batch
-        (``staging``); each batch is then read back with partition pruning
-        and appended by ``files_per_batch`` parallel tasks. The file source
-        orders files by modification time, which follows the write order;
-        ``batch_gap_s`` spaces batches on stores whose times are coarse.
-        Returns the staged batches (readable again, e.g. for restart runs).
-        """
-        staged = self.stage_arrivals(records, batch_col, staging)
-        newest = None
-        for b in range(n_batches):
-            if b and batch_gap_s:
-                time.sleep(batch_gap_s)
-            newest = self.publish_batch(staged, batch_col, b, files_per_batch, newest)
-        return staged
-
-    def stage_arrivals(
-        self,
-        records: DataFrame,
-        batch_col: str,
-        staging: str,
-        ordered_tasks: int | None = None,
-    ) -> DataFrame:
-        """Write records once, in parallel, partitioned by arrival batch.
-
-        Each task writes one file per batch it holds: few when the input
-        follows arrival order (as the given tables do). For input in no
-        particular order, ``ordered_tasks`` first range-partitions into that
-        many tasks on ``(batch, partition, offset)`` (one shuffle), so each
-        task holds about one batch.
-        """
-        out = records.select(*ENVELOPE_COLUMNS, batch_col)
-        if ordered_tasks:
-            out = out.repartitionByRange(ordered_tasks, batch_col, "partition", "offset")
-        out.write.mode("overwrite").partitionBy(batch_col).parquet(staging)
-        staged_schema = T.StructType(
-            [*ENVELOPE_SCHEMA.fields, T.StructField(batch_col, T.IntegerType(), True)]
-        )
-        return self.spark.read.schema(staged_schema).parquet(staging)
-
     def publish_batch(
         self,
-        staged: DataFrame,
-        batch_col: str,
+        records: DataFrame,
         b: int,
         files: int = 1,
         newest_before: object | None = None,
     ) -> object:
-        """Append arrival batch ``b`` of a staged table as exactly ``files``
-        files, written by ``files`` parallel tasks into the batch's own
-        directory; returns the newest modification time among them.
-
-        A round-robin repartition balances the files whatever the staged
-        splits look like (a coalesce would follow them, and a batch staged in
-        few splits would need padding). Spark skips files for empty
-        partitions, so a short batch is padded with empty (schema-only)
+        """Append the records of arrival batch ``b`` as exactly ``files``
+        files into the batch's own directory; returns the newest modification
+        time among them.
+
+        One write, no shuffle: up to ``files`` tasks take the partitions of
+        ``records`` as they are. Spark skips files for empty
+        partitions, so a batch of fewer is padded with empty (schema-only)
         files. The new files must all be newer than ``newest_before`` (the
         value the previous call returned), or the stream would mix batches:
         checked here by listing this batch's directory only.
         """
-        path = f"{self.path}/{BATCH_DIR.format(b)}"
+        path = self.batch_path(b)
         (
-            staged.where(F.col(batch_col) == b)
-            .select(*ENVELOPE_COLUMNS)
-            .repartition(files)
+            records.select(*ENVELOPE_COLUMNS)
+            .coalesce(files)
             .write.mode("append")
             .option("maxRecordsPerFile", 0)
             .parquet(path)
@@ -140,12 +84,8 @@ class FileTopic:
             )
         return max(new.values())
 
-    def listing(self) -> dict[str, object]:
-        """Data files of the topic (batch directories included) and their
-        modification times."""
-        if not self._may_exist:
-            return {}
-        return _listing(self.spark, self.path)
+    def batch_path(self, b: int) -> str:
+        return f"{self.path}/{BATCH_DIR.format(b)}"
 
     # -- consume ---------------------------------------------------------
     def read(self) -> DataFrame:
@@ -153,20 +93,35 @@ class FileTopic:
         directories alike)."""
         return self.spark.read.schema(ENVELOPE_SCHEMA).parquet(f"{self.path}/{DATA_GLOB}")
 
-    def read_stream(self, files_per_trigger: int | None = None) -> DataFrame:
-        """S1 stand-in: the topic as a stream; with ``files_per_trigger`` equal
-        to the files per published batch, one micro-batch per batch.
+    def read_marked(self, checkpoint: str, at: Position) -> DataFrame:
+        """Every record with ``is_read``: whether the query of that checkpoint had read it."""
+        read = files_read(self.spark, checkpoint, at).withColumn("is_read", F.lit(True))
+        sent = self.read().select("*", F.col("_metadata.file_name").alias("file_name"))
+        marked = sent.join(read, "file_name", "left").drop("file_name")
+        return marked.withColumn("is_read", F.coalesce("is_read", F.lit(False)))
+
+    def read_stream(
+        self, per_trigger: int | None = None, batches: int | None = None
+    ) -> DataFrame:
+        """S1 stand-in: the topic as a stream. ``per_trigger``: files of one
+        micro-batch; with as many as a published batch has, one micro-batch per
+        batch. ``batches``: only the first arrival batches, for a consumer that
+        runs before the others are there.
 
         The source keeps the unread part of a listing (up to
         ``maxCachedFiles``) for the next triggers, so a replay of many
-        batches lists the topic once per 16 batches rather than per batch."""
-        reader = self.spark.readStream.schema(ENVELOPE_SCHEMA)
-        if files_per_trigger:
-            k = int(files_per_trigger)
+        batches lists the topic once per 16 batches rather than per batch.
+        Files are read whatever their age, so the source remembers all it has seen."""
+        reader = self.spark.readStream.schema(ENVELOPE_SCHEMA).option("maxFileAge", ANY_AGE)
+        if per_trigger:
+            k = int(per_trigger)
             reader = reader.option("maxFilesPerTrigger", k).option(
                 "maxCachedFiles", max(10_000, 16 * k)
             )
-        return reader.parquet(f"{self.path}/{DATA_GLOB}")
+        if batches is None:
+            return reader.parquet(f"{self.path}/{DATA_GLOB}")
+        names = ",".join(BATCH_DIR.format(b) for b in range(batches))
+        return reader.parquet(f"{self.path}/{{{names}}}")
 
 
 def _listing(spark: SparkSession, path: str) -> dict[str, object]:

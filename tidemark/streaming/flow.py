@@ -19,6 +19,7 @@ Spark's semantics on this plan, which the tests pin down:
 from __future__ import annotations
 
 import contextlib
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.envelope import GROUP_KEY, TRIGGER_INTERVAL, WATERMARK_DELAY
 from tidemark.operators.aggregate import group_count
 from tidemark.operators.records import project_records
+from tidemark.session import is_local, parallelism
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HDFS_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
@@ -34,13 +36,17 @@ ROCKSDB_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointi
 ROCKSDB_BOUNDED_MEMORY = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
 
 
+#: Progress retention of a run that reports all its micro-batches.
+EVERY_BATCH = 2**31 - 1
+
+
 @dataclass(frozen=True)
 class StreamSettings:
     """Knobs of one streaming run.
 
-    ``state_partitions`` is frozen into the checkpoint by the first run, so it
-    is always set explicitly; size it to the cluster (state is spread over
-    that many tasks). State lives in RocksDB on the executors' local disks
+    ``state_partitions`` is frozen into the checkpoint by the first run, so
+    outside local mode it must be given: size it to the cluster (state is spread
+    over that many tasks). State lives in RocksDB on the executors' local disks
     (not in JVM memory) with changelog checkpointing and one bounded native
     memory budget per executor, which costs nothing locally and keeps a
     large state from exhausting executor memory;
@@ -53,25 +59,30 @@ class StreamSettings:
     """
 
     delay: str = WATERMARK_DELAY
-    state_partitions: int = 8
+    state_partitions: int | None = None  # local mode: one per core
     allow_multiple: bool | None = None
     no_data_batches: bool | None = None
     state_store: str = "rocksdb"  # or "hdfs": Spark's in-memory provider
     query_name: str = "per_key_count"
-    # A bounded (availableNow) run ends by itself, but a wait is never
-    # unbounded: the default allows a day, enough for a 100 TB replay.
-    # None waits without a bound.
-    timeout_s: float | None = 86_400.0
+    # A bounded (availableNow) run ends by itself; a limit stops it before
+    # that, and its checkpoint can be run again.
+    timeout_s: float | None = None
     # Progress events kept per query (one small record per micro-batch).
     # None keeps Spark's 100, right for a live query that runs for weeks; a
-    # bounded replay that reports every batch asks for more.
+    # bounded replay that reports every batch keeps ``EVERY_BATCH``.
     progress_retention: int | None = None
     extra_conf: dict[str, str] = field(default_factory=dict)
 
-    def conf(self) -> dict[str, str]:
-        c = {"spark.sql.shuffle.partitions": str(self.state_partitions)}
-        if self.progress_retention is not None:
-            c["spark.sql.streaming.numRecentProgressUpdates"] = str(self.progress_retention)
+    def conf(self, spark: SparkSession | None = None) -> dict[str, str]:
+        """The SQL settings of a run; ``spark`` tells the default state partitions."""
+        c = {}
+        parts = self.state_partitions
+        if parts is None and spark is not None:
+            if not is_local(spark):
+                raise ValueError("state_partitions must be given outside local mode")
+            parts = parallelism(spark)
+        if parts is not None:
+            c["spark.sql.shuffle.partitions"] = str(parts)
         if self.allow_multiple is not None:
             c["spark.sql.streaming.statefulOperator.allowMultiple"] = str(
                 self.allow_multiple
@@ -94,24 +105,60 @@ class StreamSettings:
         return c
 
 
+_STARTING = threading.Lock()
+
+
 @contextlib.contextmanager
 def session_conf(spark: SparkSession, conf: dict[str, str]):
-    """Apply SQL settings for the duration of a block, then restore them.
+    """Apply SQL settings while a query starts, then restore them.
 
     A streaming query clones the session when it starts, so settings made
-    here are the ones its micro-batches run with.
+    here are the ones its micro-batches run with. Keep nothing else in the
+    block: the settings hold for the whole session, for one starting query at a time.
     """
-    before = {k: spark.conf.get(k, None) for k in conf}
+    with _STARTING:
+        before = {k: spark.conf.get(k, None) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                if v is None:
+                    spark.conf.unset(k)
+                else:
+                    spark.conf.set(k, v)
+
+
+PROGRESS_RETENTION = "spark.sql.streaming.numRecentProgressUpdates"
+_HOLDERS: list[int] = []
+_BEFORE: list[str | None] = []
+
+
+@contextlib.contextmanager
+def progress_kept(spark: SparkSession, batches: int | None):
+    """Hold the progress retention while a run is waited for. Spark reads it from the
+    session at each micro-batch, not from the query's copy; runs at the same time
+    share the largest, and the last of them restores it."""
+    if batches is None:
+        yield
+        return
+    with _STARTING:
+        if not _HOLDERS:
+            _BEFORE[:] = [spark.conf.get(PROGRESS_RETENTION, None)]
+        _HOLDERS.append(batches)
+        spark.conf.set(PROGRESS_RETENTION, str(max(_HOLDERS)))
     try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
         yield
     finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
+        with _STARTING:
+            _HOLDERS.remove(batches)
+            if _HOLDERS:
+                spark.conf.set(PROGRESS_RETENTION, str(max(_HOLDERS)))
+            elif _BEFORE[0] is None:
+                spark.conf.unset(PROGRESS_RETENTION)
             else:
-                spark.conf.set(k, v)
+                spark.conf.set(PROGRESS_RETENTION, _BEFORE[0])
 
 
 def count_per_key(records: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
@@ -124,8 +171,6 @@ def trigger_args(mode: str = "available_now", interval: str = TRIGGER_INTERVAL)
     on a live source; ``available_now`` drains what is there and stops."""
     if mode == "processing":
         return {"processingTime": interval}
-    if mode == "once":
-        return {"once": True}
     return {"availableNow": True}
 
 
@@ -209,10 +254,9 @@ def run_count(
     trigger: dict | None = None,
 ) -> list[dict]:
     """Run the flow once to completion (``availableNow`` by default)."""
-    with session_conf(spark, settings.conf()):
-        counted = count_per_key(records, settings.delay)
-        if output_mode == "update":
-            q = start_update_sink(counted, sink, checkpoint, settings.query_name, trigger)
-        else:
-            q = start_parquet_sink(counted, sink, checkpoint, settings.query_name, trigger)
-        return await_query(q, settings.timeout_s)
+    counted = count_per_key(records, settings.delay)
+    start = start_update_sink if output_mode == "update" else start_parquet_sink
+    with progress_kept(spark, settings.progress_retention):
+        with session_conf(spark, settings.conf(spark)):
+            query = start(counted, sink, checkpoint, settings.query_name, trigger)
+        return await_query(query, settings.timeout_s)

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.envelope import TRIGGER_INTERVAL
 from tidemark.operators import audit
 from tidemark.sources.tables import read_sink
+from tidemark.streaming.checkpoint import position
 from tidemark.streaming.flow import (
     StreamSettings,
     count_per_key,
@@ -41,9 +42,10 @@ def start_ingest(
     """Start the flagship on ``topic`` (a ``FileTopic`` or ``KafkaTopic``);
     returns the running query. Stop it with ``query.stop()``."""
     settings = settings or StreamSettings()
-    with session_conf(spark, settings.conf()):
+    counted = count_per_key(topic.read_stream(), settings.delay)
+    with session_conf(spark, settings.conf(spark)):
         return start_parquet_sink(
-            count_per_key(topic.read_stream(), settings.delay),
+            counted,
             sink,
             checkpoint,
             settings.query_name,
@@ -51,26 +53,36 @@ def start_ingest(
         )
 
 
-def supervise(start, restarts: int = 3, backoff_s: float = 10.0, timeout_s: float | None = None):
-    """Keep a query running: ``start()`` returns a started query; when it
-    fails (repeated task failures, a broker out of reach), start it again on
-    the same checkpoint, at most ``restarts`` times, waiting ``backoff_s``
-    between attempts. Executor loss alone never gets here: Spark retries the
-    lost tasks inside the micro-batch. Returns the last query (stopped when
-    ``timeout_s`` ran out)."""
+def supervise(
+    start,
+    restarts: int = 3,
+    backoff_s: float = 10.0,
+    timeout_s: float | None = None,
+    healthy_s: float = 600.0,
+):
+    """Keep a query running: ``start()`` returns a started query; when it or its
+    start fails (repeated task failures, a broker out of reach), start it again
+    on the same checkpoint, at most ``restarts`` times in a row, waiting ``backoff_s``
+    between attempts. A query that ran for ``healthy_s`` seconds begins a new row, so
+    that failures weeks apart do not add up. Executor loss alone never gets
+    here: Spark retries the lost tasks inside the micro-batch. Returns the last
+    query (stopped when ``timeout_s`` ran out)."""
     attempt = 0
     while True:
-        q = start()
+        q, began = None, time.monotonic()
         try:
+            q = start()
             q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
             if q.isActive:
                 q.stop()
             return q
         except Exception:
+            if time.monotonic() - began >= healthy_s:
+                attempt = 0
             if attempt >= restarts:
                 raise
             attempt += 1
-            if q.isActive:
+            if q is not None and q.isActive:
                 q.stop()
             time.sleep(backoff_s)
 
@@ -81,17 +93,37 @@ def _progress_dict(p) -> dict:
     return p if isinstance(p, dict) else dict(p)
 
 
-def audit_now(spark: SparkSession, topic, sink: str, query: StreamingQuery | None = None,
-              delay: str | None = None):
+def audit_now(
+    spark: SparkSession,
+    topic,
+    sink: str,
+    query: StreamingQuery | None = None,
+    delay: str | None = None,
+    checkpoint: str | None = None,
+):
     """One audit round: the summary row of topic vs sink (``None`` before the
-    sink has its first commit). The reason cut-off is the query's current
-    watermark when a query is given, else the one the data implies."""
+    first commit).
+
+    With the ``checkpoint`` of the query (running or not), records it has not read
+    are ``missing_unread``. Without it, all of the topic counts as read: right
+    for a query that has caught up; the cut-off is then the query's watermark, or the
+    one that the data implies.
+
+    Read in this order: watermark and position, then the topic, then the sink. What
+    commits meanwhile makes rows appear persisted, never late.
+    """
+    at = position(spark, checkpoint) if checkpoint else None
+    if checkpoint and at is None:
+        return None
+    mark = watermark_ms(_progress_dict(query.lastProgress)) if query is not None else None
     try:
-        persisted = read_sink(spark, sink)  # resolved now: fails before the first commit
+        sent = topic.read_marked(checkpoint, at) if at else topic.read()
+        persisted = read_sink(spark, sink)  # both resolved now: fails before the first commit
     except AnalysisException:
         return None
-    sent = topic.read()
-    mark = watermark_ms(_progress_dict(query.lastProgress)) if query is not None else None
+    if at:
+        reconciled = audit.reconcile_progress(sent, persisted)
+        return audit.summary_progress(reconciled, audit.watermark_at(at.watermark_ms)).first()
     wm = (
         audit.watermark_at(mark)
         if mark is not None
@@ -107,13 +139,15 @@ def poll(
     sink: str,
     interval_s: float = 10.0,
     rounds: int | None = None,
+    checkpoint: str | None = None,
 ) -> Iterator[tuple[dict, object]]:
     """Every ``interval_s`` seconds while the query runs: (latest progress,
     audit summary row). Failures of one round are reported, not fatal."""
     n = 0
     while query.isActive and (rounds is None or n < rounds):
         try:
-            yield _progress_dict(query.lastProgress), audit_now(spark, topic, sink, query)
+            row = audit_now(spark, topic, sink, query, checkpoint=checkpoint)
+            yield _progress_dict(query.lastProgress), row
         except Exception as e:  # keep watching, as a monitor should
             yield {"error": str(e)}, None
         n += 1

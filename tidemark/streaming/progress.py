@@ -59,10 +59,17 @@ def progress_rows(progress: list[dict]) -> list[tuple]:
 def progress_table(spark: SparkSession, progress: list[dict]) -> DataFrame:
     """One row per micro-batch: input rows, watermark, state size, drops.
 
+    Raises if a batch between the first and the last is not among the events: the
+    run then kept too few of them (``StreamSettings.progress_retention``).
+
     ``dropped_by_watermark`` counts rows after partial aggregation, so use it
     for monitoring, not as an exact count of late records.
     """
-    df = spark.createDataFrame(progress_rows(progress), PROGRESS_SCHEMA)
+    rows = progress_rows(progress)
+    ids = {r[0] for r in rows}
+    if ids and ids != set(range(max(ids) + 1)):
+        raise ValueError(f"progress of {max(ids) + 1 - len(ids)} micro-batches was not kept")
+    df = spark.createDataFrame(rows, PROGRESS_SCHEMA)
     return df.select(
         "batch_id",
         "input_rows",

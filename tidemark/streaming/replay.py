@@ -9,6 +9,8 @@ unchanged.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +21,6 @@ from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import StreamSettings, run_count
 from tidemark.streaming.progress import final_watermark_ms
 
-# Upper bound on the reduce partitions of the time-ordering exchange.
-MAX_RANGES = 100_000
-
 # Arrival rule for replays with late records (ours, not the reference's):
 # records arrive in B batches in id order, and every tenth record is held
 # back by three batches.
@@ -77,15 +76,28 @@ def run_single_batch(
 
 @dataclass
 class Arrivals:
-    """A topic published in arrival batches, and the staged batches behind it."""
+    """A topic published in arrival batches of ``files_per_batch`` files each."""
 
     topic: FileTopic
     files_per_batch: int
-    staged: DataFrame
-    batch_col: str
     n_batches: int
 
 
+def _publish(
+    spark: SparkSession, batches: Iterable[DataFrame], label: str, k: int, batch_gap_s: float
+) -> Arrivals:
+    """Write each batch once, in order. Later batches must be newer on the store;
+    ``batch_gap_s`` spaces them where its times are coarse."""
+    topic = FileTopic(spark, f"{run_dir(spark, label + '-topic')}/topic", fresh=True)
+    newest, n = None, 0
+    for records in batches:
+        if n and batch_gap_s:
+            time.sleep(batch_gap_s)
+        newest = topic.publish_batch(records, n, k, newest)
+        n += 1
+    return Arrivals(topic, k, n)
+
+
 def publish_arrivals(
     spark: SparkSession,
     records: DataFrame,
@@ -93,16 +105,14 @@ def publish_arrivals(
     n_batches: int,
     label: str = "arrivals",
     files_per_batch: int | None = None,
+    batch_gap_s: float = 0.0,
 ) -> Arrivals:
     """Publish B arrival batches to a fresh topic, each as ``k`` files
-    (default: one per core, written by ``k`` parallel tasks)."""
+    (default: one per core). Every batch is a filter on the source, written
+    once: no staging copy and no shuffle."""
     k = files_per_batch or parallelism(spark)
-    root = run_dir(spark, label + "-topic")
-    topic = FileTopic(spark, f"{root}/topic", fresh=True)
-    staged = topic.publish_in_arrival_order(
-        records, batch_col, n_batches, f"{root}/staging", files_per_batch=k
-    )
-    return Arrivals(topic, k, staged, batch_col, n_batches)
+    batches = (records.where(F.col(batch_col) == b) for b in range(n_batches))
+    return _publish(spark, batches, label, k, batch_gap_s)
 
 
 def publish_in_time_order(
@@ -111,47 +121,55 @@ def publish_in_time_order(
     n_batches: int,
     label: str = "backlog",
     files_per_batch: int | None = None,
+    batch_gap_s: float = 0.0,
 ) -> Arrivals:
     """Publish a backlog as ``n_batches`` arrival batches in event-time order.
 
-    Records are range-partitioned on ``(timestamp, partition, offset)`` into
-    ``n_batches * k`` ranges (sampled bounds, no global sort; ``k`` files per
-    batch), and ranges ``b*k .. b*k+k-1`` form batch ``b``, so no task holds
-    more than a ``k``-th of a batch. The tiebreak lets one event time held by
-    many records spread over several ranges. Every batch's times are at
-    least the previous batch's maximum, so no record is ever late (a time
-    split over two batches is not below the earlier maximum): a stream over
-    these batches emits exactly what one batch over the whole backlog would,
-    while its state holds about one batch instead of all. The exchange has
-    at most ``MAX_RANGES`` reduce partitions: with many batches, fewer and
-    larger files per batch.
+    The bounds are quantiles of the record time (one aggregation that returns
+    ``n_batches - 1`` numbers); each batch is the records between two bounds, a
+    filter that reaches the scan of a stored table, written once. Times of a
+    batch are above those of the batch before, so no record is ever late: a
+    stream over these batches emits exactly what one batch over the whole backlog
+    would, while its state holds about one batch instead of all. Records without a
+    time are in the first batch.
     """
     k = files_per_batch or parallelism(spark)
-    k = max(1, min(k, MAX_RANGES // max(n_batches, 1)))
-    ordered = records.repartitionByRange(
-        n_batches * k, "timestamp", "partition", "offset"
-    ).withColumn(
-        "arrival", (F.spark_partition_id() / F.lit(k)).cast("int")
-    )
-    return publish_arrivals(spark, ordered, "arrival", n_batches, label, k)
+    parts = [i / n_batches for i in range(1, n_batches)]
+    found = []
+    if parts:
+        micros = F.unix_micros("timestamp")
+        found = records.agg(F.percentile_approx(micros, parts, 10_000).alias("q")).first()["q"]
+    bounds = sorted(set(found or []))
+    time_of = [F.timestamp_micros(F.lit(b)) for b in bounds]
+
+    def batches():
+        for i in range(len(bounds) + 1):
+            kept = F.lit(True)
+            if i:
+                kept = F.col("timestamp") > time_of[i - 1]
+            if i < len(bounds):
+                upper = F.col("timestamp") <= time_of[i]
+                kept = kept & upper if i else upper | F.col("timestamp").isNull()
+            yield records.where(kept)
+
+    return _publish(spark, batches(), label, k, batch_gap_s)
 
 
 def run_topic(
     spark: SparkSession,
-    topic: FileTopic,
-    files_per_trigger: int | None,
+    topic,
+    per_trigger: int | None,
     settings: StreamSettings,
     label: str = "arrivals",
     output_mode: str = "append",
 ) -> StreamRun:
-    """One run over a published topic, ``files_per_trigger`` files per
-    micro-batch, into a fresh sink and checkpoint. Several runs (consumers)
-    can read the same topic."""
+    """One run over a published topic (a ``FileTopic`` or ``KafkaTopic``),
+    ``per_trigger`` files or offsets per micro-batch, into a fresh sink and
+    checkpoint. Several runs (consumers) can read the same topic."""
     root = run_dir(spark, label)
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress = run_count(
-        spark, topic.read_stream(files_per_trigger=files_per_trigger), sink, ckpt, settings,
-        output_mode,
+        spark, topic.read_stream(per_trigger=per_trigger), sink, ckpt, settings, output_mode
     )
     return StreamRun(sink, ckpt, topic.path, progress)
 
@@ -183,35 +201,31 @@ def run_per_arrival(
     settings: StreamSettings,
     label: str = "resume",
 ) -> StreamRun:
-    """A separate run after each arrival, all on one checkpoint.
-
-    Each run ends with a no-data batch, so the next run starts with the late
-    watermark one step further on than a single long run would have.
-    """
-    root = run_dir(spark, label + "-staging")
-    staged = FileTopic(spark, f"{root}/unused", fresh=True).stage_arrivals(
-        records, batch_col, f"{root}/staging"
-    )
-    return run_per_staged_arrival(spark, staged, batch_col, n_batches, settings, label)
+    """A separate run after each arrival, all on one checkpoint."""
+    arr = publish_arrivals(spark, records, batch_col, n_batches, label)
+    return run_per_batch(spark, arr, settings, label)
 
 
-def run_per_staged_arrival(
+def run_per_batch(
     spark: SparkSession,
-    staged: DataFrame,
-    batch_col: str,
-    n_batches: int,
+    arr: Arrivals,
     settings: StreamSettings,
     label: str = "resume",
+    first: int = 1,
+    last: int | None = None,
+    root: str | None = None,
 ) -> StreamRun:
-    """``run_per_arrival`` over batches that are already staged (for example
-    the staging of a published ``Arrivals``): publish batch b to a fresh
-    topic, run to completion, repeat. Each run consumes everything new, so
-    a batch is a plain parallel append (no exact file count needed)."""
-    root = run_dir(spark, label)
-    topic = FileTopic(spark, f"{root}/topic", fresh=True)
+    """W7 over a published topic: run ``b`` sees the first ``b`` batches, in
+    place, and takes up the checkpoint of the run before.
+
+    Each run ends with a no-data batch, so the next run starts with the late
+    watermark one step further on than a single long run would have. With the
+    ``root`` of an interrupted series (its sink and checkpoint) and ``first``, the
+    series goes on where it ended.
+    """
+    root = root or run_dir(spark, label)
     sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
     progress: list[dict] = []
-    for b in range(n_batches):
-        topic.publish(staged.where(F.col(batch_col) == b))
-        progress += run_count(spark, topic.read_stream(), sink, ckpt, settings)
-    return StreamRun(sink, ckpt, topic.path, progress)
+    for b in range(first, (last or arr.n_batches) + 1):
+        progress += run_count(spark, arr.topic.read_stream(batches=b), sink, ckpt, settings)
+    return StreamRun(sink, ckpt, arr.topic.path, progress)
