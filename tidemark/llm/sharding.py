@@ -2,77 +2,94 @@
 
 Rows with equal texts are linked. Every linked row begins in a hashed shard; in
 each round the rows of a group move towards the shard that holds most of the
-group, as far as that shard's quota allows. Rows without links fill the shards
+group, as far as that shard's quota allows. Rows that are equal in text are equal
+for this, so a round works on the number of a group's rows in each shard, and rows are
+told their shard at the end. Rows without links fill the shards
 up. In the end the shards' row counts are at most one apart.
 
 Defined cases: a null text is linked with nothing and counts 16 bytes; empty
-texts are equal; a group larger than a shard is spread over as few as the quota
-allows; repeated rows are separate rows of one group; an empty table gives an
+texts are equal; a group larger than a shard is gathered in
+one shard per round; repeated rows are separate rows of one group; an empty table gives an
 empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.util import buckets_for, dropped, running, saved, small_table
 
-ROUNDS = 5
+ROUNDS = 6
 
 
-def _parts(linked: DataFrame) -> DataFrame:
-    """Rows of each group in each shard."""
-    return linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
+def _by_shard(parts: DataFrame, column: str, value: str) -> dict[int, int]:
+    """Sum of ``value`` for each shard: as many rows as there are shards."""
+    rows = parts.groupBy(column).agg(F.sum(value).alias("v")).collect()
+    return {r[column]: r["v"] for r in rows if r[column] is not None}
+
+
+def _wishes(parts: DataFrame, shards: int, free: list[int]) -> DataFrame:
+    """Adds ``goal``, the shard with room that holds most of the group, and ``ask``, the
+    rows that want to move there. A group has at most ``shards`` rows here."""
+    turn = F.pmod(F.xxhash64("grp"), F.lit(shards))
+    room = F.element_at(F.array(*[F.lit(f) for f in free]), F.col("shard") + 1)
+    # One number: rows of the group in the shard, then a place that differs by group.
+    rank = F.when(room > 0, F.col("n") * shards + F.pmod(F.col("shard") + turn, F.lit(shards)))
+    best = F.max(rank).over(Window.partitionBy("grp"))
+    goal = F.pmod(F.pmod(best, F.lit(shards)) - turn, F.lit(shards)).cast("int")
+    wish = parts.withColumn("best", best).withColumn("goal", goal)
+    moves = (F.col("goal") != F.col("shard")) & (F.col("n") * shards <= F.col("best"))
+    return wish.withColumn("ask", F.when(moves, F.col("n")).otherwise(0))
 
 
 def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` (``row, grp``) with a ``shard`` each, no shard far beyond ``quota``.
+    """``grp, shard, n``: how many rows of each group of ``linked`` (``row, grp``) go to each shard.
 
-    A round reads the group-by-shard counts. A part of a group that is not in
-    the group's fullest open shard asks to move there; requests are granted
-    in the order of the group's rows at the target until the quota is reached, and of
-    the part at the limit a hashed share of its rows moves.
+    A round moves, for each shard, as many of the rows that ask to join it as
+    fit under ``quota``: each part of a group moves its share, rounded by a hash.
     """
-    now = saved(
-        linked.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), "labels"
-    )
+    first = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    now = linked.groupBy("grp", first.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    now = saved(now, "parts")
     for k in range(rounds):
-        parts = saved(_parts(now), "parts")
-        # One row per shard: its linked rows so far (``shards`` rows, so small).
-        free = parts.groupBy("shard").agg((quota - F.sum("n")).alias("free"))
-        open_parts = parts.join(F.broadcast(free), "shard")
-        goal = (
-            open_parts.where("free > 0")
-            .groupBy("grp")
-            .agg(F.max(F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 30)), "shard")).alias("m"))
-            .select("grp", F.col("m.n").alias("most"), F.col("m.shard").alias("goal"))
-        )
-        asks = parts.join(goal, "grp").where("shard <> goal AND n <= most")
-        asks = saved(asks.withColumn("goal_key", F.col("goal").cast("long")), "asks")
-        n_asks = asks.count()
-        if n_asks == 0:
-            dropped(parts), dropped(asks)
+        load = _by_shard(now, "shard", "n")
+        free = [quota - load.get(s, 0) for s in range(shards)]
+        # A shard that is all but full draws nobody, so that its groups turn to another.
+        wishes = _wishes(now, shards, [f if f > quota // 20 else 0 for f in free])
+        asked = _by_shard(wishes.where("ask > 0"), "goal", "ask")
+        if not asked:
             break
-        queued = running(asks, ["goal_key"], ["grp", "shard"], buckets_for(n_asks), "asked", F.col("n"))
-        grants = (
-            queued.join(F.broadcast(free.withColumnRenamed("shard", "goal")), "goal")
-            .withColumn("part", F.greatest(F.lit(0), F.least("n", F.col("free") - F.col("asked"))) / F.col("n"))
-            .where("part > 0")
-            .select("grp", "shard", "goal", "part")
-        )
-        draw = F.pmod(F.xxhash64("row", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
-        moved = now.join(grants, ["grp", "shard"], "left").select(
-            "row",
+        part = [min(1.0, max(0, free[s]) / asked.get(s, 1)) for s in range(shards)]
+        share = F.element_at(F.array(*[F.lit(float(x)) for x in part]), F.col("goal") + 1)
+        draw = F.pmod(F.xxhash64("grp", "shard", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
+        going = F.least(F.col("ask"), F.floor(F.col("ask") * share + draw))
+        moved = wishes.withColumn("going", F.when(F.col("ask") > 0, going).otherwise(0)).select(
             "grp",
-            F.when(draw < F.col("part"), F.col("goal")).otherwise(F.col("shard")).alias("shard"),
+            F.explode(
+                F.array(
+                    F.struct(F.col("shard"), (F.col("n") - F.col("going")).alias("n")),
+                    F.struct(F.col("goal").alias("shard"), F.col("going").alias("n")),
+                )
+            ).alias("to"),
         )
-        after = saved(moved, "labels")
-        dropped(now), dropped(parts), dropped(asks)
+        after = moved.where("to.n > 0").groupBy("grp", F.col("to.shard").alias("shard"))
+        after = saved(after.agg(F.sum("to.n").alias("n")), "parts")
+        dropped(now)
         now = after
     return now
 
 
+def _labelled(linked: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
+    """``row, shard``: the rows of each group dealt to its shards, in order of their rank."""
+    per = Window.partitionBy("grp").orderBy("shard")
+    ends = F.sum("n").over(per.rowsBetween(Window.unboundedPreceding, 0))
+    ranges = parts.select("grp", "shard", (ends - F.col("n")).alias("lo"), ends.alias("hi"))
+    ranked = running(linked, ["grp"], ["row"], buckets, "rank")
+    inside = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    return ranked.join(ranges, "grp").where(inside).select("row", "shard")
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int = 40,
@@ -101,17 +118,19 @@ def shard_documents(
     quota = [rows // shards + (s < rows % shards) for s in range(shards)]
     groups = slim.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     linked = slim.select("row", "grp").join(groups.where("n > 1").select("grp"), "grp")
-    labels = propagate(linked.select("row", "grp"), shards, quota[-1], rounds)
+    linked = saved(linked.select("row", "grp"), "linked")
+    parts = propagate(linked, shards, quota[-1], rounds)
+    labels = _labelled(linked, parts, buckets)
 
     # What is over a shard's quota joins the rows without links ...
     limit = F.element_at(F.array(*[F.lit(q).cast("long") for q in quota]), F.col("shard") + 1)
     placed = saved(
-        running(labels.select("row", "shard"), ["shard"], ["row"], buckets, "slot").where(
+        running(labels, ["shard"], ["row"], buckets, "slot").where(
             F.col("slot") < limit
         ),
         "placed",
     )
-    held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = _by_shard(placed.withColumn("one", F.lit(1)), "shard", "one")
     rest = slim.select("row").join(placed.select("row"), "row", "left_anti")
     rest = running(rest, [], ["row"], buckets, "rank")
     # ... and they fill the shards up in turn: a table of ``shards`` rows says where each begins.
