@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,25 @@ def components(edges: DataFrame) -> DataFrame:
     links = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = links.select(F.col("component").alias("node"), "component").distinct()
     return links.unionByName(roots)
+
+
+class Forest:
+    """Least members of the groups of some nodes, joined a row of links at a time."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        found = self.parent[nodes]
+        while True:
+            further = self.parent[found]
+            if (further == found).all():
+                return found
+            found = further
+
+    def join(self, node: int, others: np.ndarray) -> None:
+        nodes = np.append(others, node)
+        roots = self.roots(nodes)
+        least = roots.min()
+        self.parent[roots] = least
+        self.parent[nodes] = least

@@ -8,9 +8,12 @@ as many as a pair with ``matches`` equal coordinates must meet in. Pairs that me
 retained from ``matches`` equal coordinates on and confirmed on the full shingle sets.
 
 Only links that can join two groups are looked for. Documents with one set are one
-node. In each posting list every node is first compared with one hub; what is not
-joined by then is compared across the groups of each list in full. So
-a list of n copies costs n comparisons, and no link between two groups is lost.
+node. In each posting list every node is first compared with one hub, so that a
+list of n copies costs n comparisons. Lists that still meet several groups are
+compared in full, in tiles: nodes are dealt to bounded buckets, family by family, and
+every two buckets that a list brings together are compared by signature and then by
+set, all pairs of different groups. A tile returns the links that span what it
+joins, at most one per node. So no link between two groups is lost, and pairs never are rows.
 
 Defined cases: a null, empty or blank text has no shingles and links with
 nothing; a text with fewer words than a shingle is one shingle; repeated rows
@@ -30,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
-from tidemark.llm.util import dropped, saved
+from tidemark.llm.components import Forest, components
+from tidemark.llm.util import dropped, per_process, saved
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -69,7 +72,7 @@ class Shingler:
 
     def __init__(self, words: int):
         self.k = words
-        self.words = _Words()
+        self.words = per_process(("words",), _Words)
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes.lower and bytes.split know the ASCII letters and white space only.
@@ -211,8 +214,119 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(confirm, "a long, b long")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+#: Nodes of a bucket.
+BUCKET = 512
+#: Posting lists longer than this keep their nodes in one family.
+LONG_LIST = 16
+
+
+def _buckets(posted: DataFrame, nodes: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
+    """``node, group, bucket, signature`` of the posted nodes. ``group``: joined so far; ``bucket``:
+    a part of at most about BUCKET nodes of a family. A family is linked by equal coordinates
+    with a hub, or by a long list: nodes that will be compared come to lie in few buckets.
+    Which nodes share a family changes the work only, not the result."""
+    group = components(found).withColumnRenamed("component", "group")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"))
+    long = posted.join(lists.where(F.col("n") > LONG_LIST), "key").where("node <> hub")
+    kin = near.unionByName(long.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    family = components(kin).withColumnRenamed("component", "family")
+    info = (
+        posted.select("node")
+        .distinct()
+        .join(group, "node", "left")
+        .join(family, "node", "left")
+        .select("node", F.coalesce("group", "node").alias("group"), F.coalesce("family", "node").alias("family"))
+    )
+    parts = info.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    dealt = info.join(parts, "family").select("node", "group", F.xxhash64("family", part).alias("bucket"))
+    return dealt.join(nodes, "node")
+
+
+def _meetings(posted: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``left, right``: buckets that some list brings together, with more than one group."""
+    here = posted.join(dealt.select("node", "group", "bucket"), "node")
+    per = here.groupBy("key", "bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    several = per.groupBy("key").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+    per = saved(per.join(several.where("least <> most").select("key"), "key"), "meeting")
+    one = per.select("key", F.col("bucket").alias("left"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = per.select("key", F.col("bucket").alias("right"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    across = one.join(two, "key").where("left < right AND NOT (lo1 = hi1 AND lo2 = hi2 AND lo1 = lo2)")
+    inside = per.where("lo <> hi").select(F.col("bucket").alias("left"), F.col("bucket").alias("right"))
+    return across.select("left", "right").unionByName(inside).distinct()
+
+
+def _tile_rows(pairs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The nodes of both buckets of each pair."""
+    side = F.explode(F.array_distinct(F.array("left", "right")))
+    return pairs.select("left", "right", side.alias("bucket")).join(dealt, "bucket")
+
+
+class _Tile:
+    """Candidate pairs of one pair of buckets: enough equal coordinates, different groups."""
+
+    def __init__(self, table: pa.Table, params: Params):
+        self.table = table = table.sort_by("node")
+        self.nodes = table.column("node").to_numpy()
+        bucket, group = table.column("bucket").to_numpy(), table.column("group").to_numpy()
+        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        rows = b"".join(table.column("signature").to_pylist())
+        signed = np.frombuffer(rows, np.uint32).reshape(len(self.nodes), params.coordinates)
+        one, two = np.flatnonzero(bucket == left), np.flatnonzero(bucket == right)
+        self.i, self.j = one[:0], two[:0]
+        if len(one) and len(two):
+            same = np.zeros((len(one), len(two)), np.uint8 if params.coordinates < 256 else np.uint16)
+            for c in range(params.coordinates):
+                same += signed[one, c][:, None] == signed[two, c][None, :]
+            good = (same >= params.matches) & (group[one][:, None] != group[two][None, :])
+            i, j = np.nonzero(good)
+            self.i, self.j = one[i], two[j]
+            if left == right:
+                below = self.i < self.j
+                self.i, self.j = self.i[below], self.j[below]
+
+
+def _tile_links(pairs: DataFrame, dealt: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
+    """``a, b``: links that span what the tiles of ``pairs`` join."""
+    light = ["left", "right", "node", "bucket", "group", "signature"]
+
+    def ask(table: pa.Table) -> pa.Table:
+        tile = _Tile(table, params)
+        told = tile.table.take(pa.array(np.union1d(tile.i, tile.j)))
+        return told.select(["left", "right", "node"])
+
+    asked = (
+        _tile_rows(pairs, dealt)
+        .select(*light)
+        .groupBy("left", "right")
+        .applyInArrow(ask, "left long, right long, node long")
+    )
+    asked = saved(asked, "asked")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        tile = _Tile(table, params)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.table.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        _, name = np.unique(np.concatenate(sets), return_inverse=True)
+        names = np.split(name, np.cumsum(size)[:-1])
+        seen = np.zeros(len(name) + 1, bool)
+        forest = Forest(len(sets))
+        starts = np.flatnonzero(np.append(True, tile.i[1:] != tile.i[:-1])) if len(tile.i) else []
+        for lo, hi in zip(starts, np.append(starts[1:], len(tile.i)) if len(tile.i) else []):
+            i, others = int(tile.i[lo]), tile.j[lo:hi]
+            seen[names[i]] = True
+            parts = np.concatenate([names[j] for j in others])
+            both = np.add.reduceat(seen[parts].astype(np.int64), np.cumsum(size[others]) - size[others])
+            seen[names[i]] = False
+            linked = others[100 * both >= params.percent * (size[i] + size[others] - both)]
+            if len(linked):
+                forest.join(i, linked)
+        root = forest.roots(np.arange(len(sets)))
+        told = np.flatnonzero(root != np.arange(len(sets)))
+        return pa.table([pa.array(tile.nodes[root[told]]), pa.array(tile.nodes[told])], names=["a", "b"])
+
+    whole = asked.join(dealt, "node").join(sets, "node")
+    return whole.select(*light, "shingles").groupBy("left", "right").applyInArrow(confirm, "a long, b long")
 
 
 def links(docs: DataFrame, nodes: DataFrame, params: Params, text_col: str) -> DataFrame:
@@ -233,39 +347,14 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params, text_col: str) -> D
 
     sets = saved(wanted.mapInArrow(shingled, "node long, shingles binary"), "shingles")
 
-    def tested(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = saved(pairs, "pairs")
-        near = saved(_matching(pairs, nodes, params), "matching")
-        return pairs, saved(_confirmed(near, sets, params), "links")
-
     hubs = posted.groupBy("key").agg(F.min("node").alias("hub"))
-    pairs = posted.join(hubs, "key").where("node <> hub").select(*_ordered("hub", "node")).distinct()
-    seen, found = tested(pairs)
+    pairs = posted.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = saved(_matching(pairs.distinct(), nodes, params), "matching")
+    found = saved(_confirmed(near, sets, params), "links")
 
-    group = components(found)
-    posted = posted.join(group, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("group")
-    )
-    posted = saved(posted, "grouped")
-    # Of each list that meets several groups, all outside its largest group against all others.
-    sizes = posted.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = (
-        sizes.groupBy("key")
-        .agg(F.max(F.struct("n", "group")).alias("m"), F.count(F.lit(1)).alias("groups"))
-        .where("groups > 1")
-        .select("key", F.col("m.group").alias("main"))
-    )
-    mixed = saved(posted.join(largest, "key"), "mixed")
-    minor = mixed.where("group <> main").select("key", F.col("node").alias("other"), F.col("group").alias("of"))
-    across = (
-        mixed.join(minor, "key")
-        .where("group <> of")
-        .select(*_ordered("node", "other"))
-        .distinct()
-        .join(seen, ["a", "b"], "left_anti")
-    )
-    _, more = tested(across)
-    return found.unionByName(more)
+    dealt = saved(_buckets(posted, nodes, found, near), "buckets")
+    meetings = saved(_meetings(posted, dealt), "meetings")
+    return found.unionByName(_tile_links(meetings, dealt, sets, params))
 
 
 def near_dedup(

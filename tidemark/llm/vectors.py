@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import Forest, components
 from tidemark.llm.util import saved
 
 TILE = 4096
@@ -97,28 +97,6 @@ def banded(a: Codes, b: Codes, least: float, same: bool) -> Iterator[tuple[np.nd
         yield i[possible], j[possible], (value - bound >= least)[possible]
 
 
-class Forest:
-    """Least members of the groups of some nodes, joined a row of links at a time."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def roots(self, nodes: np.ndarray) -> np.ndarray:
-        found = self.parent[nodes]
-        while True:
-            further = self.parent[found]
-            if (further == found).all():
-                return found
-            found = further
-
-    def join(self, node: int, others: np.ndarray) -> None:
-        nodes = np.append(others, node)
-        roots = self.roots(nodes)
-        least = roots.min()
-        self.parent[roots] = least
-        self.parent[nodes] = least
-
-
 def _link(i: np.ndarray, j: np.ndarray, links: np.ndarray, copies: np.ndarray, forest: Forest) -> None:
     """Count the links ``i``-``j`` (``i`` sorted) for both ends and join them."""
     n = len(copies)
