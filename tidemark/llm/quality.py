@@ -32,6 +32,7 @@ POSITIVES = 10_000
 UNLABELLED = 20_000
 HIDDEN = 16
 STEPS = 600
+DECAY = 3e-3
 N_FEATURES = 22
 
 
@@ -120,7 +121,7 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed
         back = np.outer(dz, w[2]) * (1 - h * h)
         grads = [x.T @ back, back.sum(0), h.T @ dz, np.array([dz.sum()])]
         for i, g in enumerate(grads):
-            g = g + 1e-4 * w[i] * (i in (0, 2))
+            g = g + DECAY * w[i] * (i in (0, 2))
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             rate = 0.02 * min(1.0, 2 * (1 - step / (STEPS + 1)))
