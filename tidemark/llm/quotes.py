@@ -60,7 +60,7 @@ def without_quotes(text: Column) -> Column:
         announces = line.rlike(ANNOUNCES) & following.rlike(MARKS)
         return ~line.rlike(MARKS) & ~announces
 
-    return F.trim(F.array_join(F.filter(lines, own), "\n"))
+    return F.regexp_replace(F.array_join(F.filter(lines, own), "\n"), r"^\s+|\s+$", "")
 
 
 def passages(messages: DataFrame) -> DataFrame:
