@@ -106,10 +106,11 @@ def slots(sources: DataFrame, block_words: int, seed: int, slots_per_shard: int)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     plan = plan.withColumn("all", F.sum("n").over(whole))
     # A source with many slots is opened in two steps, so that no task opens them all.
-    step = 4096
+    step = 1024
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = plan.withColumn(
         "run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step)))
-    ).repartition("src", "run")
+    ).repartition(parts, "src", "run")
     each = runs.withColumn(
         "j",
         F.explode(
@@ -175,7 +176,8 @@ def mix(
             F.sequence(F.floor(F.col("at") / ln), F.floor((F.col("at") + F.col("size") - 1) / ln))
         ),
     )
-    taken = slots(sources, block_words, seed, slots_per_shard)
+    # Stored, so that the join goes by the slots' true size, not by that of the sources.
+    taken = saved(slots(sources, block_words, seed, slots_per_shard), "slots")
     begin = F.greatest(F.col("at"), F.col("block") * ln)
     end = F.least(F.col("at") + F.col("size"), F.col("block") * ln + F.col("words"))
     spans = (
