@@ -190,6 +190,60 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE
+        v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        p AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+        ),
+        r(vec_id, seen) AS (
+            SELECT vec_id, vec_id FROM v
+            UNION
+            SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.seen
+        ),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+        SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(seen) AS component_id,
+               r.vec_id = min(seen) AS kept
+        FROM r LEFT JOIN n USING (vec_id) GROUP BY r.vec_id
+    """,
+    "op4_minhash_near_dedup": r"""
+        WITH RECURSIVE
+        w AS (
+            SELECT doc_id, list_filter(
+                string_split_regex(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                lambda x: x <> '') AS w
+            FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+                WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2),
+                                    lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+            FROM w
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        hits AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+            FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+        ),
+        p AS (
+            SELECT a, b FROM hits JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * c >= 80 * (x.n + y.n - c)
+        ),
+        r(doc_id, seen) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.seen
+        )
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id,
+               r.doc_id = min(seen) AS kept
+        FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+    """,
     "op8_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id,
