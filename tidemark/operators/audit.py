@@ -165,13 +165,16 @@ def summary(reconciled: DataFrame, watermark: Column) -> DataFrame:
 
 
 def delivery_check(
-    sent: DataFrame, received: DataFrame, expected: int | Column | None = None
+    sent: DataFrame,
+    received: DataFrame,
+    expected: int | Column | None = None,
+    *more: int | Column | None,
 ) -> DataFrame:
     """Were at least ``expected`` records received (default: all sent)?
 
     Reports received, expected and sent side by side, plus the number of
-    distinct keys received, so loss and duplication can be told apart.
-    One job over the union of both sides; no collect.
+    distinct keys received, so loss and duplication can be told apart; a row
+    for each of several expectations. One job over the union of both sides; no collect.
     """
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     no_key = F.lit(None).cast("binary")
@@ -183,10 +186,13 @@ def delivery_check(
         F.coalesce(F.sum("r"), zero).alias("received"),
         F.countDistinct("k").alias("distinct_keys"),
     )
-    want = F.col("sent") if expected is None else (
-        expected if isinstance(expected, Column) else F.lit(int(expected)).cast("bigint")
-    )
+
+    def want(e: int | Column | None) -> Column:
+        if e is None:
+            return F.col("sent")
+        return e if isinstance(e, Column) else F.lit(int(e)).cast("bigint")
+
+    wants = F.array(*[want(e) for e in (expected, *more)])
     return out.select(
-        "sent", "received", want.alias("expected"), "distinct_keys",
-        (F.col("received") >= want).alias("ok"),
-    )
+        "sent", "received", F.explode(wants).alias("expected"), "distinct_keys"
+    ).withColumn("ok", F.col("received") >= F.col("expected"))
