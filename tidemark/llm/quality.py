@@ -131,11 +131,8 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed
     return w
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
-    """Estimated share of positives among the unlabelled, from both samples' features."""
+def _prior_once(positive: np.ndarray, unlabelled: np.ndarray, seed: int) -> float:
     half_p, half_u = len(positive) // 2, len(unlabelled) // 2
-    if not half_p or not half_u:
-        return 0.5
     w = _fit(positive[:half_p], unlabelled[:half_u], None, seed)
     sp = np.sort(_forward(w, positive[half_p:])[1])
     su = np.sort(_forward(w, unlabelled[half_u:])[1])
@@ -147,6 +144,19 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) ->
     return float(np.clip(tail_u[best] / max(tail_p[best], 1e-9), 0.05, 0.99))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
+    """Estimated share of positives among the unlabelled, from both samples' features:
+    the median over some random halves, more of them where the samples are small."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    splits = int(np.clip(20_000 // len(unlabelled), 1, 9))
+    found = []
+    for k in range(splits):
+        rng = np.random.default_rng(seed + k)
+        found.append(_prior_once(rng.permutation(positive), rng.permutation(unlabelled), seed + k))
+    return float(np.median(found))
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> dict:
     """The model: feature scaling, weights and the estimated prior."""
     whole = np.vstack([positive, unlabelled])
