@@ -41,7 +41,7 @@ from tidemark.llm.util import dropped, saved
 
 KMER = 32
 #: Bytes of text looked at together; bounds the memory of a task.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Suffixes sorted together, but for a key that alone has more.
 TOGETHER = 30_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -116,7 +116,7 @@ def segment_rows(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             rows = batch.column(0).to_numpy()
             texts = [(t.as_py() or "").encode("utf-8") for t in batch.column(1)]
             for of, joined in _pieces(texts, length):
