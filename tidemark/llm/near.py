@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -222,20 +223,26 @@ LONG_LIST = 16
 
 def _buckets(posted: DataFrame, nodes: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
     """``node, group, bucket, signature`` of the posted nodes. ``group``: joined so far; ``bucket``:
-    a part of at most about BUCKET nodes of a family. A family is linked by equal coordinates
-    with a hub, or by a long list: nodes that will be compared come to lie in few buckets.
-    Which nodes share a family changes the work only, not the result."""
+    a part of at most about BUCKET nodes of a family. A family is that of the least node that
+    a node meets by equal coordinates or in a long list, and one step on: nodes that will be
+    compared come to lie in few buckets. Which nodes share a family changes the work
+    only, not the result."""
     group = components(found).withColumnRenamed("component", "group")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"))
-    long = posted.join(lists.where(F.col("n") > LONG_LIST), "key").where("node <> hub")
-    kin = near.unionByName(long.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    family = components(kin).withColumnRenamed("component", "family")
+    long = posted.join(lists.where(F.col("n") > LONG_LIST), "key")
+    met = [
+        near.select(F.col("b").alias("node"), F.col("a").alias("met")),
+        near.select(F.col("a").alias("node"), F.col("b").alias("met")),
+        long.select("node", F.col("hub").alias("met")),
+        posted.select("node", F.col("node").alias("met")),
+    ]
+    least = reduce(DataFrame.unionByName, met).groupBy("node").agg(F.min("met").alias("least"))
+    least = saved(least, "least-met")
+    step = least.select(F.col("node").alias("least"), F.col("least").alias("family"))
     info = (
-        posted.select("node")
-        .distinct()
+        least.join(step, "least")
         .join(group, "node", "left")
-        .join(family, "node", "left")
-        .select("node", F.coalesce("group", "node").alias("group"), F.coalesce("family", "node").alias("family"))
+        .select("node", F.coalesce("group", "node").alias("group"), "family")
     )
     parts = info.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
