@@ -1,5 +1,6 @@
 import hashlib
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -109,3 +110,34 @@ def test_induction_against_comparison():
                     for j, (k, s, b) in enumerate(items)
                 )
                 assert found[i, t] == want
+
+
+def shared_passage(n, size):
+    """Texts around one passage, each with surroundings of its own."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(size))
+    own = lambda: "".join(rng.choice("ijklmnop ") for _ in range(150))
+    return [own() + passage[rng.randint(0, 9) :] + own() for _ in range(n)]
+
+
+@pytest.mark.parametrize("size", [190, 330])
+def test_hot_key_is_deepened(spark, monkeypatch, size):
+    most, sorted_rows = 20, []
+    induced = repeats._induced_spans
+
+    def spied(tuples, length):
+        sorted_rows.append(tuples.groupBy("key").count().agg({"count": "max"}).first()[0] or 0)
+        return induced(tuples, length)
+
+    monkeypatch.setattr(repeats, "_induced_spans", spied)
+    monkeypatch.setattr(repeats, "repeated_spans", partial(repeats.repeated_spans, most=most))
+    texts = shared_passage(90, size) + woven(4, 20, "abcdefgh ")
+    check(spark, documents(spark, texts), texts, range(len(texts)), 200)
+    # Some key was too long, and none that was sorted is.
+    assert len(sorted_rows) > 1 and max(sorted_rows) <= most
+
+
+def test_woven_texts_with_deepened_keys(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "repeated_spans", partial(repeats.repeated_spans, most=2))
+    texts = woven(6, 60, "xyé文 ")
+    assert check(spark, documents(spark, texts), texts, range(len(texts)), 100) > 0

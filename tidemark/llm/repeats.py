@@ -14,7 +14,11 @@ whose common prefix with a neighbour reaches ``length`` starts a repeated string
   Spark's external sorter: sorted runs on disk, merged through a priority queue. A
   task holds the tuples of a few keys, whatever the size of its shard.
 * Keys carry over half of the string's own bytes, so that an anchor that very many
-  texts share is divided by its surroundings.
+  texts share is divided by its surroundings. A key that still has more than
+  ``TOGETHER`` tuples is deepened: each tuple gives one for the nearer and one for the
+  farther half of the strings it stands for, and the new keys carry all bytes that the
+  strings of a half have in common. Of tuples with the same bytes one goes on. That ends
+  at the latest where a tuple stands for one string and its key for all bytes of it.
 * Induction: a stable sort by the preceding byte turns the order of the suffixes
   into that of the suffixes one longer. The common prefix of two neighbours is one
   more than the least value between their old places if they are preceded by the
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,7 @@ from tidemark.llm.util import dropped, saved
 KMER = 32
 #: Bytes of text looked at together; bounds the memory of a task.
 PIECE = 1 << 19
-#: Suffixes sorted together, but for a key that alone has more.
+#: Suffixes sorted together, and the most that a key may have to be sorted at all.
 TOGETHER = 30_000
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -148,21 +153,37 @@ def segment_rows(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     )
 
 
-def _tuples(anchor: int, lead: int, data: bytes, length: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """``(key, lead, suffix, before)``: the suffix at the anchor for strings that begin
-    close before it, and one that begins further left for the others."""
+def _tuples(anchor: int, lead: int, data: bytes, length: int) -> Iterator[tuple[int, int, bytes, bytes, int]]:
+    """``(key, lead, suffix, before, reach)``: the suffix at the anchor for strings that begin
+    close before it, and one that begins further left for the others. The strings begin
+    ``reach`` bytes before the suffix at most."""
     half = (length - KMER) // 2
     key = anchor.to_bytes(8, "little", signed=True)
     right = len(data) - lead
     if right >= length - half:  # some string begins at most ``half`` bytes before the anchor
         suffix = data[lead : lead + length]
         near = xxhash.xxh64_intdigest(key + b"r" + suffix[: length - half])
-        yield near, lead, suffix, data[max(0, lead - half) : lead]
+        yield near, lead, suffix, data[max(0, lead - half) : lead], half
     if lead > half:
         at = lead - half - 1
         suffix = data[at : at + length]
         far = xxhash.xxh64_intdigest(key + b"l" + suffix[: half + 1 + KMER])
-        yield far, at, suffix, data[:at]
+        yield far, at, suffix, data[:at], length - half - 1 - KMER
+
+
+def _halves(key: int, at: int, suffix: bytes, before: bytes, reach: int, length: int):
+    """The tuples, as of :func:`_tuples`, of both halves of the strings that a tuple stands for."""
+    half = reach // 2
+    old = key.to_bytes(8, "little", signed=True)
+    least = max(0, length - len(suffix))  # nearer strings are not whole
+    if least <= min(half, len(before)):
+        near = xxhash.xxh64_intdigest(old + b"r" + suffix[: length - half])
+        yield near, at, suffix, before[max(0, len(before) - half) :], half
+    cut = len(before) - half - 1
+    if cut >= 0 and least <= len(before):
+        suffix, reach = (before[cut:] + suffix)[:length], reach - half - 1
+        far = xxhash.xxh64_intdigest(old + b"l" + suffix[: length - reach])
+        yield far, at - half - 1, suffix, before[:cut], reach
 
 
 def induce(keys: np.ndarray, suffixes: list[bytes], before: list[bytes], length: int) -> np.ndarray:
@@ -246,37 +267,80 @@ def _shared(table: pa.Table) -> pa.Table:
     return table.filter(pa.array(np.append(same, False) | np.append(False, same)))
 
 
-def _sort_segments(docs: DataFrame, mixed: DataFrame, text_col: str, length: int) -> DataFrame:
-    """``row, lo, hi``: repeated bytes of the segments that are met once, ``mixed`` holding one
-    place and the number of ``copies`` of every segment of an anchor with several."""
+_TUPLE = "key long, suffix binary, before binary, row long, at long, copies long, reach int"
+_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+
+def _tuple_batch(found: Iterable[tuple]) -> pa.RecordBatch:
+    """Rows of ``_TUPLE`` from ``((key, at, suffix, before, reach), row, copies)``."""
+    out: list[list] = [[] for _ in _TYPES]
+    for (key, at, suffix, before, reach), row, copies in found:
+        key = key - (1 << 64) if key >> 63 else key
+        for column, v in zip(out, (key, suffix, before, row, at, copies, reach)):
+            column.append(v)
+    names = ["key", "suffix", "before", "row", "at", "copies", "reach"]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, _TYPES)], names=names)
+
+
+def _segment_tuples(docs: DataFrame, mixed: DataFrame, text_col: str, length: int) -> DataFrame:
+    """The tuples (``_TUPLE``) of the segments ``mixed``."""
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     wanted = mixed.groupBy("row").agg(
         F.collect_list(F.struct("anchor", "start", "windows", "lead", "copies")).alias("parts")
     )
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "suffix", "before", "row", "at", "copies"]
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        def tuples(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for row, text, parts in zip(*[c.to_pylist() for c in batch.columns]):
+                data = (text or "").encode("utf-8")
+                for p in parts:
+                    a = p["start"]
+                    part = data[a : a + p["windows"] + length - 1]
+                    for key, at, *rest in _tuples(p["anchor"], p["lead"], part, length):
+                        yield (key, a + at, *rest), row, p["copies"]
+
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):
-                batch = whole.slice(lo, 200)
-                out: list[list] = [[] for _ in names]
-                for row, text, parts in zip(*[c.to_pylist() for c in batch.columns]):
-                    data = (text or "").encode("utf-8")
-                    for p in parts:
-                        a = p["start"]
-                        part = data[a : a + p["windows"] + length - 1]
-                        for key, at, suffix, before in _tuples(p["anchor"], p["lead"], part, length):
-                            key = key - (1 << 64) if key >> 63 else key
-                            for column, v in zip(out, (key, suffix, before, row, a + at, p["copies"])):
-                                column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=names)
-
-    tuples = text.join(wanted, "row").select("row", "text", "parts").mapInArrow(
-        fetch, "key long, suffix binary, before binary, row long, at long, copies long"
+                yield _tuple_batch(tuples(whole.slice(lo, 200)))
+
+    return text.join(wanted, "row").select("row", "text", "parts").mapInArrow(fetch, _TUPLE)
+
+
+def _deepened(tuples: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """``tuples`` under longer keys, one for all with the same bytes, and the spans
+    (``row, lo, hi``) of those that are not alone with their bytes."""
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                rows = zip(*[c.to_pylist() for c in whole.slice(lo, 2000).columns])
+                yield _tuple_batch(
+                    (half, row, copies)
+                    for key, suffix, before, row, at, copies, reach in rows
+                    for half in _halves(key, at, suffix, before, reach, length)
+                )
+
+    parts = saved(tuples.select(*_names(_TUPLE)).mapInArrow(split, _TUPLE), "deepened")
+    same = ["key", "suffix", "before", "reach"]
+    alike = parts.groupBy(*same).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"), F.first(F.struct("row", "at")).alias("one")
+    )
+    alike = saved(alike.select(*same, "n", "copies", "one.row", "one.at"), "alike")
+    again = parts.where("copies = 1").join(alike.where("n > 1").select(*same), same, "left_semi")
+    spans = again.select(
+        "row", (F.col("at") - F.length("before")).alias("lo"), (F.col("at") + F.length("suffix")).alias("hi")
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tuples.repartition(parts, "key").sortWithinPartitions("key", "suffix")
+    return alike.select(*_names(_TUPLE)), spans
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _induced_spans(tuples: DataFrame, length: int) -> DataFrame:
+    """``row, lo, hi``: repeated bytes that sorting each key's tuples finds."""
+    parts = int(tuples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = tuples.drop("reach").repartition(parts, "key").sortWithinPartitions("key", "suffix")
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _sorted_shards(batches):
@@ -297,8 +361,35 @@ def _sort_segments(docs: DataFrame, mixed: DataFrame, text_col: str, length: int
     return ordered.mapInArrow(sort, "row long, lo long, hi long")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
-    """``row, lo, hi``: byte spans, possibly overlapping, that cover all repeated strings."""
+def _bounded_keys(tuples: DataFrame, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of tuples in which no key has more than ``most``, and spans found on the way there."""
+    calm, spans = [], []
+    while True:
+        hot = tuples.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        hot = saved(hot.select("key"), "hot-keys")
+        if hot.isEmpty():
+            return [*calm, tuples], spans
+        # One key for more than ``most`` rows.
+        calm.append(tuples.join(F.broadcast(hot), "key", "left_anti"))
+        tuples, whole = _deepened(tuples.join(F.broadcast(hot), "key", "left_semi"), length)
+        spans.append(whole)
+
+
+def _sort_segments(docs: DataFrame, mixed: DataFrame, text_col: str, length: int, most: int) -> DataFrame:
+    """``row, lo, hi``: repeated bytes of the segments that are met once, ``mixed`` holding one
+    place and the number of ``copies`` of every segment of an anchor with several."""
+    tuples = saved(_segment_tuples(docs, mixed, text_col, length), "tuples")
+    calm, spans = _bounded_keys(tuples, length, most)
+    return reduce(DataFrame.unionByName, [*(_induced_spans(t, length) for t in calm), *spans])
+
+
+def repeated_spans(
+    docs: DataFrame, length: int = 200, text_col: str = "text", most: int = TOGETHER
+) -> DataFrame:
+    """``row, lo, hi``: byte spans, possibly overlapping, that cover all repeated strings.
+
+    Keys with more than ``most`` tuples are deepened before they are sorted.
+    """
     if length < 2 * KMER:
         raise ValueError(f"strings must have {2 * KMER} bytes at least")
     found = saved(segment_rows(docs, text_col, length), "segments")
@@ -319,7 +410,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
     whole = whole.select(
         "row", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + (length - 1)).alias("hi")
     )
-    sorted_out = saved(_sort_segments(docs, each, text_col, length), "sorted-spans")
+    sorted_out = saved(_sort_segments(docs, each, text_col, length, most), "sorted-spans")
     return whole.unionByName(sorted_out)
 
 
