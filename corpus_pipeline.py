@@ -16,16 +16,13 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.near import Params, near_dedup
 from tidemark.llm.packing import best_fit
 from tidemark.llm.quality import scored_rows
-from tidemark.llm.util import WORD, read, saved
-
-ROW = "__row"
+from tidemark.llm.util import ROW, WORD, numbered, read, saved
 
 
 def _kept_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` (``row``, ``kept``) keeps."""
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    """The rows of numbered ``docs`` that ``judged`` (``row``, ``kept``) keeps."""
     kept = judged.where("kept").select(F.col("row").alias(ROW))
-    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
+    return docs.join(kept, ROW, "left_semi").select(*[c for c in docs.columns if c != ROW])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +32,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
+    docs = numbered(docs)
     return _kept_rows(docs, exact_dedup(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five words, 80 per cent) stays."""
+    docs = numbered(docs)
     return _kept_rows(docs, near_dedup(docs, Params(words=5, percent=80)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a row for each pass over a document, with the words taken in it."""
-    documents, _, spans = mix(docs)
+    given = numbered(docs)
+    documents, _, spans = mix(given)
     taken = (
         spans.groupBy("row", "pass")
         .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("words"))
@@ -53,11 +53,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .withColumnsRenamed({"row": ROW, "words": "__words", "spans": "__spans", "size": "__size"})
         .drop("pass")
     )
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     parts = F.transform("__spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["words"].cast("int")))
     part = F.array_join(F.flatten(parts), " ")
-    out = numbered.join(taken, ROW).withColumn(
+    out = given.join(taken, ROW).withColumn(
         "text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(part)
     )
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

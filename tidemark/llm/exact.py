@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import SPACE, saved
+from tidemark.llm.util import ROW, SPACE, numbered, saved
 
 #: A chunk ends, after 64 characters, where a mark follows one of a few letters, or at
 #: 4096. Such places are several times rarer than 64 characters, so two texts cut
@@ -58,8 +58,19 @@ def recipes(
 ) -> DataFrame:
     """One row per document: ``row`` (a number of its own), ``id``, ``recipe``
     (verified chunk identifiers in order) and ``sha256`` of the normalised text."""
+    shared = (
+        chunk_store(docs, text_col, chunk_hash)
+        .groupBy("hash")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("hash")
+    )
+    shared = saved(shared, "shared-hashes")
+    collide = not shared.isEmpty()
+    if collide:  # the texts are read twice
+        docs = numbered(docs, id_col, text_col)
     norm = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).alias("id"),
         normalised(F.col(text_col)).alias("norm"),
     )
@@ -72,15 +83,7 @@ def recipes(
         ),
         "recipes",
     )
-    shared = (
-        chunk_store(docs, text_col, chunk_hash)
-        .groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("hash")
-    )
-    shared = saved(shared, "shared-hashes")
-    if shared.isEmpty():
+    if not collide:
         return listed
     return _with_ordinals(docs, listed, shared, id_col, text_col, chunk_hash)
 
@@ -89,10 +92,8 @@ def _with_ordinals(docs, listed, shared, id_col, text_col, chunk_hash) -> DataFr
     """Recipes in which a hash that stands for several chunks is followed by
     the place of the chunk among them. Only those chunks move again."""
     # Rows are numbered before they are opened.
-    numbered = docs.select(
-        F.monotonically_increasing_id().alias("row"), normalised(F.col(text_col)).alias("norm")
-    )
-    each = numbered.select("row", F.posexplode(chunks(F.col("norm"))).alias("at", "chunk"))
+    norm = docs.select(F.col(ROW).alias("row"), normalised(F.col(text_col)).alias("norm"))
+    each = norm.select("row", F.posexplode(chunks(F.col("norm"))).alias("at", "chunk"))
     each = each.withColumn("hash", chunk_hash(F.col("chunk")))
     each = saved(each.join(shared, "hash", "left_semi"), "shared-chunks")
     # The chunks of one hash are few: any two of them are a collision.

@@ -19,7 +19,7 @@ Defined cases: a null, empty or blank text has no shingles and links with
 nothing; a text with fewer words than a shingle is one shingle; repeated rows
 link with each other if they have words; the row that stays is the one with the
 smallest id (null ids last); an empty table gives an empty result; other columns
-are not read. The table must be stored: its rows are numbered as they are read.
+are not read. Rows are numbered once and stored with their numbers.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import Forest, components
-from tidemark.llm.util import dropped, per_process, saved
+from tidemark.llm.util import ROW, dropped, numbered, per_process, saved
 
 CACHED_WORDS = 300_000
 
@@ -106,9 +106,9 @@ class Signer:
 
 
 def signatures(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
-    """``row, id, n_shingles, hi, lo`` (digest of the set), ``signature`` of every row."""
+    """``row, id, n_shingles, hi, lo`` (digest of the set), ``signature`` of every numbered row."""
     given = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.col(ROW).alias("row"),
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     )
@@ -339,7 +339,7 @@ def _tile_links(pairs: DataFrame, dealt: DataFrame, sets: DataFrame, params: Par
 def links(docs: DataFrame, nodes: DataFrame, params: Params, text_col: str) -> DataFrame:
     """Confirmed links ``a, b`` between nodes, enough to join all that are reachable."""
     posted = saved(prefix_postings(nodes, params), "postings")
-    text = docs.select(F.monotonically_increasing_id().alias("node"), F.col(text_col).alias("text"))
+    text = docs.select(F.col(ROW).alias("node"), F.col(text_col).alias("text"))
     wanted = text.join(posted.select("node").distinct(), "node", "left_semi")
 
     def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,6 +371,7 @@ def near_dedup(
 
     ``component_id``: smallest id of the documents reachable by links.
     """
+    docs = numbered(docs, id_col, text_col)
     signed = saved(signatures(docs, params, id_col, text_col), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "hi", "lo").agg(F.min("row").alias("node"))
     member = signed.join(classes, ["n_shingles", "hi", "lo"], "left").select(

@@ -17,7 +17,7 @@ removed and links nothing; a message is never its own parent, and parents are
 strictly earlier by (conversation, turn, row), so there are no cycles; null
 conversation ids form one conversation, null turns come first; of repeated rows each is a
 message; an empty table gives an empty result; other columns stay untouched.
-The table must be stored: its rows are numbered as they are read.
+Rows are numbered once and stored with their numbers.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import dropped, saved
+from tidemark.llm.util import dropped, numbered, saved
 
 #: Leading quote marks: ">", "> >", ">>" and so on.
 MARKS = r"^(?:[ \t]*>)+"
@@ -151,8 +151,8 @@ def link_quotes(
     Sorted by ``__path`` the rows are reply-ordered conversations: a message comes after
     its parent and before its parent's later siblings.
     """
-    numbered = conversations.withColumn("__row", F.monotonically_increasing_id())
-    messages = numbered.select(
+    given = numbered(conversations)
+    messages = given.select(
         F.col("__row").alias("row"),
         F.col(conv_col).alias("conv"),
         F.col(turn_col).alias("turn"),
@@ -170,7 +170,7 @@ def link_quotes(
     )
     mine = F.struct(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col("__row").alias("row"))
     return (
-        numbered.join(told, "__row", "left")
+        given.join(told, "__row", "left")
         .withColumn("__root", F.coalesce("__root", "__row"))
         .withColumn("__depth", F.coalesce("__depth", F.lit(0).cast("long")))
         .withColumn("__linked", F.coalesce("__linked", F.lit(0).cast("long")))

@@ -27,7 +27,7 @@ whose common prefix with a neighbour reaches ``length`` starts a repeated string
 Defined cases: a null text is an empty one; texts shorter than ``length`` keep
 all bytes; matches never cross documents; of repeated rows each counts as
 a document, so both lose all; an empty table gives an empty result; other columns are
-not read. The table must be stored: its rows are numbered as they are read.
+not read. Rows are numbered once and stored with their numbers.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import dropped, saved
+from tidemark.llm.util import ROW, dropped, numbered, saved
 
 KMER = 32
 #: Bytes of text looked at together; bounds the memory of a task.
@@ -118,7 +118,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, i
 
 def segment_rows(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     """``row, start, windows, lead, anchor, hi, lo`` (digest of its bytes) of every segment."""
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(ROW).alias("row"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
@@ -284,7 +284,7 @@ def _tuple_batch(found: Iterable[tuple]) -> pa.RecordBatch:
 
 def _segment_tuples(docs: DataFrame, mixed: DataFrame, text_col: str, length: int) -> DataFrame:
     """The tuples (``_TUPLE``) of the segments ``mixed``."""
-    text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    text = docs.select(F.col(ROW).alias("row"), F.col(text_col).alias("text"))
     wanted = mixed.groupBy("row").agg(
         F.collect_list(F.struct("anchor", "start", "windows", "lead", "copies")).alias("parts")
     )
@@ -392,6 +392,7 @@ def repeated_spans(
     """
     if length < 2 * KMER:
         raise ValueError(f"strings must have {2 * KMER} bytes at least")
+    docs = numbered(docs, text_col)
     found = saved(segment_rows(docs, text_col, length), "segments")
     differ = (F.min("hi") != F.max("hi")) | (F.min("lo") != F.max("lo"))
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), differ.alias("mixed"))
@@ -422,10 +423,11 @@ def without_repeats(
     keep_bytes: bool = False,
 ) -> DataFrame:
     """``id, n_bytes, removed`` (maximal spans of bytes), ``kept_sha256`` (and ``kept``) of every row."""
+    docs = numbered(docs, id_col, text_col)
     spans = repeated_spans(docs, length, text_col)
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     given = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.col(ROW).alias("row"),
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     )

@@ -13,6 +13,8 @@ from tidemark.session import run_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: The number of a row, where a table has one.
+ROW = "__row"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def numbered(df: DataFrame, *columns: str) -> DataFrame:
+    """The ``columns`` (default all) of ``df`` and ``ROW``, a number of each row, stored with it:
+    a later job may read the table in other partitions, and numbers given anew would
+    be those of other rows. A table that has numbers keeps them."""
+    if ROW in df.columns:
+        return df
+    rows = df.select(*dict.fromkeys(columns)) if columns else df
+    return saved(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that :func:`saved` wrote and nobody reads again."""
     sc = df.sparkSession.sparkContext
