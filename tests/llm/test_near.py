@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -78,3 +79,10 @@ def test_components(spark):
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert {r["node"]: r["component"] for r in components(table).collect()} == {x: want[x] for x in linked}
     assert components(table.where("false")).count() == 0
+
+
+def test_chance_to_miss_a_borderline_pair():
+    p = Params()
+    s = p.percent / 100
+    missed = sum(math.comb(p.coordinates, k) * s**k * (1 - s) ** (p.coordinates - k) for k in range(p.matches))
+    assert missed < 2e-9
