@@ -92,3 +92,18 @@ def test_query(spark):
 def test_empty(spark):
     table = saved(spark.createDataFrame([], SCHEMA), "test-turns")
     assert link_quotes(table).count() == 0
+
+
+def test_short_quotes_link_in_their_conversation(spark):
+    got, _ = linked(
+        spark,
+        [
+            (1, 0, "u", "Why?"),
+            (1, 1, "u", "明日行きます。"),
+            (1, 2, "u", "> Why?\nBecause."),
+            (1, 3, "u", "> 明日行きます。\nはい"),
+            (2, 0, "u", "> Why?\nQuoted from elsewhere."),
+        ],
+    )
+    assert got[1, 2] == ((1, 0), (1, 0), 1, "Because.") and got[1, 3][0] == (1, 1)
+    assert got[2, 0] == (None, (2, 0), 0, "Quoted from elsewhere.")

@@ -5,7 +5,7 @@ that follow each other form passages, divided at blank lines. Passages and their
 lines are normalised (case, white space) and hashed; the same is done for what
 messages say themselves. A quoted hash belongs to the earliest message that says
 it: earliest in the conversation if that is before the quoting message, else
-earliest anywhere. A message replies to the message from which most characters
+earliest anywhere, for which it must have ``LEAST_CHARS`` characters. A message replies to the message from which most characters
 of its outermost matched quotes come. Replies follow their parents, and quotes
 and the lines that announce them are removed.
 
@@ -31,7 +31,7 @@ from tidemark.llm.util import dropped, numbered, saved
 MARKS = r"^(?:[ \t]*>)+"
 #: A line before a quote that names its author.
 ANNOUNCES = r"(?i)(wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
-#: Passages shorter than this are not linked by themselves.
+#: Shorter passages are linked in their own conversation only.
 LEAST_CHARS = 8
 
 
@@ -82,8 +82,7 @@ def passages(messages: DataFrame) -> DataFrame:
         lines.select("row", "conv", "turn", "level", "said")
     )
     return (
-        both.where(F.length("said") >= LEAST_CHARS)
-        .select("row", "conv", "turn", "level", F.md5("said").alias("hash"), F.length("said").alias("chars"))
+        both.select("row", "conv", "turn", "level", F.md5("said").alias("hash"), F.length("said").alias("chars"))
         .distinct()
     )
 
@@ -96,11 +95,11 @@ def parents(messages: DataFrame) -> DataFrame:
     own = saved(own, "own")
     place = F.struct("conv", "turn", "row")
     here = own.groupBy("conv", "hash").agg(F.min(place).alias("here"))
-    anywhere = own.groupBy("hash").agg(F.min(place).alias("anywhere"))
+    anywhere = own.where(F.col("chars") >= LEAST_CHARS).groupBy("hash").agg(F.min(place).alias("anywhere"))
     found = (
         quoted.join(here, quoted["conv"].eqNullSafe(here["conv"]) & (quoted["hash"] == here["hash"]), "left")
         .select(quoted["*"], "here")
-        .join(anywhere, "hash")
+        .join(anywhere, "hash", "left")
         .withColumn("me", place)
         .withColumn("origin", F.when(F.col("here") < F.col("me"), F.col("here")).otherwise(F.col("anywhere")))
         .where(F.col("origin") < F.col("me"))
