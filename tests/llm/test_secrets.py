@@ -89,3 +89,16 @@ def test_allow_list_keeps_base_spans():
 def test_no_shuffle(spark):
     plan = scan_secrets(read(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("between", ["AAAAAAAAAAAA", "AAAAAAAA", "-" * 8, "=" * 30])
+def test_filler_hides_no_neighbour(between):
+    secret = "dGhpc0lzQVZlcnlTZWNyZXRLZXk5ODc2"
+    text = f"key {secret}{between}Zq8xW3vT1nR6yB9mK2pL7cJ4hF5dS0g end"
+    found = {p for k, a, b in Scanner(24, THRESHOLDS, ALLOW).spans(text) if k == "entropy" for p in range(a, b)}
+    assert set(range(4, 4 + len(secret))) <= found and len(text) - 5 in found
+
+
+def test_placeholder_elsewhere_in_the_run():
+    text = "example/" + "aaaa/" * 8 + "dGhpc0lzQVZlcnlTZWNyZXRLZXk5ODc2"
+    assert any(k == "entropy" for k, _, _ in Scanner(24, THRESHOLDS, ALLOW).spans(text))

@@ -4,8 +4,9 @@ Candidates are maximal runs of token characters. In each run of one character
 class a window of fixed length slides along; the counts of its characters, and
 with them its Shannon entropy, are updated for the one character that leaves and
 the one that enters. Windows at or over the class's threshold are merged into
-spans, unless the run matches the allow-list. The fixed patterns are reported
-whatever the allow-list says.
+spans. A match of the allow-list in the run drops the spans that it touches; a match
+of one repeated character is filler and drops only the windows that it lies in.
+The fixed patterns are reported whatever the allow-list says.
 
 Defined cases: a null text is an empty one and has no spans; offsets count
 code points; repeated rows are each scanned; an empty table gives an empty
@@ -88,6 +89,19 @@ def entropy_windows(run: str, window: int, least: float) -> list[tuple[int, int]
     return spans
 
 
+def _between(run: str, filler: list[tuple[int, int]], lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """The parts of ``run[lo:hi]`` that hold no whole ``filler``, as long as can be: any
+    window without one lies in a part."""
+    for a, b in sorted(filler):
+        if lo <= a and b <= hi:
+            yield lo, b - 1
+            end = b
+            while end < hi and run[end] == run[a]:
+                end += 1
+            lo = end - (b - a) + 1
+    yield lo, hi
+
+
 class Scanner:
     """The patterns of one scan, compiled once per task."""
 
@@ -105,14 +119,19 @@ class Scanner:
             run = m[0]
             if len(set(run)) < self.distinct:
                 continue
+            hits = [h.span() for a in self.allow for h in a.finditer(run)]
+            filler = [(a, b) for a, b in hits if len(set(run[a:b])) == 1]
+            named = [(a, b) for a, b in hits if len(set(run[a:b])) > 1]
             spans = [
-                (m.start() + part.start() + a, m.start() + part.start() + b)
+                (lo + a, lo + b)
                 for one, least in self.classes
                 for part in one.finditer(run)
-                for a, b in entropy_windows(part[0], self.window, least)
+                for lo, hi in _between(run, filler, *part.span())
+                for a, b in entropy_windows(run[lo:hi], self.window, least)
+            ]
+            found += [
+                (m.start() + a, m.start() + b) for a, b in spans if not any(x < b and a < y for x, y in named)
             ]
-            if spans and not any(a.search(run) for a in self.allow):
-                found += spans
         merged: list[tuple[int, int]] = []
         for a, b in sorted(found):
             if merged and a <= merged[-1][1]:
