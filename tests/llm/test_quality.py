@@ -1,6 +1,7 @@
 import numpy as np
 from llm.helpers import documents
 
+from tidemark.llm import quality
 from tidemark.llm.catalog import op6_quality_classifier, training_row
 from tidemark.llm.quality import N_FEATURES, class_prior, features, fit, score, score_quality, scored_rows, train
 from pyspark.sql import functions as F
@@ -64,3 +65,11 @@ def test_features_cover_the_whole_text():
     text = "Plain words go here. " * 3000
     assert features(text).shape == (N_FEATURES,)
     assert not np.allclose(features(text), features(text + "ALL!! CAPS!! " * 3000))
+
+
+def test_class_prior_has_as_many_halves_at_every_size(monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "_prior_once", lambda p, u, seed: seen.append(len(u)) or 0.5)
+    for n in (50, 500, 20_000):
+        quality.class_prior(np.zeros((40, 2)), np.zeros((n, 2)))
+    assert [seen.count(n) for n in (50, 500, 20_000)] == [quality.SPLITS] * 3

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 #: Bounds of the samples that the fit reads.
 POSITIVES = 10_000
 UNLABELLED = 20_000
+#: Random halves of the samples for the class prior.
+SPLITS = 9
 HIDDEN = 16
 STEPS = 600
 DECAY = 3e-3
@@ -146,12 +148,11 @@ def _prior_once(positive: np.ndarray, unlabelled: np.ndarray, seed: int) -> floa
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
     """Estimated share of positives among the unlabelled, from both samples' features:
-    the median over some random halves, more of them where the samples are small."""
+    the median over ``SPLITS`` random halves."""
     if min(len(positive), len(unlabelled)) < 2:
         return 0.5
-    splits = int(np.clip(20_000 // len(unlabelled), 1, 9))
     found = []
-    for k in range(splits):
+    for k in range(SPLITS):
         rng = np.random.default_rng(seed + k)
         found.append(_prior_once(rng.permutation(positive), rng.permutation(unlabelled), seed + k))
     return float(np.median(found))
