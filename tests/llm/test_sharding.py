@@ -62,3 +62,10 @@ def test_large_group_fills_few_shards(spark):
 
 def test_empty(spark):
     assert shard_documents(documents(spark, ["a"]).where("false"), 4).count() == 0
+
+
+def test_large_group_fills_many_shards(spark):
+    texts = ["hot"] * 800 + [f"single {i}" for i in range(1600)]
+    rows = shard_documents(documents(spark, texts), 40).collect()
+    check(rows, 40)
+    assert spread(rows)[0] <= 20  # it fills 14; six rounds left it in all 40

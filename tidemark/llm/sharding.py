@@ -1,27 +1,27 @@
 """Balanced label propagation: documents to shards (DataFrame functions only).
 
 Rows with equal texts are linked. Every linked row begins in a hashed shard; in
-each round the rows of a group move towards the shard that holds most of the
-group, as far as that shard's quota allows. Rows that are equal in text are equal
+each round, until none asks to move, the rows of a group move towards the shards that
+hold most of the group, as many as it fills, as far as the quotas allow. Rows that are equal in text are equal
 for this, so a round works on the number of a group's rows in each shard, and rows are
 told their shard at the end. Rows without links fill the shards
 up. In the end the shards' row counts are at most one apart.
 
 Defined cases: a null text is linked with nothing and counts 16 bytes; empty
 texts are equal; a group larger than a shard is gathered in
-one shard per round; repeated rows are separate rows of one group; an empty table gives an
+as many shards as it fills; repeated rows are separate rows of one group; an empty table gives an
 empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.util import buckets_for, dropped, running, saved, small_table
 
-ROUNDS = 6
-
 
 def _by_shard(parts: DataFrame, column: str, value: str) -> dict[int, int]:
     """Sum of ``value`` for each shard: as many rows as there are shards."""
@@ -29,37 +29,51 @@ def _by_shard(parts: DataFrame, column: str, value: str) -> dict[int, int]:
     return {r[column]: r["v"] for r in rows if r[column] is not None}
 
 
-def _wishes(parts: DataFrame, shards: int, free: list[int]) -> DataFrame:
-    """Adds ``goal``, the shard with room that holds most of the group, and ``ask``, the
-    rows that want to move there. A group has at most ``shards`` rows here."""
+def _wishes(parts: DataFrame, shards: int, free: list[int], k: int) -> DataFrame:
+    """Adds ``goal`` and ``ask``, the rows that want to move there in round ``k``. The goals of a
+    group are the shards with room that hold most of it, as many as its rows fill; each of
+    its other parts asks for one of them. A group has at most ``shards`` rows here."""
     turn = F.pmod(F.xxhash64("grp"), F.lit(shards))
     room = F.element_at(F.array(*[F.lit(f) for f in free]), F.col("shard") + 1)
-    # One number: rows of the group in the shard, then a place that differs by group.
-    rank = F.when(room > 0, F.col("n") * shards + F.pmod(F.col("shard") + turn, F.lit(shards)))
-    best = F.max(rank).over(Window.partitionBy("grp"))
-    goal = F.pmod(F.pmod(best, F.lit(shards)) - turn, F.lit(shards)).cast("int")
-    wish = parts.withColumn("best", best).withColumn("goal", goal)
-    moves = (F.col("goal") != F.col("shard")) & (F.col("n") * shards <= F.col("best"))
-    return wish.withColumn("ask", F.when(moves, F.col("n")).otherwise(0))
-
-
-def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS) -> DataFrame:
+    # Rows of the group in the shard, then a place that differs by group; null without room.
+    place = F.pmod(F.col("shard") + turn, F.lit(shards))
+    rank = F.when(room > 0, F.struct("n", place.alias("place"), "shard"))
+    per = Window.partitionBy("grp")
+    wish = parts.withColumn("rank", rank).withColumn("fits", F.when(room > 0, F.col("n") + room))
+    wish = wish.withColumn("best", F.max("rank").over(per))
+    staying = F.col("rank").isNull() & (F.col("n") > F.col("best.n"))
+    wish = wish.withColumn("moving", F.sum(F.when(staying, 0).otherwise(F.col("n"))).over(per))
+    higher = per.orderBy(F.col("rank").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("fits").over(higher), F.lit(0))
+    wish = wish.withColumn("first", F.col("rank").isNotNull() & (before < F.col("moving")))
+    wish = wish.withColumn("goals", F.sort_array(F.collect_list(F.when(F.col("first"), F.col("rank"))).over(per)))
+    drawn = F.get("goals", F.pmod(F.xxhash64("grp", "shard", F.lit(-k)), F.greatest(F.size("goals"), F.lit(1))).cast("int"))
+    goal = F.when(F.col("n") <= drawn["n"], drawn).otherwise(F.col("best"))
+    wish = wish.withColumn("to", goal)
+    moves = ~F.col("first") & (F.col("n") <= F.col("to.n"))
+    wish = wish.withColumn("ask", F.when(moves, F.col("n")).otherwise(0)).withColumn("goal", F.col("to.shard"))
+    return wish.select("grp", "shard", "n", "goal", "ask")
+
+
+def propagate(linked: DataFrame, shards: int, quota: int) -> DataFrame:
     """``grp, shard, n``: how many rows of each group of ``linked`` (``row, grp``) go to each shard.
 
     A round moves, for each shard, as many of the rows that ask to join it as
-    fit under ``quota``: each part of a group moves its share, rounded by a hash.
+    fit under ``quota``: each part of a group moves its share, rounded by a hash. Rows
+    only move to a part that is not smaller, so the squares of the parts grow and the
+    rounds end.
     """
     first = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     now = linked.groupBy("grp", first.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     now = saved(now, "parts")
-    for k in range(rounds):
+    for k in count():
         load = _by_shard(now, "shard", "n")
         free = [quota - load.get(s, 0) for s in range(shards)]
         # A shard that is all but full draws nobody, so that its groups turn to another.
-        wishes = _wishes(now, shards, [f if f > quota // 20 else 0 for f in free])
+        wishes = _wishes(now, shards, [f if f > quota // 20 else 0 for f in free], k)
         asked = _by_shard(wishes.where("ask > 0"), "goal", "ask")
         if not asked:
-            break
+            return now
         part = [min(1.0, max(0, free[s]) / asked.get(s, 1)) for s in range(shards)]
         share = F.element_at(F.array(*[F.lit(float(x)) for x in part]), F.col("goal") + 1)
         draw = F.pmod(F.xxhash64("grp", "shard", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
@@ -77,7 +91,6 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
         after = saved(after.agg(F.sum("to.n").alias("n")), "parts")
         dropped(now)
         now = after
-    return now
 
 
 def _labelled(linked: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
@@ -93,7 +106,6 @@ def _labelled(linked: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
 def shard_documents(
     docs: DataFrame,
     shards: int = 40,
-    rounds: int = ROUNDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -119,7 +131,7 @@ def shard_documents(
     groups = slim.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     linked = slim.select("row", "grp").join(groups.where("n > 1").select("grp"), "grp")
     linked = saved(linked.select("row", "grp"), "linked")
-    parts = propagate(linked, shards, quota[-1], rounds)
+    parts = propagate(linked, shards, quota[-1])
     labels = _labelled(linked, parts, buckets)
 
     # What is over a shard's quota joins the rows without links ...
