@@ -1,0 +1,152 @@
+import zlib
+from hashlib import sha256
+
+import pytest
+from llm.helpers import documents
+from pyspark.sql import functions as F
+
+from tidemark.llm.catalog import LEAF
+from tidemark.llm.manifest import Shape, _Sweep, folded, manifest, proof_text
+
+FAN = 3
+
+
+def h(*inputs):
+    return sha256("".join(inputs).encode()).hexdigest()
+
+
+def field(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def runs(level, fanout):
+    return [level[i : i + fanout] for i in range(0, len(level), fanout)]
+
+
+def tree(leaves, fanout):
+    """The root over ``leaves`` and the steps (before, after) of each."""
+    steps = [[] for _ in leaves]
+    under = [[i] for i in range(len(leaves))]
+    while len(leaves) > 1:
+        grouped = runs(leaves, fanout)
+        for at, run in enumerate(grouped):
+            for k in range(len(run)):
+                for i in under[at * fanout + k]:
+                    steps[i].append(("".join(run[:k]), "".join(run[k + 1 :])))
+        under = [sum(u, []) for u in runs(under, fanout)]
+        leaves = [h(*run) for run in grouped]
+    return leaves[0], steps
+
+
+def brute(rows, fanout):
+    """Sorted (doc_id, leaf, subroot, root, steps) of ``rows`` (doc_id, lang, leaf)."""
+    groups = {}
+    for doc_id, lang, leaf in rows:
+        groups.setdefault("" if lang is None else "=" + lang, []).append((doc_id, leaf))
+    names = sorted(groups, key=lambda g: g.encode())
+    trees = {}
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        trees[g] = tree([leaf for _, leaf in groups[g]], fanout)
+    root, over = tree([trees[g][0] for g in names], fanout)
+    return sorted(
+        (
+            (doc_id, leaf, trees[g][0], root, trees[g][1][i] + over[k])
+            for k, g in enumerate(names)
+            for i, (doc_id, leaf) in enumerate(groups[g])
+        ),
+        key=str,
+    )
+
+
+def told(out):
+    rows = out.collect()
+    return sorted(
+        ((r["id"], r["leaf"], r["subroot"], r["root"], [tuple(s) for s in r["proof"]]) for r in rows), key=str
+    )
+
+
+def leaves(docs):
+    return [(r["doc_id"], r["lang"], h(*[field(r[c]) for c in LEAF])) for r in docs.collect()]
+
+
+def table(spark, n, langs):
+    docs = documents(spark, [f"Text {i} é" for i in range(n)])
+    names = F.array(*[F.lit(x) for x in langs])
+    return docs.withColumn("lang", F.element_at(names, (F.col("doc_id") % len(langs) + 1).cast("int")))
+
+
+@pytest.mark.parametrize("n, langs", [(1, ["en"]), (60, ["en"]), (100, ["de", None, "z", "", "é", "en"])])
+def test_matches_brute_force(spark, n, langs):
+    docs = table(spark, n, langs)
+    out = manifest(docs, LEAF, "doc_id", "lang", shape=Shape(FAN, 2))
+    assert told(out) == brute(leaves(docs), FAN)
+
+
+@pytest.mark.parametrize("fanout, levels", [(8, 1), (2, 4)])
+def test_shapes(spark, fanout, levels):
+    docs = table(spark, 150, ["en", "en", "en", "fr"])
+    out = manifest(docs, LEAF, "doc_id", "lang", shape=Shape(fanout, levels))
+    assert told(out) == brute(leaves(docs), fanout)
+
+
+def test_edge_rows(spark):
+    texts = [None, "", "same", "same", "A" * 400_000, "x", "y"]
+    docs = documents(spark, texts, ids=[None, 1, 2, 2, 4, 4, None], sources=[None, "", "s", "s", "t", "u", "v"])
+    out = manifest(docs, LEAF, "doc_id", "lang", shape=Shape(2, 2))
+    assert told(out) == brute(leaves(docs), 2)
+    assert manifest(docs.where("false"), LEAF, "doc_id", "lang").count() == 0
+
+
+def test_many_groups(spark):
+    docs = documents(spark, ["t"] * 90).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 41).cast("string")))
+    out = manifest(docs, LEAF, "doc_id", "lang", shape=Shape(2, 4))
+    assert told(out) == brute(leaves(docs), 2)
+
+
+def test_equal_rows_on_many_partitions(spark):
+    one = documents(spark, ["t"] * 70).withColumn("doc_id", F.lit(5).cast("long")).repartition(7)
+    out = manifest(one, LEAF, "doc_id", "lang", shape=Shape(4, 1))
+    assert told(out) == brute(leaves(one), 4)
+
+
+def test_tampering_shows(spark):
+    docs = table(spark, 90, ["en", "fr", None])
+    forged = F.when(F.col("doc_id") % 4 == 0, F.sha2(F.lit("forged").cast("binary"), 256))
+    out = manifest(docs, LEAF, "doc_id", "lang", {"leaf_told": forged}, Shape(FAN, 2))
+    root = folded(F.coalesce("leaf_told", "leaf"), F.col("proof"))
+    for r in out.select("id", (root == F.col("root")).alias("ok")).collect():
+        assert r["ok"] == (r["id"] % 4 != 0)
+
+
+def test_other_columns_are_not_read(spark):
+    docs = table(spark, 40, ["en", "fr"])
+    names = ["grp", "pos", "block", "at", "part", "size", "digest", "proof", "tail", "height", "carry_x", "leaf"]
+    clash = docs.drop("id").select("*", *[F.lit("clash").alias(n) for n in names])
+    assert told(manifest(clash, LEAF, "doc_id", "lang", shape=Shape(4, 2))) == brute(leaves(docs), 4)
+
+
+def test_sweep_waits_for_nothing_it_has():
+    for n in range(1, 40):
+        digests = [h(str(i)) for i in range(n)]
+        root, steps = tree(digests, 3)
+        height = len(steps[0])
+        sweep = _Sweep(digests, height, 3)
+        assert sweep.top == root
+        assert [[(s["before"], s["after"]) for s in p] for p in sweep.proofs([])] == steps
+
+
+def test_query_matches_the_contract(spark):
+    from tidemark.llm.catalog import op12_merkle_manifest
+
+    out = op12_merkle_manifest(spark, "/root/testdata/sf0.001").collect()
+    for r in out:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3:
+            assert r["verified"] and r["folded_root"] == r["root"]
+    assert any(not r["verified"] for r in out)
+
+
+def test_proof_text(spark):
+    docs = table(spark, 9, ["en"])
+    out = manifest(docs, LEAF, "doc_id", "lang").select("proof", proof_text(F.col("proof")).alias("t")).collect()
+    assert all(r["t"] == "".join(a + b for a, b in r["proof"]) for r in out)

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact import exact_dedup
+from tidemark.llm.manifest import digest, folded, leaf_digest, manifest, proof_text
 from tidemark.llm.mixing import mix
 from tidemark.llm.near import Params, near_dedup
 from tidemark.llm.packing import Capacity, best_fit
 from tidemark.llm.quality import fit, score_quality
 from tidemark.llm.quotes import link_quotes
 from tidemark.llm.repeats import without_repeats
+from tidemark.llm.rules import judge
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.util import read
@@ -176,6 +178,34 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and compression bands of every text of ``documents``."""
+    return judge(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: The fields of a leaf.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of ``documents``, and the check of a third of them, tampered with."""
+    documents = read(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = leaf_digest(*[lowered if c == "text" else F.col(c) for c in LEAF])
+    out = manifest(documents, LEAF, "doc_id", "lang", {"claimed": F.when(chosen, tampered)})
+    out = out.withColumn("folded_root", folded(F.coalesce("claimed", "leaf"), F.col("proof")))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        digest(proof_text(F.col("proof"))).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -187,6 +217,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quotation_linking": op9_quotation_linking,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -244,6 +276,89 @@ ORACLE_SQL = {
                r.doc_id = min(seen) AS kept
         FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE
+        f AS (
+            SELECT *, list_reduce(
+                list_prepend(4294967295, list_transform(
+                    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+                ) AS crc,
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+                || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+                || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head
+            FROM documents
+        ),
+        h AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS g,
+                   sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) AS lowered,
+                   xor(crc, 4294967295) % 3 = 0 AS tampered
+            FROM f
+        ),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY g) AS n
+            FROM h
+        ),
+        t(g, level, pos, n, d) AS (
+            SELECT g, 0, pos, n, leaf FROM leaves
+            UNION ALL
+            SELECT g, level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(d, '' ORDER BY pos))
+            FROM t WHERE n > 1 GROUP BY g, level, pos // 8
+        ),
+        subs AS (
+            SELECT g, d, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n
+            FROM t WHERE n = 1
+        ),
+        u(level, pos, n, d) AS (
+            SELECT 0, pos, n, d FROM subs
+            UNION ALL
+            SELECT level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(d, '' ORDER BY pos))
+            FROM u WHERE n > 1 GROUP BY level, pos // 8
+        ),
+        steps AS (
+            SELECT a.g, a.level, a.pos,
+                   coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+                   coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+            FROM t a JOIN t b ON a.g = b.g AND a.level = b.level AND a.pos // 8 = b.pos // 8
+            WHERE a.n > 1 GROUP BY a.g, a.level, a.pos
+        ),
+        over AS (
+            SELECT a.level, a.pos,
+                   coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+                   coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+            FROM u a JOIN u b ON a.level = b.level AND a.pos // 8 = b.pos // 8
+            WHERE a.n > 1 GROUP BY a.level, a.pos
+        ),
+        way AS (
+            SELECT doc_id, l.g, l.pos, s.level, s.before, s.after FROM leaves l
+            JOIN steps s ON s.g = l.g AND s.pos = l.pos // CAST(pow(8, s.level) AS BIGINT)
+            UNION ALL
+            SELECT doc_id, l.g, l.pos, 1000 + o.level, o.before, o.after FROM leaves l
+            JOIN subs ON subs.g = l.g
+            JOIN over o ON o.pos = subs.pos // CAST(pow(8, o.level) AS BIGINT)
+        ),
+        proofs AS (
+            SELECT g, pos, sha256(string_agg(before || after, '' ORDER BY level)) AS p,
+                   list({'b': before, 'a': after} ORDER BY level) AS path
+            FROM way GROUP BY g, pos
+        ),
+        folds AS (
+            SELECT l.*, coalesce(p, sha256('')) AS p, subs.d AS subroot,
+                   list_reduce(list_prepend({'b': CASE WHEN tampered THEN lowered ELSE leaf END, 'a': ''},
+                                            coalesce(path, [])),
+                               lambda x, s: {'b': sha256(s['b'] || x['b'] || s['a']), 'a': ''})['b'] AS folded
+            FROM leaves l JOIN subs ON subs.g = l.g
+            LEFT JOIN proofs ON proofs.g = l.g AND proofs.pos = l.pos
+        )
+        SELECT doc_id, leaf, subroot, root.d AS root, p AS proof_sha256, folded AS folded_root,
+               folded = root.d AS verified
+        FROM folds, (SELECT d FROM u WHERE n = 1) root
+    """,
     "op8_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id,
