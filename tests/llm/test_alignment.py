@@ -1,0 +1,210 @@
+import collections
+import random
+from hashlib import sha256
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from llm.helpers import documents
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidemark.llm.alignment import Csr, Pair, align, links, overlap_links, products, shared_group_links
+from tidemark.llm.util import read
+
+SF = "/root/testdata/sf0.01"
+PATHS = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    a = Tokenizer.from_file(PATHS[0])
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+
+
+def spans(encoders, text):
+    """(ids, byte ranges) of both over a space and the text; None where bytes differ."""
+    a, b = encoders
+    want = (" " + text).encode()
+    ids_a = a.encode(" " + text, add_special_tokens=False).ids
+    letters = {}
+    n = 0
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or 174 <= byte:
+            letters[chr(byte)] = byte
+        else:
+            letters[chr(256 + n)] = byte
+            n += 1
+    bytes_a = [bytes(letters[c] for c in a.id_to_token(i)) for i in ids_a]
+    ids_b = b.encode(text)
+    bytes_b = [
+        bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
+        for i, p in ((i, b.id_to_piece(i)) for i in ids_b)
+    ]
+    if b"".join(bytes_a) != want or b"".join(bytes_b) != want:
+        return None
+    out = []
+    for ids, parts in ((ids_a, bytes_a), (ids_b, bytes_b)):
+        at, ranges = 0, []
+        for p in parts:
+            ranges.append((at, at + len(p)))
+            at += len(p)
+        out.append((ids, ranges))
+    return out
+
+
+def brute(encoders, texts):
+    linked, told = [], []
+    for text in texts:
+        both = spans(encoders, text) if text else None
+        if not both:
+            linked.append([])
+            told.append(None)
+            continue
+        (ids_a, ra), (ids_b, rb) = both
+        found, k = [], 0
+        for i, (lo, hi) in enumerate(ra):
+            while rb[k][1] <= lo:
+                k += 1
+            j = k
+            while j < len(rb) and rb[j][0] < hi:
+                found.append((i, j, ids_a[i], ids_b[j], min(hi, rb[j][1]) - max(lo, rb[j][0])))
+                j += 1
+        linked.append(found)
+        cuts = sorted({e for _, e in ra} & {e for _, e in rb})
+        groups, x, y = [], 0, 0
+        for c in cuts:
+            ga, gb = [], []
+            while x < len(ra) and ra[x][1] <= c:
+                ga.append(ids_a[x])
+                x += 1
+            while y < len(rb) and rb[y][1] <= c:
+                gb.append(ids_b[y])
+                y += 1
+            groups.append((ga, gb))
+        told.append((ids_a, ids_b, groups))
+    count = collections.Counter((a, b) for found in linked for _, _, a, b, _ in found)
+    best = collections.Counter()
+    for (_, b), n in count.items():
+        best[b] = max(best[b], n)
+    out = []
+    for found, t in zip(linked, told):
+        if t is None:
+            out.append((0, 0, 0, 0, 0, 0, 0, ""))
+            continue
+        groups = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in t[2])
+        out.append(
+            (
+                len(t[0]),
+                len(t[1]),
+                len(t[2]),
+                len(found),
+                sum(len(x) * len(y) for x, y in t[2]),
+                sum(count[a, b] == best[b] for _, _, a, b, _ in found),
+                sum(count[a, b] for _, _, a, b, _ in found),
+                sha256(groups.encode()).hexdigest(),
+            )
+        )
+    return out, linked, count
+
+
+def row(r):
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_shared", "n_best", "count_sum", "groups_sha256")
+    return tuple(r[c] for c in names)
+
+
+TEXTS = [
+    None,
+    "",
+    " ",
+    "one two  three",
+    " leading and trailing ",
+    "<|endoftext|> <s> </s> <unk> <0x41> [INST]",
+    "mark ▁ here",
+    "tab\tand\nline\r\n  and \x1c\x85 　 odd",
+    "don't we'll I'm 'tis o'clock x's",
+    "日本語のテキスト and Ελληνικά 🙂🙂 é",
+    "\x00 nul � \U0010ffff",
+    "a" * 5000,
+    " " * 3000,
+    "word " * 60_000,
+    "one two  three",
+]
+
+
+def test_edge_rows_match_brute_force(spark, encoders):
+    docs = documents(spark, TEXTS, ids=[None, *range(1, len(TEXTS))])
+    want, _, count = brute(encoders, TEXTS)
+    out = align(docs, *PATHS)
+    assert sorted(map(row, out.documents.collect())) == sorted(want)
+    assert {(r["a"], r["b"]): r["n"] for r in out.pairs.collect()} == count
+    small = align(docs, *PATHS, chunk_bytes=10)
+    assert sorted(map(row, small.documents.collect())) == sorted(want)
+    assert align(docs.where("false"), *PATHS).documents.count() == 0
+
+
+def test_table_matches_brute_force(spark, encoders):
+    from tidemark.llm.catalog import op13_cross_tokenizer
+
+    docs = {r["doc_id"]: r["text"] for r in read(spark, SF, "documents").collect()}
+    want, _, _ = brute(encoders, docs.values())
+    got = {r["doc_id"]: row(r) for r in op13_cross_tokenizer(spark, SF).collect()}
+    assert got == dict(zip(docs, want))
+
+
+def test_pieces_give_the_tokens_of_the_whole(encoders):
+    rng = random.Random(4)
+    pair = Pair.load(*PATHS)
+    assert pair.cuttable
+    alphabet = ["a", "B", "é", " ", "  ", "\n", "'s", "1", "ß", ".", "the", " of", " ", "<s>", "日"]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30)))
+        tokens = [t for part in pair.pieces(text) for t in pair.tokens(part)]
+        assert [i for t in tokens for i in t[0]] == encoders[0].encode(" " + text, add_special_tokens=False).ids
+        assert [i for t in tokens for i in t[1]] == encoders[1].encode(text)
+
+
+def test_links(spark, encoders):
+    texts = [t for t in TEXTS if not t or len(t) < 200]
+    docs = documents(spark, texts)
+    _, linked, _ = brute(encoders, texts)
+    for block in (1, 1 << 16):
+        got = links(docs, *PATHS, block=block).collect()
+        assert sorted(tuple(r) for r in got) == sorted((k, *x) for k, found in enumerate(linked) for x in found)
+    shared = collections.Counter(r["id"] for r in links(docs, *PATHS, shared=True).collect())
+    want, _, _ = brute(encoders, texts)
+    assert [shared[k] for k in range(len(texts))] == [w[4] for w in want]
+
+
+def test_products_are_matrix_products():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        m, n, p = rng.integers(1, 9, 3)
+        x, y = rng.random((m, n)) < 0.4, rng.random((n, p)) < 0.4
+        sparse = [
+            Csr(np.append(0, np.cumsum(z.sum(axis=1))), np.nonzero(z)[1], z.shape[1]) for z in (x, y)
+        ]
+        got = np.zeros((m, p), int)
+        for i, j, v in products(*sparse, block=int(rng.integers(1, 6))):
+            got[i, j] += v
+        assert (got == x.astype(int) @ y.astype(int)).all()
+        back = sparse[0].transposed()
+        assert back.height == n and (np.nonzero(x.T)[1] == back.columns).all()
+
+
+def test_products_of_spans():
+    a, b = np.array([2, 5, 6]), np.array([1, 5, 6])
+    overlap = [x.tolist() for x in next(overlap_links(a, b))]
+    assert overlap == [[0, 0, 1, 2], [0, 1, 1, 2], [1, 1, 3, 1]]
+    shared = [x.tolist() for x in next(shared_group_links(a, b))]
+    assert shared[:2] == [[0, 0, 1, 1, 2], [0, 1, 0, 1, 2]]
+
+
+def test_other_columns_are_not_read(spark):
+    names = ["chunk", "at", "pieces", "pairs", "counts", "a", "b", "n", "link", "n_links", "most"]
+    docs = documents(spark, ["one two three", "two three four"])
+    want = sorted(map(row, align(docs, *PATHS).documents.collect()))
+    clash = docs.select("*", *[F.lit("clash").alias(n) for n in names])
+    assert sorted(map(row, align(clash, *PATHS).documents.collect())) == want

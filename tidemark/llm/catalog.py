@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import align
 from tidemark.llm.exact import exact_dedup
 from tidemark.llm.manifest import digest, folded, leaf_digest, manifest, proof_text
 from tidemark.llm.mixing import mix
@@ -206,6 +207,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every text of ``documents`` by two tokenizers, aligned."""
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    out = align(read(spark, sf_dir, "documents"), *paths)
+    return out.documents.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -219,6 +227,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_quality_rules": op11_quality_rules,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 
 ORACLE_SQL = {
