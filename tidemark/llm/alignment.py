@@ -6,7 +6,7 @@ token occurrences that share bytes, with their number. Offsets where tokens of b
 end cut the text into groups; products of the group incidences give the shared-group links.
 
 Neither tokenizer joins a word to the space after it, so a text is cut at each single
-space between two ASCII letters into pieces that are encoded one by one: the same tokens, but
+space between two other characters into pieces that are encoded apart: the same tokens, but
 a piece that a chunk of the corpus holds many times is encoded and multiplied once. That a
 vocabulary allows it is checked when it is loaded; else texts stay whole. A chunk is some
 millions of characters of consecutive documents, each a list of piece numbers. How often two
@@ -38,14 +38,17 @@ from tidemark.llm.util import per_process, saved
 
 #: What U+2581 stands for in pieces.
 SPACE_MARK = "▁"
-#: Where a text may be cut: both tokenizers start a token at this space.
-CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Characters that are white space in no tokenizer's eyes.
+SOLID = r"[!-~\xa1-\u167f]"
+#: Where a text may be cut: both tokenizers start a token at a single space between two of them.
+CUT = re.compile(rf"(?<={SOLID}) (?={SOLID})")
+#: Pieces that may stand next to each other in one text.
+JOINABLE = re.compile(rf"{SOLID}(?:.*{SOLID})?", re.DOTALL)
+#: Characters of such a text.
+JOINED = 20_000
 #: Characters of the texts of a chunk, and the part of a long text read at once.
 CHUNK = 4_000_000
 PART = 1_000_000
-#: Pieces whose tokens a worker keeps, and the longest of them.
-KEPT_PIECES = 400_000
-KEPT_LENGTH = 64
 
 
 # -- matrices ----------------------------------------------------------------
@@ -196,17 +199,22 @@ def piece_model(path: str) -> Tokens:
     return Tokens(encode, entries, cuttable)
 
 
-@dataclass
+def _gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    shift = np.repeat(starts - np.append(0, np.cumsum(counts)[:-1]), counts)
+    return flat[np.arange(len(shift)) + shift]
+
+
+@dataclass(frozen=True)
 class Pair:
-    """Both tokenizers, and the tokens of pieces met lately."""
+    """Both tokenizers."""
 
     a: Tokens
     b: Tokens
-    kept: dict[str, tuple[np.ndarray, np.ndarray] | None]
 
     @classmethod
     def load(cls, a_path: str, b_path: str) -> Pair:
-        return per_process(("aligned", a_path, b_path), lambda: cls(byte_level(a_path), piece_model(b_path), {}))
+        return per_process(("aligned", a_path, b_path), lambda: cls(byte_level(a_path), piece_model(b_path)))
 
     @property
     def cuttable(self) -> bool:
@@ -224,19 +232,50 @@ class Pair:
             yield CUT.split(text[at:end])
             at = end + 1
 
-    def tokens(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of both for each piece; None where their bytes are not its own."""
-        new = [p for p in pieces if p not in self.kept]
-        told: dict[str, tuple | None] = {}
-        for p, a, b in zip(new, self.a.encode(new), self.b.encode(new)):
-            want = b" " + p.encode("utf-8")
-            good = self.a.joined(a) == want and self.b.joined(b) == want
-            told[p] = (np.array(a, np.int64), np.array(b, np.int64)) if good else None
-        out = [told[p] if p in told else self.kept[p] for p in pieces]
-        if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
-        self.kept.update((p, t) for p, t in told.items() if len(p) <= KEPT_LENGTH)
-        return out
+    def _texts(self, pieces: list[str]) -> Iterator[list[int]]:
+        """Pieces to be encoded as one text."""
+        run, size = [], 0
+        for i, p in enumerate(pieces):
+            if not (self.cuttable and JOINABLE.fullmatch(p)):
+                yield [i]
+                continue
+            if run and size + len(p) > JOINED:
+                yield run
+                run, size = [], 0
+            run.append(i)
+            size += len(p) + 1
+        if run:
+            yield run
+
+    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
+        """``good, n_a, a, n_b, b``: whether both give the bytes of each piece (else it has no
+        tokens), how many ids it has, and the ids of all."""
+        n = len(pieces)
+        good, runs, found = np.zeros(n, bool), list(self._texts(pieces)), []
+        while runs:
+            texts = [" ".join([pieces[i] for i in run]) for run in runs]
+            again = []
+            for run, text, a, b in zip(runs, texts, self.a.encode(texts), self.b.encode(texts)):
+                want = b" " + text.encode("utf-8")
+                if self.a.joined(a) == want and self.b.joined(b) == want:
+                    good[run] = True
+                    found.append((run, a, b))
+                elif len(run) > 1:  # one of them has other bytes
+                    again += [[i] for i in run]
+            runs = again
+        order = np.array([i for run, _, _ in found for i in run], np.int64)
+        sizes = np.array([len(pieces[i].encode("utf-8")) + 1 for i in order], np.int64)
+        ends = np.cumsum(sizes)
+        out = [good]
+        for tokens, ids in ((self.a, [a for _, a, _ in found]), (self.b, [b for _, _, b in found])):
+            flat = np.array([i for part in ids for i in part], np.int64)
+            # Where the tokens end, a piece does.
+            stops = np.searchsorted(np.cumsum(tokens.sizes[flat]), ends) + 1
+            first, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            first[order] = np.append(0, stops[:-1]) if len(stops) else stops
+            counts[order] = np.diff(np.append(0, stops))
+            out += [counts, _gathered(flat, first, counts)]
+        return tuple(out)
 
 
 # -- chunks ------------------------------------------------------------------
@@ -257,14 +296,7 @@ class Chunk:
     """The distinct pieces of some documents: their tokens, links and groups."""
 
     def __init__(self, pair: Pair, pieces: list[str]):
-        tokens = pair.tokens(pieces)
-        none = (np.empty(0, np.int64), np.empty(0, np.int64))
-        self.good = np.array([t is not None for t in tokens], bool)
-        both = [t or none for t in tokens]
-        self.n_a = np.array([len(x) for x, _ in both], np.int64)
-        self.n_b = np.array([len(y) for _, y in both], np.int64)
-        a = np.concatenate([x for x, _ in both]) if both else none[0]
-        b = np.concatenate([y for _, y in both]) if both else none[0]
+        self.good, self.n_a, a, self.n_b, b = pair.tokens(pieces)
         # All pieces side by side: where a piece ends, tokens of both end.
         ends_a, ends_b = np.cumsum(pair.a.sizes[a]), np.cumsum(pair.b.sizes[b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -278,8 +310,8 @@ class Chunk:
         shared = np.bincount(in_a, minlength=len(cuts)) * np.bincount(in_b, minlength=len(cuts))
         self.n_shared = np.bincount(of_group, shared, minlength=n).astype(np.int64)
         found = [(i, j) for i, j, _ in overlap_links(ends_a, ends_b)]
-        i = np.concatenate([x for x, _ in found]) if found else none[0]
-        j = np.concatenate([y for _, y in found]) if found else none[0]
+        none = np.empty(0, np.int64)
+        i, j = (np.concatenate([none, *[x[k] for x in found]]) for k in (0, 1))
         #: Distinct pairs of ids, the pair of each link, and the links of each piece.
         self.pairs, self.link = np.unique(b[j] << 32 | a[i], return_inverse=True)
         self.n_links = np.bincount(piece_a[i], minlength=n)
@@ -484,11 +516,9 @@ def links(
             for one, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 pieces = [p for part in pair.pieces(text) for p in part] if text else []
-                tokens = pair.tokens(pieces)
-                if not tokens or any(t is None for t in tokens):
+                good, _, a, _, b = pair.tokens(pieces)
+                if not good.all():
                     continue
-                a = np.concatenate([x for x, _ in tokens])
-                b = np.concatenate([y for _, y in tokens])
                 for i, j, n in product(np.cumsum(pair.a.sizes[a]), np.cumsum(pair.b.sizes[b]), block):
                     numbers = [pa.array(x, pa.int64()) for x in (i, j, a[i], b[j], n)]
                     ids = pa.array([one.as_py()] * len(i), kind)
