@@ -1,4 +1,5 @@
 import random
+import re
 import string
 
 import pytest
@@ -69,7 +70,7 @@ def test_entropy_is_counted_incrementally():
     [
         ("key dGhpc0lzQVZlcnlTZWNyZXRLZXk5ODc2 end", True),
         ("key 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15 end", True),
-        ("example-dGhpc0lzQVZlcnlTZWNyZXRLZXk5ODc2", False),
+        ("my-example-placeholder-for-the-dummy-key", False),
         ("sha256-dGhpc0lzQVZlcnlTZWNyZXRLZXk5ODc2", False),
         ("Donaudampfschifffahrtsgesellschaftskapitaen", False),
         ("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", False),
@@ -81,7 +82,7 @@ def test_allow_list_and_classes(text, found):
 
 
 def test_allow_list_keeps_base_spans():
-    text = "token = example0123456789abcdef0123456789abcdef"
+    text = "token = example0123456789"
     kinds = [k for k, _, _ in Scanner(24, THRESHOLDS, ALLOW).spans(text)]
     assert "assign" in kinds and "entropy" not in kinds
 
@@ -102,3 +103,22 @@ def test_filler_hides_no_neighbour(between):
 def test_placeholder_elsewhere_in_the_run():
     text = "example/" + "aaaa/" * 8 + "dGhpc0lzQVZlcnlTZWNyZXRLZXk5ODc2"
     assert any(k == "entropy" for k, _, _ in Scanner(24, THRESHOLDS, ALLOW).spans(text))
+
+
+SECRET = "".join(random.Random(8).choices(string.ascii_letters + string.digits + "+/", k=120))
+
+
+@pytest.mark.parametrize(
+    "text", [SECRET, f"example/{SECRET}", f"{SECRET}-dummy", f"https-lorem-{SECRET}", f"{SECRET[:60]}example{SECRET[60:]}"]
+)
+def test_allow_list_hides_itself_only(text):
+    found = {p for k, a, b in Scanner(24, THRESHOLDS, ALLOW).spans(text) if k == "entropy" for p in range(a, b)}
+    name = re.search("example|dummy|lorem", text)
+    assert not found & set(range(*name.span())) if name else found
+    for part in (SECRET[:60], SECRET[60:]):
+        at = text.index(part)
+        assert len(found & set(range(at, at + len(part)))) >= len(part) - 4
+
+
+def test_digest_by_name_stays_hidden():
+    assert not Scanner(24, THRESHOLDS, ALLOW).spans("sha256-" + SECRET[:43].replace("+", "a") + "=")

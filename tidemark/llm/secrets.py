@@ -38,7 +38,7 @@ THRESHOLDS = {"0-9a-fA-F": 3.0, "A-Za-z0-9+/_=-": 4.0}
 ALLOW = (
     r"(?i)example|placeholder|changeme|dummy|lorem",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
-    r"(?i)^sha(1|224|256|384|512)-",
+    r"(?i)^sha(1|224|256|384|512)-[A-Za-z0-9+/]+=*",
     r"(.)\1{7}",
 )
 
@@ -102,6 +102,15 @@ def _between(run: str, filler: list[tuple[int, int]], lo: int, hi: int) -> Itera
     yield lo, hi
 
 
+def _outside(named: list[tuple[int, int]], lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """The parts of ``lo .. hi`` that touch none of ``named``: a window that touches none lies in one."""
+    for a, b in sorted(named):
+        if a < hi and b > lo:
+            yield lo, max(a, lo)
+            lo = b
+    yield lo, max(hi, lo)
+
+
 class Scanner:
     """The patterns of one scan, compiled once per task."""
 
@@ -126,12 +135,11 @@ class Scanner:
                 (lo + a, lo + b)
                 for one, least in self.classes
                 for part in one.finditer(run)
-                for lo, hi in _between(run, filler, *part.span())
+                for left, right in _outside(named, *part.span())
+                for lo, hi in _between(run, filler, left, right)
                 for a, b in entropy_windows(run[lo:hi], self.window, least)
             ]
-            found += [
-                (m.start() + a, m.start() + b) for a, b in spans if not any(x < b and a < y for x, y in named)
-            ]
+            found += [(m.start() + a, m.start() + b) for a, b in spans]
         merged: list[tuple[int, int]] = []
         for a, b in sorted(found):
             if merged and a <= merged[-1][1]:
