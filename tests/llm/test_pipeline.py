@@ -97,7 +97,7 @@ def test_all_is_packed(stages):
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert corpus_pipeline.run(spark, SF).count() > 0
 

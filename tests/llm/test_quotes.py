@@ -20,11 +20,11 @@ SCHEMA = T.StructType(
 
 def linked(spark, rows):
     table = saved(spark.createDataFrame([(*r, "x", "x", "x") for r in rows], SCHEMA), "test-turns")
-    out = link_quotes(table).orderBy("__path").collect()
-    at = {r["__row"]: (r["conv_id"], r["turn"]) for r in out}
+    out = link_quotes(table).orderBy("path").collect()
+    at = {r["row"]: (r["given"]["conv_id"], r["given"]["turn"]) for r in out}
     return {
-        (r["conv_id"], r["turn"]): (at.get(r["__parent"]), at[r["__root"]], r["__depth"], r["__clean"]) for r in out
-    }, [(r["conv_id"], r["turn"]) for r in out]
+        (r["given"]["conv_id"], r["given"]["turn"]): (at.get(r["parent"]), at[r["root"]], r["depth"], r["clean"]) for r in out
+    }, [(r["given"]["conv_id"], r["given"]["turn"]) for r in out]
 
 
 def test_nested_quotes_and_reply_order(spark):

@@ -115,21 +115,21 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply-ordered ``conversations`` without quotes; ``path`` gives the order."""
     out = link_quotes(read(spark, sf_dir, "conversations"))
-    spot = F.element_at("__path", -2)
+    spot = F.element_at("path", -2)
     return out.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.when(F.size("__path") > 1, spot["conv"]).alias("parent_conv_id"),
-        F.when(F.size("__path") > 1, spot["turn"]).alias("parent_turn"),
-        F.element_at("__path", 1)["conv"].alias("root_conv_id"),
-        F.element_at("__path", 1)["turn"].alias("root_turn"),
-        F.col("__depth").alias("depth"),
+        "given.conv_id",
+        "given.turn",
+        "given.role",
+        F.when(F.size("path") > 1, spot["conv"]).alias("parent_conv_id"),
+        F.when(F.size("path") > 1, spot["turn"]).alias("parent_turn"),
+        F.element_at("path", 1)["conv"].alias("root_conv_id"),
+        F.element_at("path", 1)["turn"].alias("root_turn"),
+        "depth",
         F.array_join(
-            F.transform("__path", lambda p: F.concat_ws(":", p["conv"], p["turn"])), "/"
+            F.transform("path", lambda p: F.concat_ws(":", p["conv"], p["turn"])), "/"
         ).alias("path"),
-        F.col("__linked").alias("n_linked"),
-        F.col("__clean").alias("clean_text"),
+        F.col("linked").alias("n_linked"),
+        F.col("clean").alias("clean_text"),
     )
 
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import ROW, SPACE, numbered, saved
+from tidemark.llm.util import SPACE, numbered, row_of, saved
 
 #: A chunk ends, after 64 characters, where a mark follows one of a few letters, or at
 #: 4096. Such places are several times rarer than 64 characters, so two texts cut
@@ -70,7 +70,7 @@ def recipes(
     if collide:  # the texts are read twice
         docs = numbered(docs, id_col, text_col)
     norm = docs.select(
-        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
+        row_of(docs).alias("row"),
         F.col(id_col).alias("id"),
         normalised(F.col(text_col)).alias("norm"),
     )
@@ -92,7 +92,7 @@ def _with_ordinals(docs, listed, shared, id_col, text_col, chunk_hash) -> DataFr
     """Recipes in which a hash that stands for several chunks is followed by
     the place of the chunk among them. Only those chunks move again."""
     # Rows are numbered before they are opened.
-    norm = docs.select(F.col(ROW).alias("row"), normalised(F.col(text_col)).alias("norm"))
+    norm = docs.select(row_of(docs).alias("row"), normalised(F.col(text_col)).alias("norm"))
     each = norm.select("row", F.posexplode(chunks(F.col("norm"))).alias("at", "chunk"))
     each = each.withColumn("hash", chunk_hash(F.col("chunk")))
     each = saved(each.join(shared, "hash", "left_semi"), "shared-chunks")

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import ROW, WORD, buckets_for, permuted, running, saved
+from tidemark.llm.util import WORD, buckets_for, permuted, row_of, running, saved
 
 BLOCK_WORDS = 512
 SLOTS_PER_SHARD = 4096
@@ -69,7 +69,7 @@ def word_blocks(
     ``source, src, source_size, weight, target``."""
     slim = saved(
         docs.select(
-            (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("row"),
+            row_of(docs).alias("row"),
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))

@@ -9,10 +9,12 @@ retained from ``matches`` equal coordinates on and confirmed on the full shingle
 
 Only links that can join two groups are looked for. Documents with one set are one
 node. In each posting list every node is first compared with one hub, so that a
-list of n copies costs n comparisons. Lists that still meet several groups are
-compared in full, in tiles: nodes are dealt to bounded buckets, family by family, and
-every two buckets that a list brings together are compared by signature and then by
-set, all pairs of different groups. A tile returns the links that span what it
+list of n copies costs n comparisons, and the groups found are contracted; this is repeated with
+other hubs as long as it joins many. Lists that still meet several groups are
+compared in full, in tiles: nodes are dealt to buckets of a family, large groups to their own, and
+every two buckets that a list brings together, but those of one group, are compared by signature
+and then by set, all pairs of different groups. Buckets are bounded in nodes and in
+shingles, but for single larger sets. A tile returns the links that span what it
 joins, at most one per node. So no link between two groups is lost but for those of ``matches``
 (see ``Params``), and pairs never are rows.
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import Forest, components
-from tidemark.llm.util import ROW, dropped, numbered, per_process, saved
+from tidemark.llm.util import dropped, numbered, per_process, row_of, saved
 
 CACHED_WORDS = 300_000
 
@@ -109,7 +111,7 @@ class Signer:
 def signatures(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
     """``row, id, n_shingles, hi, lo`` (digest of the set), ``signature`` of every numbered row."""
     given = docs.select(
-        F.col(ROW).alias("row"),
+        row_of(docs).alias("row"),
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     )
@@ -216,15 +218,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(confirm, "a long, b long")
 
 
-#: Nodes of a bucket.
-BUCKET = 512
+#: Nodes of a bucket, and shingles of them.
+BUCKET = 2048
+BUCKET_SHINGLES = 2_000_000
 #: Posting lists longer than this keep their nodes in one family.
 LONG_LIST = 16
+#: Hubs are drawn anew as long as one of so many comparisons joins two groups.
+WORTH = 20
+
+
+def _grouped(posted: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, node, group`` of the lists that meet several groups of those joined so far."""
+    group = components(found).withColumnRenamed("component", "group")
+    here = posted.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    several = here.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    return here.join(several.select("key"), "key")
+
+
+def _hub_links(posted: DataFrame, nodes: DataFrame, sets: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """Links with hubs, and the pairs that match by signature in the first round."""
+    found = first = None
+    turn = 0
+    while True:
+        here = _grouped(posted, found) if turn else posted.withColumn("group", F.col("node"))
+        drawn = F.struct(F.xxhash64("node", F.lit(turn)), "node", "group")
+        hubs = here.groupBy("key").agg(F.min(drawn).alias("hub"))
+        pairs = here.join(hubs, "key").where("group <> hub.group")
+        pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        near = saved(_matching(pairs.distinct(), nodes, params), "matching")
+        first = first or near
+        new = saved(_confirmed(near, sets, params), "hub-links")
+        n = new.count()
+        found = saved(found.unionByName(new), "links") if turn else new
+        if n * WORTH < near.count() or not n:
+            return found, first
+        turn += 1
 
 
 def _buckets(posted: DataFrame, nodes: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
     """``node, group, bucket, signature`` of the posted nodes. ``group``: joined so far; ``bucket``:
-    a part of at most about BUCKET nodes of a family. A family is that of the least node that
+    a bounded part of a family, or of a large group in it. A family is that of the least node that
     a node meets by equal coordinates or in a long list, and one step on: nodes that will be
     compared come to lie in few buckets. Which nodes share a family changes the work
     only, not the result."""
@@ -242,13 +275,21 @@ def _buckets(posted: DataFrame, nodes: DataFrame, found: DataFrame, near: DataFr
     step = least.select(F.col("node").alias("least"), F.col("least").alias("family"))
     info = (
         least.join(step, "least")
+        .join(nodes.select("node", "n_shingles"), "node")
         .join(group, "node", "left")
-        .select("node", F.coalesce("group", "node").alias("group"), "family")
+        .select("node", F.coalesce("group", "node").alias("group"), "family", "n_shingles")
     )
-    parts = info.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    dealt = info.join(parts, "family").select("node", "group", F.xxhash64("family", part).alias("bucket"))
-    return dealt.join(nodes, "node")
+    full = F.greatest(F.count(F.lit(1)) / BUCKET, F.sum("n_shingles") / BUCKET_SHINGLES)
+    groups = info.groupBy("family", "group").agg(full.alias("fills"))
+    # The small groups of a family lie together, each of the others by itself.
+    small = F.when(F.col("fills") < 0.5, F.col("fills"))
+    families = groups.groupBy("family").agg(F.ceil(F.sum(small)).alias("rest"))
+    parts = groups.join(families, "family").select("family", "group", F.ceil("fills").alias("own"), small.alias("low"), "rest")
+    own = F.xxhash64("family", "group", F.pmod(F.xxhash64("node"), F.col("own")))
+    rest = F.xxhash64("family", F.lit(""), F.pmod(F.xxhash64("group"), F.col("rest")))
+    bucket = F.when(F.col("low").isNull(), own).otherwise(rest).alias("bucket")
+    dealt = info.join(parts, ["family", "group"]).select("node", "group", bucket)
+    return dealt.join(nodes.select("node", "signature"), "node")
 
 
 def _meetings(posted: DataFrame, dealt: DataFrame) -> DataFrame:
@@ -340,7 +381,7 @@ def _tile_links(pairs: DataFrame, dealt: DataFrame, sets: DataFrame, params: Par
 def links(docs: DataFrame, nodes: DataFrame, params: Params, text_col: str) -> DataFrame:
     """Confirmed links ``a, b`` between nodes, enough to join all that are reachable."""
     posted = saved(prefix_postings(nodes, params), "postings")
-    text = docs.select(F.col(ROW).alias("node"), F.col(text_col).alias("text"))
+    text = docs.select(row_of(docs).alias("node"), F.col(text_col).alias("text"))
     wanted = text.join(posted.select("node").distinct(), "node", "left_semi")
 
     def shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +396,7 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params, text_col: str) -> D
 
     sets = saved(wanted.mapInArrow(shingled, "node long, shingles binary"), "shingles")
 
-    hubs = posted.groupBy("key").agg(F.min("node").alias("hub"))
-    pairs = posted.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    near = saved(_matching(pairs.distinct(), nodes, params), "matching")
-    found = saved(_confirmed(near, sets, params), "links")
-
+    found, near = _hub_links(posted, nodes, sets, params)
     dealt = saved(_buckets(posted, nodes, found, near), "buckets")
     meetings = saved(_meetings(posted, dealt), "meetings")
     return found.unionByName(_tile_links(meetings, dealt, sets, params))
@@ -379,7 +416,8 @@ def near_dedup(
         "row", "id", "n_shingles", F.coalesce("node", "row").alias("node")
     )
     member = saved(member, "members")
-    nodes = signed.join(classes.select("node"), signed["row"] == classes["node"]).select("node", "signature")
+    nodes = signed.join(classes.select("node"), signed["row"] == classes["node"])
+    nodes = nodes.select("node", signed["n_shingles"], "signature")
     nodes = saved(nodes, "nodes")
     dropped(signed)
     group = components(links(docs, nodes, params, text_col))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import dropped, numbered, saved
+from tidemark.llm.util import dropped, numbered, row_of, saved
 
 #: Leading quote marks: ">", "> >", ">>" and so on.
 MARKS = r"^(?:[ \t]*>)+"
@@ -144,35 +144,35 @@ def reply_paths(messages: DataFrame, links: DataFrame) -> DataFrame:
 def link_quotes(
     conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``conversations`` with ``__row`` (a number of their own), ``__parent``,
-    ``__root``, ``__depth``, ``__path``, ``__linked`` and ``__clean`` (the text without quotes).
+    """``given`` (the columns of ``conversations``, as a struct), ``row`` (a number of its own), ``parent``,
+    ``root``, ``depth``, ``path``, ``linked`` and ``clean`` (the text without quotes) of every message.
 
-    Sorted by ``__path`` the rows are reply-ordered conversations: a message comes after
+    Sorted by ``path`` the rows are reply-ordered conversations: a message comes after
     its parent and before its parent's later siblings.
     """
-    given = numbered(conversations)
-    messages = given.select(
-        F.col("__row").alias("row"),
+    stored = numbered(conversations)
+    messages = stored.select(
+        row_of(stored).alias("row"),
         F.col(conv_col).alias("conv"),
         F.col(turn_col).alias("turn"),
         F.col(text_col).alias("text"),
     )
     links = saved(parents(messages), "reply-links")
     paths = reply_paths(messages.select("row", "conv", "turn"), links)
-    told = links.join(paths, "row").select(
-        F.col("row").alias("__row"),
-        F.col("parent").alias("__parent"),
-        F.col("root").alias("__root"),
-        F.col("depth").alias("__depth"),
-        F.col("path").alias("__path"),
-        F.col("linked").alias("__linked"),
+    told = links.join(paths, "row")
+    given = stored.select(
+        F.struct(*[F.col(c) for c in conversations.columns]).alias("given"), row_of(stored).alias("row")
     )
-    mine = F.struct(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col("__row").alias("row"))
-    return (
-        given.join(told, "__row", "left")
-        .withColumn("__root", F.coalesce("__root", "__row"))
-        .withColumn("__depth", F.coalesce("__depth", F.lit(0).cast("long")))
-        .withColumn("__linked", F.coalesce("__linked", F.lit(0).cast("long")))
-        .withColumn("__path", F.coalesce("__path", F.array(mine)))
-        .withColumn("__clean", without_quotes(F.col(text_col)))
+    mine = F.struct(
+        F.col("given")[conv_col].alias("conv"), F.col("given")[turn_col].alias("turn"), F.col("row").alias("row")
+    )
+    return given.join(told, "row", "left").select(
+        "given",
+        "row",
+        "parent",
+        F.coalesce("root", "row").alias("root"),
+        F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
+        F.coalesce("path", F.array(mine)).alias("path"),
+        F.coalesce("linked", F.lit(0).cast("long")).alias("linked"),
+        without_quotes(F.col("given")[text_col]).alias("clean"),
     )

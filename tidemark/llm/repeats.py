@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import ROW, dropped, numbered, saved
+from tidemark.llm.util import dropped, numbered, row_of, saved
 
 KMER = 32
 #: Bytes of text looked at together; bounds the memory of a task.
@@ -118,7 +118,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, i
 
 def segment_rows(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     """``row, start, windows, lead, anchor, hi, lo`` (digest of its bytes) of every segment."""
-    given = docs.select(F.col(ROW).alias("row"), F.col(text_col).alias("text"))
+    given = docs.select(row_of(docs).alias("row"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
@@ -284,7 +284,7 @@ def _tuple_batch(found: Iterable[tuple]) -> pa.RecordBatch:
 
 def _segment_tuples(docs: DataFrame, mixed: DataFrame, text_col: str, length: int) -> DataFrame:
     """The tuples (``_TUPLE``) of the segments ``mixed``."""
-    text = docs.select(F.col(ROW).alias("row"), F.col(text_col).alias("text"))
+    text = docs.select(row_of(docs).alias("row"), F.col(text_col).alias("text"))
     wanted = mixed.groupBy("row").agg(
         F.collect_list(F.struct("anchor", "start", "windows", "lead", "copies")).alias("parts")
     )
@@ -427,7 +427,7 @@ def without_repeats(
     spans = repeated_spans(docs, length, text_col)
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     given = docs.select(
-        F.col(ROW).alias("row"),
+        row_of(docs).alias("row"),
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
+import threading
 import types
 from collections.abc import Callable, Sequence
 
@@ -13,14 +15,27 @@ from tidemark.session import run_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: The number of a row, where a table has one.
-ROW = "__row"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_RECORDS = threading.local()
+
+
+@contextlib.contextmanager
+def recording():
+    """A list of the tables that :func:`saved` writes in the block."""
+    made: list[DataFrame] = []
+    open_ = _RECORDS.__dict__.setdefault("open", [])
+    open_.append(made)
+    try:
+        yield made
+    finally:
+        open_.pop()
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut
     there, and a lost executor costs no more than the tasks that read it."""
@@ -29,21 +44,35 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.saved_at = path
+    for made in _RECORDS.__dict__.get("open", ()):
+        made.append(table)
     return table
 
 
 def numbered(df: DataFrame, *columns: str) -> DataFrame:
-    """The ``columns`` (default all) of ``df`` and ``ROW``, a number of each row, stored with it:
+    """The ``columns`` (default all) of ``df`` and a number of each row, stored with it:
     a later job may read the table in other partitions, and numbers given anew would
-    be those of other rows. A table that has numbers keeps them."""
-    if ROW in df.columns:
+    be those of other rows. :func:`row_of` tells the numbers, whose column has a name that
+    no other has. A table that was numbered here keeps its numbers."""
+    if hasattr(df, "row_column"):
         return df
     rows = df.select(*dict.fromkeys(columns)) if columns else df
-    return saved(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    taken, name = {c.lower() for c in rows.columns}, "row_number"
+    while name in taken:
+        name += "_"
+    table = saved(rows.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    table.row_column = name
+    return table
+
+
+def row_of(df: DataFrame) -> Column:
+    """The stored numbers of a numbered table; else numbers that hold for one job."""
+    return F.col(df.row_column) if hasattr(df, "row_column") else F.monotonically_increasing_id()
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`saved` wrote and nobody reads again."""
+    """Delete the files of a table that :func:`saved` wrote and nobody reads again; no
+    harm if they are gone."""
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(df.saved_at)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
