@@ -266,6 +266,8 @@ def manifest(
         leaf_digest(*[F.col(c) for c in fields]).alias("digest"),
         *[c.alias(name) for name, c in made.items()],
     )
+    # Stored first: sorting by range reads its input twice.
+    rows = saved(rows, "hashed")
     leaves = saved(placed(rows, "grp", ["id", "digest"]), "leaves")
     up = _upwards(leaves, shape)
     subroots = up[-1].select(F.lit("").alias("all"), F.col("grp").alias("of"), "digest")

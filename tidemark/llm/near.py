@@ -288,7 +288,7 @@ def _buckets(posted: DataFrame, nodes: DataFrame, found: DataFrame, near: DataFr
     own = F.xxhash64("family", "group", F.pmod(F.xxhash64("node"), F.col("own")))
     rest = F.xxhash64("family", F.lit(""), F.pmod(F.xxhash64("group"), F.col("rest")))
     bucket = F.when(F.col("low").isNull(), own).otherwise(rest).alias("bucket")
-    dealt = info.join(parts, ["family", "group"]).select("node", "group", bucket)
+    dealt = info.join(parts, ["family", "group"]).select("node", "group", "n_shingles", bucket)
     return dealt.join(nodes.select("node", "signature"), "node")
 
 
@@ -306,22 +306,37 @@ def _meetings(posted: DataFrame, dealt: DataFrame) -> DataFrame:
 
 
 def _tile_rows(pairs: DataFrame, dealt: DataFrame) -> DataFrame:
-    """The nodes of both buckets of each pair."""
-    side = F.explode(F.array_distinct(F.array("left", "right")))
-    return pairs.select("left", "right", side.alias("bucket")).join(dealt, "bucket")
+    """The nodes of the tiles: ``left`` a bucket (``side`` 0), ``right`` a part of the smaller
+    buckets that it is paired with (``side`` 1), or -1 for a bucket with itself. So a
+    large bucket is not read again for every small one that it meets."""
+    full = F.greatest(F.count(F.lit(1)) / BUCKET, F.sum("n_shingles") / BUCKET_SHINGLES)
+    sizes = dealt.groupBy("bucket").agg(full.alias("fills"))
+    one = sizes.select(F.col("bucket").alias("left"), F.struct("fills", "bucket").alias("l"))
+    two = sizes.select(F.col("bucket").alias("right"), F.struct("fills", "bucket").alias("r"))
+    met = pairs.where("left <> right").join(one, "left").join(two, "right")
+    met = met.select(F.greatest("l", "r").alias("host"), F.least("l", "r").alias("guest"))
+    met = met.select(F.col("host.bucket").alias("left"), F.col("guest.bucket").alias("bucket"), "guest.fills")
+    parts = met.groupBy("left").agg(F.ceil(F.sum("fills")).alias("parts"))
+    part = F.pmod(F.xxhash64("bucket"), F.col("parts")).alias("right")
+    guests = met.join(parts, "left").select("left", part, "bucket")
+    hosts = guests.select("left", "right").distinct()
+    alone = pairs.where("left = right").select("left", F.lit(-1).cast("long").alias("right"))
+    hosts = hosts.unionByName(alone).withColumn("bucket", F.col("left"))
+    sides = hosts.withColumn("side", F.lit(0)).unionByName(guests.withColumn("side", F.lit(1)))
+    return sides.join(dealt, "bucket").select("left", "right", "side", "node", "group", "signature")
 
 
 class _Tile:
-    """Candidate pairs of one pair of buckets: enough equal coordinates, different groups."""
+    """Candidate pairs of one tile: enough equal coordinates, different groups."""
 
     def __init__(self, table: pa.Table, params: Params):
         self.table = table = table.sort_by("node")
         self.nodes = table.column("node").to_numpy()
-        bucket, group = table.column("bucket").to_numpy(), table.column("group").to_numpy()
-        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        side, group = table.column("side").to_numpy(), table.column("group").to_numpy()
+        alone = table.column("right")[0].as_py() < 0
         rows = b"".join(table.column("signature").to_pylist())
         signed = np.frombuffer(rows, np.uint32).reshape(len(self.nodes), params.coordinates)
-        one, two = np.flatnonzero(bucket == left), np.flatnonzero(bucket == right)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
         self.i, self.j = one[:0], two[:0]
         if len(one) and len(two):
             same = np.zeros((len(one), len(two)), np.uint8 if params.coordinates < 256 else np.uint16)
@@ -330,25 +345,24 @@ class _Tile:
             good = (same >= params.matches) & (group[one][:, None] != group[two][None, :])
             i, j = np.nonzero(good)
             self.i, self.j = one[i], two[j]
-            if left == right:
+            if alone:
                 below = self.i < self.j
                 self.i, self.j = self.i[below], self.j[below]
 
 
 def _tile_links(pairs: DataFrame, dealt: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
     """``a, b``: links that span what the tiles of ``pairs`` join."""
-    light = ["left", "right", "node", "bucket", "group", "signature"]
+    light = ["left", "right", "side", "node", "group", "signature"]
 
     def ask(table: pa.Table) -> pa.Table:
         tile = _Tile(table, params)
         told = tile.table.take(pa.array(np.union1d(tile.i, tile.j)))
-        return told.select(["left", "right", "node"])
+        return told.select(["left", "right", "side", "node"])
 
     asked = (
         _tile_rows(pairs, dealt)
-        .select(*light)
         .groupBy("left", "right")
-        .applyInArrow(ask, "left long, right long, node long")
+        .applyInArrow(ask, "left long, right long, side int, node long")
     )
     asked = saved(asked, "asked")
 
