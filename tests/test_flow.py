@@ -69,9 +69,9 @@ def test_progress_of_every_batch_is_kept(spark):
 
     batches = [[(i, i)] for i in range(3)]
     short = run_arrivals(spark, fixture_records(spark, batches), "batch", 3,
-                         StreamSettings(state_partitions=1, progress_retention=2), files_per_batch=1)
+                         StreamSettings(state_partitions=1, progress_retention=2))
     full = run_arrivals(spark, fixture_records(spark, batches), "batch", 3,
-                        StreamSettings(state_partitions=1), files_per_batch=1)
+                        StreamSettings(state_partitions=1))
     assert len(short.progress) < 4 and len(full.progress) == 4
 
 

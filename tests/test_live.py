@@ -33,7 +33,7 @@ def test_a_lagging_stream_has_unread_records_not_late_ones(spark):
     from tidemark.streaming.replay import publish_arrivals, run_per_batch
 
     rows = [[(i, i) for i in range(200)], [(i, i) for i in range(200, 1000)]]
-    arr = publish_arrivals(spark, fixture_records(spark, rows), "batch", 2, files_per_batch=2)
+    arr = publish_arrivals(spark, fixture_records(spark, rows), "batch", 2)
     run = run_per_batch(spark, arr, StreamSettings(state_partitions=2), last=1)
     row = audit_now(spark, arr.topic, run.sink, checkpoint=run.checkpoint)
     assert (row.sent, row.missing_unread, row.missing_late) == (1000, 800, 0)
@@ -49,7 +49,7 @@ def test_a_batch_that_commits_during_the_audit_makes_nothing_late(spark, monkeyp
     from tidemark.streaming.replay import publish_arrivals, run_per_batch
 
     rows = [[(i, i) for i in range(50)], [(i, i) for i in range(50, 100)]]
-    arr = publish_arrivals(spark, fixture_records(spark, rows), "batch", 2, files_per_batch=2)
+    arr = publish_arrivals(spark, fixture_records(spark, rows), "batch", 2)
     settings = StreamSettings(state_partitions=2)
     run = run_per_batch(spark, arr, settings, last=1)
     read = live.read_sink

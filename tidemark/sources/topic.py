@@ -2,36 +2,33 @@
 
 This is the stand-in for a broker. Publishing appends envelope files;
 consuming reads them back in batch (S6) or as a stream (S1) with the same
-schema as Spark's Kafka source. Replay publishes a table in arrival order so
-that a stream sees a chosen sequence of micro-batches.
+schema as Spark's Kafka source. Arrival batches are folders, written in one job; a
+stream that is run once for each folder sees them as its micro-batches.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.envelope import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA
+from tidemark.sinks.folders import Folder
 from tidemark.sources.tables import ANY_AGE
-from tidemark.streaming.checkpoint import Position, files_read
+from tidemark.streaming.checkpoint import Position, file_of, files_read
 
-# Each replayed arrival batch gets its own directory (no "=", so no
-# partition column is inferred); readers glob over the topic's data files
+# Each arrival batch has its own directory; readers glob over the topic's data files
 # and batch directories only (never its marker files).
-BATCH_DIR = "batch-{:06d}"
-DATA_GLOB = "{*.parquet,batch-*}"
+DATA_GLOB = "{*.parquet,batch=*}"
 
 
 class FileTopic:
     """Envelope records under one directory (any Hadoop path)."""
 
-    def __init__(self, spark: SparkSession, path: str, fresh: bool = False):
-        """``fresh=True`` promises that nothing exists at ``path`` yet (a new
-        run directory), which spares listing a missing folder."""
+    def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._may_exist = not fresh
+        self.by_day = False
 
     # -- publish ---------------------------------------------------------
     def publish(self, records: DataFrame, files: int | None = None) -> None:
@@ -41,101 +38,77 @@ class FileTopic:
         if files:
             out = out.repartition(files)
         out.write.mode("append").parquet(self.path)
-        self._may_exist = True
-
-    def publish_batch(
-        self,
-        records: DataFrame,
-        b: int,
-        files: int = 1,
-        newest_before: object | None = None,
-    ) -> object:
-        """Append the records of arrival batch ``b`` as exactly ``files``
-        files into the batch's own directory; returns the newest modification
-        time among them.
-
-        One write, no shuffle: up to ``files`` tasks take the partitions of
-        ``records`` as they are. Spark skips files for empty
-        partitions, so a batch of fewer is padded with empty (schema-only)
-        files. The new files must all be newer than ``newest_before`` (the
-        value the previous call returned), or the stream would mix batches:
-        checked here by listing this batch's directory only.
-        """
-        path = self.batch_path(b)
-        (
-            records.select(*ENVELOPE_COLUMNS)
-            .coalesce(files)
-            .write.mode("append")
-            .option("maxRecordsPerFile", 0)
-            .parquet(path)
-        )
-        self._may_exist = True
-        new = _listing(self.spark, path)
-        for _ in range(files - len(new)):
-            self.spark.createDataFrame([], ENVELOPE_SCHEMA).write.mode("append").parquet(path)
-        if len(new) < files:
-            new = _listing(self.spark, path)
-        if len(new) != files:
-            raise RuntimeError(f"batch {b}: expected {files} new files, found {len(new)}")
-        if newest_before is not None and min(new.values()) <= newest_before:
-            raise RuntimeError(
-                f"batch {b}: new files are not newer than earlier ones; "
-                "raise batch_gap_s for this store"
-            )
-        return max(new.values())
-
-    def batch_path(self, b: int) -> str:
-        return f"{self.path}/{BATCH_DIR.format(b)}"
+
+    def publish_batches(self, records: DataFrame, batch_col: str, by_day: bool = False) -> None:
+        """Append records in one job, those of each arrival batch to a folder of its own
+        (and in it, with ``by_day``, those of each day of their time)."""
+        self.by_day = by_day
+        folders = {"batch": F.col(batch_col)} | ({"day": F.to_date("timestamp")} if by_day else {})
+        out = records.select(*ENVELOPE_COLUMNS, *[c.alias(n) for n, c in folders.items()])
+        out.write.mode("append").partitionBy(*folders).parquet(self.path)
+
+    def batches(self) -> list[int]:
+        """The arrival batches that have records."""
+        names = Folder(self.spark, self.path).names()
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def read_batches(self, by_day: bool = False) -> DataFrame:
+        """Every record with its arrival ``batch`` (and ``day``), the partition columns."""
+        return self.spark.read.schema(self._foldered(by_day)).parquet(self.path)
+
+    @staticmethod
+    def _foldered(by_day: bool) -> T.StructType:
+        fields = [T.StructField("batch", T.IntegerType())] + [T.StructField("day", T.DateType())] * by_day
+        return T.StructType([*ENVELOPE_SCHEMA.fields, *fields])
+
+    def publish_clustered(self, records: DataFrame, files: int | None = None) -> None:
+        """Append records in files by range of partition and offset, so that a reader of some
+        offsets skips the other files by their statistics."""
+        place = ["partition", "offset"]
+        ranges = [files, *place] if files else place
+        out = records.select(*ENVELOPE_COLUMNS).repartitionByRange(*ranges).sortWithinPartitions(*place)
+        out.write.mode("append").parquet(self.path)
 
     # -- consume ---------------------------------------------------------
     def read(self) -> DataFrame:
         """Every record published so far (top-level files and batch
         directories alike)."""
-        return self.spark.read.schema(ENVELOPE_SCHEMA).parquet(f"{self.path}/{DATA_GLOB}")
+        reader = self.spark.read.schema(ENVELOPE_SCHEMA).option("recursiveFileLookup", "true")
+        return reader.parquet(f"{self.path}/{DATA_GLOB}")
+
+    def read_offsets(self, bounds: dict[int, tuple[int | None, int | None]]) -> DataFrame:
+        """S6 between offsets: of each partition named, the records from the first up to,
+        but not with, the second; None is no bound. The filter reaches the scan."""
+        wanted = F.lit(False)
+        for part, (start, end) in bounds.items():
+            one = F.col("partition") == int(part)
+            if start is not None:
+                one = one & (F.col("offset") >= int(start))
+            if end is not None:
+                one = one & (F.col("offset") < int(end))
+            wanted = wanted | one
+        return self.read().where(wanted)
 
     def read_marked(self, checkpoint: str, at: Position) -> DataFrame:
         """Every record with ``is_read``: whether the query of that checkpoint had read it."""
         read = files_read(self.spark, checkpoint, at).withColumn("is_read", F.lit(True))
-        sent = self.read().select("*", F.col("_metadata.file_name").alias("file_name"))
-        marked = sent.join(read, "file_name", "left").drop("file_name")
+        sent = self.read().select("*", file_of("_metadata.file_path").alias("file"))
+        marked = sent.join(read, "file", "left").drop("file")
         return marked.withColumn("is_read", F.coalesce("is_read", F.lit(False)))
 
     def read_stream(
         self, per_trigger: int | None = None, batches: int | None = None
     ) -> DataFrame:
-        """S1 stand-in: the topic as a stream. ``per_trigger``: files of one
-        micro-batch; with as many as a published batch has, one micro-batch per
-        batch. ``batches``: only the first arrival batches, for a consumer that
+        """S1 stand-in: the topic as a stream. ``per_trigger``: files of one micro-batch.
+        ``batches``: only the first arrival batches, for a consumer that
         runs before the others are there.
 
-        The source keeps the unread part of a listing (up to
-        ``maxCachedFiles``) for the next triggers, so a replay of many
-        batches lists the topic once per 16 batches rather than per batch.
         Files are read whatever their age, so the source remembers all it has seen."""
         reader = self.spark.readStream.schema(ENVELOPE_SCHEMA).option("maxFileAge", ANY_AGE)
         if per_trigger:
-            k = int(per_trigger)
-            reader = reader.option("maxFilesPerTrigger", k).option(
-                "maxCachedFiles", max(10_000, 16 * k)
-            )
+            reader = reader.option("maxFilesPerTrigger", int(per_trigger))
         if batches is None:
-            return reader.parquet(f"{self.path}/{DATA_GLOB}")
-        names = ",".join(BATCH_DIR.format(b) for b in range(batches))
-        return reader.parquet(f"{self.path}/{{{names}}}")
-
-
-def _listing(spark: SparkSession, path: str) -> dict[str, object]:
-    """Parquet files under ``path`` and their modification times. Only the
-    listing is read (``binaryFile`` without its content column)."""
-    try:
-        rows = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", "*.parquet")
-            .option("recursiveFileLookup", "true")
-            .load(path)
-            .select("path", "modificationTime")
-            .collect()
-        )
-    except AnalysisException:  # nothing there yet
-        return {}
-    return {r.path: r.modificationTime for r in rows}
+            return reader.option("recursiveFileLookup", "true").parquet(f"{self.path}/{DATA_GLOB}")
+        names = ",".join(str(b) for b in range(batches))
+        reader = reader.schema(self._foldered(self.by_day)).option("basePath", self.path)
+        return reader.parquet(f"{self.path}/batch={{{names}}}").select(*ENVELOPE_COLUMNS)

@@ -44,14 +44,20 @@ def position(spark: SparkSession, checkpoint: str) -> Position | None:
     return Position(batch, int(json.loads(lines[1])["batchWatermarkMs"]), json.loads(lines[2]))
 
 
+def file_of(path: str) -> Column:
+    """A file's name with the two folders that it lies in: one job gives files in several
+    folders the same name."""
+    return F.regexp_extract(path, "(([^/]+/){0,2}[^/]+)$", 1)
+
+
 def files_read(spark: SparkSession, checkpoint: str, at: Position) -> DataFrame:
-    """``file_name`` of every file that a file source had read by then."""
+    """``file`` (see :func:`file_of`) of every file that a file source had read by then."""
     log = spark.read.text(f"{checkpoint}/sources/0").where("value LIKE '{%'")
     entry = F.from_json("value", "path string, batchId bigint")
     return (
         log.select(entry.alias("e"))
         .where(F.col("e.batchId") <= int(at.offset["logOffset"]))
-        .select(F.element_at(F.split("e.path", "/"), -1).alias("file_name"))
+        .select(file_of("e.path").alias("file"))
         .distinct()
     )
 
@@ -62,3 +68,16 @@ def offsets_read(at: Position, topic: str) -> Column:
     for part, offset in at.offset.get(topic, {}).items():
         read = read | ((F.col("partition") == int(part)) & (F.col("offset") < int(offset)))
     return read
+
+
+def withheld_groups(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``partition, timestamp, key, cnt`` of the groups that a count's state still holds after its
+    last committed batch: Spark's reader of the state store, one task for each state
+    partition; no query needs to run."""
+    state = spark.read.format("statestore").load(checkpoint)
+    # The grouping columns in their order; the time carries the watermark's name.
+    partition, timestamp, key = [F.col("key")[f.name] for f in state.schema["key"].dataType.fields]
+    count = F.col("value")[state.schema["value"].dataType.fields[-1].name]
+    return state.select(
+        partition.alias("partition"), timestamp.alias("timestamp"), key.alias("key"), count.alias("cnt")
+    )

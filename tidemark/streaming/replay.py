@@ -1,22 +1,28 @@
 """Drive the flow from a replayed topic: one run, or one run per batch.
 
-The replay publishes a table to a ``FileTopic`` in arrival batches, then
-runs the watermarked count over it with ``availableNow`` so the run is
-bounded and deterministic. A live deployment swaps the topic for
-``read_kafka_stream`` and the trigger for a processing-time one; the flow is
-unchanged.
+The replay publishes a table to a ``FileTopic``, each arrival batch a folder, all in one
+write. The watermarked count then runs over it with ``availableNow``, once for each folder on one
+checkpoint, so that every folder is one micro-batch. The watermark rules depend on the
+no-data batches between:
+
+* ``one_run``: none but after the last folder. Late watermark, eviction and output are those of
+  one long run over the batches (the checkpoint carries both watermarks on);
+* else one after each folder (as when the consumer is started anew for each): the next run
+  starts with the late watermark one step further on.
+
+A live deployment swaps the topic for ``read_kafka_stream`` and the trigger for a
+processing-time one; the flow is unchanged.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import parallelism, run_dir
+from tidemark.session import run_dir
 from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import StreamSettings, run_count
 from tidemark.streaming.progress import final_watermark_ms
@@ -62,7 +68,7 @@ def run_stream(
 
 def publish_all(spark: SparkSession, records: DataFrame, label: str = "single") -> FileTopic:
     """Publish every record to a fresh topic at once (parallel write)."""
-    topic = FileTopic(spark, f"{run_dir(spark, label + '-topic')}/topic", fresh=True)
+    topic = FileTopic(spark, f"{run_dir(spark, label + '-topic')}/topic")
     topic.publish(records)
     return topic
 
@@ -76,83 +82,50 @@ def run_single_batch(
 
 @dataclass
 class Arrivals:
-    """A topic published in arrival batches of ``files_per_batch`` files each."""
+    """A topic published in ``n_batches`` arrival batches."""
 
     topic: FileTopic
-    files_per_batch: int
     n_batches: int
 
 
-def _publish(
-    spark: SparkSession, batches: Iterable[DataFrame], label: str, k: int, batch_gap_s: float
-) -> Arrivals:
-    """Write each batch once, in order. Later batches must be newer on the store;
-    ``batch_gap_s`` spaces them where its times are coarse."""
-    topic = FileTopic(spark, f"{run_dir(spark, label + '-topic')}/topic", fresh=True)
-    newest, n = None, 0
-    for records in batches:
-        if n and batch_gap_s:
-            time.sleep(batch_gap_s)
-        newest = topic.publish_batch(records, n, k, newest)
-        n += 1
-    return Arrivals(topic, k, n)
-
-
 def publish_arrivals(
     spark: SparkSession,
     records: DataFrame,
     batch_col: str,
     n_batches: int,
     label: str = "arrivals",
-    files_per_batch: int | None = None,
-    batch_gap_s: float = 0.0,
+    by_day: bool = False,
 ) -> Arrivals:
-    """Publish B arrival batches to a fresh topic, each as ``k`` files
-    (default: one per core). Every batch is a filter on the source, written
-    once: no staging copy and no shuffle."""
-    k = files_per_batch or parallelism(spark)
-    batches = (records.where(F.col(batch_col) == b) for b in range(n_batches))
-    return _publish(spark, batches, label, k, batch_gap_s)
+    """Publish ``n_batches`` arrival batches to a fresh topic in one write, without a shuffle."""
+    topic = FileTopic(spark, f"{run_dir(spark, label + '-topic')}/topic")
+    topic.publish_batches(records, batch_col, by_day)
+    return Arrivals(topic, n_batches)
 
 
 def publish_in_time_order(
-    spark: SparkSession,
-    records: DataFrame,
-    n_batches: int,
-    label: str = "backlog",
-    files_per_batch: int | None = None,
-    batch_gap_s: float = 0.0,
+    spark: SparkSession, records: DataFrame, n_batches: int, label: str = "backlog"
 ) -> Arrivals:
-    """Publish a backlog as ``n_batches`` arrival batches in event-time order.
+    """Publish a backlog as at most ``n_batches`` arrival batches in event-time order.
 
     The bounds are quantiles of the record time (one aggregation that returns
-    ``n_batches - 1`` numbers); each batch is the records between two bounds, a
-    filter that reaches the scan of a stored table, written once. Times of a
+    ``n_batches - 1`` numbers); each batch is the records between two bounds. Times of a
     batch are above those of the batch before, so no record is ever late: a
     stream over these batches emits exactly what one batch over the whole backlog
     would, while its state holds about one batch instead of all. Records without a
     time are in the first batch.
     """
-    k = files_per_batch or parallelism(spark)
     parts = [i / n_batches for i in range(1, n_batches)]
     found = []
     if parts:
         micros = F.unix_micros("timestamp")
-        found = records.agg(F.percentile_approx(micros, parts, 10_000).alias("q")).first()["q"]
-    bounds = sorted(set(found or []))
-    time_of = [F.timestamp_micros(F.lit(b)) for b in bounds]
-
-    def batches():
-        for i in range(len(bounds) + 1):
-            kept = F.lit(True)
-            if i:
-                kept = F.col("timestamp") > time_of[i - 1]
-            if i < len(bounds):
-                upper = F.col("timestamp") <= time_of[i]
-                kept = kept & upper if i else upper | F.col("timestamp").isNull()
-            yield records.where(kept)
-
-    return _publish(spark, batches(), label, k, batch_gap_s)
+        told = records.agg(F.percentile_approx(micros, parts, 10_000).alias("q"), F.max(micros).alias("m")).first()
+        found = [q for q in told["q"] or [] if q < told["m"]]
+    bounds = sorted(set(found))
+    batch = F.lit(0)
+    for b in bounds:
+        batch = batch + F.coalesce((F.unix_micros("timestamp") > F.lit(b)).cast("int"), F.lit(0))
+    dealt = records.withColumn("time_order", batch)
+    return publish_arrivals(spark, dealt, "time_order", len(bounds) + 1, label)
 
 
 def run_topic(
@@ -182,15 +155,10 @@ def run_arrivals(
     settings: StreamSettings,
     label: str = "arrivals",
     output_mode: str = "append",
-    files_per_batch: int | None = None,
 ) -> StreamRun:
-    """One run over B arrival batches: one micro-batch per batch, back to back.
-
-    Each batch is published as ``files_per_batch`` files and read as one
-    trigger, so both the replay write and the micro-batch read are parallel.
-    """
-    arr = publish_arrivals(spark, records, batch_col, n_batches, label, files_per_batch)
-    return run_topic(spark, arr.topic, arr.files_per_batch, settings, label, output_mode)
+    """As one run over the arrival batches: one micro-batch per batch, back to back."""
+    arr = publish_arrivals(spark, records, batch_col, n_batches, label)
+    return run_per_batch(spark, arr, settings, label, output_mode=output_mode, one_run=True)
 
 
 def run_per_arrival(
@@ -214,18 +182,26 @@ def run_per_batch(
     first: int = 1,
     last: int | None = None,
     root: str | None = None,
+    output_mode: str = "append",
+    one_run: bool = False,
+    start: Callable | None = None,
+    after: Callable[[int, StreamRun], None] | None = None,
 ) -> StreamRun:
     """W7 over a published topic: run ``b`` sees the first ``b`` batches, in
-    place, and takes up the checkpoint of the run before.
+    place, and takes up the checkpoint of the run before (see the module for ``one_run``).
 
-    Each run ends with a no-data batch, so the next run starts with the late
-    watermark one step further on than a single long run would have. With the
-    ``root`` of an interrupted series (its sink and checkpoint) and ``first``, the
-    series goes on where it ended.
+    With the ``root`` of an interrupted series (its sink and checkpoint) and ``first``, the
+    series goes on where it ended. ``start`` names another sink (see ``run_count``);
+    ``after`` is called with the number of each batch (from 0) and the run so far.
     """
     root = root or run_dir(spark, label)
-    sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
-    progress: list[dict] = []
-    for b in range(first, (last or arr.n_batches) + 1):
-        progress += run_count(spark, arr.topic.read_stream(batches=b), sink, ckpt, settings)
-    return StreamRun(sink, ckpt, arr.topic.path, progress)
+    run = StreamRun(f"{root}/sink", f"{root}/checkpoint", arr.topic.path, [])
+    between = replace(settings, no_data_batches=False) if one_run else settings
+    filled = [b + 1 for b in arr.topic.batches()]  # a batch without records is no micro-batch
+    for b in [b for b in filled if first <= b <= (last or arr.n_batches)]:
+        now = settings if b == filled[-1] else between
+        records = arr.topic.read_stream(batches=b)
+        run.progress += run_count(spark, records, run.sink, run.checkpoint, now, output_mode, start=start)
+        if after:
+            after(b - 1, run)
+    return run
