@@ -196,3 +196,46 @@ def delivery_check(
     return out.select(
         "sent", "received", F.explode(wants).alias("expected"), "distinct_keys"
     ).withColumn("ok", F.col("received") >= F.col("expected"))
+
+
+def fingerprint(records: DataFrame, keys: Column | str = "key", values: Column | str = "value") -> DataFrame:
+    """``partition, n, key_sum, key_xor, pair_sum, pair_xor``: digests of each partition's records
+    that do not depend on their order. Sums (modulo 2^64, as decimals) count copies, which a xor
+    cancels; together they tell multisets apart. Only one row of each partition moves."""
+
+    def digests(name: str, h: Column) -> list[Column]:
+        total = F.sum(h.cast("decimal(38,0)")) % F.lit(str(2**64)).cast("decimal(38,0)")
+        return [total.cast("decimal(20,0)").alias(f"{name}_sum"), F.bit_xor(h).alias(f"{name}_xor")]
+
+    return records.groupBy("partition").agg(
+        F.count(F.lit(1)).alias("n"),
+        *digests("key", F.xxhash64(keys)),
+        *digests("pair", F.xxhash64(keys, values)),
+    )
+
+
+def delivery_fingerprint(sent: DataFrame, received: DataFrame) -> DataFrame:
+    """A6 by partition: ``sent``, ``received`` and ``verdict``: ``same`` (the same records), ``values``
+    (the same keys, other values), ``lost`` or ``copied`` (fewer or more records), ``other``
+    (as many, other keys). Two one-row-a-partition tables are joined."""
+    one = fingerprint(sent).select("partition", *[F.col(c).alias(f"s_{c}") for c in FINGERPRINT])
+    two = fingerprint(received).select("partition", *[F.col(c).alias(f"r_{c}") for c in FINGERPRINT])
+    zero = F.lit(0).cast("bigint")
+    both = one.join(two, "partition", "full").select(
+        "partition",
+        F.coalesce("s_n", zero).alias("sent"),
+        F.coalesce("r_n", zero).alias("received"),
+        *[F.col(f"s_{c}").eqNullSafe(F.col(f"r_{c}")).alias(c) for c in FINGERPRINT if c != "n"],
+    )
+    same_keys, same_pairs = F.col("key_sum") & F.col("key_xor"), F.col("pair_sum") & F.col("pair_xor")
+    verdict = (
+        F.when(F.col("received") < F.col("sent"), "lost")
+        .when(F.col("received") > F.col("sent"), "copied")
+        .when(same_keys & same_pairs, "same")
+        .when(same_keys, "values")
+        .otherwise("other")
+    )
+    return both.select("partition", "sent", "received", verdict.alias("verdict"))
+
+
+FINGERPRINT = ("n", "key_sum", "key_xor", "pair_sum", "pair_xor")

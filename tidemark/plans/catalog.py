@@ -11,6 +11,7 @@ compare with plain SQL engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +20,23 @@ from tidemark.functions.envelope import as_wall_clock, bytes_to_text, key_to_id
 from tidemark.operators import audit
 from tidemark.operators.aggregate import group_count, latest, mean_of
 from tidemark.operators.order import first_rows, sorted_by
+from tidemark.operators.slices import SliceAudit
 from tidemark.operators.records import decode_ids, decode_records, project_records
 from tidemark.plans import scenarios as sc
 from tidemark.session import pin_utc, run_dir
+from tidemark.sinks.daily import DailySink
 from tidemark.sinks.files import overwrite_parquet
+from tidemark.sinks.updates import UpdateSink
 from tidemark.sources.tables import read_sink, scan_parquet, table
 from tidemark.sources.topic import FileTopic
-from tidemark.streaming.checkpoint import position
+from tidemark.streaming.checkpoint import position, withheld_groups
 from tidemark.streaming.progress import progress_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Retention of the registered sink by day.
+KEPT_FROM = "2024-01-16"
+
 
 # -- shared shapes ----------------------------------------------------------
 def sink_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -136,7 +143,70 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress_table(spark, sc.arrivals_run(spark, sf_dir).progress).drop("duration_ms")
 
 
+def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship over a backlog in time order (W2): state holds a batch, not all."""
+    return sink_rows(spark, sc.backlog_run(spark, sf_dir).sink)
+
+
+def stream_update_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest count of each group, from the committed update batches."""
+    run = sc.committed_updates_run(spark, sf_dir)
+    return UpdateSink(spark, run.sink).latest().select(
+        "partition",
+        as_wall_clock("timestamp").alias("timestamp"),
+        key_to_id("key").alias("key"),
+        "cnt",
+        "batch_id",
+    )
+
+
+def sink_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arrivals in the sink by day, every day compacted, half of them expired (K1)."""
+    sink = DailySink(spark, sc.daily_run(spark, sf_dir).sink)
+    days = sink.days()
+    for day in days:
+        sink.compact(day)
+    sink.expire(KEPT_FROM)
+    sink.vacuum()
+    return sink.read().select(
+        F.to_date("timestamp").alias("day"),
+        "partition",
+        as_wall_clock("timestamp").alias("timestamp"),
+        key_to_id("key").alias("key"),
+        "cnt",
+    )
+
+
+def withheld_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that the flagship withholds, read from its state store."""
+    run = sc.finished_single_run(spark, sf_dir)
+    return withheld_groups(spark, run.checkpoint).select(
+        "partition",
+        as_wall_clock("timestamp").alias("timestamp"),
+        key_to_id("key").alias("key"),
+        "cnt",
+    )
+
+
 # -- audit (A3, A5, A6) -----------------------------------------------------
+def audit_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A poll after each arrival batch that reads only what is new (A5, W9): one row a poll."""
+    root = f"{run_dir(spark, 'slices')}/totals"
+    rows = []
+
+    def poll(batch: int, run) -> None:
+        store = SliceAudit(spark, root)
+        last, at = store.progress(), position(spark, run.checkpoint)
+        sent = store.to_read(FileTopic(spark, run.topic).read_batches(by_day=True), "batch", "day", batch)
+        since = str(last.open_from) if last else None
+        persisted = DailySink(spark, run.sink).read(since=since)
+        row = store.poll(sent, persisted, batch, at.watermark_ms)
+        rows.append(row.withColumn("batch", F.lit(batch)))
+
+    sc.daily_run(spark, sf_dir, after=poll)
+    return reduce(DataFrame.unionByName, rows)
+
+
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-row completeness audit of the arrivals run (A3, A5)."""
     reconciled, wm = _arrivals_audit(spark, sf_dir)
@@ -187,6 +257,26 @@ def delivery_check_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.delivery_check(lineitem, topic.read(), n - 1, n, n + 1, None)
 
 
+def delivery_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders published twice over, with losses, copies and swapped values (A6): the
+    fingerprints of each partition tell which."""
+    sent = sc.orders_records(spark, sf_dir)
+    rid = F.expr("offset * 2 + partition")
+    lost = sent.where(F.when(F.col("partition") == 0, rid % 100 != 0).otherwise(True))
+    twice = sent.where((F.col("partition") == 1) & (rid % 100 == 1))
+    topic = _published(spark, "fingerprint", lost.unionByName(twice))
+    return audit.delivery_fingerprint(sent, topic.read())
+
+
+def consume_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each partition between two offsets (S6): a quarter of them, by data
+    skipping on a topic that is clustered by partition and offset."""
+    topic = FileTopic(spark, f"{run_dir(spark, 'offsets')}/topic")
+    topic.publish_clustered(sc.events_records(spark, sf_dir))
+    n = table(spark, sf_dir, "events").count()
+    return decode_records(topic.read_offsets({0: (n // 8, n // 4), 1: (n // 4, 3 * n // 8)}))
+
+
 # -- reads of the flagship sink (S5, P2, P3, A2, O1) -------------------------
 def decode_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persisted keys of the flagship decoded to integers."""
@@ -315,6 +405,13 @@ _PLAIN: dict[str, Query] = {
     "stream_resume": stream_resume,
     "stream_update_foreachbatch": stream_update_foreachbatch,
     "stream_progress": stream_progress,
+    "stream_backlog": stream_backlog,
+    "stream_update_latest": stream_update_latest,
+    "sink_daily": sink_daily,
+    "withheld_state": withheld_state,
+    "audit_incremental": audit_incremental,
+    "delivery_fingerprint": delivery_fingerprint,
+    "consume_range": consume_range,
     "audit_summary": audit_summary,
     "audit_missing": audit_missing,
     "audit_flagship": audit_flagship,

@@ -146,6 +146,51 @@ WITH c AS (SELECT count(*) AS sent, count(*) FILTER (WHERE l_linenumber % 2 = 0)
 SELECT sent, received, expected, CAST(1 AS BIGINT) AS distinct_keys, received >= expected AS ok
 FROM (SELECT sent, received, unnest([received - 1, received, received + 1, sent]) AS expected
       FROM c)""",
+    "stream_backlog": _single("20 SECOND"),
+    "stream_update_latest": f"""
+WITH {_arrivals(2)},
+k AS (SELECT a.batch, a.event_id, a.ts FROM a JOIN l USING (batch) WHERE l.late IS NULL OR a.ts > l.late)
+SELECT CAST(event_id % 2 AS INTEGER) AS "partition", ts AS "timestamp", event_id AS "key",
+       count(*) AS cnt, CAST(max(batch) AS BIGINT) AS batch_id
+FROM k GROUP BY ALL""",
+    "sink_daily": f"""
+SELECT CAST("timestamp" AS DATE) AS day, * FROM ({_persisted(2)})
+WHERE "timestamp" >= TIMESTAMP '2024-01-16 00:00:00'""",
+    "withheld_state": """
+SELECT CAST(event_id % 2 AS INTEGER) AS "partition", ts AS "timestamp", event_id AS "key", count(*) AS cnt
+FROM events
+WHERE ts > (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 20 SECOND
+GROUP BY ALL""",
+    "audit_incremental": f"""
+WITH {_arrivals(2)},
+p AS (SELECT b.batch, (SELECT date_trunc('millisecond', max(mx)) - INTERVAL 20 SECOND FROM m
+                       WHERE m.batch < b.batch OR b.batch = 5) AS wm FROM m b),
+k AS (SELECT p.batch, p.wm, a.ts, coalesce(a.ts <= l.late, false) AS late, coalesce(a.ts <= p.wm, false) AS closed
+      FROM p JOIN a ON a.batch <= p.batch JOIN l ON l.batch = a.batch)
+SELECT batch, count(*) AS sent,
+       count(*) FILTER (closed AND NOT late) AS persisted_rows,
+       count(*) FILTER (closed AND NOT late) AS persisted,
+       max(ts) FILTER (closed AND NOT late) AS latest_persisted,
+       count(*) FILTER (late) AS missing_late,
+       count(*) FILTER (NOT closed) AS missing_withheld,
+       CAST(0 AS BIGINT) AS malformed_keys,
+       count(*) FILTER (late OR NOT closed) = 0 AS complete
+FROM k GROUP BY batch""",
+    "delivery_fingerprint": """
+WITH c AS (SELECT CAST(o_orderkey % 2 AS INTEGER) AS "partition", count(*) AS sent,
+                  count(*) FILTER (o_orderkey % 2 = 0 AND o_orderkey % 100 = 0) AS lost,
+                  count(*) FILTER (o_orderkey % 2 = 1 AND o_orderkey % 100 = 1) AS twice
+           FROM orders GROUP BY ALL)
+SELECT "partition", sent, sent - lost + twice AS received,
+       CASE WHEN lost > twice THEN 'lost' WHEN twice > lost THEN 'copied' ELSE 'same' END AS verdict
+FROM c""",
+    "consume_range": f"""
+WITH n AS (SELECT count(*) AS n FROM events)
+SELECT CAST(event_id AS VARCHAR) AS "key", {_ISO} AS "value",
+       CAST(event_id % 2 AS INTEGER) AS "partition", event_id // 2 AS "offset"
+FROM events, n
+WHERE (event_id % 2 = 0 AND event_id // 2 >= n // 8 AND event_id // 2 < n // 4)
+   OR (event_id % 2 = 1 AND event_id // 2 >= n // 4 AND event_id // 2 < 3 * n // 8)""",
     "decode_key": _FLAGSHIP_IDS,
     "sorted_ids": _FLAGSHIP_IDS,
     "max_timestamp": """

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.records import constant_records, counter_records, pair_records
 from tidemark.session import app_id, pin_utc
+from tidemark.sinks.daily import start_daily_sink
+from tidemark.sinks.updates import start_committed_updates
 from tidemark.sources.tables import stream_table, table, table_version
 from tidemark.streaming.flow import EVERY_BATCH, StreamSettings
 from tidemark.streaming.replay import (
@@ -21,15 +23,16 @@ from tidemark.streaming.replay import (
     StreamRun,
     arrival_batch,
     publish_arrivals,
+    publish_in_time_order,
     run_per_batch,
     run_stream,
-    run_topic,
 )
 
 # Replay parameters of the registered queries (ours). They do not depend on
 # the table's size: the rows that come late follow from the number of batches.
 ARRIVAL_BATCHES = 6
 DRAINED_BATCHES = 3
+BACKLOG_BATCHES = 4
 DAY_DELAY = "1 day"
 
 # Finished runs by application, kind, settings and the versions of the table's files.
@@ -148,9 +151,11 @@ def constant_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     )
 
 
-def arrivals_topic(spark: SparkSession, sf_dir: str) -> Arrivals:
+def arrivals_topic(spark: SparkSession, sf_dir: str, by_day: bool = False) -> Arrivals:
     """The arrival batches, published."""
-    return publish_arrivals(spark, events_arrivals(spark, sf_dir), "batch", ARRIVAL_BATCHES)
+    return publish_arrivals(
+        spark, events_arrivals(spark, sf_dir), "batch", ARRIVAL_BATCHES, by_day=by_day
+    )
 
 
 def arrivals_run(
@@ -166,7 +171,29 @@ def arrivals_run(
     )
     arr = arrivals_topic(spark, sf_dir)
     label = "arrivals-" + output_mode + ("-strict" if allow_multiple is False else "")
-    return run_topic(spark, arr.topic, arr.files_per_batch, settings, label, output_mode)
+    return run_per_batch(spark, arr, settings, label, output_mode=output_mode, one_run=True)
+
+
+def backlog_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    """The events as a backlog in time order: the flagship in bounded micro-batches."""
+    arr = publish_in_time_order(spark, events_records(spark, sf_dir), BACKLOG_BATCHES)
+    return run_per_batch(spark, arr, default_settings(spark), "backlog", one_run=True)
+
+
+def committed_updates_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    """The arrivals in update mode, each batch with its commit record."""
+    return run_per_batch(
+        spark, arrivals_topic(spark, sf_dir), default_settings(spark), "updates",
+        output_mode="update", one_run=True, start=start_committed_updates,
+    )
+
+
+def daily_run(spark: SparkSession, sf_dir: str, after=None) -> StreamRun:
+    """The arrivals into the sink by day; ``after`` runs after each batch."""
+    arr = arrivals_topic(spark, sf_dir, by_day=True)
+    return run_per_batch(
+        spark, arr, default_settings(spark), "daily", one_run=True, start=start_daily_sink, after=after
+    )
 
 
 def finished_arrivals_run(spark: SparkSession, sf_dir: str) -> StreamRun:

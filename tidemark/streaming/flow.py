@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import contextlib
 import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -252,10 +253,12 @@ def run_count(
     settings: StreamSettings,
     output_mode: str = "append",
     trigger: dict | None = None,
+    start: Callable | None = None,
 ) -> list[dict]:
-    """Run the flow once to completion (``availableNow`` by default)."""
+    """Run the flow once to completion (``availableNow`` by default). ``start`` starts it on
+    another sink than the Parquet one (append) or the folder per batch (update)."""
     counted = count_per_key(records, settings.delay)
-    start = start_update_sink if output_mode == "update" else start_parquet_sink
+    start = start or (start_update_sink if output_mode == "update" else start_parquet_sink)
     with progress_kept(spark, settings.progress_retention):
         with session_conf(spark, settings.conf(spark)):
             query = start(counted, sink, checkpoint, settings.query_name, trigger)
