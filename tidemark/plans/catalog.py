@@ -24,6 +24,7 @@ from tidemark.operators.slices import SliceAudit
 from tidemark.operators.records import decode_ids, decode_records, project_records
 from tidemark.plans import scenarios as sc
 from tidemark.session import pin_utc, run_dir
+from tidemark.sinks.aside import AsideSink
 from tidemark.sinks.daily import DailySink
 from tidemark.sinks.files import overwrite_parquet
 from tidemark.sinks.updates import UpdateSink
@@ -143,6 +144,25 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress_table(spark, sc.arrivals_run(spark, sf_dir).progress).drop("duration_ms")
 
 
+def stream_late_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late records of the arrivals, written aside by the micro-batch that drops them."""
+    run = sc.aside_run(spark, sf_dir)
+    return AsideSink(spark, run.sink, run.checkpoint).late().select(
+        key_to_id("key").alias("id"),
+        as_wall_clock("timestamp").alias("timestamp"),
+        "partition",
+        "offset",
+        bytes_to_text("value").alias("value"),
+        "batch_id",
+    )
+
+
+def stream_progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress of a run that one session began and another ended, from its log."""
+    log, run = sc.handed_over_run(spark, sf_dir)
+    return log.table(run.checkpoint).drop("duration_ms")
+
+
 def stream_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship over a backlog in time order (W2): state holds a batch, not all."""
     return sink_rows(spark, sc.backlog_run(spark, sf_dir).sink)
@@ -405,6 +425,8 @@ _PLAIN: dict[str, Query] = {
     "stream_resume": stream_resume,
     "stream_update_foreachbatch": stream_update_foreachbatch,
     "stream_progress": stream_progress,
+    "stream_late_aside": stream_late_aside,
+    "stream_progress_log": stream_progress_log,
     "stream_backlog": stream_backlog,
     "stream_update_latest": stream_update_latest,
     "sink_daily": sink_daily,

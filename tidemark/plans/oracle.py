@@ -146,6 +146,11 @@ WITH c AS (SELECT count(*) AS sent, count(*) FILTER (WHERE l_linenumber % 2 = 0)
 SELECT sent, received, expected, CAST(1 AS BIGINT) AS distinct_keys, received >= expected AS ok
 FROM (SELECT sent, received, unnest([received - 1, received, received + 1, sent]) AS expected
       FROM c)""",
+    "stream_late_aside": f"""
+WITH {_arrivals(2)}
+SELECT a.event_id AS id, a.ts AS "timestamp", CAST(a.event_id % 2 AS INTEGER) AS "partition",
+       a.event_id // 2 AS "offset", {_ISO} AS "value", CAST(a.batch AS BIGINT) AS batch_id
+FROM a JOIN l USING (batch) WHERE a.ts <= l.late""",
     "stream_backlog": _single("20 SECOND"),
     "stream_update_latest": f"""
 WITH {_arrivals(2)},
@@ -225,3 +230,5 @@ FROM lineitem GROUP BY ALL""",
     "top20": "SELECT event_id AS id FROM events ORDER BY id LIMIT 20",
     "mean_id": "SELECT avg(event_id) AS mean_id FROM events",
 }
+# The engine reports the same, whoever reads it.
+ORACLE_SQL["stream_progress_log"] = f"SELECT *, true AS reported FROM ({ORACLE_SQL['stream_progress']})"

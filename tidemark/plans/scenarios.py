@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.records import constant_records, counter_records, pair_records
-from tidemark.session import app_id, pin_utc
+from tidemark.session import app_id, pin_utc, run_dir
+from tidemark.sinks.aside import count_and_records, start_aside
 from tidemark.sinks.daily import start_daily_sink
 from tidemark.sinks.updates import start_committed_updates
 from tidemark.sources.tables import stream_table, table, table_version
+from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import EVERY_BATCH, StreamSettings
+from tidemark.streaming.progress_log import ProgressLog
 from tidemark.streaming.replay import (
     Arrivals,
     StreamRun,
@@ -196,6 +199,31 @@ def daily_run(spark: SparkSession, sf_dir: str, after=None) -> StreamRun:
     )
 
 
+def aside_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    """The arrivals with their late records kept aside as they are dropped."""
+    return run_per_batch(
+        spark, arrivals_topic(spark, sf_dir), default_settings(spark), "aside",
+        one_run=True, start=start_aside, plan=count_and_records,
+    )
+
+
+def handed_over_run(spark: SparkSession, sf_dir: str) -> tuple[ProgressLog, StreamRun]:
+    """The arrivals, read halfway by one session and to their end by another, with the log of
+    the progress of both."""
+    arr, root = arrivals_topic(spark, sf_dir), run_dir(spark, "handed-over")
+    first = ProgressLog(spark, f"{root}/progress")
+    settings = default_settings(spark, query_name="handed_over")
+    run_per_batch(spark, arr, settings, last=DRAINED_BATCHES, root=root, one_run=True, log=first)
+    other = spark.newSession()
+    pin_utc(other)
+    rest = Arrivals(FileTopic(other, arr.topic.path), arr.n_batches)
+    run = run_per_batch(
+        other, rest, settings, first=DRAINED_BATCHES + 1, root=root, one_run=True,
+        log=ProgressLog(other, first.path),
+    )
+    return first, run
+
+
 def finished_arrivals_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     return finished(spark, sf_dir, "events", "arrivals", default_settings(spark), arrivals_run)
 

@@ -12,6 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sinks.folders import Folder
+
+ALLOW_MULTIPLE = "spark.sql.streaming.statefulOperator.allowMultiple"
+
 
 @dataclass(frozen=True)
 class Position:
@@ -44,6 +48,24 @@ def position(spark: SparkSession, checkpoint: str) -> Position | None:
     return Position(batch, int(json.loads(lines[1])["batchWatermarkMs"]), json.loads(lines[2]))
 
 
+def _metadata(spark: SparkSession, checkpoint: str, batch: int) -> dict:
+    """What the write-ahead log says of a batch: its watermark and the settings it runs with."""
+    return json.loads(Folder(spark, checkpoint).text(f"offsets/{batch}").split("\n")[1])
+
+
+def late_watermark_ms(spark: SparkSession, checkpoint: str, batch: int, allow_multiple: bool = True) -> int:
+    """The watermark (ms) at and below which a batch drops records; known before it starts. That of
+    the batch before, or with ``allow_multiple`` off the batch's own (W5)."""
+    told_by = max(batch - 1, 0) if allow_multiple else batch
+    return int(_metadata(spark, checkpoint, told_by)["batchWatermarkMs"])
+
+
+def committed_watermarks(spark: SparkSession, checkpoint: str) -> list[tuple[int, int]]:
+    """Each committed batch that the logs still hold, with its watermark (ms)."""
+    done = set(_numbers(spark, f"{checkpoint}/commits")) & set(_numbers(spark, f"{checkpoint}/offsets"))
+    return [(b, int(_metadata(spark, checkpoint, b)["batchWatermarkMs"])) for b in sorted(done)]
+
+
 def file_of(path: str) -> Column:
     """A file's name with the two folders that it lies in: one job gives files in several
     folders the same name."""

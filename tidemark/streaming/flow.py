@@ -254,10 +254,12 @@ def run_count(
     output_mode: str = "append",
     trigger: dict | None = None,
     start: Callable | None = None,
+    plan: Callable | None = None,
 ) -> list[dict]:
     """Run the flow once to completion (``availableNow`` by default). ``start`` starts it on
-    another sink than the Parquet one (append) or the folder per batch (update)."""
-    counted = count_per_key(records, settings.delay)
+    another sink than the Parquet one (append) or the folder per batch (update);
+    ``plan`` makes its rows from the records and the delay (the count, if not given)."""
+    counted = (plan or count_per_key)(records, settings.delay)
     start = start or (start_update_sink if output_mode == "update" else start_parquet_sink)
     with progress_kept(spark, settings.progress_retention):
         with session_conf(spark, settings.conf(spark)):

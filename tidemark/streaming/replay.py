@@ -16,6 +16,7 @@ processing-time one; the flow is unchanged.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -26,6 +27,7 @@ from tidemark.session import run_dir
 from tidemark.sources.topic import FileTopic
 from tidemark.streaming.flow import StreamSettings, run_count
 from tidemark.streaming.progress import final_watermark_ms
+from tidemark.streaming.progress_log import ProgressLog, logged
 
 # Arrival rule for replays with late records (ours, not the reference's):
 # records arrive in B batches in id order, and every tenth record is held
@@ -186,22 +188,29 @@ def run_per_batch(
     one_run: bool = False,
     start: Callable | None = None,
     after: Callable[[int, StreamRun], None] | None = None,
+    plan: Callable | None = None,
+    log: ProgressLog | None = None,
 ) -> StreamRun:
     """W7 over a published topic: run ``b`` sees the first ``b`` batches, in
     place, and takes up the checkpoint of the run before (see the module for ``one_run``).
 
     With the ``root`` of an interrupted series (its sink and checkpoint) and ``first``, the
-    series goes on where it ended. ``start`` names another sink (see ``run_count``);
-    ``after`` is called with the number of each batch (from 0) and the run so far.
+    series goes on where it ended. ``start`` and ``plan`` name another sink and
+    other rows (see ``run_count``); ``after`` is called with the number of each batch (from 0) and
+    the run so far; ``log`` keeps the progress of every batch.
     """
     root = root or run_dir(spark, label)
     run = StreamRun(f"{root}/sink", f"{root}/checkpoint", arr.topic.path, [])
     between = replace(settings, no_data_batches=False) if one_run else settings
+    keep = logged(log, settings.query_name, run.checkpoint) if log else contextlib.nullcontext()
     filled = [b + 1 for b in arr.topic.batches()]  # a batch without records is no micro-batch
-    for b in [b for b in filled if first <= b <= (last or arr.n_batches)]:
-        now = settings if b == filled[-1] else between
-        records = arr.topic.read_stream(batches=b)
-        run.progress += run_count(spark, records, run.sink, run.checkpoint, now, output_mode, start=start)
-        if after:
-            after(b - 1, run)
+    with keep:
+        for b in [b for b in filled if first <= b <= (last or arr.n_batches)]:
+            now = settings if b == filled[-1] else between
+            records = arr.topic.read_stream(batches=b)
+            run.progress += run_count(
+                spark, records, run.sink, run.checkpoint, now, output_mode, start=start, plan=plan
+            )
+            if after:
+                after(b - 1, run)
     return run
