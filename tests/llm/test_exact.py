@@ -54,6 +54,15 @@ def test_colliding_chunk_hashes_are_told_apart(spark):
         assert got(out) == expected(zip(ids, TEXTS))
 
 
+def test_hashes_and_ordinals_are_kept_apart(spark):
+    # Every hash is 0 and so could be an ordinal: only their number tells these texts apart.
+    part = "y" * 4096
+    docs = documents(spark, [part, part * 2, part * 3, part * 2])
+    out = exact_dedup(docs, chunk_hash=lambda c: F.lit(0).cast("long") * F.length(c))
+    told = sorted((r["id"], r["group_size"], r["n_chunks"]) for r in out.collect())
+    assert told == [(0, 1, 1), (1, 2, 2), (2, 1, 3), (3, 2, 2)]
+
+
 def test_chunks_make_up_the_text_and_are_shared(spark):
     rng = random.Random(0)
     text = "".join(f"Sentence {i} {'x' * rng.randint(1, 40)}{rng.choice('abcdefghijklmnop')}. " for i in range(900))

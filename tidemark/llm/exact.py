@@ -57,7 +57,7 @@ def recipes(
     chunk_hash: Callable[[Column], Column] = F.xxhash64,
 ) -> DataFrame:
     """One row per document: ``row`` (a number of its own), ``id``, ``recipe``
-    (verified chunk identifiers in order) and ``sha256`` of the normalised text."""
+    (verified chunk identifiers in order), ``sha256`` of the normalised text and ``n_chunks``."""
     shared = (
         chunk_store(docs, text_col, chunk_hash)
         .groupBy("hash")
@@ -74,23 +74,22 @@ def recipes(
         F.col(id_col).alias("id"),
         normalised(F.col(text_col)).alias("norm"),
     )
-    listed = saved(
-        norm.select(
-            "row",
-            "id",
-            F.transform(chunks(F.col("norm")), lambda c: chunk_hash(c)).alias("recipe"),
-            F.sha2(F.col("norm").cast("binary"), 256).alias("sha256"),
-        ),
-        "recipes",
+    told = norm.select(
+        "row",
+        "id",
+        F.transform(chunks(F.col("norm")), lambda c: chunk_hash(c)).alias("recipe"),
+        F.sha2(F.col("norm").cast("binary"), 256).alias("sha256"),
     )
+    listed = saved(told.withColumn("n_chunks", F.size("recipe").cast("long")), "recipes")
     if not collide:
         return listed
     return _with_ordinals(docs, listed, shared, id_col, text_col, chunk_hash)
 
 
 def _with_ordinals(docs, listed, shared, id_col, text_col, chunk_hash) -> DataFrame:
-    """Recipes in which a hash that stands for several chunks is followed by
-    the place of the chunk among them. Only those chunks move again."""
+    """Recipes whose hashes are followed by the places of those chunks that share
+    their hash with others, and by the number of hashes, so that equal recipes are equal in both
+    parts. Only those chunks move again."""
     # Rows are numbered before they are opened.
     norm = docs.select(row_of(docs).alias("row"), normalised(F.col(text_col)).alias("norm"))
     each = norm.select("row", F.posexplode(chunks(F.col("norm"))).alias("at", "chunk"))
@@ -110,7 +109,10 @@ def _with_ordinals(docs, listed, shared, id_col, text_col, chunk_hash) -> DataFr
     ordinals = F.transform(F.col("told"), lambda x: x["ordinal"].cast("long"))
     return (
         listed.join(told, "row", "left")
-        .withColumn("recipe", F.concat("recipe", F.coalesce(ordinals, F.array().cast("array<long>"))))
+        .withColumn(
+            "recipe",
+            F.concat("recipe", F.coalesce(ordinals, F.array().cast("array<long>")), F.array("n_chunks")),
+        )
         .drop("told")
     )
 
@@ -137,6 +139,6 @@ def exact_dedup(
         "group_size",
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.col("sha256").alias("text_sha256"),
-        F.size("recipe").cast("long").alias("n_chunks"),
+        "n_chunks",
         "row",
     )
