@@ -111,7 +111,7 @@ def shard_documents(
 ) -> DataFrame:
     """``id, size, text_crc32, grp, shard, slot`` for every row.
 
-    ``size``: UTF-8 bytes plus 16; ``grp``: digest of the text (null for a null
+    ``size``: UTF-8 bytes plus 16; ``grp``: SHA-256 of the text (null for a null
     text); ``slot``: place in the shard, gapless from 0.
     """
     text = F.col(text_col).cast("binary")
@@ -121,7 +121,7 @@ def shard_documents(
             F.col(id_col).alias("id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
-            F.md5(text).alias("grp"),
+            F.sha2(text, 256).alias("grp"),
         ),
         "shard-rows",
     )
