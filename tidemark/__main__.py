@@ -5,6 +5,8 @@
                               [--poll]                         # audit beside the running query
     python -m tidemark audit  --topic DIR|--kafka HOSTS --sink PATH [--every S --rounds N]
                               [--checkpoint PATH]              # tells unread records from late ones
+                              [--daily]                        # sink by day, polls that read what is new
+    python -m tidemark compact --sink PATH [--expire-before DATE]        # a sink by day
     python -m tidemark publish --topic DIR|--kafka HOSTS --table PARQUET --form counter|pair|constant
                                --id-col C --time-col C [--key-col C --value-col C]
                                (no --time-col with --kafka: the broker stamps its own time)
@@ -14,7 +16,9 @@
 ``ingest`` starts the watermarked per-key count with a processing-time
 trigger at half the delay; ``audit`` prints the completeness summary of the
 sink against the topic. The checkpoint sits next to the sink unless
-``--checkpoint`` says otherwise; on a cluster both must be shared paths.
+``--checkpoint`` says otherwise; on a cluster both must be shared paths. With ``--daily``
+(``ingest``, ``drain``, ``audit``) the sink is the one by day, and the audit of a file topic keeps its totals
+beside the sink (``--totals``) and reads only what is new or open at each poll.
 """
 
 from __future__ import annotations
@@ -31,12 +35,14 @@ from tidemark.operators import audit
 from tidemark.operators.order import first_rows
 from tidemark.operators.records import constant_records, counter_records, pair_records
 from tidemark.session import build_session
+from tidemark.sinks.daily import DailySink, start_daily_sink
 from tidemark.sinks.files import overwrite_parquet
 from tidemark.sources.tables import id_range, scan_parquet
 from tidemark.sources.kafka import KafkaTopic
 from tidemark.sources.topic import FileTopic
-from tidemark.streaming.flow import StreamSettings, run_count
+from tidemark.streaming.flow import StreamSettings, run_count, start_parquet_sink
 from tidemark.streaming.live import audit_now, poll, start_ingest, supervise
+from tidemark.streaming.watch import Watch
 
 
 def _topic(spark, args):
@@ -58,8 +64,20 @@ def _settings(args) -> StreamSettings:
     )
 
 
+def _ask(spark, topic, args, checkpoint: str):
+    """One audit round of a sink by day. A topic on Kafka has no files to tell what is new: its
+    audit is the full one."""
+    if isinstance(topic, FileTopic):
+        totals = args.totals or args.sink.rstrip("/") + "_totals"
+        return Watch(spark, topic, args.sink, checkpoint, totals).poll
+    return lambda: audit_now(
+        spark, topic, args.sink, checkpoint=checkpoint, read=lambda s, path: DailySink(s, path).read()
+    )
+
+
 def _poll(spark, query, topic, args, checkpoint: str) -> None:
-    for _, row in poll(spark, query, topic, args.sink, args.every, args.rounds, checkpoint):
+    ask = _ask(spark, topic, args, checkpoint) if args.daily else None
+    for _, row in poll(spark, query, topic, args.sink, args.every, args.rounds, checkpoint, ask):
         print(json.dumps(row.asDict() if row else None, default=str), flush=True)
 
 
@@ -68,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
         prog="tidemark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter
     )
     p.add_argument(
-        "command", choices=["ingest", "drain", "audit", "publish", "consume", "roundtrip"]
+        "command", choices=["ingest", "drain", "audit", "compact", "publish", "consume", "roundtrip"]
     )
     src = p.add_mutually_exclusive_group()
     src.add_argument("--topic", help="directory of a file topic")
@@ -90,6 +108,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--path", help="roundtrip: where the range table goes")
     p.add_argument("--n", type=int, default=1000)
     p.add_argument("--checkpoint")
+    p.add_argument("--daily", action="store_true", help="ingest, drain, audit: the sink by day")
+    p.add_argument("--totals", help="--daily: where the audit keeps its totals (default: beside the sink)")
+    p.add_argument("--expire-before", metavar="DATE", help="compact: drop the days before that date")
     p.add_argument("--delay", default=WATERMARK_DELAY)
     p.add_argument("--state-partitions", type=int, default=None,
                    help="required outside local mode; frozen into the checkpoint")
@@ -105,10 +126,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--master", default=None)
     args = p.parse_args(argv)
 
-    needs_topic = args.command != "roundtrip"
+    needs_topic = args.command not in ("roundtrip", "compact")
     if needs_topic and not (args.topic or args.kafka):
         p.error("--topic or --kafka is required")
-    if args.command in ("ingest", "drain", "audit") and not args.sink:
+    if args.command in ("ingest", "drain", "audit", "compact") and not args.sink:
         p.error("--sink is required")
     if args.command == "consume" and args.expect is None and not args.sent:
         p.error("consume needs --expect N or --sent PARQUET")
@@ -120,7 +141,17 @@ def main(argv: list[str] | None = None) -> int:
         first_rows(scan_parquet(spark, path), "id", 20).show()
         spark.stop()
         return 0
+    if args.command == "compact":
+        sink = DailySink(spark, args.sink)
+        if args.expire_before:
+            sink.expire(args.expire_before)
+        done = [day for day in sink.days() if sink.compact(day)]
+        sink.vacuum()
+        print(json.dumps({"days": len(sink.days()), "compacted": len(done)}))
+        spark.stop()
+        return 0
     topic = _topic(spark, args)
+    start = start_daily_sink if args.daily else start_parquet_sink
     checkpoint = args.checkpoint or (args.sink or "").rstrip("/") + "_checkpoint"
     if args.command == "publish":
         table = scan_parquet(spark, args.table)
@@ -143,8 +174,8 @@ def main(argv: list[str] | None = None) -> int:
             row = audit.delivery_check(received.limit(0), received, args.expect).first()
         print(json.dumps(row.asDict()))
     elif args.command == "ingest":
-        def start():
-            query = start_ingest(spark, topic, args.sink, checkpoint, _settings(args))
+        def begin():
+            query = start_ingest(spark, topic, args.sink, checkpoint, _settings(args), start=start)
             if args.poll:
                 threading.Thread(
                     target=_poll, args=(spark, query, topic, args, checkpoint), daemon=True
@@ -152,18 +183,19 @@ def main(argv: list[str] | None = None) -> int:
             return query
 
         supervise(
-            start,
+            begin,
             restarts=args.restarts,
             timeout_s=args.run_for,
         )
     elif args.command == "drain":
-        progress = run_count(spark, topic.read_stream(), args.sink, checkpoint, _settings(args))
+        progress = run_count(spark, topic.read_stream(), args.sink, checkpoint, _settings(args), start=start)
         print(json.dumps({"batches": len(progress),
                           "input_rows": sum(p.get("numInputRows", 0) for p in progress)}))
     else:
         rounds = args.rounds or 1
+        ask = _ask(spark, topic, args, checkpoint) if args.daily else None
         for n in range(rounds):
-            row = audit_now(
+            row = ask() if ask else audit_now(
                 spark, topic, args.sink, delay=args.delay, checkpoint=args.checkpoint
             )
             print(json.dumps(row.asDict() if row else None, default=str))

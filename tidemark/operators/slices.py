@@ -6,8 +6,9 @@ a closed day are stored once, and a poll reads, of the topic, the arrivals since
 and the open days of those before; of the sink, the open days. The stored totals and what it
 found add up to the answer of the full audit (``audit.summary``).
 
-A poll's totals are one folder of the store, written as a whole: a poll that failed is run again
-under the same number. Records without a timestamp have no day and stay open.
+A poll's totals are one folder of the store, written as a whole and holding those of the closed
+days of all polls before, a row a day: a poll reads the folder of the one before it, no other. A poll
+that failed is run again under the same number. Records without a timestamp have no day and stay open.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ class SliceAudit:
         self.spark = spark
         self.files = Folder(spark, path)
 
-    def _polls(self) -> list[int]:
+    def polls(self) -> list[int]:
         # A folder without its success mark belongs to a poll that failed.
         found = [int(n.removeprefix("poll-")) for n in self.files.names() if n.startswith("poll-")]
         return sorted(n for n in found if "_SUCCESS" in self.files.names(f"poll-{n}"))
@@ -75,12 +76,25 @@ class SliceAudit:
         return reader.parquet(*[f"{self.files.path}/poll-{n}" for n in polls])
 
     def progress(self) -> Progress | None:
-        polls = self._polls()
+        polls = self.polls()
         if not polls:
             return None
         row = self._read(polls[-1:]).agg(F.max("upto").alias("u"), F.max("open_from").alias("d")).first()
         return Progress(polls[-1], row["u"], row["d"])
 
+    @staticmethod
+    def open_from(watermark_ms: int, last: Progress | None) -> dt.date:
+        """The first day that a poll under a watermark leaves open."""
+        first_open = day_of(watermark_ms)
+        if last and last.open_from and last.open_from > first_open:
+            return last.open_from  # a watermark never moves back
+        return first_open
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes the folders of all polls but the ``keep`` last."""
+        for n in self.polls()[:-keep]:
+            self.files.delete(f"poll-{n}")
+
     def to_read(self, topic: DataFrame, arrival: str, day: str, upto: int) -> DataFrame:
         """The arrivals since the last poll, and the open days of those before: filters on
         the topic's partition columns."""
@@ -97,25 +111,29 @@ class SliceAudit:
         watermark is that of the last committed batch."""
         last = self.progress()
         n = last.poll + 1 if last else 0
-        first_open = day_of(watermark_ms)
-        if last and last.open_from and last.open_from > first_open:
-            first_open = last.open_from  # a watermark never moves back
+        first_open = self.open_from(watermark_ms, last)
         found = slice_totals(sent.select(*GROUP_KEY), persisted, watermark_ms)
         head = self.spark.range(1).select(
             F.lit(None).cast("date").alias("day"),
             *[F.lit(0).cast("long").alias(c) for c in SUMS],
             F.lit(None).cast("timestamp").alias("latest"),
         )
-        found.unionByName(head).select(
-            "*",
-            F.coalesce(F.col("day") < F.lit(first_open), F.lit(False)).alias("closed"),
+        rows = found.unionByName(head).withColumn(
+            "closed", F.coalesce(F.col("day") < F.lit(first_open), F.lit(False))
+        )
+        if last:
+            held = self._read([last.poll]).where("closed")
+            rows = rows.unionByName(held.select(*rows.columns))
+        sums = [F.sum(c).alias(c) for c in SUMS]
+        rows.groupBy("day", "closed").agg(*sums, F.max("latest").alias("latest")).select(
+            "day",
+            *SUMS,
+            "latest",
+            "closed",
             F.lit(upto).cast("long").alias("upto"),
             F.lit(first_open).alias("open_from"),
         ).coalesce(1).write.mode("overwrite").parquet(f"{self.files.path}/poll-{n}")
-        now = self._read([n])
-        polls = [p for p in self._polls() if p < n]
-        rows = now.unionByName(self._read(polls).where("closed")) if polls else now
-        return rows.agg(
+        return self._read([n]).agg(
             F.sum("sent").alias("sent"),
             F.sum("sink_rows").alias("persisted_rows"),
             F.sum("persisted").alias("persisted"),

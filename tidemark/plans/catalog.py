@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.envelope import as_wall_clock, bytes_to_text, key_to_id
@@ -32,9 +32,15 @@ from tidemark.sources.tables import read_sink, scan_parquet, table
 from tidemark.sources.topic import FileTopic
 from tidemark.streaming.checkpoint import position, withheld_groups
 from tidemark.streaming.progress import progress_table
+from tidemark.streaming.watch import Watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+WATCH_SCHEMA = (
+    "sent long, persisted_rows long, persisted long, latest_persisted timestamp_ntz, missing_late long, "
+    "missing_withheld long, malformed_keys long, complete boolean, missing_unread long, batch int"
+)
+
 #: Retention of the registered sink by day.
 KEPT_FROM = "2024-01-16"
 
@@ -138,6 +144,16 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_processing_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship under a processing-time trigger, stopped when it has caught up."""
+    return sink_rows(spark, sc.timed_run(spark, sf_dir).sink)
+
+
+def stream_from_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arrivals, by a consumer that starts at the end of the first three batches."""
+    return sink_rows(spark, sc.newcomer_run(spark, sf_dir).sink)
+
+
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the engine reported for each micro-batch of the arrivals run
     (the deterministic counters; durations are left out)."""
@@ -227,6 +243,19 @@ def audit_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def audit_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watch of a lagging query (A5, W9): a poll after each of the three batches that it has
+    read, told by its checkpoint which files are new; one row a poll."""
+    root, rows = f"{run_dir(spark, 'watch')}/totals", []
+
+    def poll(batch: int, run) -> None:
+        row = Watch(spark, FileTopic(spark, run.topic), run.sink, run.checkpoint, root).poll()
+        rows.append(Row(**row.asDict(), batch=batch))
+
+    sc.daily_run(spark, sf_dir, after=poll, last=sc.DRAINED_BATCHES)
+    return spark.createDataFrame(rows, WATCH_SCHEMA)
+
+
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-row completeness audit of the arrivals run (A3, A5)."""
     reconciled, wm = _arrivals_audit(spark, sf_dir)
@@ -424,6 +453,8 @@ _PLAIN: dict[str, Query] = {
     "stream_nodata_off": stream_nodata_off,
     "stream_resume": stream_resume,
     "stream_update_foreachbatch": stream_update_foreachbatch,
+    "stream_processing_time": stream_processing_time,
+    "stream_from_latest": stream_from_latest,
     "stream_progress": stream_progress,
     "stream_late_aside": stream_late_aside,
     "stream_progress_log": stream_progress_log,
@@ -432,6 +463,7 @@ _PLAIN: dict[str, Query] = {
     "sink_daily": sink_daily,
     "withheld_state": withheld_state,
     "audit_incremental": audit_incremental,
+    "audit_watch": audit_watch,
     "delivery_fingerprint": delivery_fingerprint,
     "consume_range": consume_range,
     "audit_summary": audit_summary,

@@ -14,16 +14,17 @@ _NB = "nb AS (SELECT CAST(6 AS BIGINT) AS b, count(*) AS n FROM events)"
 NO_DATA_OFF_FILTER = "WHERE batch < 5"
 
 
-def _arrivals(late_lag: int, final_filter: str = "") -> str:
+def _arrivals(late_lag: int, final_filter: str = "", among: str = "") -> str:
     """CTEs ``nb`` (batch count, rows), ``a`` (records with batch), ``l``
-    (late watermark per batch), ``f`` (final eviction watermark)."""
+    (late watermark per batch), ``f`` (final eviction watermark); of some batches only with ``among``."""
     return f"""
 {_NB},
-a AS (
+a0 AS (
   SELECT event_id, ts,
          CAST(least((SELECT b FROM nb) - 1, event_id * (SELECT b FROM nb) // (SELECT n FROM nb)
                     + CASE WHEN event_id % 10 = 0 THEN 3 ELSE 0 END) AS INTEGER) AS batch
   FROM events),
+a AS (SELECT * FROM a0 {among}),
 m AS (SELECT batch, max(ts) AS mx FROM a GROUP BY batch),
 l AS (SELECT b.batch,
              (SELECT date_trunc('millisecond', max(mx)) - INTERVAL 20 SECOND
@@ -32,9 +33,9 @@ l AS (SELECT b.batch,
 f AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 20 SECOND AS wm FROM a {final_filter})"""
 
 
-def _persisted(late_lag: int, final_filter: str = "") -> str:
+def _persisted(late_lag: int, final_filter: str = "", among: str = "") -> str:
     return f"""
-WITH {_arrivals(late_lag, final_filter)}
+WITH {_arrivals(late_lag, final_filter, among)}
 SELECT CAST(a.event_id % 2 AS INTEGER) AS "partition", a.ts AS "timestamp",
        a.event_id AS "key", count(*) AS cnt
 FROM a JOIN l USING (batch)
@@ -71,6 +72,8 @@ GROUP BY ALL""",
     "stream_append_strict_late": _persisted(1),
     "stream_nodata_off": _persisted(2, NO_DATA_OFF_FILTER),
     "stream_resume": _persisted(1),
+    "stream_from_latest": _persisted(2, among="WHERE batch >= 3"),
+    "stream_processing_time": _single("20 SECOND"),
     "stream_late_rows": f"""
 WITH {_arrivals(2)}
 SELECT a.event_id AS id, a.ts AS "timestamp", CAST(a.event_id % 2 AS INTEGER) AS "partition"
@@ -180,6 +183,22 @@ SELECT batch, count(*) AS sent,
        count(*) FILTER (NOT closed) AS missing_withheld,
        CAST(0 AS BIGINT) AS malformed_keys,
        count(*) FILTER (late OR NOT closed) = 0 AS complete
+FROM k GROUP BY batch""",
+    "audit_watch": f"""
+WITH {_arrivals(2)},
+p AS (SELECT b.batch, (SELECT date_trunc('millisecond', max(mx)) - INTERVAL 20 SECOND FROM m
+                       WHERE m.batch < b.batch) AS wm FROM m b WHERE b.batch < 3),
+k AS (SELECT p.batch, a.batch > p.batch AS unread, a.ts, coalesce(a.ts <= l.late, false) AS late,
+             coalesce(a.ts <= p.wm, false) AS closed
+      FROM p, a JOIN l ON l.batch = a.batch)
+SELECT batch, count(*) AS sent,
+       count(*) FILTER (NOT unread AND closed AND NOT late) AS persisted_rows,
+       count(*) FILTER (NOT unread AND closed AND NOT late) AS persisted,
+       max(ts) FILTER (NOT unread AND closed AND NOT late) AS latest_persisted,
+       count(*) FILTER (NOT unread AND late) AS missing_late,
+       count(*) FILTER (NOT unread AND NOT closed) AS missing_withheld,
+       CAST(0 AS BIGINT) AS malformed_keys, false AS complete,
+       count(*) FILTER (unread) AS missing_unread
 FROM k GROUP BY batch""",
     "delivery_fingerprint": """
 WITH c AS (SELECT CAST(o_orderkey % 2 AS INTEGER) AS "partition", count(*) AS sent,

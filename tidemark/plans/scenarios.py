@@ -19,7 +19,14 @@ from tidemark.sinks.daily import start_daily_sink
 from tidemark.sinks.updates import start_committed_updates
 from tidemark.sources.tables import stream_table, table, table_version
 from tidemark.sources.topic import FileTopic
-from tidemark.streaming.flow import EVERY_BATCH, StreamSettings
+from tidemark.streaming.flow import (
+    EVERY_BATCH,
+    StreamSettings,
+    count_per_key,
+    session_conf,
+    start_parquet_sink,
+    trigger_args,
+)
 from tidemark.streaming.progress_log import ProgressLog
 from tidemark.streaming.replay import (
     Arrivals,
@@ -37,6 +44,7 @@ ARRIVAL_BATCHES = 6
 DRAINED_BATCHES = 3
 BACKLOG_BATCHES = 4
 DAY_DELAY = "1 day"
+TIMED_INTERVAL = "1 second"
 
 # Finished runs by application, kind, settings and the versions of the table's files.
 _RUNS: dict[tuple, StreamRun] = {}
@@ -142,6 +150,32 @@ def single_run(spark: SparkSession, sf_dir: str, delay: str | None = None) -> St
     return run_stream(spark, records, settings, "single", f"{sf_dir}/events.parquet")
 
 
+def timed_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    """The flagship under a processing-time trigger (W4), stopped when it has caught up."""
+    settings = default_settings(spark, query_name="timed")
+    root = run_dir(spark, "timed")
+    sink, ckpt = f"{root}/sink", f"{root}/checkpoint"
+    counted = count_per_key(events_records(spark, sf_dir, stream=True), settings.delay)
+    with session_conf(spark, settings.conf(spark)):
+        query = start_parquet_sink(
+            counted, sink, ckpt, settings.query_name, trigger_args("processing", TIMED_INTERVAL)
+        )
+    try:
+        query.processAllAvailable()  # raises what the query failed with
+        progress = [dict(p) for p in query.recentProgress]
+    finally:
+        query.stop()
+    return StreamRun(sink, ckpt, f"{sf_dir}/events.parquet", progress)
+
+
+def newcomer_run(spark: SparkSession, sf_dir: str) -> StreamRun:
+    """The arrivals, by a consumer that came when half of the batches had gone by (S2, ``latest``)."""
+    return run_per_batch(
+        spark, arrivals_topic(spark, sf_dir), default_settings(spark), "newcomer",
+        one_run=True, start_at=DRAINED_BATCHES,
+    )
+
+
 def finished_single_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     return finished(spark, sf_dir, "events", "single", default_settings(spark), single_run)
 
@@ -191,11 +225,11 @@ def committed_updates_run(spark: SparkSession, sf_dir: str) -> StreamRun:
     )
 
 
-def daily_run(spark: SparkSession, sf_dir: str, after=None) -> StreamRun:
-    """The arrivals into the sink by day; ``after`` runs after each batch."""
+def daily_run(spark: SparkSession, sf_dir: str, after=None, last: int | None = None) -> StreamRun:
+    """The arrivals (the first ``last`` batches) into the sink by day; ``after`` runs after each batch."""
     arr = arrivals_topic(spark, sf_dir, by_day=True)
     return run_per_batch(
-        spark, arr, default_settings(spark), "daily", one_run=True, start=start_daily_sink, after=after
+        spark, arr, default_settings(spark), "daily", one_run=True, start=start_daily_sink, after=after, last=last
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -21,13 +23,19 @@ def file_status(spark: SparkSession, path: str):
 
 
 def table_version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    """What changes when a table is rewritten: path, time and size of its file,
-    or of each file of its folder."""
+    """What changes when a table is rewritten: number, size, newest time and a digest of
+    path, time and size of its files, those in folders of folders as well."""
     sc = spark.sparkContext
-    status = file_status(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-    fs = status.getPath().getFileSystem(sc._jsc.hadoopConfiguration())
-    files = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-    return tuple(sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in files))
+    where = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    found = where.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(where, True)
+    n, size, newest, digest = 0, 0, 0, 0
+    while found.hasNext():
+        f = found.next()
+        told = (f.getPath().toString(), f.getModificationTime(), f.getLen())
+        n, size, newest = n + 1, size + told[2], max(newest, told[1])
+        # A sum, as a listing has no order.
+        digest = (digest + int.from_bytes(hashlib.sha256(repr(told).encode()).digest())) % 2**256
+    return n, size, newest, digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

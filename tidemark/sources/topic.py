@@ -8,6 +8,9 @@ stream that is run once for each folder sees them as its micro-batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 from tidemark.functions.envelope import ENVELOPE_COLUMNS, ENVELOPE_SCHEMA
 from tidemark.sinks.folders import Folder
 from tidemark.sources.tables import ANY_AGE
-from tidemark.streaming.checkpoint import Position, file_of, files_read
+from tidemark.streaming.checkpoint import Position, file_name, file_of, files_read
 
 # Each arrival batch has its own directory; readers glob over the topic's data files
 # and batch directories only (never its marker files).
@@ -89,19 +92,34 @@ class FileTopic:
             wanted = wanted | one
         return self.read().where(wanted)
 
+    def files(self) -> dict[str, str]:
+        """The paths of all data files by their name (see ``checkpoint.file_name``): what Spark's
+        own listing of the topic holds on the driver anyway."""
+        return {file_name(f): f for f in self.read().inputFiles()}
+
+    def read_files(self, paths: Iterable[str]) -> DataFrame:
+        """The records of some files (paths as :meth:`files` gives them), and of no other."""
+        paths = [unquote(p) for p in paths]
+        if not paths:
+            return self.spark.createDataFrame([], ENVELOPE_SCHEMA)
+        reader = self.spark.read.schema(ENVELOPE_SCHEMA).option("recursiveFileLookup", "true")
+        return reader.parquet(*paths)
+
     def read_marked(self, checkpoint: str, at: Position) -> DataFrame:
-        """Every record with ``is_read``: whether the query of that checkpoint had read it."""
-        read = files_read(self.spark, checkpoint, at).withColumn("is_read", F.lit(True))
-        sent = self.read().select("*", file_of("_metadata.file_path").alias("file"))
-        marked = sent.join(read, "file", "left").drop("file")
-        return marked.withColumn("is_read", F.coalesce("is_read", F.lit(False)))
+        """Every record with ``is_read``: whether the query of that checkpoint had read it.
+        A record's file tells, so the two sets of files are scanned side by side."""
+        there, read = self.files(), files_read(self.spark, checkpoint, at)
+        sides = [([f for n, f in there.items() if (n in read) == mark], mark) for mark in (True, False)]
+        one, two = [self.read_files(files).withColumn("is_read", F.lit(mark)) for files, mark in sides]
+        return one.unionByName(two)
 
     def read_stream(
-        self, per_trigger: int | None = None, batches: int | None = None
+        self, per_trigger: int | None = None, batches: int | None = None, start: int = 0
     ) -> DataFrame:
         """S1 stand-in: the topic as a stream. ``per_trigger``: files of one micro-batch.
         ``batches``: only the first arrival batches, for a consumer that
-        runs before the others are there.
+        runs before the others are there; ``start``: but those below it, for one that came to
+        the topic when they had gone by (S2).
 
         Files are read whatever their age, so the source remembers all it has seen."""
         reader = self.spark.readStream.schema(ENVELOPE_SCHEMA).option("maxFileAge", ANY_AGE)
@@ -109,6 +127,6 @@ class FileTopic:
             reader = reader.option("maxFilesPerTrigger", int(per_trigger))
         if batches is None:
             return reader.option("recursiveFileLookup", "true").parquet(f"{self.path}/{DATA_GLOB}")
-        names = ",".join(str(b) for b in range(batches))
+        names = ",".join(str(b) for b in range(start, batches))
         reader = reader.schema(self._foldered(self.by_day)).option("basePath", self.path)
         return reader.parquet(f"{self.path}/batch={{{names}}}").select(*ENVELOPE_COLUMNS)

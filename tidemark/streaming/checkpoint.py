@@ -7,6 +7,7 @@ committed batch, the watermark that batch worked with, and the source's position
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,22 +67,32 @@ def committed_watermarks(spark: SparkSession, checkpoint: str) -> list[tuple[int
     return [(b, int(_metadata(spark, checkpoint, b)["batchWatermarkMs"])) for b in sorted(done)]
 
 
+_NAME = "(([^/]+/){0,2}[^/]+)$"
+
+
 def file_of(path: str) -> Column:
     """A file's name with the two folders that it lies in: one job gives files in several
     folders the same name."""
-    return F.regexp_extract(path, "(([^/]+/){0,2}[^/]+)$", 1)
+    return F.regexp_extract(path, _NAME, 1)
+
+
+def file_name(path: str) -> str:
+    """:func:`file_of` on the driver."""
+    return re.search(_NAME, path).group(1)
 
 
-def files_read(spark: SparkSession, checkpoint: str, at: Position) -> DataFrame:
-    """``file`` (see :func:`file_of`) of every file that a file source had read by then."""
+def files_read(spark: SparkSession, checkpoint: str, at: Position) -> dict[str, int]:
+    """Name (see :func:`file_of`) of every file that a file source had read by then, with the
+    number under which its log holds it. The source keeps as much on the driver."""
     log = spark.read.text(f"{checkpoint}/sources/0").where("value LIKE '{%'")
     entry = F.from_json("value", "path string, batchId bigint")
-    return (
+    read = (
         log.select(entry.alias("e"))
         .where(F.col("e.batchId") <= int(at.offset["logOffset"]))
-        .select(file_of("e.path").alias("file"))
+        .select(file_of("e.path").alias("file"), "e.batchId")
         .distinct()
     )
+    return {r["file"]: r["batchId"] for r in read.collect()}
 
 
 def offsets_read(at: Position, topic: str) -> Column:

@@ -11,10 +11,10 @@ the summary row reaches the driver.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.envelope import TRIGGER_INTERVAL
@@ -38,13 +38,15 @@ def start_ingest(
     checkpoint: str,
     settings: StreamSettings | None = None,
     interval: str = TRIGGER_INTERVAL,
+    start: Callable = start_parquet_sink,
 ) -> StreamingQuery:
-    """Start the flagship on ``topic`` (a ``FileTopic`` or ``KafkaTopic``);
-    returns the running query. Stop it with ``query.stop()``."""
+    """Start the flagship on ``topic`` (a ``FileTopic`` or ``KafkaTopic``), into the plain sink
+    or, with ``start_daily_sink``, the one by day; returns the running query. Stop
+    it with ``query.stop()``."""
     settings = settings or StreamSettings()
     counted = count_per_key(topic.read_stream(), settings.delay)
     with session_conf(spark, settings.conf(spark)):
-        return start_parquet_sink(
+        return start(
             counted,
             sink,
             checkpoint,
@@ -100,6 +102,7 @@ def audit_now(
     query: StreamingQuery | None = None,
     delay: str | None = None,
     checkpoint: str | None = None,
+    read: Callable[[SparkSession, str], DataFrame] | None = None,
 ):
     """One audit round: the summary row of topic vs sink (``None`` before the
     first commit).
@@ -109,6 +112,8 @@ def audit_now(
     for a query that has caught up; the cut-off is then the query's watermark, or the
     one that the data implies.
 
+    ``read`` reads a sink of another kind than the plain one.
+
     Read in this order: watermark and position, then the topic, then the sink. What
     commits meanwhile makes rows appear persisted, never late.
     """
@@ -118,7 +123,7 @@ def audit_now(
     mark = watermark_ms(_progress_dict(query.lastProgress)) if query is not None else None
     try:
         sent = topic.read_marked(checkpoint, at) if at else topic.read()
-        persisted = read_sink(spark, sink)  # both resolved now: fails before the first commit
+        persisted = (read or read_sink)(spark, sink)  # both resolved now: fails before the first commit
     except AnalysisException:
         return None
     if at:
@@ -140,13 +145,15 @@ def poll(
     interval_s: float = 10.0,
     rounds: int | None = None,
     checkpoint: str | None = None,
+    ask: Callable[[], object] | None = None,
 ) -> Iterator[tuple[dict, object]]:
     """Every ``interval_s`` seconds while the query runs: (latest progress,
-    audit summary row). Failures of one round are reported, not fatal."""
+    audit summary row). ``ask`` gives the row in another way than the full audit
+    (``Watch.poll``). Failures of one round are reported, not fatal."""
     n = 0
     while query.isActive and (rounds is None or n < rounds):
         try:
-            row = audit_now(spark, topic, sink, query, checkpoint=checkpoint)
+            row = ask() if ask else audit_now(spark, topic, sink, query, checkpoint=checkpoint)
             yield _progress_dict(query.lastProgress), row
         except Exception as e:  # keep watching, as a monitor should
             yield {"error": str(e)}, None

@@ -190,6 +190,7 @@ def run_per_batch(
     after: Callable[[int, StreamRun], None] | None = None,
     plan: Callable | None = None,
     log: ProgressLog | None = None,
+    start_at: int = 0,
 ) -> StreamRun:
     """W7 over a published topic: run ``b`` sees the first ``b`` batches, in
     place, and takes up the checkpoint of the run before (see the module for ``one_run``).
@@ -197,7 +198,8 @@ def run_per_batch(
     With the ``root`` of an interrupted series (its sink and checkpoint) and ``first``, the
     series goes on where it ended. ``start`` and ``plan`` name another sink and
     other rows (see ``run_count``); ``after`` is called with the number of each batch (from 0) and
-    the run so far; ``log`` keeps the progress of every batch.
+    the run so far; ``log`` keeps the progress of every batch. ``start_at``: the consumer came when that
+    many batches had gone by, and starts behind them (S2).
     """
     root = root or run_dir(spark, label)
     run = StreamRun(f"{root}/sink", f"{root}/checkpoint", arr.topic.path, [])
@@ -205,9 +207,9 @@ def run_per_batch(
     keep = logged(log, settings.query_name, run.checkpoint) if log else contextlib.nullcontext()
     filled = [b + 1 for b in arr.topic.batches()]  # a batch without records is no micro-batch
     with keep:
-        for b in [b for b in filled if first <= b <= (last or arr.n_batches)]:
+        for b in [b for b in filled if max(first, start_at + 1) <= b <= (last or arr.n_batches)]:
             now = settings if b == filled[-1] else between
-            records = arr.topic.read_stream(batches=b)
+            records = arr.topic.read_stream(batches=b, start=start_at)
             run.progress += run_count(
                 spark, records, run.sink, run.checkpoint, now, output_mode, start=start, plan=plan
             )
