@@ -9,6 +9,8 @@ watermark = max event time (ms) minus the delay.
 
 from __future__ import annotations
 
+from tidemark.plans import bounded
+
 # Six arrival batches, whatever the number of events.
 _NB = "nb AS (SELECT CAST(6 AS BIGINT) AS b, count(*) AS n FROM events)"
 NO_DATA_OFF_FILTER = "WHERE batch < 5"
@@ -154,7 +156,7 @@ WITH {_arrivals(2)}
 SELECT a.event_id AS id, a.ts AS "timestamp", CAST(a.event_id % 2 AS INTEGER) AS "partition",
        a.event_id // 2 AS "offset", {_ISO} AS "value", CAST(a.batch AS BIGINT) AS batch_id
 FROM a JOIN l USING (batch) WHERE a.ts <= l.late""",
-    "stream_backlog": _single("20 SECOND"),
+    bounded.NAME: _single("20 SECOND"),
     "stream_update_latest": f"""
 WITH {_arrivals(2)},
 k AS (SELECT a.batch, a.event_id, a.ts FROM a JOIN l USING (batch) WHERE l.late IS NULL OR a.ts > l.late)
