@@ -116,3 +116,13 @@ def test_words_are_encoded_as_in_their_text():
 def test_ids_are_returned(spark):
     out = best_fit(documents(spark, ["some words", None]), VOCABULARY, keep_ids=True).collect()
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in out)
+
+
+def test_ids_kept_by_a_worker_are_bounded():
+    """Workers live on after their stage: what they keep counts against the executor in the next."""
+    encoder = WordEncoder(VOCABULARY, 1)
+    texts = [" ".join(f"w{i:x}q" for i in range(lo, lo + 1000)) for lo in range(0, 220_000, 1000)]
+    for at in range(0, len(texts), 20):
+        encoder.encode(texts[at : at + 20])
+        assert len(encoder.known) <= 200_000
+    assert encoder.encode([texts[0]]) == WordEncoder(VOCABULARY, 1).encode([texts[0]])

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import Forest, components
 from tidemark.llm.util import dropped, numbered, per_process, row_of, saved
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 
 @dataclass(frozen=True)

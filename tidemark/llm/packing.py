@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.util import buckets_for, per_process, running, saved
 
-CACHED_WORDS = 500_000
+#: Kept in each Python worker, some 300 bytes each.
+CACHED_WORDS = 200_000
 END_MARK = "</w>"
 # The splitting rule of the vocabulary for lower-case Latin-1 text
 # (contractions, runs of letters, single numbers, runs of other characters).
