@@ -8,7 +8,7 @@ import __spark_entry__
 import corpus_pipeline
 from tidemark.llm.catalog import QUERIES, quality_model
 from tidemark.llm.quality import features, score
-from tidemark.llm.util import read, saved
+from tidemark.llm.util import numbered, read, saved
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,6 +94,31 @@ def test_all_is_packed(stages):
         assert at <= 4096
 
 
+@pytest.mark.parametrize("most, join", [("16k", "BroadcastHashJoin"), ("-1", "SortMergeJoin")])
+def test_documents_stay_in_place_where_few_go(spark, most, join):
+    docs = numbered(spark.range(20_000).selectExpr("id doc_id", "repeat('word ', 20) text"))
+    judged = docs.selectExpr(f"{docs.row_column} row", "doc_id % 1000 <> 7 kept")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        out = corpus_pipeline._kept_rows(docs, judged)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        kept = [r["doc_id"] for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert join in plan and ("hashpartitioning" in plan) == (join == "SortMergeJoin"), plan
+    assert out.columns == ["doc_id", "text"]
+    assert sorted(kept) == [i for i in range(20_000) if i % 1000 != 7]
+
+
+@pytest.mark.parametrize("share", ["true", "false"])
+def test_all_or_none_may_go(spark, share):
+    docs = numbered(spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string"))
+    judged = docs.selectExpr(f"{docs.row_column} row", f"{share} kept")
+    got = corpus_pipeline._kept_rows(docs, judged).collect()
+    assert sorted(map(tuple, got), key=str) == ([(1, "a"), (1, "a"), (None, None)] if share == "true" else [])
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
