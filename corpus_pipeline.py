@@ -56,11 +56,14 @@ def _stage(fn):
 
 
 def _kept_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of numbered ``docs`` without those that ``judged`` (``row``, ``kept`` of every
-    row) lets go. These are far fewer than the kept ones as a rule, and no document moves as
-    long as Spark can broadcast them."""
-    gone = saved(judged.where("NOT kept").select(F.col("row").alias(docs.row_column)), "gone-rows")
-    return docs.join(gone, docs.row_column, "left_anti").drop(docs.row_column)
+    """The rows of numbered ``docs`` that ``judged`` (``row``, ``kept``) keeps. Those that go are
+    far fewer as a rule, and no document moves as long as Spark can broadcast them. They are told
+    by the kept ones: where ``kept`` compares two rows, Spark joins by both, so that
+    the rows of a large group are dealt out."""
+    row = docs.row_column
+    kept = saved(judged.where("kept").select(F.col("row").alias(row)), "kept-rows")
+    gone = saved(docs.select(row).join(kept, row, "left_anti"), "gone-rows")
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
 @_stage
