@@ -1,13 +1,18 @@
 import collections
+import gc
 import re
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm import brute
 
 import __spark_entry__
 import corpus_pipeline
 from tidemark.llm.catalog import QUERIES, quality_model
-from tidemark.llm.quality import features, score
+from tidemark.llm.near import Params, _Words, signatures
+from tidemark.llm.packing import WordEncoder, pieces
+from tidemark.llm.quality import features, score, scored_rows
 from tidemark.llm.util import numbered, read, saved
 
 SF = "/root/testdata/sf0.001"
@@ -119,6 +124,32 @@ def test_all_or_none_may_go(spark, share):
     assert sorted(map(tuple, got), key=str) == ([(1, "a"), (1, "a"), (None, None)] if share == "true" else [])
 
 
+def test_workers_do_not_keep_what_earlier_stages_used(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "doc_id long, text string")
+    told, given = [], pa.RecordBatch.from_pylist(
+        [{"row": r["doc_id"], "id": r["doc_id"], "text": r["text"]} for r in docs.collect()]
+    )
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, schema: told.append(fn))
+    pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    signatures(docs, Params(), "doc_id", "text")
+    scored_rows(docs, None)
+    cut, sign, scored = told
+
+    def kept(kind):
+        gc.collect()
+        return sum(isinstance(o, kind) for o in gc.get_objects())
+
+    # As in a worker that runs a task of each stage, then a task of one of them again.
+    first = list(cut([given, given]))
+    assert kept(WordEncoder) == 1
+    assert list(cut([given, given])) == first and kept(WordEncoder) == 1
+    signed = list(sign([given]))
+    assert kept(WordEncoder) == 0 and kept(_Words) == 1
+    assert list(scored([given.select(["id", "text"])]))[0].num_rows == 2
+    assert kept(_Words) == 0
+    assert list(cut([given, given])) == first and list(sign([given])) == signed
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import Forest, components
-from tidemark.llm.util import dropped, numbered, per_process, row_of, saved
+from tidemark.llm.util import dropped, lean, numbered, per_process, row_of, saved
 
 CACHED_WORDS = 100_000
 
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, params: Params, id_col: str, text_col: str) -> D
 
     kind = given.schema["id"].dataType.simpleString()
     return given.mapInArrow(
-        sign, f"row long, id {kind}, n_shingles long, hi long, lo long, signature binary"
+        lean(sign), f"row long, id {kind}, n_shingles long, hi long, lo long, signature binary"
     )
 
 
@@ -160,7 +160,7 @@ def _postings(nodes: DataFrame, params: Params) -> DataFrame:
                     [pa.array(keys.ravel()), pa.array(node)], names=["key", "node"]
                 )
 
-    return nodes.select("node", "signature").mapInArrow(post, "key long, node long")
+    return nodes.select("node", "signature").mapInArrow(lean(post), "key long, node long")
 
 
 def prefix_postings(nodes: DataFrame, params: Params) -> DataFrame:
@@ -197,7 +197,7 @@ def _matching(pairs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
                 same = (sides[0] == sides[1]).sum(axis=1)
                 yield batch.select(["a", "b"]).filter(pa.array(same >= params.matches))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(count, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(lean(count), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
@@ -215,7 +215,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
                 good.append(100 * both >= params.percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(confirm, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(lean(confirm), "a long, b long")
 
 
 #: Nodes of a bucket, and shingles of them.
@@ -408,7 +408,7 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params, text_col: str) -> D
                     [batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"]
                 )
 
-    sets = saved(wanted.mapInArrow(shingled, "node long, shingles binary"), "shingles")
+    sets = saved(wanted.mapInArrow(lean(shingled), "node long, shingles binary"), "shingles")
 
     found, near = _hub_links(posted, nodes, sets, params)
     dealt = saved(_buckets(posted, nodes, found, near), "buckets")

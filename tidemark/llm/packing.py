@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import buckets_for, per_process, running, saved
+from tidemark.llm.util import buckets_for, lean, per_process, running, saved
 
 #: Kept in each Python worker, some 300 bytes each.
 CACHED_WORDS = 200_000
@@ -207,7 +207,7 @@ def pieces(
                     columns.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return given.mapInArrow(cut, schema)
+    return given.mapInArrow(lean(cut), schema)
 
 
 def plan(histogram: dict[int, int], capacity: Capacity = Capacity()) -> list[tuple[int, int, int, int]]:
@@ -308,7 +308,7 @@ def pack(cut: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
             columns.append(pa.array(runs[at, 3]))
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(lean(place), out)
 
 
 def best_fit(

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.util import lean
+
 #: Bounds of the samples that the fit reads.
 POSITIVES = 10_000
 UNLABELLED = 20_000
@@ -220,7 +222,7 @@ def fit(
                 [batch.column(0), batch.column(1), rows], names=["positive", "unlabelled", "x"]
             )
 
-    told = sample.mapInArrow(measure, "positive boolean, unlabelled boolean, x array<double>").toArrow()
+    told = sample.mapInArrow(lean(measure), "positive boolean, unlabelled boolean, x array<double>").toArrow()
     if not told.num_rows:
         return None
     x = np.array(told["x"].combine_chunks().flatten()).reshape(-1, N_FEATURES)
@@ -246,7 +248,7 @@ def score_quality(
                 [batch.column(0), pa.array(score(model, x))], names=["id", "score"]
             )
 
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, score double")
+    return given.mapInArrow(lean(run), f"id {given.schema['id'].dataType.simpleString()}, score double")
 
 
 def scored_rows(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
@@ -260,4 +262,4 @@ def scored_rows(docs: DataFrame, model: dict | None, text_col: str = "text") ->
                 x = np.array([features(t.as_py()) for t in batch.column(at)])
                 yield batch.filter(pa.array(score(model, x) >= 0.5))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.schema)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import sys
 import threading
 import types
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,14 +147,49 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], **types: str) -> Dat
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+def _kept() -> types.ModuleType:
+    """What this Python worker keeps between tasks; ``asked``: names that the running one used."""
+    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
+    if not hasattr(kept, "made"):
+        kept.made, kept.asked = {}, set()
+    return kept
+
+
 def per_process(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` returned for ``key`` in this Python worker before, or returns now.
 
     Spark's workers run many tasks, each with functions of its own; what is costly to
-    build and only saves work (vocabularies, caches of hashes) outlives them here.
+    build and only saves work (vocabularies, caches of hashes) outlives them here, until
+    a task of :func:`lean` that does not ask for it.
     """
-    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
-    name = repr(key)
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    kept, name = _kept(), repr(key)
+    kept.asked.add(name)
+    if name not in kept.made:
+        kept.made[name] = make()
+    return kept.made[name]
+
+
+def lean(
+    fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow``, whose worker gives back at the end of each task what the
+    task does not need any more: a worker waits beside the JVM through the stages that
+    follow, and Arrow and the C library keep the freed memory of the largest batches."""
+
+    @functools.wraps(fn)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _kept()
+        kept.asked = set()
+        yield from fn(batches)
+        for name in kept.made.keys() - kept.asked:
+            del kept.made[name]
+        _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system, where the allocators can do so."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
